@@ -92,7 +92,7 @@ def _map_lit(d: dict) -> Column:
 def language_id(col: Column) -> Column:
     """trim, lower, alias map; unknown ids become ``python``."""
     key = F.lower(py_strip(col))
-    canonical = F.coalesce(F.element_at(_map_lit(LANGUAGE_ALIASES), key), key)
+    canonical = F.coalesce(F.try_element_at(_map_lit(LANGUAGE_ALIASES), key), key)
     known = F.array(*[F.lit(k) for k in EXTENSIONS_BY_LANGUAGE])
     return F.when(F.array_contains(known, canonical), canonical).otherwise(F.lit(DEFAULT_LANGUAGE))
 
@@ -114,7 +114,7 @@ def extensions_col(lang: Column, is_test: Column) -> Column:
     table = F.create_map(
         *[x for k, v in EXTENSIONS_BY_LANGUAGE.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))]
     )
-    code = F.element_at(table, lid)
+    code = F.try_element_at(table, lid)
     docs = F.array(*[F.lit(e) for e in SOURCE_DOC_EXTENSIONS])
     return F.array_sort(
         F.when(~is_test & (lid != "markdown"), F.array_union(code, docs)).otherwise(F.array_distinct(code))
@@ -146,7 +146,7 @@ def dirname(col: Column) -> Column:
 def service(rel_path: Column) -> Column:
     """First path part when there is more than one part, else ``root``."""
     parts = F.split(rel_path, "/")
-    return F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(F.lit(ROOT_SERVICE))
+    return F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(1))).otherwise(F.lit(ROOT_SERVICE))
 
 
 # --- B1 --------------------------------------------------------------------
@@ -241,7 +241,7 @@ def join(base: Column, rel: Column) -> Column:
         lambda acc, p: F.when((p == "") | (p == "."), acc)
         .when(
             p == "..",
-            F.when((F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
             .when(absolute, acc)
             .otherwise(F.concat(acc, F.array(F.lit("..")))),
         )
@@ -274,11 +274,11 @@ def scan_keep(rel_path: Column, allowed: list[str]) -> Column:
     )
 
 
-def metrics_keep(rel_path: Column) -> Column:
+def metrics_keep(rel_path: Column, ext: str = ".py") -> Column:
     """A3: directory path contains none of the skip substrings; ``*.py``."""
     d = dirname(rel_path)
     skip = None
     for s in METRICS_SKIP:
         c = F.instr(d, s) > 0
         skip = c if skip is None else (skip | c)
-    return ~skip & rel_path.endswith(".py")
+    return ~skip & rel_path.endswith(ext)

@@ -75,8 +75,8 @@ def _bigrams(w: Column) -> Column:
     pairs = F.transform(
         idx,
         lambda i: F.when(
-            (n > 1) & F.element_at(w, i).isin(*DEFINITION_KEYWORDS),
-            F.concat(F.element_at(w, i), F.lit("_"), F.element_at(w, i + 1)),
+            (n > 1) & F.try_element_at(w, i).isin(*DEFINITION_KEYWORDS),
+            F.concat(F.try_element_at(w, i), F.lit("_"), F.try_element_at(w, i + 1)),
         ),
     )
     return F.filter(pairs, lambda x: x.isNotNull())
@@ -86,7 +86,7 @@ def fallback_tokens(col: Column) -> Column:
     """Word tokens, then every ``def_x`` / ``class_x`` bigram at the end."""
     words = F.regexp_extract_all(F.lower(col), F.lit(WORD_PATTERN), 0)
     # A one-element transform binds the word array once for both uses.
-    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, _bigrams(w))), 1)
+    return F.try_element_at(F.transform(F.array(words), lambda w: F.concat(w, _bigrams(w))), F.lit(1))
 
 
 # --- H-s4 ------------------------------------------------------------------
@@ -143,8 +143,8 @@ def lines_as_blocks(col: Column) -> Column:
 # --- H-s11 -----------------------------------------------------------------
 def count_cases(col: Column) -> Column:
     """Numbered lines between the first 'test cases' heading and the next heading."""
-    after = F.element_at(F.split(col, "(?imd)^#+.*test cases.*$", 2), 2)
-    block = F.element_at(F.split(after, "(?md)^#+", 2), 1)
+    after = F.try_element_at(F.split(col, "(?imd)^#+.*test cases.*$", 2), F.lit(2))
+    block = F.try_element_at(F.split(after, "(?md)^#+", 2), F.lit(1))
     n = F.regexp_count(block, F.lit(f"(?md)^[{PY_SPACE}]*[0-9]+\\.[{PY_SPACE}]+"))
     return F.when(F.size(F.split(col, "(?imd)^#+.*test cases.*$", 2)) < 2, F.lit(0)).otherwise(n).cast("int")
 
@@ -192,7 +192,7 @@ def confidence(col: Column) -> Column:
     ``1.2.3`` gives a null score.
     """
     has = F.regexp_like(col, F.lit(CONFIDENCE_PATTERN))
-    score = F.regexp_extract(col, F.lit(CONFIDENCE_PATTERN), 1).try_cast("double")
+    score = F.regexp_extract(col, CONFIDENCE_PATTERN, 1).try_cast("double")
     rest = py_strip(F.regexp_replace(col, F.lit("CONFIDENCE_SCORE:[" + PY_SPACE + "]*[0-9.]+"), F.lit("")))
     text = F.when(has, rest).otherwise(col)
     empty = is_blank(text) | (F.lower(text) == "none")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from glean.functions import paths as P
 from glean.functions import text as T
-from glean.plans.strategy import broadcast_if_small
+from glean.plans.strategy import broadcast_if_small, spread
 
 # Okapi BM25 constants (the published defaults).
 K1 = 1.5
@@ -88,21 +88,23 @@ def term_frequencies(token_array: Column) -> Column:
         n = F.size(s)
         starts = F.filter(
             F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1))))),
+            lambda i: (n > 0) & ((i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1))))),
         )
         nxt = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
         return F.zip_with(
             starts,
             nxt,
-            lambda a, b: F.struct(F.element_at(s, a).alias("term"), (b - a).cast("int").alias("tf")),
+            lambda a, b: F.struct(F.try_element_at(s, a).alias("term"), (b - a).cast("int").alias("tf")),
         )
 
-    return F.element_at(F.transform(F.array(F.array_sort(token_array)), runs), 1)
+    return F.try_element_at(F.transform(F.array(F.array_sort(token_array)), runs), F.lit(1))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=T.tokens) -> KeywordIndex:
     """Postings, term statistics and corpus statistics of a corpus."""
-    tok = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("toks"))
+    tok = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))).select(
+        "doc_id", tokenizer(F.col("_t")).alias("toks")
+    )
     postings = tok.select(
         "doc_id",
         F.size("toks").cast("int").alias("dl"),

@@ -19,3 +19,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint when ``df`` is proven small; otherwise leave the choice
     to the planner (shuffle join, adaptive re-planning on runtime sizes)."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy work at least one partition per core.
+
+    Inputs read from a few large row groups arrive as very few partitions;
+    a round-robin repartition then spreads the work.  Large inputs already
+    have many partitions and pass through untouched (no extra shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

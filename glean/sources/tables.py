@@ -39,14 +39,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as message histories with a message ``type``."""
     c = read(spark, sf_dir, "conversations")
     m = F.create_map(*[F.lit(x) for kv in ROLE_TYPES.items() for x in kv])
-    return c.withColumn("type", F.coalesce(F.element_at(m, F.col("role")), F.col("role")))
+    return c.withColumn("type", F.coalesce(F.try_element_at(m, F.col("role")), F.col("role")))
 
 
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a test-status log keyed by ``user_id``."""
     e = read(spark, sf_dir, "events")
     m = F.create_map(*[F.lit(x) for kv in EVENT_STATUS.items() for x in kv])
-    return e.withColumn("status", F.coalesce(F.element_at(m, F.col("event_type")), F.lit("pending")))
+    return e.withColumn("status", F.coalesce(F.try_element_at(m, F.col("event_type")), F.lit("pending")))
 
 
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
