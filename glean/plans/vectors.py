@@ -1,3 +1,72 @@
-"""Registered queries."""
+"""Nearest-neighbour queries over ``embeddings``.
 
-from glean.plans.registry import register  # noqa: F401
+Every vector is a query against the whole table (self excluded), so the
+work grows with the table.  ``label`` plays the metadata filter column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glean.operators import knn as N
+from glean.plans.registry import register
+from glean.sources import tables
+
+FILTER_LABEL = 0
+
+
+def _sql_knn(k: int, corpus_filter: str = "true", cosine: bool = False) -> str:
+    vec = "CAST(embedding AS DOUBLE[])"
+    if cosine:
+        vec = f"list_transform({vec}, lambda x: x / sqrt(list_reduce(list_transform({vec}, lambda y: y * y), lambda a, b: a + b)))"
+    return f"""
+WITH e AS (SELECT vec_id, {vec} AS v, label FROM embeddings),
+c AS (SELECT * FROM e WHERE {corpus_filter}),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance
+  FROM e a, c b WHERE a.vec_id <> b.vec_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p QUALIFY rank <= {k})
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM r"""
+
+
+def _vectors(spark, sf):
+    return tables.read(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"), "label")
+
+
+@register("knn_top10", sql=_sql_knn(10), ids=("C1", "F2", "E1"))
+def q_knn_top10(spark, sf):
+    v = _vectors(spark, sf)
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=10, exclude_self=True)
+
+
+@register("knn_filtered", sql=_sql_knn(5, f"label = {FILTER_LABEL}"), ids=("C1", "B7", "F1"))
+def q_knn_filtered(spark, sf):
+    v = _vectors(spark, sf)
+    # The metadata predicate is applied to the corpus before the search.
+    corpus = v.filter(F.col("label") == FILTER_LABEL).select(F.col("vec_id").alias("id"), "vec")
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), corpus, k=5, exclude_self=True)
+
+
+@register("knn_cosine", sql=_sql_knn(5, cosine=True), ids=("C1",))
+def q_knn_cosine(spark, sf):
+    # Cosine order equals the L2 order of the normalised vectors.
+    v = _vectors(spark, sf)
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, metric="cosine", exclude_self=True)
+
+
+@register("knn_approx", ids=("C2",))
+def q_knn_approx(spark, sf):
+    v = _vectors(spark, sf)
+    return N.approx_knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5)
+
+
+@register("knn_approx_recall", ids=("C2",))
+def q_knn_approx_recall(spark, sf):
+    v = _vectors(spark, sf)
+    q = v.select(F.col("vec_id").alias("query_id"), "vec")
+    c = v.select(F.col("vec_id").alias("id"), "vec")
+    exact = N.knn(q, c, k=5, exclude_self=True)
+    approx = N.approx_knn(q, c, k=5).select("query_id", "id", F.lit(1).alias("hit"))
+    j = exact.join(approx, ["query_id", "id"], "left")
+    return j.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_at_5"), F.count(F.lit(1)).alias("n_exact"))
