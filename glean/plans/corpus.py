@@ -1,3 +1,242 @@
-"""Registered queries."""
+"""Chunking, code metrics, patches and table sinks over ``documents``."""
 
-from glean.plans.registry import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glean.functions import text as T
+from glean.operators import chunk as C
+from glean.operators import keyword as K
+from glean.operators import metrics as M
+from glean.operators import patch as PT
+from glean.plans.registry import register, sql_rel_path, sql_strip
+from glean.session import scratch_path
+from glean.sources import io as IO
+from glean.sources import tables
+
+SP = T.PY_SPACE
+STEP = C.CHUNK_SIZE - C.CHUNK_OVERLAP
+
+SQL_STRIDE = f"""c AS (
+  SELECT doc_id, {sql_rel_path()} AS relative_path, unnest(range(len(s))) AS chunk_no, unnest(s) AS st, text
+  FROM (SELECT *, range(1, greatest(length(text) - {C.CHUNK_OVERLAP}, 1) + 1, {STEP}) AS s FROM documents)
+),
+k AS (SELECT doc_id, relative_path, CAST(chunk_no AS INTEGER) AS chunk_no, substr(text, st, {C.CHUNK_SIZE}) AS chunk FROM c WHERE length(substr(text, st, {C.CHUNK_SIZE})) > 0)"""
+
+
+def stride_chunks(spark, sf):
+    return C.split_stride(tables.corpus(spark, sf).select("doc_id", "relative_path", "text"))
+
+
+# --- L1 ----------------------------------------------------------------------
+@register(
+    "chunk_stride",
+    sql=f"WITH {SQL_STRIDE}\nSELECT doc_id, chunk_no, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM k",
+    ids=("L1",),
+)
+def q_chunk_stride(spark, sf):
+    ch = stride_chunks(spark, sf)
+    return ch.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@register("chunk_recursive", ids=("L1", "J4"))
+def q_chunk_recursive(spark, sf):
+    d = tables.read(spark, sf, "documents").select("doc_id", "text")
+    ch = C.split_recursive(d)
+    return ch.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+# --- D15 ---------------------------------------------------------------------
+@register(
+    "chunk_summary",
+    sql=f"""WITH {SQL_STRIDE},
+f AS (SELECT relative_path, count(*) AS n_chunks, arg_min(chunk, chunk_no) AS first FROM k GROUP BY relative_path)
+SELECT relative_path, n_chunks, substr(replace(first, chr(10), ' '), 1, 200) AS description_200,
+       array_to_string(string_split(first, chr(10))[1:3], chr(10) || '       ') AS code_preview
+FROM f""",
+    ids=("D15",),
+)
+def q_chunk_summary(spark, sf):
+    ch = stride_chunks(spark, sf).withColumn("description", F.col("chunk")).withColumn("source_code", F.col("chunk"))
+    return C.summary(ch)
+
+
+# --- J3 ----------------------------------------------------------------------
+@register("enrich", ids=("J3", "DM3"))
+def q_enrich(spark, sf):
+    ch = stride_chunks(spark, sf)
+    return C.enrich(ch).select("doc_id", "chunk_no", F.md5("description").alias("description_md5"), F.length("source_code").alias("code_chars"))
+
+
+# --- D11 ---------------------------------------------------------------------
+@register(
+    "halstead",
+    sql=f"""WITH t AS (
+  SELECT doc_id, regexp_extract_all(text, '{M.OPERAND_PATTERN}', 0) AS opd, regexp_extract_all(text, '{M.OPERATOR_PATTERN}', 0) AS opr
+  FROM documents
+),
+c AS (SELECT doc_id, len(list_distinct(opr)) AS a, len(list_distinct(opd)) AS b, len(opr) AS ta, len(opd) AS tb FROM t),
+h AS (
+  SELECT doc_id, a, b, ta, tb, CASE WHEN a + b > 0 THEN (ta + tb) * log2(a + b) ELSE 0.0 END AS volume,
+         coalesce(a / 2.0 * tb / nullif(CAST(b AS DOUBLE), 0), 0.0) AS difficulty
+  FROM c
+)
+SELECT doc_id, CAST(a AS INTEGER) AS n1, CAST(b AS INTEGER) AS n2, CAST(ta AS INTEGER) AS big_n1, CAST(tb AS INTEGER) AS big_n2,
+       round(volume, 6) AS volume, round(difficulty, 6) AS difficulty, round(difficulty * volume, 4) AS effort,
+       round(volume / {M.BUG_DIVISOR}, 6) AS bugs
+FROM h""",
+    ids=("D11", "L2"),
+)
+def q_halstead(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    h = d.select("doc_id", M.halstead(F.col("text")).alias("h"))
+    return h.select(
+        "doc_id",
+        F.col("h.n1").alias("n1"), F.col("h.n2").alias("n2"), F.col("h.big_n1").alias("big_n1"), F.col("h.big_n2").alias("big_n2"),
+        F.round("h.volume", 6).alias("volume"), F.round("h.difficulty", 6).alias("difficulty"),
+        F.round("h.effort", 4).alias("effort"), F.round("h.bugs", 6).alias("bugs"),
+    )
+
+
+# --- D9 ----------------------------------------------------------------------
+@register(
+    "mean_complexity",
+    sql=f"""WITH b AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: length({sql_strip('x')}) > 0) AS blocks FROM documents
+),
+c AS (SELECT doc_id, list_transform(blocks, lambda x: 1.0 + len(regexp_extract_all(x, '[.!?]', 0))) AS cx FROM b)
+SELECT doc_id, round(CASE WHEN len(cx) > 0 THEN list_sum(cx) / len(cx) ELSE 1.0 END, 6) AS mean_complexity FROM c""",
+    ids=("D9",),
+)
+def q_mean_complexity(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    return d.select("doc_id", F.round(M.mean_complexity(M.block_complexity(F.col("text"))), 6).alias("mean_complexity"))
+
+
+# --- L2 / J1 -----------------------------------------------------------------
+@register("code_metrics", ids=("L2", "B9", "B11"))
+def q_code_metrics(spark, sf):
+    return M.code_metrics(tables.read(spark, sf, "documents"))
+
+
+def _word_metrics(code: str) -> dict:
+    words = code.split()
+    return {"loc": float(len(code.splitlines())), "v": float(len(words)), "d": float(len(set(words)))}
+
+
+@register("metrics_extractor", ids=("J1", "B11", "B10"))
+def q_metrics_extractor(spark, sf):
+    return M.extract(tables.read(spark, sf, "documents"), _word_metrics)
+
+
+# --- L3 / C8 -----------------------------------------------------------------
+def _patches(docs):
+    second = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
+    patch = F.concat(
+        F.lit(PT.SEARCH_MARK + "\n"), second, F.lit("\n" + PT.DIVIDER + "\n"), second, F.lit(" [patched]\n" + PT.REPLACE_MARK)
+    )
+    return docs.select("relative_path", patch.alias("patch"))
+
+
+@register(
+    "patch_exact",
+    sql=f"""WITH d AS (
+  SELECT {sql_rel_path()} AS relative_path, text, coalesce(string_split(text, chr(10))[2], '') AS s FROM documents
+),
+p AS (
+  SELECT relative_path, text, regexp_replace(regexp_replace(s, '^[\\r\\n]+|[\\r\\n]+$', '', 'g'), '[ \\t]+$', '') AS search,
+         regexp_replace(s || ' [patched]', '^[\\r\\n]+|[\\r\\n]+$', '', 'g') AS repl
+  FROM d
+),
+m AS (
+  SELECT *, CASE WHEN search <> '' AND strpos(text, search) > 0 THEN 'exact'
+                 WHEN repl <> '' THEN 'error' ELSE 'fallback' END AS mode
+  FROM p
+)
+SELECT relative_path, mode,
+       md5(CASE WHEN mode = 'exact' THEN left(text, strpos(text, search) - 1) || repl || substr(text, strpos(text, search) + length(search))
+                WHEN mode = 'fallback' THEN text END) AS content_md5,
+       CASE WHEN mode = 'error' THEN '{PT.NOT_FOUND_ERROR}' END AS error
+FROM m""",
+    ids=("L3", "C8", "H-s16"),
+)
+def q_patch_exact(spark, sf):
+    docs = tables.corpus(spark, sf)
+    out = PT.apply(docs, _patches(docs))
+    return out.select("relative_path", "mode", F.md5("content").alias("content_md5"), "error")
+
+
+# --- A5 ----------------------------------------------------------------------
+@register(
+    "metrics_sink",
+    sql=f"""WITH t AS (SELECT doc_id, {sql_rel_path()} AS p, regexp_extract_all(text, '{M.OPERAND_PATTERN}', 0) AS opd FROM documents)
+SELECT string_split(p, '/')[-1] AS file_name, CAST(len(opd) AS DOUBLE) AS loc, p AS file_path FROM t""",
+    ids=("A5", "DM8"),
+)
+def q_metrics_sink(spark, sf):
+    d = tables.corpus(spark, sf)
+    m = d.select(
+        F.col("file_name"),
+        F.size(F.regexp_extract_all("text", F.lit(M.OPERAND_PATTERN), 0)).cast("double").alias("loc"),
+        F.lit(1.0).alias("vg"), F.lit(0.0).alias("v"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e"), F.lit(0.0).alias("b"),
+        F.col("relative_path").alias("file_path"),
+    )
+    path = scratch_path(spark, "metrics-csv")
+    IO.write_metrics(m, path)
+    back = spark.read.option("header", True).schema(
+        "file_name string, loc double, `v(g)` double, v double, d double, e double, b double, file_path string"
+    ).csv(path)
+    return back.select("file_name", "loc", "file_path")
+
+
+# --- A4 ----------------------------------------------------------------------
+@register(
+    "csv_training",
+    sql="""SELECT CAST(l_returnflag = 'R' AS INTEGER) AS defects, count(*) AS n, round(sum(l_quantity), 4) AS loc_sum FROM lineitem GROUP BY ALL""",
+    ids=("A4", "DM7"),
+)
+def q_csv_training(spark, sf):
+    li = tables.read(spark, sf, "lineitem")
+    out = li.select(
+        F.col("l_quantity").alias("loc"), F.col("l_discount").alias("v(g)"), F.col("l_extendedprice").alias("v"),
+        F.col("l_tax").alias("d"), F.lit(0.0).alias("e"), (F.col("l_extendedprice") / 3000).alias("b"),
+        (F.col("l_returnflag") == "R").alias("defects"),
+    )
+    path = scratch_path(spark, "train-csv")
+    out.write.mode("overwrite").option("header", True).csv(path)
+    back = IO.read_training_csv(spark, path)
+    return back.groupBy("defects").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loc"), 4).alias("loc_sum"))
+
+
+# --- A6 / A7 -----------------------------------------------------------------
+@register(
+    "vector_append",
+    sql="SELECT label = 0 AS is_test, 2 * count(*) AS n_plain, count(*) AS n_dedup FROM embeddings GROUP BY ALL",
+    ids=("A6", "A7", "DM4"),
+)
+def q_vector_append(spark, sf):
+    e = tables.read(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), "embedding", (F.col("label") == 0).alias("is_test")
+    )
+    plain, dedup = scratch_path(spark, "vectors"), scratch_path(spark, "vectors-dedup")
+    for _ in range(2):
+        IO.append_vectors(e, plain)
+        IO.append_vectors(e, dedup, dedup_key="chunk_id")
+    a = IO.read_vectors(spark, plain).groupBy("is_test").agg(F.count(F.lit(1)).alias("n_plain"))
+    b = IO.read_vectors(spark, dedup).groupBy("is_test").agg(F.count(F.lit(1)).alias("n_dedup"))
+    return a.join(b, "is_test")
+
+
+# --- A8 ----------------------------------------------------------------------
+@register(
+    "index_persist",
+    sql=f"""WITH d AS (SELECT doc_id, text FROM documents WHERE length({sql_strip('text')}) >= 10 AND source <> 'src0'),
+t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{T.TOKEN_PATTERN}', 0)) AS term FROM d)
+SELECT count(*) AS n_terms, (SELECT count(*) FROM d) AS n_docs FROM t""",
+    ids=("A8", "DM5"),
+)
+def q_index_persist(spark, sf):
+    from glean.plans.retrieval import keyword_docs
+
+    idx = K.build_index(keyword_docs(spark, sf)).write(scratch_path(spark, "bm25-index"), buckets=8)
+    return idx.term_stats.agg(F.count(F.lit(1)).alias("n_terms")).crossJoin(idx.corpus_stats.select("n_docs"))

@@ -113,6 +113,11 @@ def append_vectors(chunks: DataFrame, path: str, dedup_key: str | None = None) -
     return True
 
 
+def read_vectors(spark, path: str) -> DataFrame:
+    """Read a vector table back; the ``is_test`` partition column as boolean."""
+    return spark.read.parquet(path).withColumn("is_test", F.col("is_test").cast("boolean"))
+
+
 def index_count(spark, path: str) -> int:
     """Number of stored rows (0 when the table does not exist)."""
     try:
