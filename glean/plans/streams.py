@@ -1,3 +1,79 @@
-"""Registered queries."""
+"""Streaming queries (I1-I3): driven to completion with ``availableNow``.
 
-from glean.plans.registry import register  # noqa: F401
+Each query streams one driver table file, writes through ``foreachBatch``
+to a table below the shared checkpoint folder and returns that table, so
+the final state can be compared with the batch result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glean.plans.corpus import SQL_STRIDE
+from glean.plans.history import SQL_STATUS
+from glean.plans.registry import register, sql_rel_path
+from glean.sources import tables
+from glean.streaming import incremental as S
+
+
+def _stream(spark, sf, name):
+    schema = tables.read(spark, sf, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf)
+    )
+
+
+@register(
+    "stream_index",
+    sql=f"""WITH {SQL_STRIDE.replace('FROM documents)', "FROM documents WHERE source = 'src0')")}
+SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM k""",
+    ids=("I1", "A6"),
+)
+def q_stream_index(spark, sf):
+    docs = _stream(spark, sf, "documents")
+    rel = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = docs.withColumn("relative_path", rel).withColumn(
+        "status", F.when(F.col("source") == tables.TEST_SOURCE, F.lit("passed")).otherwise(F.lit("pending"))
+    ).select("doc_id", "relative_path", "text", "status")
+    out, ckpt = S.scratch(spark, "self-feed")
+    S.self_feed(docs, out, ckpt)
+    return spark.read.parquet(out).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
+@register(
+    "stream_attempts",
+    sql=f"""
+WITH s AS (
+  SELECT user_id, {SQL_STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events
+),
+a AS (
+  SELECT user_id, min(CASE WHEN status = 'passed' OR attempt >= 3 THEN attempt END) AS stop_at, max(attempt) AS last_at
+  FROM s GROUP BY user_id
+)
+SELECT a.user_id, coalesce(stop_at, last_at) AS attempts, s.status,
+       CASE WHEN stop_at IS NOT NULL THEN 'finish' ELSE 'fix_code' END AS route
+FROM a JOIN s ON s.user_id = a.user_id AND s.attempt = coalesce(stop_at, last_at)""",
+    ids=("I2", "E8"),
+)
+def q_stream_attempts(spark, sf):
+    ev = _stream(spark, sf, "events")
+    m = F.create_map(*[F.lit(x) for kv in tables.EVENT_STATUS.items() for x in kv])
+    ev = ev.withColumn("status", F.coalesce(F.try_element_at(m, F.col("event_type")), F.lit("pending")))
+    state = S.attempt_state(ev.select("user_id", "ts", "event_id", "status"), "user_id", ["ts", "event_id"])
+    out, ckpt = S.scratch(spark, "attempts")
+    S.run_to_table(state, out, ckpt)
+    t = spark.read.parquet(out)
+    last = t.groupBy("key").agg(F.max(F.struct("epoch", "attempts", "status", "route")).alias("m"))
+    return last.select(F.col("key").alias("user_id"), "m.attempts", "m.status", "m.route")
+
+
+@register("stream_changes", ids=("I3", "E6"))
+def q_stream_changes(spark, sf):
+    ev = _stream(spark, sf, "events")
+    feed = S.change_feed(ev, "user_id", "event_type")
+    out, ckpt = S.scratch(spark, "changes")
+    S.run_to_table(feed, out, ckpt)
+    return spark.read.parquet(out)
