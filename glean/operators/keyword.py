@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from glean.functions import paths as P
 from glean.functions import text as T
-from glean.plans.strategy import broadcast_if_small, spread
+from glean.plans.strategy import row_count_at_most, spread
 
 # Okapi BM25 constants (the published defaults).
 K1 = 1.5
@@ -146,10 +146,13 @@ def score(
 ) -> DataFrame:
     """L4: BM25 score of every (query, document) sharing at least one term."""
     qt = query_terms(queries, id_col, text_col, tokenizer)
-    # Query terms are small; stream the vocabulary past them.
-    qt = broadcast_if_small(qt, max_broadcast_rows)
+    small = row_count_at_most(qt, max_broadcast_rows)
+    # Joined to the term statistics the query terms keep at most one row
+    # each, so the weighted side shares the bound just proven for ``qt``
+    # and the postings are streamed past it without a shuffle.
     weighted = qt.join(index.term_stats.select("term", "idf"), "term")
-    weighted = broadcast_if_small(weighted, max_broadcast_rows)
+    if small:
+        weighted = F.broadcast(F.broadcast(qt).join(index.term_stats.select("term", "idf"), "term"))
     avgdl = F.broadcast(index.corpus_stats.select("avgdl"))
     hits = weighted.join(index.postings, "term").crossJoin(avgdl)
     tf = F.col("tf").cast("double")
