@@ -86,6 +86,6 @@ def case_scores(scores: DataFrame, case_col: str = "case_no", question_col: str
     """One row per case: question and the mean of every score column."""
     metric_cols = [c for c, t in scores.dtypes if c not in (case_col, question_col) and t in ("double", "int", "bigint", "float")]
     return scores.groupBy(case_col).agg(
-        F.first(question_col, ignorenulls=True).alias(question_col),
+        F.min(question_col).alias(question_col),
         *[F.round(F.avg(c), 6).alias(c) for c in metric_cols],
     )

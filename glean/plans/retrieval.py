@@ -47,12 +47,13 @@ def judged_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Oracle SQL: the same index and ranking in DuckDB.
 # ---------------------------------------------------------------------------
-def _sql_hits(k: int) -> str:
+def _sql_hits(k: int, with_tests: bool = False) -> str:
     k1, b = K.K1, K.B
+    src = "true" if with_tests else "source <> 'src0'"
     return f"""
 WITH docs AS (
-  SELECT doc_id, text, {sql_rel_path()} AS relative_path FROM documents
-  WHERE length({sql_strip('text')}) >= 10 AND source <> 'src0' AND text IS NOT NULL AND text <> ''
+  SELECT doc_id, text, source, {sql_rel_path()} AS relative_path FROM documents
+  WHERE length({sql_strip('text')}) >= 10 AND {src} AND text IS NOT NULL AND text <> ''
 ),
 tok AS (SELECT doc_id, {sql_tokens('text')} AS toks FROM docs),
 post AS (
@@ -238,3 +239,139 @@ def q_exclude_self(spark, sf):
         "query_id", F.split("relative_path", "/").getItem(0).alias("target_file")
     )
     return K.exclude_self(h.select("query_id", "rank", "doc_id", "relative_path"), targets)
+
+
+# --- B18 / H-s14 / H-s15 ---------------------------------------------------
+# Hits of a search over the whole collection (seed and source documents, as
+# the vector store holds both) rendered as result blocks, then split back
+# and filtered to passing-test blocks.
+def all_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read_filter(tables.corpus(spark, sf)).filter(F.col("text") != "")
+
+
+def rendered(spark: SparkSession, sf: str) -> DataFrame:
+    from glean.operators import knn as N
+
+    docs = all_docs(spark, sf)
+    idx = K.build_index(docs)
+    h = K.search(tables.retrieval_queries(spark, sf), idx, k=TOOL_K)
+    meta = docs.select(
+        "doc_id", "relative_path", "file_type", "is_test",
+        F.when(F.col("is_test"), F.lit("passed")).alias("test_status"),
+        F.try_element_at(F.split("text", "\n"), F.lit(1)).alias("description"),
+        F.substring("text", 1, 200).alias("source_code"),
+    )
+    return N.render_hits(h.join(meta, "doc_id"))
+
+
+def _sql_rendered() -> str:
+    from glean.plans.scalars import sql_file_type
+
+    return (
+        _sql_hits(TOOL_K, with_tests=True)
+        + f""",
+blocks AS (
+  SELECT j.query_id, j.rank,
+         printf('--- RESULT %d | FILE: %s | TYPE: %s | IS_TEST: %s | STATUS: %s ---', j.rank, d.relative_path,
+                {sql_file_type("string_split(d.relative_path, '/')[-1]", "d.source = 'src0'")},
+                CASE WHEN d.source = 'src0' THEN 'True' ELSE 'False' END,
+                CASE WHEN d.source = 'src0' THEN 'passed' ELSE 'N/A' END)
+         || chr(10) || 'DESCRIPTION: ' || string_split(d.text, chr(10))[1] || chr(10) || substr(d.text, 1, 200) AS b
+  FROM j JOIN docs d USING (doc_id)
+),
+r AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS rendered FROM blocks GROUP BY query_id)"""
+    )
+
+
+@register(
+    "render_hits",
+    sql=_sql_rendered() + "\nSELECT query_id, md5(rendered) AS rendered_md5, length(rendered) AS n_chars FROM r",
+    ids=("B18", "F1"),
+)
+def q_render_hits(spark, sf):
+    r = rendered(spark, sf)
+    return r.select("query_id", F.md5("rendered").alias("rendered_md5"), F.length("rendered").alias("n_chars"))
+
+
+def _sql_split() -> str:
+    blocks = f"list_transform(list_filter(string_split(rendered, '{T.RESULT_MARK}'), lambda p: length({sql_strip('p')}) > 0), lambda p: {sql_strip(f"'{T.RESULT_MARK}' || p")})"
+    kept = f"list_filter({blocks}, lambda x: strpos(x, '{T.TEST_MARK}') > 0)"
+    return (
+        _sql_rendered()
+        + f"""
+SELECT query_id, CAST(len({blocks}) AS INTEGER) AS n_blocks,
+       md5(CASE WHEN rendered IS NULL OR length({sql_strip('rendered')}) = 0 OR strpos(rendered, 'RESULT') = 0 THEN 'No reference tests found.'
+                WHEN len({kept}) = 0 THEN ''
+                ELSE chr(10) || chr(10) || array_to_string({kept}, chr(10) || chr(10)) END) AS kept_md5
+FROM r"""
+    )
+
+
+@register("split_blocks", sql=_sql_split(), ids=("H-s14", "H-s15"))
+def q_split_blocks(spark, sf):
+    r = rendered(spark, sf)
+    return r.select(
+        "query_id",
+        F.size(T.split_blocks(F.col("rendered"))).alias("n_blocks"),
+        F.md5(T.keep_test_blocks(F.col("rendered"))).alias("kept_md5"),
+    )
+
+
+# --- B19 / L6 ----------------------------------------------------------------
+# Judgments: documents joined to labels; quality and toxic play the two
+# flags, three 1..5 scores are derived from the document.
+def judgments(spark: SparkSession, sf: str) -> DataFrame:
+    d = tables.read(spark, sf, "documents")
+    lab = tables.read(spark, sf, "labels")
+    j = d.join(lab, "doc_id")
+    return j.select(
+        "doc_id",
+        "source",
+        F.ceil(F.col("n_chars") / 1000).cast("int").alias("logic_coverage_score"),
+        F.length("lang").alias("test_discovery_score"),
+        (F.size(T.tokens(F.col("source"))) + F.lit(2)).cast("int").alias("risk_alignment_score"),
+        F.when(F.col("quality") == 1, F.lit(True)).when(F.col("quality") == 0, F.lit(False)).alias("path_integrity"),
+        F.when(F.col("toxic") == 1, F.lit(True)).when(F.col("toxic") == 0, F.lit(False)).alias("forbidden_content_detected"),
+    )
+
+
+SCORES = ["logic_coverage_score", "test_discovery_score", "risk_alignment_score"]
+FLAGS = ["path_integrity", "forbidden_content_detected"]
+
+SQL_JUDGMENTS = f"""WITH j AS (
+  SELECT d.doc_id, d.source, CAST(ceil(d.n_chars / 1000) AS INTEGER) AS logic_coverage_score,
+         CAST(length(d.lang) AS INTEGER) AS test_discovery_score,
+         CAST(len({sql_tokens('d.source')}) + 2 AS INTEGER) AS risk_alignment_score,
+         CASE WHEN l.quality = 1 THEN true WHEN l.quality = 0 THEN false END AS path_integrity,
+         CASE WHEN l.toxic = 1 THEN true WHEN l.toxic = 0 THEN false END AS forbidden_content_detected
+  FROM documents d JOIN labels l USING (doc_id)
+)"""
+
+
+def _sql_violations() -> str:
+    parts = [f"CASE WHEN NOT ({c} BETWEEN 1 AND 5) OR {c} IS NULL THEN '{c}_out_of_range' END" for c in SCORES]
+    parts += [f"CASE WHEN {c} IS NULL THEN '{c}_missing' END" for c in FLAGS]
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+@register(
+    "judgment_check",
+    sql=SQL_JUDGMENTS + f"\nSELECT doc_id, array_to_string({_sql_violations()}, ',') AS violations, len({_sql_violations()}) = 0 AS valid FROM j",
+    ids=("B19", "DM16"),
+)
+def q_judgment_check(spark, sf):
+    out = E.judgment_check(judgments(spark, sf), SCORES, FLAGS)
+    return out.select("doc_id", "violations", "valid")
+
+
+@register(
+    "case_scores",
+    sql=SQL_JUDGMENTS
+    + "\nSELECT source AS case_no, min(source) AS question, "
+    + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SCORES)
+    + " FROM j GROUP BY source",
+    ids=("L6", "D8"),
+)
+def q_case_scores(spark, sf):
+    j = judgments(spark, sf).select(F.col("source").alias("case_no"), F.col("source").alias("question"), *SCORES)
+    return E.case_scores(j)
