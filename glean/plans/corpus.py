@@ -240,3 +240,41 @@ def q_index_persist(spark, sf):
 
     idx = K.build_index(keyword_docs(spark, sf)).write(scratch_path(spark, "bm25-index"), buckets=8)
     return idx.term_stats.agg(F.count(F.lit(1)).alias("n_terms")).crossJoin(idx.corpus_stats.select("n_docs"))
+
+
+# --- A1 ----------------------------------------------------------------------
+# The documents are written out as a source tree (seed documents under an
+# ignored ``tests/`` folder), then scanned back with the tree data source.
+def _write_tree(spark, sf, root: str) -> None:
+    docs = tables.read(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+
+    def write(rows):
+        import os
+
+        for r in rows:
+            folder = os.path.join(root, "tests", r.source) if r.source == tables.TEST_SOURCE else os.path.join(root, r.source)
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, f"{r.lang}_{r.doc_id}.md"), "w", encoding="utf-8") as f:
+                f.write(r.text or "")
+
+    docs.foreachPartition(write)
+
+
+@register(
+    "tree_scan",
+    sql=f"""WITH d AS (SELECT {sql_rel_path()} AS relative_path, source, text FROM documents
+           WHERE source <> 'src0' AND length({sql_strip('text')}) >= 10)
+SELECT relative_path, source AS service,
+       {__import__('glean.plans.scalars', fromlist=['sql_file_type']).sql_file_type("string_split(relative_path, '/')[-1]", 'false')} AS file_type,
+       length(text) AS n_chars
+FROM d""",
+    ids=("A1", "A2", "B1", "B2"),
+)
+def q_tree_scan(spark, sf):
+    from glean.sources import tree
+
+    root = scratch_path(spark, "tree")
+    _write_tree(spark, sf, root)
+    files = tree.scan(spark, root, extensions=(".md",))
+    docs = IO.to_documents(files, is_test=False)
+    return docs.select("relative_path", "service", "file_type", F.length("text").alias("n_chars"))

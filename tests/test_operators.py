@@ -157,3 +157,33 @@ def test_top_reasons_same_features_every_row(spark):
     imp = spark.createDataFrame([(0.1, 0.5, 0.4)], "a double, b double, c double")
     rows = R.top_reasons(df, imp, ["a", "b", "c"], 2).collect()
     assert [[x.feature for x in r.reasons] for r in rows] == [["b", "c"], ["b", "c"]]
+
+
+def test_tree_scan_keeps_hidden_and_underscore_files(spark, tmp_path):
+    from glean.sources import io as IO
+    from glean.sources import tree
+
+    files = {
+        "a.py": "print('a') # long enough",
+        "_p.py": "x = 1  # long enough",
+        ".hid.py": "y = 2  # long enough",
+        "__init__.py": "z = 3  # long enough",
+        "pkg/.github/w.py": "w = 4  # long enough",
+        "pkg/.git/skip.py": "s = 5  # long enough",
+        "pkg/sub/tests/t.py": "t = 6  # long enough",
+        "venv/v.py": "v = 7  # long enough",
+        "pkg/readme.md": "# readme long enough",
+        "pkg/short.py": "x=1",
+        "pkg/notes.txt": "not an allowed suffix",
+    }
+    for rel, body in files.items():
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    (tmp_path / "pkg" / "bad.py").write_bytes(b"\xff\xfe invalid utf8 bytes here")
+    got = tree.scan(spark, str(tmp_path))
+    paths = sorted(r.relative_path for r in got.collect())
+    assert paths == sorted(["a.py", "_p.py", ".hid.py", "pkg/.github/w.py", "pkg/readme.md", "pkg/short.py", "pkg/bad.py"])
+    docs = IO.to_documents(got)
+    kept = sorted(r.relative_path for r in docs.collect())
+    assert "pkg/short.py" not in kept and "pkg/bad.py" not in kept and "pkg/.github/w.py" in kept
