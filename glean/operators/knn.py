@@ -13,12 +13,22 @@ Exact k-NN without comparing every query with every vector:
    the distance to any member.  Walking cells by upper bound until they
    hold ``k`` vectors gives ``U >= d_k(q)``; only cells with lower bound
    ``<= U`` can contain a true neighbour.
-4. **Search.**  (query, cell) pairs are equi-joined to the corpus on the
-   cell.  Big cells are salted: a cell of ``n`` vectors is split into
-   ``ceil(n / cell_target)`` buckets and its queries are replicated over
-   them, so a cell holding a third of the corpus is spread over many
-   tasks.  Top-k per query is ``row_number() <= k`` (partial
-   ``WindowGroupLimit`` before the exchange).
+4. **Blocked search.**  Queries and corpus meet per (cell, salt, query
+   block) in a ``cogroup``: a cell of ``n`` vectors is split into
+   ``ceil(n / cell_target)`` buckets, its queries into
+   ``ceil(q / query_target)`` blocks, so every group is bounded on both
+   sides and a cell holding a third of the corpus is spread over many
+   tasks.  Each group ranks with a BLAS product, re-measures the best few
+   exactly and emits only its top-k per query: pairs are never
+   materialised as rows.  The global top-k per query is
+   ``row_number() <= k`` (partial ``WindowGroupLimit`` before the
+   exchange).
+
+On clustered embeddings the bounds remove most cells.  On uniformly spread
+high-dimensional vectors nothing can be pruned exactly (every cell's bound
+overlaps); the blocked search then does the full quadratic work, but in
+bounded, vectorised blocks with a shuffle of only k rows per query and
+block.  :func:`approx_knn` is the sub-quadratic alternative.
 
 The result equals brute force: pruning only removes cells that provably
 cannot hold one of the k nearest.  Distances are rounded to 6 digits and
@@ -82,7 +92,8 @@ def knn(
     metric: str = "l2",
     exclude_self: bool = False,
     max_cells: int = 1024,
-    cell_target: int = 50_000,
+    cell_target: int = 20_000,
+    query_target: int = 10_000,
 ) -> DataFrame:
     """k nearest corpus vectors of every query.
 
@@ -90,6 +101,83 @@ def knn(
     Returns ``(query_id, rank, id, distance)``.  With ``exclude_self`` a
     query never matches the corpus row of the same id.
     """
+    scored = candidates(queries, corpus, k, metric, exclude_self, max_cells, cell_target, query_target)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+CANDIDATE_SCHEMA = "query_id long, id long, distance double"
+MARGIN = 8  # extra BLAS-ranked candidates re-checked with the exact sum
+QUERY_CHUNK = 256
+
+
+def _block_topk(k: int, metric: str, exclude_self: bool):
+    """Top-k of one block: (<= query_target queries) x (<= cell_target vectors).
+
+    Candidates are ranked with a BLAS product, then the best ``k + MARGIN``
+    per query are re-measured with a sequential sum (the same arithmetic as
+    the SQL expression), rounded and cut to k.
+    """
+
+    def fn(key, qpdf, cpdf):
+        import numpy as np
+        import pandas as pd
+
+        if qpdf.empty or cpdf.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})
+        Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        X = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
+        qids = qpdf["query_id"].to_numpy(np.int64)
+        ids = cpdf["id"].to_numpy(np.int64)
+        xx = (X * X).sum(1)
+        m = min(k + MARGIN, len(ids))
+        outs = []
+        for s in range(0, len(Q), QUERY_CHUNK):
+            q, qi = Q[s : s + QUERY_CHUNK], qids[s : s + QUERY_CHUNK]
+            approx = -(q @ X.T) if metric == "dot" else (q * q).sum(1)[:, None] + xx[None, :] - 2.0 * (q @ X.T)
+            if exclude_self:
+                approx = np.where(qi[:, None] == ids[None, :], np.inf, approx)
+            top = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+            cand = X[top]
+            acc = np.zeros(top.shape)
+            for j in range(X.shape[1]):
+                if metric == "dot":
+                    acc += q[:, None, j] * cand[:, :, j]
+                else:
+                    diff = q[:, None, j] - cand[:, :, j]
+                    acc += diff * diff
+            dist = -acc if metric == "dot" else np.sqrt(acc)
+            cid = ids[top]
+            ok = ~(qi[:, None] == cid) if exclude_self else np.ones(top.shape, bool)
+            frame = pd.DataFrame(
+                {
+                    "query_id": np.repeat(qi, top.shape[1])[ok.ravel()],
+                    "id": cid.ravel()[ok.ravel()],
+                    "distance": np.round(dist.ravel()[ok.ravel()], DIST_DIGITS),
+                }
+            )
+            frame = frame.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
+            outs.append(frame)
+        return pd.concat(outs, ignore_index=True)
+
+    return fn
+
+
+def candidates(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 5,
+    metric: str = "l2",
+    exclude_self: bool = False,
+    max_cells: int = 1024,
+    cell_target: int = 20_000,
+    query_target: int = 10_000,
+) -> DataFrame:
+    """Per query, the k best of every block it had to search.
+
+    Returns ``(query_id, id, distance)`` with at most k rows per (query,
+    block); the global top-k is a ``row_number`` over these.
+    """
     q = spread(queries.select("query_id", as_double(F.col("vec")).alias("vec")))
     c = spread(corpus.select("id", as_double(F.col("vec")).alias("vec")))
     if metric == "cosine":
@@ -97,7 +185,7 @@ def knn(
         c = c.withColumn("vec", normalise(F.col("vec")))
     n = c.count()
     if n == 0:
-        return q.select("query_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance")).limit(0)
+        return q.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
     n_cells = max(1, min(max_cells, int(math.sqrt(n))))
     piv = _pivots(c, n_cells)
     assigned = _assign(c, piv)
@@ -131,21 +219,22 @@ def knn(
     cand = qc.select(
         "query_id", "vec", F.explode(F.filter("pc", lambda x: (x["dc"] - x["radius"]) <= upper)).alias("x")
     ).select("query_id", F.col("vec").alias("qvec"), F.col("x.cell").alias("cell"), F.col("x.salts").alias("salts"))
-    cand = cand.select("query_id", "qvec", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salts = F.broadcast(cells.select("cell", "salts"))
-    side = assigned.join(salts, "cell").select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")
+    # Queries per cell decide how many query blocks a cell is split into
+    # (one row per cell: a bounded broadcast).
+    qblocks = cand.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_target)).cast("int").alias("qblocks"))
+    qb = F.broadcast(qblocks)
+    left = (
+        cand.join(qb, "cell")
+        .select("query_id", "qvec", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int").alias("qblock"))
     )
-    pairs = cand.join(side, ["cell", "salt"])
-    if exclude_self:
-        pairs = pairs.filter(F.col("query_id") != F.col("id"))
-    if metric == "dot":
-        dist = -dot(F.col("qvec"), F.col("vec"))
-    else:
-        dist = l2(F.col("qvec"), F.col("vec"))
-    scored = pairs.select("query_id", "id", F.round(dist, DIST_DIGITS).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    right = (
+        assigned.join(F.broadcast(cells.select("cell", "salts")), "cell").join(qb, "cell")
+        .select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+                F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
+    )
+    keys = ["cell", "salt", "qblock"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_topk(k, metric, exclude_self), CANDIDATE_SCHEMA)
 
 
 def approx_knn(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length: float = 1.0, tables: int = 3, threshold: float = 2.0, seed: int = 42) -> DataFrame:

@@ -29,7 +29,8 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def unpivot(df: DataFrame, cols: list[str], name: str = "column_name", value: str = "value") -> DataFrame:
-    return df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], name, value)
+    ids = [c for c in df.columns if c not in cols]
+    return df.unpivot(ids, [F.col(c).cast("double").alias(c) for c in cols], name, value)
 
 
 # --- B9 / B10 --------------------------------------------------------------
@@ -53,14 +54,17 @@ def density(df: DataFrame, mode: str = "serve") -> DataFrame:
 
 
 # --- D1 ----------------------------------------------------------------------
-def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_name", value: str = "value") -> DataFrame:
+def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_name", value: str = "value", tiebreak: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles of every column of a long table.
 
     Positions come from a balanced global ordinal (range partitioning on
-    (column, value)), so no column is ever gathered into one task.
+    (column, value, tiebreak)), so no column is ever gathered into one task;
+    the tiebreak column lets the range bounds split a value repeated in a
+    large share of the rows.
     """
     v = long.filter(F.col(value).isNotNull())
-    pos = ordinal(v, name, [F.col(value)], "_pos").withColumn("_pos", F.col("_pos") - 1)
+    order = [F.col(value)] + ([F.col(tiebreak)] if tiebreak else [])
+    pos = ordinal(v, name, order, "_pos").withColumn("_pos", F.col("_pos") - 1)
     n = v.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
     wanted = n.select(
         name,
@@ -77,7 +81,11 @@ def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_n
 
 def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column."""
-    long = unpivot(df.select(*cols), cols)
+    # Row ids are stable for a given input split; they only order equal
+    # values, so any stable tiebreak gives the same quantiles.
+    long = unpivot(df.select(*cols).withColumn("_rid", F.monotonically_increasing_id()), cols).select(
+        "column_name", "value", F.xxhash64("_rid", "column_name").alias("_tb")
+    )
     stats = long.groupBy("column_name").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -85,7 +93,7 @@ def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_quantiles(long).groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+    q = exact_quantiles(long, tiebreak="_tb").groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
     q = q.toDF("column_name", "q25", "q50", "q75")
     out = stats.join(q, "column_name", "left")
     r = [F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
