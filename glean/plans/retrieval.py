@@ -16,6 +16,7 @@ from glean.plans.registry import (
     sql_strip,
     sql_tokens,
 )
+from glean.plans.strategy import row_count_at_most
 from glean.sources import tables
 from glean.sources.io import read_filter
 
@@ -39,9 +40,24 @@ def hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return K.search(q, index(spark, sf), k=k)
 
 
+MAX_BROADCAST_HITS = 5_000_000
+
+
 def judged_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Hits with the text and path of each hit document.
+
+    Hits are at most (queries x k) rows: proven small, they are broadcast
+    and the document table is streamed past them instead of shuffled.
+    """
     docs = keyword_docs(spark, sf).select("doc_id", "relative_path", "text")
-    return hits(spark, sf, k).join(docs, "doc_id")
+    return _bounded(spark, sf, hits(spark, sf, k), k).join(docs, "doc_id")
+
+
+def _bounded(spark: SparkSession, sf: str, h: DataFrame, k: int) -> DataFrame:
+    # The bound is proven on the (small) query table, not by running the
+    # search twice: at most k hits per query.
+    small = row_count_at_most(tables.retrieval_queries(spark, sf), MAX_BROADCAST_HITS // k)
+    return F.broadcast(h) if small else h
 
 
 # ---------------------------------------------------------------------------
@@ -261,7 +277,7 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
         F.try_element_at(F.split("text", "\n"), F.lit(1)).alias("description"),
         F.substring("text", 1, 200).alias("source_code"),
     )
-    return N.render_hits(h.join(meta, "doc_id"))
+    return N.render_hits(_bounded(spark, sf, h, TOOL_K).join(meta, "doc_id"))
 
 
 def _sql_rendered() -> str:
