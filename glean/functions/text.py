@@ -48,13 +48,21 @@ def _lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+# The same set as literal characters, for the (linear, code-generated)
+# ``btrim`` / ``rtrim`` with a trim-character argument.
+PY_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r" + "".join(chr(c) for c in range(0x1C, 0x20)) + " \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode space."""
-    return F.regexp_replace(col, F.lit(f"^[{PY_SPACE}]+|[{PY_SPACE}]+$"), F.lit(""))
+    return F.btrim(col, F.lit(PY_SPACE_CHARS))
 
 
 def py_rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, F.lit(f"[{PY_SPACE}]+$"), F.lit(""))
+    return F.rtrim(col, F.lit(PY_SPACE_CHARS))
 
 
 def is_blank(col: Column) -> Column:

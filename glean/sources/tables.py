@@ -18,8 +18,18 @@ ROLE_TYPES = {"user": "human", "assistant": "ai", "system": "system"}
 EVENT_STATUS = {"error": "failed", "purchase": "passed"}  # others: pending
 
 
+# Tables large enough that their scans should use every core.  Catalyst
+# pushes filters and column pruning through the round-robin repartition of
+# ``spread``, so scans still read only what the query needs; inputs that
+# already arrive in many partitions are not repartitioned at all.
+SPREAD = frozenset({"documents", "pages", "conversations", "embeddings", "lineitem", "events", "orders"})
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from glean.plans.strategy import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in SPREAD else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
