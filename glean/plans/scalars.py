@@ -201,6 +201,15 @@ def q_fallback_tokens(spark, sf):
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
+@register("code_tokens", ids=("H-s2", "J2"))
+def q_code_tokens(spark, sf):
+    from glean.functions.code import tokenizer_for
+
+    tok = tokenizer_for("python")
+    d = tables.read(spark, sf, "documents").select("doc_id", tok(F.concat(F.lit("def "), F.col("text"))).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
 # --- H-s4 ------------------------------------------------------------------
 def _prefixed_query():
     return F.concat(

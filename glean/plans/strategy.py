@@ -28,5 +28,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     a round-robin repartition then spreads the work.  Large inputs already
     have many partitions and pass through untouched (no extra shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect)
+        return df
+    return df.repartition(target) if current < target else df

@@ -187,3 +187,13 @@ def test_tree_scan_keeps_hidden_and_underscore_files(spark, tmp_path):
     docs = IO.to_documents(got)
     kept = sorted(r.relative_path for r in docs.collect())
     assert "pkg/short.py" not in kept and "pkg/bad.py" not in kept and "pkg/.github/w.py" in kept
+
+
+def test_code_tokens_and_fallback(spark):
+    from glean.functions.code import code_tokens, python_tokens
+
+    assert python_tokens("def save_study(x):\n    return 'A'\n") == ["def", "def_save_study", "save_study", "x", "return", "'a'"]
+    # Unterminated string: tokenize fails, words first, then the bigrams.
+    assert python_tokens("class Foo 'oops\ndef bar") == ["class", "foo", "oops", "def", "bar", "class_foo", "def_bar"]
+    df = spark.createDataFrame([("class A: pass",)], "s string")
+    assert df.select(code_tokens(F.col("s"))).first()[0] == ["class", "class_a", "a", "pass"]
