@@ -166,6 +166,35 @@ def q_patch_exact(spark, sf):
     return out.select("relative_path", "mode", F.md5("content").alias("content_md5"), "error")
 
 
+@register(
+    "patch_join",
+    sql=f"""WITH d AS (
+  SELECT {sql_rel_path()} AS relative_path, text, coalesce(string_split(text, chr(10))[2], '') AS s FROM documents
+),
+p AS (SELECT relative_path, s FROM d WHERE length({sql_strip('s')}) > 0)
+SELECT d.relative_path, p.relative_path IS NOT NULL AS has_patch,
+       CASE WHEN p.relative_path IS NULL THEN 'none' ELSE 'exact' END AS mode,
+       md5(CASE WHEN p.relative_path IS NULL THEN d.text
+                ELSE left(d.text, strpos(d.text, regexp_replace(p.s, '[ \\t]+$', '')) - 1) || p.s || ' [patched]'
+                     || substr(d.text, strpos(d.text, regexp_replace(p.s, '[ \\t]+$', '')) + length(regexp_replace(p.s, '[ \\t]+$', ''))) END) AS content_md5
+FROM d LEFT JOIN p USING (relative_path)""",
+    ids=("C8", "L3"),
+)
+def q_patch_join(spark, sf):
+    """Patches keyed by path, left-joined to every document."""
+    docs = tables.corpus(spark, sf)
+    second = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
+    patches = _patches(docs.filter(F.length(T.py_strip(second)) > 0))
+    applied = PT.apply(docs, patches)
+    out = docs.select("relative_path", "text").join(applied, "relative_path", "left")
+    return out.select(
+        "relative_path",
+        F.col("mode").isNotNull().alias("has_patch"),
+        F.coalesce("mode", F.lit("none")).alias("mode"),
+        F.md5(F.coalesce("content", "text")).alias("content_md5"),
+    )
+
+
 # --- A5 ----------------------------------------------------------------------
 @register(
     "metrics_sink",

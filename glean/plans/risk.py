@@ -377,3 +377,48 @@ def q_model_roundtrip(spark, sf):
     path = scratch_path(spark, "risk-model")
     R.save_model(model, path)
     return R.score(test, R.load_model(path)).select("l_orderkey", "l_linenumber", "risk_score")
+
+
+# --- B9 / B10 ----------------------------------------------------------------
+# ``loc - 1`` as the line count makes loc = 0 occur, where the two density
+# rules differ.
+@register(
+    "density",
+    sql=f"""WITH {SQL_FEATURES}, g AS (SELECT l_orderkey, l_linenumber, loc - 1 AS loc, vg, v FROM f)
+SELECT l_orderkey, l_linenumber,
+       vg / greatest(loc, 1.0) AS cd_serve, v / greatest(loc, 1.0) AS vpl_serve,
+       CASE WHEN loc = 0 THEN 0.0 ELSE vg / loc END AS cd_train,
+       CASE WHEN loc = 0 THEN 0.0 ELSE v / loc END AS vpl_train
+FROM g""",
+    ids=("B9",),
+)
+def q_density(spark, sf):
+    f = features(spark, sf).select("l_orderkey", "l_linenumber", (F.col("loc") - 1).alias("loc"), "vg", "v")
+    served = R.density(f, "serve").withColumnRenamed("complexity_density", "cd_serve").withColumnRenamed(
+        "volume_per_line", "vpl_serve"
+    )
+    both = R.density(served, "train")
+    # Single IEEE divisions: identical in both engines, so not rounded (a
+    # rounding rule would differ on exact binary halves).
+    return both.select(
+        "l_orderkey", "l_linenumber", "cd_serve", "vpl_serve",
+        F.col("complexity_density").alias("cd_train"), F.col("volume_per_line").alias("vpl_train"),
+    )
+
+
+@register(
+    "clean_non_finite",
+    sql="""SELECT l_orderkey, l_linenumber,
+       round(CASE WHEN l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END, 6) AS tax_per_discount
+FROM lineitem""",
+    ids=("B10",),
+)
+def q_clean_non_finite(spark, sf):
+    li = tables.read(spark, sf, "lineitem")
+    # Division by zero as Python computes it: +inf, or NaN for 0/0.
+    raw = (
+        F.when((F.col("l_discount") == 0) & (F.col("l_tax") == 0), F.lit(float("nan")))
+        .when(F.col("l_discount") == 0, F.lit(float("inf")))
+        .otherwise(F.col("l_tax") / F.col("l_discount"))
+    )
+    return li.select("l_orderkey", "l_linenumber", F.round(R.clean(raw), 6).alias("tax_per_discount"))

@@ -40,6 +40,12 @@ def q_knn_top10(spark, sf):
     return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=10, exclude_self=True)
 
 
+@register("knn_top5", sql=_sql_knn(5), ids=("C1", "F1", "E1"))
+def q_knn_top5(spark, sf):
+    v = _vectors(spark, sf)
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, exclude_self=True)
+
+
 @register("knn_filtered", sql=_sql_knn(5, f"label = {FILTER_LABEL}"), ids=("C1", "B7", "F1"))
 def q_knn_filtered(spark, sf):
     v = _vectors(spark, sf)
