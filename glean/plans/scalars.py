@@ -369,33 +369,28 @@ def q_flatten_blocks(spark, sf):
 
 
 # --- H-s11 -----------------------------------------------------------------
+# Plan text per message (no per-conversation collection): a heading, the
+# message's own lines numbered, then the next heading.
 @register(
     "count_cases",
     sql=f"""
 WITH plan AS (
-  SELECT conv_id, '# Plan' || chr(10) || '## Test cases' || chr(10) ||
-         string_agg(CAST(turn + 1 AS VARCHAR) || '. ' || string_split(text, chr(10))[1], chr(10) ORDER BY turn) ||
+  SELECT conv_id, turn, '# Plan' || chr(10) || '## Test cases' || chr(10) ||
+         array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CAST(i AS VARCHAR) || '. ' || l), chr(10)) ||
          chr(10) || '## Review Notes' || chr(10) || '1. done' AS plan
-  FROM conversations GROUP BY conv_id
+  FROM conversations
 ),
-parts AS (SELECT conv_id, plan, string_split_regex(plan, '(?im)^#+.*test cases.*$') AS parts FROM plan)
-SELECT conv_id, CASE WHEN len(parts) < 2 THEN 0 ELSE
+parts AS (SELECT conv_id, turn, string_split_regex(plan, '(?im)^#+.*test cases.*$') AS parts FROM plan)
+SELECT conv_id, turn, CASE WHEN len(parts) < 2 THEN 0 ELSE
   CAST(len(regexp_extract_all(string_split_regex(parts[2], '(?m)^#+')[1], '(?m)^[{SP}]*[0-9]+\\.[{SP}]+', 0)) AS INTEGER) END AS n_cases
 FROM parts""",
     ids=("H-s11",),
 )
 def q_count_cases(spark, sf):
     c = tables.read(spark, sf, "conversations")
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.try_element_at(F.split("text", "\n"), F.lit(1)))
-    plans = c.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("ls")
-    )
-    plan = F.concat(
-        F.lit("# Plan\n## Test cases\n"),
-        F.array_join(F.transform("ls", lambda s: s["line"]), "\n"),
-        F.lit("\n## Review Notes\n1. done"),
-    )
-    return plans.select("conv_id", T.count_cases(plan).alias("n_cases"))
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.concat((i + 1).cast("string"), F.lit(". "), line))
+    plan = F.concat(F.lit("# Plan\n## Test cases\n"), F.array_join(numbered, "\n"), F.lit("\n## Review Notes\n1. done"))
+    return c.select("conv_id", "turn", T.count_cases(plan).alias("n_cases"))
 
 
 # --- H-s12 -----------------------------------------------------------------

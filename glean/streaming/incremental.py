@@ -48,14 +48,26 @@ STATE_SCHEMA = Ty.StructType(
 
 
 def _attempt_fn(max_attempts: int, order_cols: list[str]):
+    """State update of one key.  Only the ``max_attempts - attempts`` rows
+    that come first can matter, so each Arrow batch is cut to those before
+    the next is read: memory per key stays bounded however many rows the
+    key has in a trigger."""
+
     def fn(key, batches, state):
         attempts, status, done = (0, "pending", False)
         if state.exists:
             attempts, status, done = state.get
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not done and len(pdf):
-            pdf = pdf.sort_values(order_cols)
-            for s in pdf["status"]:
+        room = max_attempts - attempts
+        keep = None
+        if not done and room > 0:
+            for pdf in batches:
+                part = pdf if keep is None else pd.concat([keep, pdf], ignore_index=True)
+                keep = part.sort_values(order_cols).head(room)
+        else:
+            for _ in batches:
+                pass
+        if keep is not None:
+            for s in keep["status"]:
                 attempts += 1
                 status = s
                 if s == "passed" or attempts >= max_attempts:
