@@ -134,6 +134,33 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     )
 
 
+def weighted_terms(queries: DataFrame, index: KeywordIndex, id_col="query_id", text_col="query", tokenizer=T.tokens, max_broadcast_rows: int = 2_000_000):
+    """(query_id, term, qtf, df, idf) and whether it is proven small.
+
+    At most one row per query term: when the query terms are proven small
+    (a bounded ``limit`` count), so is this table.
+    """
+    qt = query_terms(queries, id_col, text_col, tokenizer)
+    small = row_count_at_most(qt, max_broadcast_rows)
+    side = F.broadcast(qt) if small else qt
+    return side.join(index.term_stats.select("term", "df", "idf"), "term"), small
+
+
+def score_weighted(weighted: DataFrame, index: KeywordIndex, small: bool, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 of every (query, document) pair sharing a term, from weighted terms.
+
+    A proven-small weighted side is broadcast, so the postings are streamed
+    past it without a shuffle.
+    """
+    w = F.broadcast(weighted) if small else weighted
+    avgdl = F.broadcast(index.corpus_stats.select("avgdl"))
+    hits = w.join(index.postings, "term").crossJoin(avgdl)
+    tf = F.col("tf").cast("double")
+    norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / norm
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+
+
 def score(
     queries: DataFrame,
     index: KeywordIndex,
@@ -145,20 +172,8 @@ def score(
     max_broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """L4: BM25 score of every (query, document) sharing at least one term."""
-    qt = query_terms(queries, id_col, text_col, tokenizer)
-    small = row_count_at_most(qt, max_broadcast_rows)
-    # Joined to the term statistics the query terms keep at most one row
-    # each, so the weighted side shares the bound just proven for ``qt``
-    # and the postings are streamed past it without a shuffle.
-    weighted = qt.join(index.term_stats.select("term", "idf"), "term")
-    if small:
-        weighted = F.broadcast(F.broadcast(qt).join(index.term_stats.select("term", "idf"), "term"))
-    avgdl = F.broadcast(index.corpus_stats.select("avgdl"))
-    hits = weighted.join(index.postings, "term").crossJoin(avgdl)
-    tf = F.col("tf").cast("double")
-    norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / norm
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, max_broadcast_rows)
+    return score_weighted(weighted, index, small, k1, b)
 
 
 def rank(hits: DataFrame, k: int, key: str = "query_id", score_col: str = "score", id_col: str = "doc_id", descending: bool = True) -> DataFrame:
@@ -168,9 +183,81 @@ def rank(hits: DataFrame, k: int, key: str = "query_id", score_col: str = "score
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: KeywordIndex, k: int = 3, **kw) -> DataFrame:
-    """Top-k BM25 hits per query: (query_id, rank, doc_id, score)."""
-    return rank(score(queries, index, **kw), k).select("query_id", "rank", "doc_id", "score")
+def search(
+    queries: DataFrame,
+    index: KeywordIndex,
+    k: int = 3,
+    prune: bool | str = "auto",
+    rare_fraction: float = 0.01,
+    max_lookup_rows: int = 20_000_000,
+    exhaustive_rows: int = 50_000_000,
+    **kw,
+) -> DataFrame:
+    """Top-k BM25 hits per query: (query_id, rank, doc_id, score).
+
+    ``prune="auto"`` decides from an exact statistic: exhaustive scoring
+    produces one partial score per (query term, posting), i.e. the sum of
+    the query terms' document frequencies.  Up to ``exhaustive_rows`` that
+    join is cheapest; beyond it (common terms over a huge corpus) the
+    pruned search below is used.  Both give the same hits.
+
+    With pruning, common terms are not scored against every document that
+    holds them (MaxScore-style, exact):
+
+    1. A query term is *rare* when its document frequency is at most
+       ``rare_fraction`` of the corpus.  Documents holding a rare query term
+       are the candidates; their exact scores (all query terms) come from a
+       broadcast lookup of (term, doc) pairs, so postings are streamed,
+       never shuffled.
+    2. A document without a rare term scores less than the sum of the
+       common terms' upper bounds ``qtf * idf * (k1 + 1)``.  When that sum
+       is below the k-th candidate score, the query is finished.
+    3. Queries that fail the bound (or a lookup too large to broadcast)
+       are scored exhaustively.
+    """
+    k1, b = kw.get("k1", K1), kw.get("b", B)
+    id_col, text_col = kw.get("id_col", "query_id"), kw.get("text_col", "query")
+    tokenizer = kw.get("tokenizer", T.tokens)
+    weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, kw.get("max_broadcast_rows", 2_000_000))
+    out = ["query_id", "rank", "doc_id", "score"]
+    if not small:  # a huge query set: plain shuffle joins
+        return rank(score_weighted(weighted, index, False, k1, b), k).select(*out)
+    # Bounded (one row per query term), reused by every path below.
+    weighted = weighted.cache()
+    if prune == "auto":
+        est = weighted.agg(F.sum("df").alias("n")).first()["n"] or 0
+        prune = est > exhaustive_rows
+    if not prune:
+        return rank(score_weighted(weighted, index, True, k1, b), k).select(*out)
+    stats = F.broadcast(index.corpus_stats.select("n_docs", "avgdl"))
+    w = weighted.crossJoin(stats)
+    w = w.withColumn("ub", F.col("qtf") * F.col("idf") * F.lit(k1 + 1.0)).withColumn(
+        "rare", F.col("df") <= F.col("n_docs") * rare_fraction
+    )
+    w = F.broadcast(w)
+    cand = w.filter("rare").select("query_id", "term").join(index.postings.select("term", "doc_id"), "term")
+    cand = cand.select("query_id", "doc_id").distinct()
+    lookups = cand.join(w.select("query_id", "term", "qtf", "idf", "avgdl"), "query_id")
+    if not row_count_at_most(lookups, max_lookup_rows):
+        return rank(score_weighted(weighted, index, True, k1, b), k).select(*out)
+    tf = F.col("tf").cast("double")
+    norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / norm
+    exact = F.broadcast(lookups).join(index.postings, ["term", "doc_id"])
+    phase1 = exact.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    top1 = rank(phase1, k)
+    theta = top1.filter(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    bound = w.groupBy("query_id").agg(F.sum(F.when(~F.col("rare"), F.col("ub")).otherwise(F.lit(0.0))).alias("u"))
+    # Finished: no common term at all (other documents score 0 and are not
+    # hits), or the common terms cannot lift an outside document to theta.
+    ok = bound.join(theta, "query_id", "left").filter(
+        (F.col("u") == 0) | (F.col("theta").isNotNull() & (F.col("u") + F.lit(10.0 ** -SCORE_DIGITS) < F.col("theta")))
+    ).select("query_id")
+    ok = F.broadcast(ok)  # one row per query
+    done = top1.join(ok, "query_id", "left_semi")
+    rest = weighted.join(ok, "query_id", "left_anti")
+    tail = rank(score_weighted(rest, index, True, k1, b), k)
+    return done.select(*out).unionByName(tail.select(*out))
 
 
 def exclude_self(hits: DataFrame, targets: DataFrame, hit_path: str = "relative_path", target_path: str = "target_file") -> DataFrame:

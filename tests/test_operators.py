@@ -197,3 +197,23 @@ def test_code_tokens_and_fallback(spark):
     assert python_tokens("class Foo 'oops\ndef bar") == ["class", "foo", "oops", "def", "bar", "class_foo", "def_bar"]
     df = spark.createDataFrame([("class A: pass",)], "s string")
     assert df.select(code_tokens(F.col("s"))).first()[0] == ["class", "class_a", "a", "pass"]
+
+
+def test_pruned_bm25_equals_exhaustive_with_hot_term(spark):
+    random.seed(3)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = []
+    for d in range(400):
+        words = ["the"] * random.randint(1, 5) + random.choices(vocab, k=random.randint(3, 40))
+        random.shuffle(words)
+        docs.append((d, " ".join(words)))
+    queries = [(q, " ".join(["the"] + random.sample(vocab, 3))) for q in range(30)]
+    queries.append((99, "the the"))  # only the hot term: must fall back
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    idx = K.build_index(d)
+    full = sorted(map(tuple, K.search(q, idx, k=5, prune=False).collect()))
+    pruned = sorted(map(tuple, K.search(q, idx, k=5, prune=True, rare_fraction=0.05).collect()))
+    auto = sorted(map(tuple, K.search(q, idx, k=5, exhaustive_rows=10).collect()))
+    assert pruned == full and auto == full
+    assert {r[0] for r in full} >= {99}
