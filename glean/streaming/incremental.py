@@ -1,8 +1,8 @@
 """Incremental operators on Structured Streaming.
 
 * :func:`self_feed` (I1): passing test files are chunked and appended to
-  the chunk table in ``foreachBatch`` (exactly-once through the stream's
-  checkpoint; a re-run after a failure re-appends nothing already committed).
+  the chunk table in ``foreachBatch``; every epoch writes its own folder in
+  overwrite mode, so a replayed micro-batch cannot duplicate rows.
 * :func:`attempt_state` (I2): keyed state per test target with
   ``applyInPandasWithState``: attempts so far, last status, route.
 * :func:`change_feed` (I3): per-step changed values in ``update`` mode.
@@ -36,10 +36,7 @@ def self_feed(stream: DataFrame, out_path: str, checkpoint: str, status_col: str
     )
     chunks = C.split_stride(passed)
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").partitionBy("is_test").parquet(out_path)
-
-    _run(chunks.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
+    _run(chunks.writeStream.foreachBatch(_idempotent(out_path, ["is_test"])).option("checkpointLocation", checkpoint))
 
 
 STATE_SCHEMA = Ty.StructType(
@@ -95,13 +92,24 @@ def attempt_state(stream: DataFrame, key: str, order_cols: list[str], max_attemp
     )
 
 
-def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "update") -> None:
-    """Drive a streaming frame to completion, appending each trigger's rows."""
+def _idempotent(out_path: str, partition_by: list[str] | None = None):
+    """``foreachBatch`` writer that is safe to replay: each epoch owns the
+    folder ``epoch=N`` and overwrites it, so a micro-batch re-run after a
+    failure replaces its own output instead of appending it twice."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        w = batch.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(f"{out_path}/epoch={epoch}")
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_path)
+    return write
 
-    _run(df.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", checkpoint))
+
+def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "update") -> None:
+    """Drive a streaming frame to completion; each trigger's rows land in
+    ``out_path/epoch=N`` (read back with an ``epoch`` column)."""
+    _run(df.writeStream.outputMode(mode).foreachBatch(_idempotent(out_path)).option("checkpointLocation", checkpoint))
 
 
 def change_feed(stream: DataFrame, key: str, value: str) -> DataFrame:
