@@ -13,6 +13,15 @@ running totals here use a distributed prefix sum instead:
    partition its offset; it is bounded by the partition count and joined
    back by broadcast.
 
+Consistency: the local sums and the boundary table are two consumers of one
+range exchange.  The Python step is opaque to column pruning, so both
+branches hold the identical exchange and Spark reuses it (``configure``
+keeps ``spark.sql.exchange.reuse`` on); both therefore see the same range
+bounds and partition ids.  A JVM-only variant built from
+``monotonically_increasing_id`` fails exactly here (pruning gives its two
+branches different exchanges, sampled separately), which is why the
+Python step is kept.
+
 The result equals ``sum(value) OVER (PARTITION BY key ORDER BY order ROWS
 BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)`` for non-negative integral
 values.  Ties in ``order`` must be broken by the caller (make the order
@@ -104,3 +113,4 @@ def previous(df: DataFrame, key: str, pos: str, cols: list[str], prefix: str = "
     """
     prev = df.select(F.col(key), (F.col(pos) + 1).alias(pos), *[F.col(c).alias(prefix + c) for c in cols])
     return df.join(prev, [key, pos], "left")
+

@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # map_concat: the right-hand map wins, as dict.update does.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # The balanced prefix sum reads one range exchange from two branches.
+    "spark.sql.exchange.reuse": "true",
 }
 
 
@@ -31,7 +33,7 @@ def configure(spark: SparkSession) -> SparkSession:
             current = conf.get(key, None)
         except Exception:  # pragma: no cover - unknown key on old runtimes
             current = None
-        if current is None or key == "spark.sql.mapKeyDedupPolicy":
+        if current is None or key in ("spark.sql.mapKeyDedupPolicy", "spark.sql.exchange.reuse"):
             conf.set(key, value)
     checkpoint_dir(spark)
     return spark

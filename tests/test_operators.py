@@ -217,3 +217,15 @@ def test_pruned_bm25_equals_exhaustive_with_hot_term(spark):
     auto = sorted(map(tuple, K.search(q, idx, k=5, exhaustive_rows=10).collect()))
     assert pruned == full and auto == full
     assert {r[0] for r in full} >= {99}
+
+
+
+def test_ordinal_matches_row_number_on_wide_rows(spark):
+    # Wide rows (many columns unused by the ordering) must not break the
+    # shared range exchange of the two branches.
+    random.seed(5)
+    rows = [(random.choice("ab"), i, random.random(), "x" * (i % 7), float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, pad string, w double")
+    got = O.ordinal(df, "k", [F.col("v"), F.col("i")], "pos", partitions=12)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
+    assert got.select("k", "i", "pos").exceptAll(want.select("k", "i", "pos")).count() == 0
