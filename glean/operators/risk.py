@@ -320,7 +320,7 @@ def gate(df: DataFrame, task: Column, score: Column, t: float = DEFAULT_THRESHOL
 
 # --- K3 / K4 / K7 / K8 / A10 -------------------------------------------------
 def fit_logistic(df: DataFrame, cols: list[str], label: str, weight: str | None = "weight", max_iter: int = 100):
-    """K3: standard scaling + balanced logistic regression as one pipeline."""
+    """K3: standard scaling + balanced logistic regression, fitted together."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -369,7 +369,7 @@ def score(df: DataFrame, model, prob_col: str = "risk_score") -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    """A10: model and scaler persist together as one pipeline."""
+    """A10: model and scaler persist together as one Spark ML model."""
     model.write().overwrite().save(path)
 
 
