@@ -138,6 +138,21 @@ def q_bm25(spark, sf):
     return K.score(tables.retrieval_queries(spark, sf), index(spark, sf))
 
 
+# --- A8 + C3: search a persisted index ------------------------------------
+@register(
+    "bm25_persisted",
+    sql=_sql_hits(TOOL_K) + "\nSELECT query_id, rank, doc_id, score FROM rk",
+    ids=("A8", "C3", "D10"),
+)
+def q_bm25_persisted(spark, sf):
+    """The ingest step writes the index once (term-clustered Parquet);
+    searches then read it, as the dependency search reads its index."""
+    from glean.session import scratch_path
+
+    stored = index(spark, sf).write(scratch_path(spark, "bm25"), buckets=16)
+    return K.search(tables.retrieval_queries(spark, sf), stored, k=TOOL_K)
+
+
 # --- C3 / F3 / E1 ----------------------------------------------------------
 @register(
     "bm25_top3",

@@ -229,3 +229,74 @@ def test_ordinal_matches_row_number_on_wide_rows(spark):
     got = O.ordinal(df, "k", [F.col("v"), F.col("i")], "pos", partitions=12)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
     assert got.select("k", "i", "pos").exceptAll(want.select("k", "i", "pos")).count() == 0
+
+
+def test_documents_metadata_merge_right_wins(spark):
+    from glean.sources import io as IO
+
+    files = spark.createDataFrame([("svc/api_routes.py", "def handler():  return 1")], "relative_path string, content string")
+    extra = F.create_map(F.lit("test_status"), F.lit("passed"), F.lit("file_type"), F.lit("custom"))
+    d = IO.to_documents(files, is_test=False, extra=extra).first()
+    assert d.service == "svc" and d.file_type == "api_endpoint"
+    assert d.metadata["file_type"] == "custom" and d.metadata["test_status"] == "passed"
+    assert d.metadata["is_test"] == "False"
+
+
+def test_both_modes_and_vector_table(spark, tmp_path):
+    from glean.sources import io as IO
+
+    seed = spark.createDataFrame([(1, "a")], "chunk_id long, text string")
+    src = spark.createDataFrame([(2, "b"), (3, "c")], "chunk_id long, text string")
+    both = IO.both_modes(seed, src)
+    assert sorted((r.chunk_id, r.is_test) for r in both.collect()) == [(1, True), (2, False), (3, False)]
+    path = str(tmp_path / "vec")
+    assert IO.append_vectors(both.limit(0), path) is False
+    assert IO.append_vectors(both, path) and IO.append_vectors(both, path)
+    assert IO.index_count(spark, path) == 6  # plain append duplicates
+    assert IO.append_vectors(both, path, dedup_key="chunk_id") and IO.index_count(spark, path) == 6
+    IO.clear_index(spark, path, both.schema)
+    assert IO.index_count(spark, path) == 0
+
+
+def test_trim_keeps_whole_suffix_only(spark):
+    from glean.operators import history as H
+
+    rows = [(1, 0, "system", "s " * 5), (1, 1, "human", "a " * 4), (1, 2, "ai", "b " * 3), (1, 3, "human", "c " * 2),
+            (2, 0, "human", "x " * 2), (2, 1, "ai", "y " * 9)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, type string, text string")
+    kept = sorted((r.conv_id, r.turn) for r in H.trim(df, budget=5).collect())
+    assert kept == [(1, 2), (1, 3)]  # conv 2: the newest message alone exceeds the budget
+
+
+def test_code_metrics_on_python_sources(spark):
+    import glob
+    import os
+
+    from glean.operators import metrics as M
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    texts = [open(p).read() for p in sorted(glob.glob(os.path.join(root, "glean", "operators", "*.py")))]
+    srcs = [(i, t) for i, t in enumerate(t for t in texts if t.strip())]
+    srcs.append((len(srcs), "def broken(:\n    pass"))
+    df = spark.createDataFrame(srcs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in M.code_metrics(df).collect()}
+    bad = rows.pop(len(srcs) - 1)
+    assert bad.loc is None  # parse failure -> no features
+    for r in rows.values():
+        assert r.loc > 0 and r.vg >= 1 and r.v > 0
+        assert math.isclose(r.e, r.d * r.v, rel_tol=1e-9)
+        assert math.isclose(r.complexity_density, r.vg / max(r.loc, 1), rel_tol=1e-9)
+
+
+def test_metrics_extractor_hook(spark):
+    from glean.operators import metrics as M
+
+    def fn(code):
+        if code == "boom":
+            raise ValueError("no")
+        return {"loc": 10, "v": float("inf")}
+
+    df = spark.createDataFrame([(1, "ok"), (2, "boom")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in M.extract(df, fn).collect()}
+    assert rows[1].loc == 10 and rows[1].v == 0.0 and rows[1].d == 0.0  # missing -> 0, inf -> 0
+    assert rows[2].loc is None
