@@ -15,7 +15,10 @@ itself:
   :func:`glean.sources.io.to_documents` (strict UTF-8, unreadable -> dropped).
 
 Options: ``path`` (root), ``extensions`` (comma list, default ``.py,.md``),
-``ignored`` (comma list, default the scanner's set).
+``ignored`` (comma list, default the scanner's set), ``skip_substrings``
+(comma list; A3 metrics walk: a file is skipped when its directory path
+contains one of them, but the walk still descends; empty by default) and
+``skip_init`` (``true``: leave out ``__init__.py``, as the A1 scan does).
 """
 
 import os
@@ -43,6 +46,8 @@ class TreeReader(DataSourceReader):
         self.root = options["path"]
         self.exts = tuple(x for x in options.get("extensions", ",".join(DEFAULT_EXTENSIONS)).split(",") if x)
         self.ignored = frozenset(x for x in options.get("ignored", ",".join(IGNORED_DIRS)).split(",") if x)
+        self.skip = tuple(x for x in options.get("skip_substrings", "").split(",") if x)
+        self.skip_init = options.get("skip_init", "true").lower() == "true"
 
     def partitions(self):
         dirs, files = [], []
@@ -59,17 +64,21 @@ class TreeReader(DataSourceReader):
         return parts or [_Subtree([])]
 
     def _keep(self, name: str) -> bool:
-        return _suffix(name) in self.exts and name != SKIPPED_FILE
+        return _suffix(name) in self.exts and not (self.skip_init and name == SKIPPED_FILE)
 
     def read(self, partition):
         for entry in partition.entries:
             full = os.path.join(self.root, entry)
             if os.path.isfile(full):
+                if self.skip and any(x in self.root for x in self.skip):
+                    continue
                 if self._keep(entry):
                     yield self._row(full)
                 continue
             for cur, subdirs, names in os.walk(full):
                 subdirs[:] = sorted(d for d in subdirs if d not in self.ignored)
+                if self.skip and any(x in cur for x in self.skip):
+                    continue
                 for n in sorted(names):
                     if self._keep(n):
                         yield self._row(os.path.join(cur, n))
@@ -99,7 +108,7 @@ def register(spark) -> None:
     spark.dataSource.register(TreeSource)
 
 
-def scan(spark, root: str, extensions=DEFAULT_EXTENSIONS, ignored=IGNORED_DIRS):
+def scan(spark, root: str, extensions=DEFAULT_EXTENSIONS, ignored=IGNORED_DIRS, skip_substrings=(), skip_init=True):
     """A1: ``(relative_path, content)`` of every kept file under ``root``."""
     register(spark)
     return (
@@ -107,5 +116,15 @@ def scan(spark, root: str, extensions=DEFAULT_EXTENSIONS, ignored=IGNORED_DIRS):
         .option("path", root)
         .option("extensions", ",".join(extensions))
         .option("ignored", ",".join(ignored))
+        .option("skip_substrings", ",".join(skip_substrings))
+        .option("skip_init", str(bool(skip_init)).lower())
         .load()
     )
+
+
+def metrics_walk(spark, root: str):
+    """A3: ``*.py`` files whose directory path contains none of the skip
+    substrings (no directory is pruned by name)."""
+    from glean.functions.paths import METRICS_SKIP
+
+    return scan(spark, root, extensions=(".py",), ignored=(), skip_substrings=METRICS_SKIP, skip_init=False)

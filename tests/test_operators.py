@@ -300,3 +300,15 @@ def test_metrics_extractor_hook(spark):
     rows = {r.doc_id: r for r in M.extract(df, fn).collect()}
     assert rows[1].loc == 10 and rows[1].v == 0.0 and rows[1].d == 0.0  # missing -> 0, inf -> 0
     assert rows[2].loc is None
+
+
+def test_metrics_walk_skips_by_substring(spark, tmp_path):
+    from glean.sources import tree
+
+    for rel in ["a.py", "tests/t.py", ".github/w.py", "pkg/venv_tools/x.py", "pkg/ok/y.py", "node_modules/z.py", "pkg/__init__.py"]:
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x = 1\n")
+    got = sorted(r.relative_path for r in tree.metrics_walk(spark, str(tmp_path)).collect())
+    # tests/ is kept (no name pruning here); .github matches ".git"; __init__.py is not special-cased by the walk
+    assert got == ["a.py", "pkg/__init__.py", "pkg/ok/y.py", "tests/t.py"]
