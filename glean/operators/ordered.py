@@ -6,6 +6,8 @@ running totals here use a distributed prefix sum instead:
 
 1. ``repartitionByRange(key, order...)``: the sampled range bounds split a
    hot key across many partitions (its rows differ in the order columns).
+   The partition count follows the input's estimated size (about 128 MB
+   per partition), since a range partition is never split later.
 2. Inside each partition, rows are sorted and a local per-key cumulative
    sum is taken (Arrow batches, vectorised, carried across batches).
 3. Only the *first* key of a partition can continue from earlier
@@ -34,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from glean.plans.strategy import partitions_for
+
 PID = "_pid"
 
 
@@ -68,8 +72,7 @@ def running_total(
     partitions: int | None = None,
 ) -> DataFrame:
     """Running ``sum(value)`` per ``key`` along ``order`` (integral values)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df)
     val = value if isinstance(value, Column) else F.col(value)
     base = df.withColumn("_v", val.cast("long"))
     ranged = base.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)

@@ -34,3 +34,30 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     except Exception:  # sessions without RDD access (e.g. Spark Connect)
         return df
     return df.repartition(target) if current < target else df
+
+
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes scaled through the
+    plan); None when unavailable."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. sessions without JVM access
+        return None
+    # Plans without statistics report Long.MaxValue ("unknown").
+    return size if size < (1 << 62) else None
+
+
+def partitions_for(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for an explicit repartition of ``df``: at least the
+    session's shuffle partitions, and enough that each holds about
+    ``target_bytes`` (AQE can merge small partitions later, but it never
+    splits a range partition)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(df)
+    if not size:
+        return base
+    return int(min(MAX_PARTITIONS, max(base, -(-size // target_bytes))))
