@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from glean.functions import paths as P
 from glean.functions import text as T
-from glean.plans.strategy import row_count_at_most, spread
+from glean.plans.strategy import partitions_for, row_count_at_most, spread
 
 # Okapi BM25 constants (the published defaults).
 K1 = 1.5
@@ -51,13 +51,14 @@ class KeywordIndex:
     def write(self, path: str, buckets: int | None = None) -> "KeywordIndex":
         """Persist the three tables as Parquet below ``path``.
 
-        Postings are clustered by term so a later search reads only the
-        row groups of the queried terms (min/max statistics on ``term``).
+        Postings are range-clustered by term (partition count from the
+        estimated size unless ``buckets`` is given) so a later search reads
+        only the row groups of the queried terms (min/max statistics on
+        ``term`` let the scan skip the rest).
         """
         post = self.postings
-        if buckets:
-            post = post.repartitionByRange(buckets, "term")
-        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        post = post.repartitionByRange(buckets or partitions_for(post), "term")
+        post.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return KeywordIndex.read(self.postings.sparkSession, path)
