@@ -177,6 +177,24 @@ def score(
     return score_weighted(weighted, index, small, k1, b)
 
 
+MAX_LITERAL_TERMS = 10_000
+
+
+def _restricted(index: KeywordIndex, weighted: DataFrame) -> KeywordIndex:
+    """Postings limited to the query terms by a literal ``IN`` filter.
+
+    On a persisted, term-clustered postings table the filter is pushed into
+    the Parquet scan, whose min/max statistics then skip every row group
+    without a query term.  Only a bounded set of distinct terms is turned
+    into a literal; a larger query vocabulary keeps the join alone.
+    """
+    terms = weighted.select("term").distinct()
+    if not row_count_at_most(terms, MAX_LITERAL_TERMS):
+        return index
+    vocab = [r["term"] for r in terms.collect()]
+    return KeywordIndex(index.postings.filter(F.col("term").isin(vocab)), index.term_stats, index.corpus_stats)
+
+
 def rank(hits: DataFrame, k: int, key: str = "query_id", score_col: str = "score", id_col: str = "doc_id", descending: bool = True) -> DataFrame:
     """E1 + F3: rank 1..k per query, ties broken by document id."""
     order = F.col(score_col).desc() if descending else F.col(score_col).asc()
@@ -225,6 +243,7 @@ def search(
         return rank(score_weighted(weighted, index, False, k1, b), k).select(*out)
     # Bounded (one row per query term), reused by every path below.
     weighted = weighted.cache()
+    index = _restricted(index, weighted)
     if prune == "auto":
         est = weighted.agg(F.sum("df").alias("n")).first()["n"] or 0
         prune = est > exhaustive_rows

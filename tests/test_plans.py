@@ -42,3 +42,13 @@ def test_knn_has_no_all_pairs_join(spark):
     p = plan(load_all()["knn_top10"].fn(spark, SF))
     assert "FlatMapCoGroupsInPandas" in p
     assert "CartesianProduct" not in p
+
+
+def test_persisted_search_pushes_query_terms_into_scan(spark, tmp_path):
+    from glean.operators import keyword as K
+    from glean.plans import retrieval as RT
+    from glean.sources import tables
+
+    stored = RT.index(spark, SF).write(str(tmp_path / "idx"), buckets=4)
+    text = formatted(K.search(tables.retrieval_queries(spark, SF), stored, k=3))
+    assert "PushedFilters: [In(term," in text or "PushedFilters: [IsNotNull(term), In(term," in text
