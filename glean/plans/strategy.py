@@ -41,14 +41,21 @@ MAX_PARTITIONS = 200_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (file sizes scaled through the
-    plan); None when unavailable."""
+    """Bytes of the data a plan reads: the summed size estimates of its leaf
+    relations (file sizes for scans).  Join estimates are not used: without
+    cost-based statistics Spark multiplies the sides, which says nothing
+    about the rows an operator really sees.  None when unknown."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = int(str(leaves.apply(i).stats().sizeInBytes()))
+            if size >= (1 << 62):  # "unknown"
+                return None
+            total += size
+        return total
     except Exception:  # noqa: BLE001 - e.g. sessions without JVM access
         return None
-    # Plans without statistics report Long.MaxValue ("unknown").
-    return size if size < (1 << 62) else None
 
 
 def partitions_for(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
