@@ -12,11 +12,6 @@ from glean.functions import text as T
 MIN_CHARS = 10  # documents shorter than this after stripping are skipped
 
 
-def decode_utf8(content: F.Column) -> F.Column:
-    """Strict UTF-8: bytes that are not valid UTF-8 give null (row dropped)."""
-    return F.try_validate_utf8(content.cast("binary")).cast("string") if hasattr(F, "try_validate_utf8") else content
-
-
 def read_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """A2: drop unreadable rows and rows under ``MIN_CHARS`` after stripping."""
     return docs.filter(F.col(text_col).isNotNull() & (F.length(T.py_strip(F.col(text_col))) >= MIN_CHARS))
