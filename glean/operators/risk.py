@@ -18,6 +18,10 @@ FEATURES = ("loc", "vg", "v", "d", "e", "complexity_density", "volume_per_line")
 DEFAULT_THRESHOLD = 0.2
 HIGH_RISK_CUTOFF = 0.2  # label rule of the risk text, independent of the gate
 FALLBACK_FEATURE = "metrics_extractor"
+# Header of the risk text block.
+RISK_HEADER = "🚨 ML RISK ANALYSIS: Score %.2f (%s RISK)"
+NO_FACTORS = "ML RISK ANALYSIS: No specific risk factors identified."
+FACTORS_TITLE = "Top Risk Factors to investigate:"
 TOP_REASONS = 3
 
 
@@ -299,7 +303,7 @@ def risk_label(score: Column, cutoff: float = HIGH_RISK_CUTOFF) -> Column:
 
 def risk_text(score: Column, reasons: Column, cutoff: float = HIGH_RISK_CUTOFF) -> Column:
     """The risk text block: header, then one line per reason."""
-    header = F.format_string("ML RISK ANALYSIS: Score %.2f (%s RISK)\n", score, risk_label(score, cutoff))
+    header = F.concat(F.format_string(RISK_HEADER, score, risk_label(score, cutoff)), F.lit("\n"))
     lines = F.array_join(
         F.transform(
             reasons,
@@ -307,8 +311,8 @@ def risk_text(score: Column, reasons: Column, cutoff: float = HIGH_RISK_CUTOFF)
         ),
         "\n",
     )
-    none = F.lit("ML RISK ANALYSIS: No specific risk factors identified.")
-    return F.when(F.size(reasons) == 0, none).otherwise(F.concat(header, F.lit("Top Risk Factors to investigate:\n"), lines, F.lit("\n")))
+    none = F.lit(NO_FACTORS)
+    return F.when(F.size(reasons) == 0, none).otherwise(F.concat(header, F.lit(FACTORS_TITLE + "\n"), lines, F.lit("\n")))
 
 
 def gate(df: DataFrame, task: Column, score: Column, t: float = DEFAULT_THRESHOLD) -> DataFrame:

@@ -21,14 +21,15 @@ def _tool_messages(spark, sf):
 
 
 def _line_blocks(spark, sf):
-    m = _tool_messages(spark, sf).filter(F.col("type") == "tool")
+    # A tool message mentioning "No reference" contributes no blocks.
+    m = _tool_messages(spark, sf).filter((F.col("type") == "tool") & (F.instr("text", T.NO_REFERENCE) == 0))
     return m.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
 
 
 SQL_LINE_BLOCKS = """
 b AS (
   SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS block
-  FROM conversations WHERE role = 'assistant'
+  FROM conversations WHERE role = 'assistant' AND strpos(text, 'No reference') = 0
 )"""
 
 

@@ -311,14 +311,14 @@ def q_risk_gate(spark, sf):
 @register(
     "risk_label",
     sql=f"""WITH {SQL_FEATURES}
-SELECT printf('ML RISK ANALYSIS: Score %.2f (%s RISK)', p, CASE WHEN p >= {R.HIGH_RISK_CUTOFF} THEN 'HIGH' ELSE 'LOW' END) AS header,
+SELECT printf('{R.RISK_HEADER}', p, CASE WHEN p >= {R.HIGH_RISK_CUTOFF} THEN 'HIGH' ELSE 'LOW' END) AS header,
        count(*) AS n
 FROM f GROUP BY ALL""",
     ids=("B13",),
 )
 def q_risk_label(spark, sf):
     f = features(spark, sf)
-    header = F.format_string("ML RISK ANALYSIS: Score %.2f (%s RISK)", F.col("p"), R.risk_label(F.col("p")))
+    header = F.format_string(R.RISK_HEADER, F.col("p"), R.risk_label(F.col("p")))
     return f.groupBy(header.alias("header")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -312,3 +312,17 @@ def test_metrics_walk_skips_by_substring(spark, tmp_path):
     got = sorted(r.relative_path for r in tree.metrics_walk(spark, str(tmp_path)).collect())
     # tests/ is kept (no name pruning here); .github matches ".git"; __init__.py is not special-cased by the walk
     assert got == ["a.py", "pkg/__init__.py", "pkg/ok/y.py", "tests/t.py"]
+
+
+def test_risk_text_block(spark):
+    df = spark.createDataFrame([(0.42,), (0.1,)], "s double")
+    imp = spark.createDataFrame([(0.7, 0.3)], "loc double, vg double")
+    feats = spark.createDataFrame([(0.42, 12.0, 3.0), (0.1, 5.0, 1.0)], "s double, loc double, vg double")
+    rows = R.top_reasons(feats, imp, ["loc", "vg"], 3).select(R.risk_text(F.col("s"), F.col("reasons")).alias("t")).collect()
+    assert rows[0].t == (
+        "🚨 ML RISK ANALYSIS: Score 0.42 (HIGH RISK)\nTop Risk Factors to investigate:\n"
+        "- LOC: Impact 0.70 (Current Value: 12.0)\n- VG: Impact 0.30 (Current Value: 3.0)\n"
+    )
+    assert rows[1].t.startswith("🚨 ML RISK ANALYSIS: Score 0.10 (LOW RISK)")
+    empty = df.select(R.risk_text(F.col("s"), F.array().cast("array<struct<feature:string,impact:double,value:double>>")).alias("t"))
+    assert empty.first().t == "ML RISK ANALYSIS: No specific risk factors identified."
