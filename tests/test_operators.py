@@ -326,3 +326,13 @@ def test_risk_text_block(spark):
     assert rows[1].t.startswith("🚨 ML RISK ANALYSIS: Score 0.10 (LOW RISK)")
     empty = df.select(R.risk_text(F.col("s"), F.array().cast("array<struct<feature:string,impact:double,value:double>>")).alias("t"))
     assert empty.first().t == "ML RISK ANALYSIS: No specific risk factors identified."
+
+
+def test_running_total_under_heavy_coalescing(spark):
+    random.seed(11)
+    rows = [(random.randint(0, 3), i, random.randint(0, 5)) for i in range(20000)]
+    df = spark.createDataFrame(rows, "k int, o int, v int")
+    got = O.running_total(df, "k", [F.col("o").desc()], "v", "run", partitions=200)
+    w = Window.partitionBy("k").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("run", F.sum("v").over(w))
+    assert got.select("k", "o", "run").exceptAll(want.select("k", "o", "run")).count() == 0
