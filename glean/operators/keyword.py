@@ -72,6 +72,38 @@ class KeywordIndex:
         )
 
 
+def write_increment(docs: DataFrame, path: str, epoch: int, id_col: str = "doc_id", text_col: str = "text", tokenizer=T.tokens) -> None:
+    """Append one batch of documents to an incremental index below ``path``.
+
+    Each increment holds the batch's postings, per-term document-frequency
+    deltas and a (documents, total length) delta, written to its own
+    ``epoch=N`` folder in overwrite mode (safe to replay).
+    """
+    inc = build_index(docs, id_col, text_col, tokenizer)
+    inc.postings.write.mode("overwrite").parquet(f"{path}/postings/epoch={epoch}")
+    df = inc.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df.write.mode("overwrite").parquet(f"{path}/term_df/epoch={epoch}")
+    tok = docs.select(F.size(tokenizer(F.col(text_col))).alias("dl"))
+    tok.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("double").alias("sum_dl")).write.mode("overwrite").parquet(
+        f"{path}/corpus/epoch={epoch}"
+    )
+
+
+def read_increments(spark, path: str) -> "KeywordIndex":
+    """The index over every increment: deltas summed, idf recomputed."""
+    postings = spark.read.parquet(f"{path}/postings").drop("epoch")
+    corpus = spark.read.parquet(f"{path}/corpus").agg(
+        F.sum("n_docs").alias("n_docs"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl")
+    )
+    df = spark.read.parquet(f"{path}/term_df").groupBy("term").agg(F.sum("df").alias("df"))
+    term_stats = df.crossJoin(F.broadcast(corpus.select("n_docs"))).select(
+        "term",
+        "df",
+        F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+    )
+    return KeywordIndex(postings, term_stats, corpus)
+
+
 def keyword_input(chunks: DataFrame, text_col: str = "source_code") -> DataFrame:
     """Source chunks only (``is_test`` false) with non-empty code as text."""
     return (

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glean.functions import text as T
+from glean.operators import keyword as K
 from glean.plans.corpus import SQL_STRIDE
 from glean.plans.history import SQL_STATUS
 from glean.plans.registry import register, sql_rel_path
@@ -43,6 +45,28 @@ def q_stream_index(spark, sf):
     return spark.read.parquet(out).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
+@register(
+    "stream_keyword_index",
+    sql=f"""WITH {SQL_STRIDE.replace('FROM documents)', "FROM documents WHERE source = 'src0')")},
+t AS (SELECT doc_id * 1000 + chunk_no AS chunk_id, unnest(regexp_extract_all(lower(chunk), '{T.TOKEN_PATTERN}', 0)) AS term FROM k)
+SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY term""",
+    ids=("I1", "A8", "D10"),
+)
+def q_stream_keyword_index(spark, sf):
+    """Self-feeding keyword index: every micro-batch of passing files adds
+    postings and df deltas; the summed index equals a batch build."""
+    docs = _stream(spark, sf, "documents")
+    docs = docs.withColumn(
+        "status", F.when(F.col("source") == tables.TEST_SOURCE, F.lit("passed")).otherwise(F.lit("pending"))
+    ).withColumn("relative_path", F.lit("")).select("doc_id", "relative_path", "text", "status")
+    out, ckpt = S.scratch(spark, "self-feed-index")
+    idx_path = S.scratch(spark, "incremental-index")[0]
+    S.self_feed(docs, out, ckpt, index_path=idx_path)
+    idx = K.read_increments(spark, idx_path)
+    cf = idx.postings.groupBy("term").agg(F.sum("tf").cast("bigint").alias("cf"))
+    return idx.term_stats.select("term", "df").join(cf, "term")
+
+
 @register(
     "stream_attempts",
     sql=f"""

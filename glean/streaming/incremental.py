@@ -28,15 +28,24 @@ def _run(writer, available_now: bool = True):
     return q
 
 
-def self_feed(stream: DataFrame, out_path: str, checkpoint: str, status_col: str = "status") -> None:
+def self_feed(stream: DataFrame, out_path: str, checkpoint: str, status_col: str = "status", index_path: str | None = None) -> None:
     """Rows with ``status = 'passed'`` are tagged ``is_test``,
-    ``test_status = 'passed'``, chunked and appended to ``out_path``."""
+    ``test_status = 'passed'``, chunked and appended to ``out_path``; with
+    ``index_path`` the chunks also become a keyword-index increment."""
+    from glean.operators import keyword as K
+
     passed = stream.filter(F.col(status_col) == "passed").withColumn("is_test", F.lit(True)).withColumn(
         "test_status", F.lit("passed")
     )
-    chunks = C.split_stride(passed)
+    chunks = C.split_stride(passed).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("chunk_no"))
+    write_chunks = _idempotent(out_path, ["is_test"])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_chunks(batch, epoch)
+        if index_path is not None:
+            K.write_increment(batch, index_path, epoch, id_col="chunk_id", text_col="chunk")
 
-    _run(chunks.writeStream.foreachBatch(_idempotent(out_path, ["is_test"])).option("checkpointLocation", checkpoint))
+    _run(chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 STATE_SCHEMA = Ty.StructType(

@@ -336,3 +336,25 @@ def test_running_total_under_heavy_coalescing(spark):
     w = Window.partitionBy("k").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("v").over(w))
     assert got.select("k", "o", "run").exceptAll(want.select("k", "o", "run")).count() == 0
+
+
+def test_incremental_index_over_several_batches(spark, tmp_path):
+    from glean.streaming import incremental as S
+
+    random.seed(2)
+    words = [f"t{i}" for i in range(50)]
+    src = tmp_path / "in"
+    for part in range(3):
+        rows = [(part * 100 + i, "", " ".join(random.choices(words, k=30)), "passed") for i in range(20)]
+        spark.createDataFrame(rows, "doc_id long, relative_path string, text string, status string").write.parquet(str(src / f"p{part}"))
+    schema = "doc_id long, relative_path string, text string, status string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+    S.self_feed(stream, str(tmp_path / "chunks"), str(tmp_path / "ckpt"), index_path=str(tmp_path / "idx"))
+    inc = K.read_increments(spark, str(tmp_path / "idx"))
+    assert spark.read.parquet(str(tmp_path / "idx" / "corpus")).select("epoch").distinct().count() >= 3  # one per file
+    batch_docs = spark.read.parquet(str(tmp_path / "chunks")).select("chunk_id", "chunk")
+    full = K.build_index(batch_docs, "chunk_id", "chunk")
+    a = sorted(map(tuple, inc.term_stats.select("term", "df", F.round("idf", 9)).collect()))
+    b = sorted(map(tuple, full.term_stats.select("term", "df", F.round("idf", 9)).collect()))
+    assert a == b
+    assert inc.corpus_stats.first().n_docs == full.corpus_stats.first().n_docs == 60
