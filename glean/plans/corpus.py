@@ -31,7 +31,7 @@ def stride_chunks(spark, sf):
 # --- L1 ----------------------------------------------------------------------
 @register(
     "chunk_stride",
-    sql=f"WITH {SQL_STRIDE}\nSELECT doc_id, chunk_no, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM k",
+    sql=f"WITH {SQL_STRIDE}\nSELECT doc_id, chunk_no, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM k",
     ids=("L1",),
 )
 def q_chunk_stride(spark, sf):
@@ -295,7 +295,7 @@ def _write_tree(spark, sf, root: str) -> None:
            WHERE source <> 'src0' AND length({sql_strip('text')}) >= 10)
 SELECT relative_path, source AS service,
        {__import__('glean.plans.scalars', fromlist=['sql_file_type']).sql_file_type("string_split(relative_path, '/')[-1]", 'false')} AS file_type,
-       length(text) AS n_chars
+       CAST(length(text) AS INTEGER) AS n_chars
 FROM d""",
     ids=("A1", "A2", "B1", "B2"),
 )

@@ -92,7 +92,7 @@ sc AS (
   FROM qt JOIN ts USING (term) JOIN post p USING (term) GROUP BY qt.query_id, p.doc_id
 ),
 rk AS (
-  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM sc QUALIFY rank <= {k}
 ),
 j AS (
@@ -125,7 +125,7 @@ def q_term_stats(spark, sf):
 # --- B6 --------------------------------------------------------------------
 @register(
     "keyword_input",
-    sql=_sql_hits(EVAL_K) + "\nSELECT doc_id, relative_path, length(text) AS n_chars FROM docs",
+    sql=_sql_hits(EVAL_K) + "\nSELECT doc_id, relative_path, CAST(length(text) AS INTEGER) AS n_chars FROM docs",
     ids=("B6",),
 )
 def q_keyword_input(spark, sf):
@@ -316,7 +316,7 @@ r AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS render
 
 @register(
     "render_hits",
-    sql=_sql_rendered() + "\nSELECT query_id, md5(rendered) AS rendered_md5, length(rendered) AS n_chars FROM r",
+    sql=_sql_rendered() + "\nSELECT query_id, md5(rendered) AS rendered_md5, CAST(length(rendered) AS INTEGER) AS n_chars FROM r",
     ids=("B18", "F1"),
 )
 def q_render_hits(spark, sf):

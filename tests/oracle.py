@@ -17,6 +17,8 @@ import duckdb
 from glean.sources.tables import TABLES
 
 DIGITS = 6
+# Spark type name -> DuckDB type name, for the schema comparison.
+TYPE_NAMES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
 def norm(v):
@@ -84,9 +86,10 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
                 print(f"{name:24s} ROWS_ONLY rows={len(s_rows)} {ts:.1f}s", flush=True)
             continue
         try:
-            cur = con.execute(q.sql)
-            d_names = [c[0] for c in cur.description]
-            d_rows = cur.fetchall()
+            rel = con.sql(q.sql)
+            d_names = list(rel.columns)
+            d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+            d_rows = rel.fetchall()
             d_cols, d_can = canon(d_names, d_rows)
         except Exception as e:  # noqa: BLE001
             results[name] = ("SQL_ERROR", str(e).splitlines()[0][:300])
@@ -102,7 +105,9 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
             only_d = [r for r in d_can if r not in sd][:3]
             results[name] = ("VALUES", f"rows {len(s_can)} vs {len(d_can)}; spark-only {only_s}; duck-only {only_d}")
         else:
-            results[name] = ("OK", len(s_can))
+            s_types = {c: TYPE_NAMES.get(t, t) for c, t in sdf.dtypes}
+            wrong = {c: (s_types[c], d_types.get(c)) for c in s_types if s_types[c] != d_types.get(c)}
+            results[name] = ("TYPES", str(wrong)) if wrong else ("OK", len(s_can))
         if verbose:
             print(f"{name:24s} {results[name][0]} {str(results[name][1])[:600]} {ts:.1f}s", flush=True)
     return results
