@@ -54,6 +54,21 @@ def q_knn_filtered(spark, sf):
     return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), corpus, k=5, exclude_self=True)
 
 
+@register("knn_partitioned", sql=_sql_knn(5, f"label = {FILTER_LABEL}"), ids=("B7", "A6", "C1", "F1"))
+def q_knn_partitioned(spark, sf):
+    """The vector table as A6 writes it (partitioned by ``is_test``); the
+    metadata predicate becomes a partition filter, so only that partition's
+    files are read."""
+    from glean.session import scratch_path
+    from glean.sources import io as IO
+
+    v = _vectors(spark, sf)
+    path = scratch_path(spark, "vector-table")
+    IO.append_vectors(v.select(F.col("vec_id").alias("id"), "vec", (F.col("label") == FILTER_LABEL).alias("is_test")), path)
+    corpus = IO.read_vectors(spark, path).filter(F.col("is_test")).select("id", "vec")
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), corpus, k=5, exclude_self=True)
+
+
 @register("knn_cosine", sql=_sql_knn(5, cosine=True), ids=("C1",))
 def q_knn_cosine(spark, sf):
     # Cosine order equals the L2 order of the normalised vectors.
