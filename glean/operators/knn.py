@@ -188,7 +188,9 @@ def candidates(
         return q.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
     n_cells = max(1, min(max_cells, int(math.sqrt(n))))
     piv = _pivots(c, n_cells)
-    assigned = _assign(c, piv)
+    # The assignment (n x C distances) feeds three consumers; it is written
+    # once to the shared checkpoint folder instead of being recomputed.
+    assigned = _assign(c, piv).checkpoint(eager=True)
     cells = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d_cell").alias("radius"))
     cells = cells.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n") / cell_target)).cast("int"))
     # One row holding every cell with its pivot: bounded by max_cells.
@@ -219,6 +221,7 @@ def candidates(
     cand = qc.select(
         "query_id", "vec", F.explode(F.filter("pc", lambda x: (x["dc"] - x["radius"]) <= upper)).alias("x")
     ).select("query_id", F.col("vec").alias("qvec"), F.col("x.cell").alias("cell"), F.col("x.salts").alias("salts"))
+    cand = cand.checkpoint(eager=True)  # read twice: block sizes and the search
     # Queries per cell decide how many query blocks a cell is split into
     # (one row per cell: a bounded broadcast).
     qblocks = cand.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_target)).cast("int").alias("qblocks"))
