@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glean.functions import text as T
-from glean.operators.ordered import ordinal, previous, running_total
+from glean.operators.ordered import ordinal, ordinal_lag, running_total
 
 # Message budgets of the agents and the default.
 BUDGET_AGENT = 10_000
@@ -60,8 +60,7 @@ def changes(df: DataFrame, key: str, order: list[Column], value: str) -> DataFra
     """Versions of ``value``: non-empty and different from the previous
     emitted one, numbered from 1 per key."""
     non_empty = df.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-    pos = ordinal(non_empty, key, order, "_pos")
-    with_prev = previous(pos, key, "_pos", [value])
+    with_prev = ordinal_lag(non_empty, key, order, [value], "_pos")
     changed = with_prev.filter(F.col("prev_" + value).isNull() | (F.col("prev_" + value) != F.col(value)))
     return ordinal(changed.drop("prev_" + value), key, [F.col("_pos")], "version").drop("_pos")
 

@@ -117,3 +117,74 @@ def previous(df: DataFrame, key: str, pos: str, cols: list[str], prefix: str = "
     prev = df.select(F.col(key), (F.col(pos) + 1).alias(pos), *[F.col(c).alias(prefix + c) for c in cols])
     return df.join(prev, [key, pos], "left")
 
+
+
+def _local_pos_prev(key: str, cols: list[str]):
+    def fn(batches):
+        import pandas as pd
+
+        carry_key, carry_n, carry_vals = None, 0, None
+        for pdf in batches:
+            if pdf.empty:
+                for c in cols:
+                    pdf["_prev_" + c] = pdf[c]
+                pdf["_local"] = pd.Series(dtype="int64")
+                yield pdf
+                continue
+            g = pdf.groupby(key, sort=False, dropna=False)
+            local = g.cumcount().astype("int64") + 1
+            prev = {c: g[c].shift(1) for c in cols}
+            if carry_key is not None:
+                cont = pdf[key] == carry_key
+                local = local + cont.astype("int64") * carry_n
+                first = cont & (g.cumcount() == 0)
+                for c in cols:
+                    prev[c] = prev[c].astype(object).where(~first, carry_vals[c])
+            carry_key, carry_n = pdf[key].iloc[-1], int(local.iloc[-1])
+            carry_vals = {c: pdf[c].iloc[-1] for c in cols}
+            for c in cols:
+                pdf["_prev_" + c] = prev[c]
+            pdf["_local"] = local
+            yield pdf
+
+    return fn
+
+
+def ordinal_lag(df: DataFrame, key: str, order: list[Column], cols: list[str], out: str = "pos", prefix: str = "prev_", partitions: int | None = None) -> DataFrame:
+    """Position along ``order`` within ``key`` and the previous row's
+    ``cols`` (``lag``) in one balanced pass, with no self-join.
+
+    The local step carries the previous row across Arrow batches; the first
+    row of a key in a partition takes the previous partition's last row
+    from the one-row-per-partition boundary table when that row has the
+    same key.
+    """
+    n = partitions or partitions_for(df)
+    ranged = df.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    ranged = ranged.withColumn(PID, F.spark_partition_id())
+    fields = ranged.schema.fields
+    types = {f.name: f.dataType for f in fields}
+    schema = Ty.StructType(fields + [Ty.StructField("_prev_" + c, types[c]) for c in cols] + [Ty.StructField("_local", Ty.LongType())])
+    local = ranged.mapInPandas(_local_pos_prev(key, cols), schema)
+    last = F.max(F.struct(F.col(key).alias("k"), F.col("_local").alias("t"), *[F.col(c).alias("v_" + c) for c in cols]))
+    bounds = local.groupBy(PID).agg(F.min(F.struct(F.col(key).alias("k"))).alias("first"), last.alias("last"))
+    w = Window.orderBy(PID)
+    cum_last = F.sum(F.col("last.t")).over(Window.partitionBy(F.col("last.k")).orderBy(PID))
+    b = bounds.select(PID, F.col("first.k").alias("first_key"), F.col("last.k").alias("last_key"), cum_last.alias("cum"),
+                      *[F.col("last.v_" + c).alias("last_" + c) for c in cols])
+    lagged = [F.lag("last_key").over(w).alias("prev_last_key"), F.lag("cum").over(w).alias("prev_cum")]
+    lagged += [F.lag("last_" + c).over(w).alias("prev_last_" + c) for c in cols]
+    b = b.select(PID, "first_key", *lagged)
+    same = F.col("prev_last_key") == F.col("first_key")
+    offsets = b.select(
+        PID, "first_key",
+        F.when(same, F.col("prev_cum")).otherwise(F.lit(0)).alias("_offset"),
+        F.coalesce(same, F.lit(False)).alias("_cont"),
+        *[F.col("prev_last_" + c) for c in cols],
+    )
+    j = local.join(F.broadcast(offsets), PID)
+    at_start = (F.col(key) == F.col("first_key")) & (F.col("_local") == 1) & F.col("_cont")
+    out_cols = [F.when(at_start, F.col("prev_last_" + c)).otherwise(F.col("_prev_" + c)).alias(prefix + c) for c in cols]
+    pos = (F.col("_local") + F.when(F.col(key) == F.col("first_key"), F.col("_offset")).otherwise(F.lit(0))).alias(out)
+    keep = [c for c in df.columns]
+    return j.select(*keep, pos, *out_cols)

@@ -358,3 +358,15 @@ def test_incremental_index_over_several_batches(spark, tmp_path):
     b = sorted(map(tuple, full.term_stats.select("term", "df", F.round("idf", 9)).collect()))
     assert a == b
     assert inc.corpus_stats.first().n_docs == full.corpus_stats.first().n_docs == 60
+
+
+def test_ordinal_lag_equals_window_lag(spark):
+    random.seed(13)
+    rows = [(0, i, random.choice("xyz")) for i in range(4000)]  # hot key over many partitions
+    rows += [(k, i, random.choice("xy")) for k in range(1, 300) for i in range(4)]
+    df = spark.createDataFrame(rows, "k int, o int, v string")
+    got = O.ordinal_lag(df, "k", [F.col("o")], ["v"], "pos", partitions=16)
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.withColumn("pos", F.row_number().over(w)).withColumn("prev_v", F.lag("v").over(w))
+    cols = ["k", "o", "pos", "prev_v"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0 and got.count() == df.count()
