@@ -47,6 +47,9 @@ class KeywordIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    # True when the tables are read from files (a written index): searches
+    # then push a literal term filter into the postings scan.
+    persisted: bool = False
 
     def write(self, path: str, buckets: int | None = None) -> "KeywordIndex":
         """Persist the three tables as Parquet below ``path``.
@@ -69,6 +72,7 @@ class KeywordIndex:
             spark.read.parquet(f"{path}/postings"),
             spark.read.parquet(f"{path}/term_stats"),
             spark.read.parquet(f"{path}/corpus_stats"),
+            persisted=True,
         )
 
 
@@ -101,7 +105,7 @@ def read_increments(spark, path: str) -> "KeywordIndex":
         "df",
         F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )
-    return KeywordIndex(postings, term_stats, corpus)
+    return KeywordIndex(postings, term_stats, corpus, persisted=True)
 
 
 def keyword_input(chunks: DataFrame, text_col: str = "source_code") -> DataFrame:
@@ -220,11 +224,13 @@ def _restricted(index: KeywordIndex, weighted: DataFrame) -> KeywordIndex:
     without a query term.  Only a bounded set of distinct terms is turned
     into a literal; a larger query vocabulary keeps the join alone.
     """
+    if not index.persisted:  # computed postings: the join filters as early
+        return index
     terms = weighted.select("term").distinct()
     if not row_count_at_most(terms, MAX_LITERAL_TERMS):
         return index
     vocab = [r["term"] for r in terms.collect()]
-    return KeywordIndex(index.postings.filter(F.col("term").isin(vocab)), index.term_stats, index.corpus_stats)
+    return KeywordIndex(index.postings.filter(F.col("term").isin(vocab)), index.term_stats, index.corpus_stats, True)
 
 
 def rank(hits: DataFrame, k: int, key: str = "query_id", score_col: str = "score", id_col: str = "doc_id", descending: bool = True) -> DataFrame:
