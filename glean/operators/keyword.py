@@ -318,6 +318,27 @@ def search(
     return done.select(*out).unionByName(tail.select(*out))
 
 
+def search_excluding(queries: DataFrame, index: KeywordIndex, targets: DataFrame, paths: DataFrame, k: int = 3, exclude: str = "after", **kw) -> DataFrame:
+    """C4 with both orders: ``after`` (the faithful default) ranks the top k
+    first and drops self hits afterwards, which can leave nothing;
+    ``before`` drops self documents first and ranks the rest.
+
+    ``targets(query_id, target_file)``; ``paths(doc_id, relative_path)``.
+    """
+    if exclude == "after":
+        hits = search(queries, index, k=k, **kw).join(paths, "doc_id")
+        return exclude_self(hits, targets)
+    scored = score(queries, index, **kw).join(paths, "doc_id").join(targets, "query_id")
+    t = P.normalise(F.col("target_file"), lower=True)
+    h = P.normalise(F.col("relative_path"), lower=True)
+    keep = ~((t != "") & ((F.instr(h, t) > 0) | (F.instr(t, h) > 0)))
+    ranked = rank(scored.filter(keep), 1)
+    best = ranked.select("query_id", "doc_id", "relative_path")
+    return targets.select("query_id").join(best, "query_id", "left").select(
+        "query_id", "doc_id", "relative_path", F.col("doc_id").isNotNull().alias("found")
+    )
+
+
 def exclude_self(hits: DataFrame, targets: DataFrame, hit_path: str = "relative_path", target_path: str = "target_file") -> DataFrame:
     """C4: drop hits whose normalised path and the target contain one another.
 

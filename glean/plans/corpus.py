@@ -196,26 +196,46 @@ def q_patch_join(spark, sf):
 
 
 # --- A5 ----------------------------------------------------------------------
+# One metrics row per file, in the export's fixed column order, written as
+# CSV and read back: loc = lines, v(g) = mean block complexity, Halstead
+# volume / difficulty / effort and b = v / 3000.
 @register(
     "metrics_sink",
-    sql=f"""WITH t AS (SELECT doc_id, {sql_rel_path()} AS p, regexp_extract_all(text, '{M.OPERAND_PATTERN}', 0) AS opd FROM documents)
-SELECT string_split(p, '/')[-1] AS file_name, CAST(len(opd) AS DOUBLE) AS loc, p AS file_path FROM t""",
-    ids=("A5", "DM8"),
+    sql=f"""WITH t AS (
+  SELECT doc_id, {sql_rel_path()} AS p, text,
+         regexp_extract_all(text, '{M.OPERAND_PATTERN}', 0) AS opd, regexp_extract_all(text, '{M.OPERATOR_PATTERN}', 0) AS opr
+  FROM documents
+),
+c AS (SELECT *, len(list_distinct(opr)) AS a, len(list_distinct(opd)) AS b2, len(opr) AS ta, len(opd) AS tb FROM t),
+h AS (
+  SELECT *, CASE WHEN a + b2 > 0 THEN (ta + tb) * log2(a + b2) ELSE 0.0 END AS vol,
+         coalesce(a / 2.0 * tb / nullif(CAST(b2 AS DOUBLE), 0), 0.0) AS dif,
+         list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda x: length({sql_strip('x')}) > 0),
+                        lambda x: 1.0 + len(regexp_extract_all(x, '[.!?]', 0))) AS cx
+  FROM c
+)
+SELECT string_split(p, '/')[-1] AS file_name, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS loc,
+       round(CASE WHEN len(cx) > 0 THEN list_sum(cx) / len(cx) ELSE 1.0 END, 6) AS "v(g)",
+       round(vol, 6) AS v, round(dif, 6) AS d, round(dif * vol, 4) AS e, round(vol / {M.BUG_DIVISOR}, 6) AS b, p AS file_path
+FROM h""",
+    ids=("A5", "DM8", "D11", "D9"),
 )
 def q_metrics_sink(spark, sf):
     d = tables.corpus(spark, sf)
+    h = M.halstead(F.col("text"))
     m = d.select(
         F.col("file_name"),
-        F.size(F.regexp_extract_all("text", F.lit(M.OPERAND_PATTERN), 0)).cast("double").alias("loc"),
-        F.lit(1.0).alias("vg"), F.lit(0.0).alias("v"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e"), F.lit(0.0).alias("b"),
+        F.size(F.split("text", "\n")).cast("double").alias("loc"),
+        F.round(M.mean_complexity(M.block_complexity(F.col("text"))), 6).alias("vg"),
+        F.round(h["volume"], 6).alias("v"), F.round(h["difficulty"], 6).alias("d"),
+        F.round(h["effort"], 4).alias("e"), F.round(h["bugs"], 6).alias("b"),
         F.col("relative_path").alias("file_path"),
     )
     path = scratch_path(spark, "metrics-csv")
     IO.write_metrics(m, path)
-    back = spark.read.option("header", True).schema(
+    return spark.read.option("header", True).schema(
         "file_name string, loc double, `v(g)` double, v double, d double, e double, b double, file_path string"
     ).csv(path)
-    return back.select("file_name", "loc", "file_path")
 
 
 # --- A4 ----------------------------------------------------------------------

@@ -370,3 +370,20 @@ def test_ordinal_lag_equals_window_lag(spark):
     want = df.withColumn("pos", F.row_number().over(w)).withColumn("prev_v", F.lag("v").over(w))
     cols = ["k", "o", "pos", "prev_v"]
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0 and got.count() == df.count()
+
+
+def test_exclude_before_and_after(spark):
+    docs = spark.createDataFrame(
+        [(1, "alpha alpha beta", "svc/a.py"), (2, "alpha beta", "svc/a.py.bak"), (3, "alpha", "other/c.py"), (4, "gamma", "x/d.py")],
+        "doc_id long, text string, relative_path string",
+    )
+    idx = K.build_index(docs)
+    q = spark.createDataFrame([(1, "alpha beta")], "query_id long, query string")
+    targets = spark.createDataFrame([(1, "svc/a.py")], "query_id long, target_file string")
+    paths = docs.select("doc_id", "relative_path")
+    after = K.search_excluding(q, idx, targets, paths, k=2, exclude="after").first()
+    before = K.search_excluding(q, idx, targets, paths, k=2, exclude="before").first()
+    # After: the top 2 are both under svc/a.py* -> nothing external left.
+    assert after.found is False
+    # Before: self documents removed first, the next best survives.
+    assert before.found is True and before.doc_id == 3
