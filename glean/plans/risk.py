@@ -19,6 +19,11 @@ STAT_COLS = ["loc", "vg", "v", "d", "e"]
 MODEL_COLS = list(R.FEATURES)
 THRESHOLDS = (0.2, 0.3, 0.4, 0.5)
 GATE_T = 0.4
+LOGISTIC_T = 0.4  # probability threshold of the logistic model
+# Test-size forest (the reference trains 800 trees of depth 20; both are
+# parameters of fit_forest, whose defaults are those values).
+FOREST_TREES = 20
+FOREST_DEPTH = 8
 
 SQL_FEATURES = """f AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
@@ -350,23 +355,44 @@ def _train_test(spark, sf):
 def q_logistic_scores(spark, sf):
     train, test = _train_test(spark, sf)
     model = R.fit_logistic(train, MODEL_COLS, "defects", max_iter=20)
-    return R.score(test, model).select("l_orderkey", "l_linenumber", "defects", "risk_score")
+    scored = R.score(test, model).withColumn("pred", R.threshold(F.col("risk_score"), LOGISTIC_T))
+    return scored.select("l_orderkey", "l_linenumber", "defects", "risk_score", "pred")
 
 
 @register("forest_scores", ids=("K4", "K8"))
 def q_forest_scores(spark, sf):
     train, test = _train_test(spark, sf)
-    model = R.fit_forest(train, MODEL_COLS, "defects", trees=20, depth=6)
+    model = R.fit_forest(train, MODEL_COLS, "defects", trees=FOREST_TREES, depth=FOREST_DEPTH)
     scored = R.score(test, model)
     return scored.withColumn("pred", R.threshold(F.col("risk_score"), R.DEFAULT_THRESHOLD)).select(
         "l_orderkey", "l_linenumber", "defects", "risk_score", "pred"
     )
 
 
+@register("forest_report", ids=("K4", "K5", "D6", "D7"))
+def q_forest_report(spark, sf):
+    """Holdout report of the balanced forest at the gate threshold: the
+    four confusion counts plus defect-class precision, recall and F1 (the
+    shape of the published baseline, on the stand-in table)."""
+    train, test = _train_test(spark, sf)
+    model = R.fit_forest(train, MODEL_COLS, "defects", trees=FOREST_TREES, depth=FOREST_DEPTH)
+    pred = R.score(test, model).withColumn("pred", R.threshold(F.col("risk_score"), R.DEFAULT_THRESHOLD))
+    c = R.counts(pred, "defects", "pred")
+    tp, fp, fn = (F.col(x).cast("double") for x in ("tp", "fp", "fn"))
+    p = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
+    r = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
+    return c.select(
+        "tp", "tn", "fp", "fn",
+        F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
+        F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4).alias("f1"),
+        (F.col("tp") + F.col("fp")).alias("kept_by_gate"),
+    )
+
+
 @register("importances", ids=("K7", "F4"))
 def q_importances(spark, sf):
     train, _ = _train_test(spark, sf)
-    model = R.fit_forest(train, MODEL_COLS, "defects", trees=20, depth=6)
+    model = R.fit_forest(train, MODEL_COLS, "defects", trees=FOREST_TREES, depth=FOREST_DEPTH)
     return R.importances(model, MODEL_COLS)
 
 
