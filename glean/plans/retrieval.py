@@ -265,7 +265,8 @@ FROM tgt LEFT JOIN best USING (query_id)""",
     ids=("C4", "F3"),
 )
 def q_exclude_self(spark, sf):
-    h = judged_hits(spark, sf, TOOL_K)
+    # The hits (queries x k rows) feed three consumers: materialise once.
+    h = judged_hits(spark, sf, TOOL_K).checkpoint(eager=True)
     targets = h.filter(F.col("rank") == 1).select(
         "query_id", F.split("relative_path", "/").getItem(0).alias("target_file")
     )
