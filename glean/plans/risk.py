@@ -250,7 +250,7 @@ FROM s, sc WHERE split = 'test'""",
     ids=("K2",),
 )
 def q_scaled_outliers(spark, sf):
-    sp = split(spark, sf)
+    sp = split(spark, sf).checkpoint(eager=True)  # fit on train, apply to test
     sc = R.fit_scaler(sp.filter(F.col("split") == "train"), STAT_COLS)
     z = R.apply_scaler(sp.filter(F.col("split") == "test"), sc, STAT_COLS)
     return z.agg(*[F.sum(F.when(F.abs(F.col(c)) > 2, 1).otherwise(0)).cast("bigint").alias(f"{c}_gt2") for c in STAT_COLS])
@@ -346,8 +346,9 @@ def q_fallback_score(spark, sf):
 
 # --- K3 / K4 / K7 / K8 / A10 (rows only: no SQL model) ------------------------
 def _train_test(spark, sf):
+    # Training and scoring both read the split: materialise it once.
     sp = R.density(split(spark, sf))
-    sp = R.with_weights(sp, "defects")
+    sp = R.with_weights(sp, "defects").checkpoint(eager=True)
     return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
 
 
