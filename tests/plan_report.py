@@ -15,8 +15,12 @@ PY_NODES = ("ArrowEvalPython", "MapInPandas", "FlatMapCoGroupsInPandas", "FlatMa
 
 
 def facts(df) -> dict:
+    df.write.format("noop").mode("overwrite").save()  # run it: adaptive plans are final only after execution
     qe = df._jdf.queryExecution()
     plan = qe.executedPlan().toString()
+    # An adaptive plan prints its final and its initial form; count the final.
+    if "== Final Plan ==" in plan:
+        plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
     formatted = qe.explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     lines = [ln for ln in plan.splitlines() if "Reused" not in ln]
     shuffle = re.compile(r"(^|[-+: ])Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
@@ -45,7 +49,7 @@ def main(argv):
     out = [
         "# PLANS",
         "",
-        f"Physical-plan facts of every registered query, from the plans Spark chose at `{sf}` (generated by",
+        f"Physical-plan facts of every registered query, from the final adaptive plans of a run at `{sf}` (generated by",
         "`python -m tests.plan_report`).",
         "",
         "Columns:",
