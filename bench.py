@@ -2,7 +2,10 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
 Each query is executed completely (``noop`` sink: every row computed,
-nothing shipped to the driver) in one warm session.
+nothing shipped to the driver) in one warm session: every headline query
+runs once on the smallest tables, and the flagship once, untimed, at the
+measured scale factor (JVM code generation and Python workers warm; no
+data is cached by Spark).
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         for name in HEADLINE:
             reg[name].fn(spark, warm_dir).write.format("noop").mode("overwrite").save()
+    reg[HEADLINE[0]].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
