@@ -40,7 +40,7 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
-    from glean.plans import corpus, history, retrieval, risk, scalars, streams, vectors  # noqa: F401
+    from glean.plans import corpus, history, retrieval, risk, scalars, streams, tasks, vectors  # noqa: F401
 
     return REGISTRY
 
