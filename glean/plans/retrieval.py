@@ -291,7 +291,7 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "relative_path", "file_type", "is_test",
         F.when(F.col("is_test"), F.lit("passed")).alias("test_status"),
         F.try_element_at(F.split("text", "\n"), F.lit(1)).alias("description"),
-        F.substring("text", 1, 200).alias("source_code"),
+        F.col("text").alias("source_code"),
     )
     return N.render_hits(_bounded(spark, sf, h, TOOL_K).join(meta, "doc_id"))
 
@@ -308,7 +308,7 @@ blocks AS (
                 {sql_file_type("string_split(d.relative_path, '/')[-1]", "d.source = 'src0'")},
                 CASE WHEN d.source = 'src0' THEN 'True' ELSE 'False' END,
                 CASE WHEN d.source = 'src0' THEN 'passed' ELSE 'N/A' END)
-         || chr(10) || 'DESCRIPTION: ' || string_split(d.text, chr(10))[1] || chr(10) || substr(d.text, 1, 200) AS b
+         || chr(10) || 'DESCRIPTION: ' || string_split(d.text, chr(10))[1] || chr(10) || d.text AS b
   FROM j JOIN docs d USING (doc_id)
 ),
 r AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS rendered FROM blocks GROUP BY query_id)"""

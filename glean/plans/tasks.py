@@ -1,10 +1,11 @@
 """The task run as one batch over a task table.
 
 Per task: extract the target path from the task text (H-s5), join the file
-(A2 rows), compute its features (D9, D11, B9 serving rule) and a fixed
-risk score, apply the risk gate (B12), then search the keyword index with
-the file's first line (H-s4, C3, top 3), drop self hits after the top 3
-(C4) and keep the first external dependency.  Everything is joins and
+(A2 rows), compute its features over the whole file (D9, D11, B9 serving
+rule) and a fixed risk score, apply the risk gate (B12), then search the
+keyword index for the file's header line, which plays the dependency
+symbol the researcher looks up (H-s4, C3, top 3), drop self hits after the
+top 3 (C4) and keep the first external dependency.  Everything is joins and
 aggregates over the whole task table; no per-task loop.
 """
 
