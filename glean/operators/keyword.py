@@ -138,20 +138,26 @@ def term_frequencies(token_array: Column) -> Column:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=T.tokens) -> KeywordIndex:
-    """Postings, term statistics and corpus statistics of a corpus."""
-    tok = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))).select(
-        "doc_id", tokenizer(F.col("_t")).alias("toks")
-    )
+    """Postings, term statistics and corpus statistics of a corpus.
+
+    The corpus statistics need no tokenising pass of their own: the number
+    of documents is a plain count, and the total token count is the sum of
+    the terms' collection frequencies, taken from the term statistics.
+    """
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
+    tok = spread(ids).select("doc_id", tokenizer(F.col("_t")).alias("toks"))
     postings = tok.select(
         "doc_id",
         F.size("toks").cast("int").alias("dl"),
         F.explode(term_frequencies(F.col("toks"))).alias("p"),
     ).select(F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"), "dl")
-    corpus_stats = tok.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks").cast("double")).alias("avgdl")
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    n_docs = ids.agg(F.count(F.lit(1)).alias("n_docs"))
+    total = per_term.agg(F.sum("cf").cast("double").alias("_tokens"))
+    corpus_stats = n_docs.crossJoin(total).select(
+        "n_docs", F.coalesce(F.try_divide(F.col("_tokens"), F.col("n_docs")), F.lit(0.0)).alias("avgdl")
     )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    term_stats = df.crossJoin(F.broadcast(corpus_stats.select("n_docs"))).select(
+    term_stats = per_term.crossJoin(F.broadcast(n_docs)).select(
         "term",
         "df",
         F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
@@ -180,7 +186,9 @@ def weighted_terms(queries: DataFrame, index: KeywordIndex, id_col="query_id", t
     qt = query_terms(queries, id_col, text_col, tokenizer)
     small = row_count_at_most(qt, max_broadcast_rows)
     side = F.broadcast(qt) if small else qt
-    return side.join(index.term_stats.select("term", "df", "idf"), "term"), small
+    # The one-row corpus statistics ride along, so scoring needs nothing else.
+    stats = F.broadcast(index.corpus_stats.select("n_docs", "avgdl"))
+    return side.join(index.term_stats.select("term", "df", "idf"), "term").crossJoin(stats), small
 
 
 def score_weighted(weighted: DataFrame, index: KeywordIndex, small: bool, k1: float = K1, b: float = B) -> DataFrame:
@@ -190,8 +198,7 @@ def score_weighted(weighted: DataFrame, index: KeywordIndex, small: bool, k1: fl
     past it without a shuffle.
     """
     w = F.broadcast(weighted) if small else weighted
-    avgdl = F.broadcast(index.corpus_stats.select("avgdl"))
-    hits = w.join(index.postings, "term").crossJoin(avgdl)
+    hits = w.join(index.postings, "term")
     tf = F.col("tf").cast("double")
     norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / norm
@@ -287,8 +294,7 @@ def search(
         prune = est > exhaustive_rows
     if not prune:
         return rank(score_weighted(weighted, index, True, k1, b), k).select(*out)
-    stats = F.broadcast(index.corpus_stats.select("n_docs", "avgdl"))
-    w = weighted.crossJoin(stats)
+    w = weighted
     w = w.withColumn("ub", F.col("qtf") * F.col("idf") * F.lit(k1 + 1.0)).withColumn(
         "rare", F.col("df") <= F.col("n_docs") * rare_fraction
     )
