@@ -18,11 +18,13 @@ ROLE_TYPES = {"user": "human", "assistant": "ai", "system": "system"}
 EVENT_STATUS = {"error": "failed", "purchase": "passed"}  # others: pending
 
 
-# Tables large enough that their scans should use every core.  Catalyst
-# pushes filters and column pruning through the round-robin repartition of
-# ``spread``, so scans still read only what the query needs; inputs that
-# already arrive in many partitions are not repartitioned at all.
-SPREAD = frozenset({"documents", "pages", "conversations", "embeddings", "lineitem", "events", "orders"})
+# Text and vector tables, whose per-row work (regular expressions,
+# tokenizing, distances) should use every core.  Catalyst pushes filters and
+# column pruning through the round-robin repartition of ``spread``, so scans
+# still read only what the query needs; inputs that already arrive in many
+# partitions are not repartitioned at all.  Numeric tables are not spread:
+# their work after the scan is light or range-partitioned anyway (measured).
+SPREAD = frozenset({"documents", "pages", "conversations", "embeddings"})
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
