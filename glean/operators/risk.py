@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glean.operators.ordered import ordinal
+from glean.operators.ordered import ordinal, running_total
 
 # The risk feature set, in order, and policy defaults.
 FEATURES = ("loc", "vg", "v", "d", "e", "complexity_density", "volume_per_line")
@@ -58,38 +58,39 @@ def density(df: DataFrame, mode: str = "serve") -> DataFrame:
 
 
 # --- D1 ----------------------------------------------------------------------
-def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_name", value: str = "value", tiebreak: str | None = None) -> DataFrame:
+def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_name", value: str = "value") -> DataFrame:
     """Linear-interpolation quantiles of every column of a long table.
 
-    Positions come from a balanced global ordinal (range partitioning on
-    (column, value, tiebreak)), so no column is ever gathered into one task;
-    the tiebreak column lets the range bounds split a value repeated in a
-    large share of the rows.
+    Works on distinct values with their counts: ``groupBy(column, value)``
+    combines map-side (a value repeated in a third of the rows costs one
+    row per partition), a balanced running sum of the counts
+    (:func:`glean.operators.ordered.running_total`) gives each distinct
+    value the positions it covers, and the few target positions are looked
+    up with a broadcast join on the column name.  No column is gathered
+    into one task.
     """
     v = long.filter(F.col(value).isNotNull())
-    order = [F.col(value)] + ([F.col(tiebreak)] if tiebreak else [])
-    pos = ordinal(v, name, order, "_pos").withColumn("_pos", F.col("_pos") - 1)
-    n = v.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    counts = v.groupBy(name, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_total(counts, name, [F.col(value)], "_c", "_end")
+    n = counts.groupBy(name).agg(F.sum("_c").alias("_n"))
     wanted = n.select(
         name,
         F.explode(F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("_n") - 1) * q).alias("h")) for q in qs])).alias("w"),
     ).select(name, "w.q", "w.h", F.floor("w.h").alias("lo"), F.ceil("w.h").alias("hi"))
-    # Only the 2 * len(qs) rows per column at the wanted positions survive
-    # the joins; the wanted table is len(qs) rows per column.
-    lo = pos.select(name, F.col("_pos").alias("lo"), F.col(value).alias("v_lo"))
-    hi = pos.select(name, F.col("_pos").alias("hi"), F.col(value).alias("v_hi"))
+    # ``wanted`` has len(qs) rows per column: a bounded broadcast.
     w = F.broadcast(wanted)
-    out = w.join(lo, [name, "lo"]).join(hi, [name, "hi"])
+
+    def at(pos: str, out: str) -> DataFrame:
+        covers = (F.col("_end") - F.col("_c") <= F.col(pos)) & (F.col(pos) < F.col("_end"))
+        return w.join(run, name).filter(covers).select(name, "q", F.col(value).alias(out))
+
+    out = wanted.join(at("lo", "v_lo"), [name, "q"]).join(at("hi", "v_hi"), [name, "q"])
     return out.select(name, "q", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
 
 
 def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column."""
-    # Row ids are stable for a given input split; they only order equal
-    # values, so any stable tiebreak gives the same quantiles.
-    long = unpivot(df.select(*cols).withColumn("_rid", F.monotonically_increasing_id()), cols).select(
-        "column_name", "value", F.xxhash64("_rid", "column_name").alias("_tb")
-    )
+    long = unpivot(df.select(*cols), cols)
     stats = long.groupBy("column_name").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -97,7 +98,7 @@ def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_quantiles(long, tiebreak="_tb").groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+    q = exact_quantiles(long).groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
     q = q.toDF("column_name", "q25", "q50", "q75")
     out = stats.join(q, "column_name", "left")
     r = [F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]

@@ -387,3 +387,15 @@ def test_exclude_before_and_after(spark):
     assert after.found is False
     # Before: self documents removed first, the next best survives.
     assert before.found is True and before.doc_id == 3
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    import numpy as np
+
+    random.seed(17)
+    vals = [0.0] * 3000 + [random.random() * 10 for _ in range(6000)] + [5.0] * 7
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    long = R.unpivot(df, ["x"])
+    got = {r.q: r.quantile for r in R.exact_quantiles(long, (0.1, 0.25, 0.5, 0.75, 0.999)).collect()}
+    for q, v in got.items():
+        assert math.isclose(v, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
