@@ -1,13 +1,15 @@
 """Session helpers: one place for the settings every job relies on.
 
 On a cluster the session is created by the platform; ``configure`` only
-fills in settings that are unset, so a cluster's own choices always win.
+fills in settings that are unset, so a cluster's own choices win (but for
+the two in ``_NEEDED``).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,9 @@ _DEFAULTS = {
     "spark.sql.exchange.reuse": "true",
 }
 
+# Results depend on these two, so they are set even over a cluster's value.
+_NEEDED = ("spark.sql.mapKeyDedupPolicy", "spark.sql.exchange.reuse")
+
 
 def configure(spark: SparkSession) -> SparkSession:
     conf = spark.conf
@@ -33,7 +38,7 @@ def configure(spark: SparkSession) -> SparkSession:
             current = conf.get(key, None)
         except Exception:  # pragma: no cover - unknown key on old runtimes
             current = None
-        if current is None or key in ("spark.sql.mapKeyDedupPolicy", "spark.sql.exchange.reuse"):
+        if current is None or key in _NEEDED:
             conf.set(key, value)
     checkpoint_dir(spark)
     return spark
@@ -42,35 +47,24 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a scratch folder is made here.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master,
+    whose executors share the driver's disk, gets a folder made here.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
-        sc = None
-    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
-    if current:
-        if sc is not None and not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="glean-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    if sc is not None:
-        sc.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="glean-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """A fresh path below the shared checkpoint folder; Spark's writers create it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "glean") -> SparkSession:
