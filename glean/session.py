@@ -8,6 +8,7 @@ the two in ``_NEEDED``).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,9 +42,21 @@ def configure(spark: SparkSession) -> SparkSession:
         if current is None or key in _NEEDED:
             conf.set(key, value)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context: they import it to run its functions."""
+    sc = spark.sparkContext
+    if getattr(sc, "_glean_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    to = os.path.join(tempfile.mkdtemp(prefix="glean-"), "glean-package")
+    sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._glean_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
