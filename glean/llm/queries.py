@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import decontam, fm, langid, license, simhash, winnow
+from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, winnow
 from glean.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document along the Hilbert curve."""
+    return hilbert.shards(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -50,11 +55,24 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return cube.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_language_id": (op2_language_id, None),
+    "op4_hilbert": (op4_hilbert, None),
     "op5_simhash": (op5_simhash, None),
     "op6_quality": (op6_quality, None),
     "op7_winnowing": (op7_winnowing, None),
     "op8_license_scan": (op8_license_scan, None),
+    "op9_cube_mix": (op9_cube_mix, None),
+    "op10_chat": (op10_chat, chat.ORACLE_SQL),
 }
