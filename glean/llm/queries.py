@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, winnow
+from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, sitetree, winnow
 from glean.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document along the Hilbert curve."""
     return hilbert.shards(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_site_tree": (op3_site_tree, None),
     "op4_hilbert": (op4_hilbert, None),
     "op5_simhash": (op5_simhash, None),
     "op6_quality": (op6_quality, None),
