@@ -1,14 +1,20 @@
-"""The corpus pipeline: documents -> kept, deduplicated, decontaminated, mixed and sharded documents."""
+"""The corpus pipeline: documents with a language, deduplicated, decontaminated, mixed and sharded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glean.llm import decontam, simhash
+from glean.llm import cube, decontam, hilbert, langid, simhash
 from glean.llm.common import stored, table
 from glean.session import configure
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text has no letter, or no language with a fair share of its words."""
+    configure(spark)
+    return langid.accepted(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     configure(spark)
@@ -21,8 +27,27 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stands as often as the mix of the sources takes it."""
+    configure(spark)
+    return cube.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place along the Hilbert curve of every document of the mix."""
+    configure(spark)
+    return hilbert.shards(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
+]
 
+# Trained and sampled stages are no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

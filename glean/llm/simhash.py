@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glean.llm.common import stored
+from glean.llm.common import fresh, stored
 
 SHINGLE, MAX_BITS = 3, 2
 NODE_LIMIT, FAN = 20_000, 32
@@ -254,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp bigint, component_id for every row of ``docs`` (doc_id, text; other columns are ignored)."""
+    """doc_id, fp bigint, root (smallest fingerprint of the component), component_id for every row of ``docs``."""
     marked = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(F.col("text")).alias("fp")), "simhash-fps")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(fingerprint_links(classes.select("fp")))
@@ -262,28 +262,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with one row of each component.
-
-    It is a row of the smallest doc_id; of rows that repeat that id within a component one stays.
-    A component whose ids are all null keeps one row for each different fingerprint.
-    """
+    """The rows of ``docs``, all columns as they are, with one row of each component: one of its smallest doc_id,
+    or one without an id if no row of it has one."""
     groups = stored(near_duplicates(docs), "simhash-groups")
+    counts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = keep.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("doc_id", "fp")).alias("d")).first()
-    kept = keep.select(F.col("doc_id").alias("_glean_keep")).distinct()
-    left = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_glean_keep"]), "left_semi")
+    key, own, root = (fresh(docs, f"_glean_{x}") for x in ("id", "fp", "root"))
     if counts["n"] == counts["d"]:
-        return left
-    # Ids that repeat: tell the rows of one id apart by their fingerprints.
-    fp = "_glean_fp"
-    marked = left.withColumn(fp, fingerprint(F.col("text")))
-    named = keep.select(F.col("doc_id").alias("_glean_keep"), F.col("fp").alias("_glean_own"), "component_id").distinct()
-    one = marked.join(
-        named, marked["doc_id"].cast("bigint").eqNullSafe(named["_glean_keep"]) & (marked[fp] == named["_glean_own"])
-    )
-    return one.dropDuplicates(["_glean_keep", "component_id", *(["_glean_own"] if counts["d"] == 0 else [])]).select(*left.columns)
+        return docs.join(keep.select(F.col("doc_id").alias(key)), docs["doc_id"].cast("bigint") == F.col(key), "left_semi")
+    # Ids repeat or are null: rows of one id are told apart by their fingerprints.
+    named = keep.select(F.col("doc_id").alias(key), F.col("fp").alias(own), F.col("root").alias(root)).distinct()
+    mine = f"{own}_"
+    marked = docs.withColumn(mine, fingerprint(F.col("text")))
+    rows = marked.join(named, marked["doc_id"].cast("bigint").eqNullSafe(named[key]) & (marked[mine] == named[own]))
+    return rows.dropDuplicates([root]).select(*[docs[c] for c in docs.columns])
