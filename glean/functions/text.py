@@ -231,8 +231,9 @@ def keep_test_blocks(col: Column) -> Column:
 
 # --- H-s16 -----------------------------------------------------------------
 def fix_lines(col: Column) -> Column:
-    """CRLF -> LF, then right-strip spaces and tabs of every line."""
-    return F.regexp_replace(F.regexp_replace(col, "\r\n", "\n"), F.lit("(?m)[ \t]+$"), F.lit(""))
+    """CRLF -> LF, then right-strip the white space of every LF line."""
+    lines = F.split(F.regexp_replace(col, "\r\n", "\n"), "\n")
+    return F.array_join(F.transform(lines, py_rstrip), "\n")
 
 
 # --- H-s17 -----------------------------------------------------------------

@@ -3,7 +3,7 @@
 Exact k-NN without comparing every query with every vector:
 
 1. **Pivots.**  ``C`` corpus vectors, chosen by ``md5(id)`` (deterministic,
-   C about sqrt(n) and at most ``max_cells``), are collected into a single
+   C = n / cell_target and at most ``max_cells``), are collected into a single
    row: a broadcast whose size is bounded by ``C * dim``.
 2. **Cells.**  Every corpus vector is assigned to its nearest pivot with
    array expressions over that one row (no row copies).  Per cell: size and
@@ -19,8 +19,8 @@ Exact k-NN without comparing every query with every vector:
    ``ceil(q / query_target)`` blocks, so every group is bounded on both
    sides and a cell holding a third of the corpus is spread over many
    tasks.  Each group ranks with a BLAS product, re-measures the best few
-   exactly and emits only its top-k per query: pairs are never
-   materialised as rows.  The global top-k per query is
+   exactly, all that tie with the k-th included, and emits only its
+   top-k per query: pairs are never materialised as rows.  The global top-k per query is
    ``row_number() <= k`` (partial ``WindowGroupLimit`` before the
    exchange).
 
@@ -107,57 +107,61 @@ def knn(
 
 
 CANDIDATE_SCHEMA = "query_id long, id long, distance double"
-MARGIN = 8  # extra BLAS-ranked candidates re-checked with the exact sum
+SLACK = 1e-6  # BLAS rounding, relative to the squared norms
 QUERY_CHUNK = 256
+PAIRS_CHUNK = 200_000  # pairs that are measured again at a time
 
 
 def _block_topk(k: int, metric: str, exclude_self: bool):
     """Top-k of one block: (<= query_target queries) x (<= cell_target vectors).
 
-    Candidates are ranked with a BLAS product, then the best ``k + MARGIN``
-    per query are re-measured with a sequential sum (the same arithmetic as
-    the SQL expression), rounded and cut to k.
+    A BLAS product gives every distance up to rounding.  All vectors within
+    the rounding slack of the k-th best, however many tie there, are measured
+    again with a sequential sum (the same arithmetic as the SQL expression),
+    rounded, ordered by distance and id, and cut to k.
     """
 
     def fn(key, qpdf, cpdf):
         import numpy as np
         import pandas as pd
 
+        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "distance": np.empty(0)})
         if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})
+            return none
         Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         X = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
         qids = qpdf["query_id"].to_numpy(np.int64)
         ids = cpdf["id"].to_numpy(np.int64)
-        xx = (X * X).sum(1)
-        m = min(k + MARGIN, len(ids))
-        outs = []
+        xx, qq = (X * X).sum(1), (Q * Q).sum(1)
+        outs = [none]
         for s in range(0, len(Q), QUERY_CHUNK):
-            q, qi = Q[s : s + QUERY_CHUNK], qids[s : s + QUERY_CHUNK]
-            approx = -(q @ X.T) if metric == "dot" else (q * q).sum(1)[:, None] + xx[None, :] - 2.0 * (q @ X.T)
+            q, qi, n2 = Q[s : s + QUERY_CHUNK], qids[s : s + QUERY_CHUNK], qq[s : s + QUERY_CHUNK]
+            approx = -(q @ X.T) if metric == "dot" else n2[:, None] + xx[None, :] - 2.0 * (q @ X.T)
             if exclude_self:
-                approx = np.where(qi[:, None] == ids[None, :], np.inf, approx)
-            top = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-            cand = X[top]
-            acc = np.zeros(top.shape)
-            for j in range(X.shape[1]):
-                if metric == "dot":
-                    acc += q[:, None, j] * cand[:, :, j]
-                else:
-                    diff = q[:, None, j] - cand[:, :, j]
-                    acc += diff * diff
-            dist = -acc if metric == "dot" else np.sqrt(acc)
-            cid = ids[top]
-            ok = ~(qi[:, None] == cid) if exclude_self else np.ones(top.shape, bool)
-            frame = pd.DataFrame(
-                {
-                    "query_id": np.repeat(qi, top.shape[1])[ok.ravel()],
-                    "id": cid.ravel()[ok.ravel()],
-                    "distance": np.round(dist.ravel()[ok.ravel()], DIST_DIGITS),
-                }
-            )
-            frame = frame.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
-            outs.append(frame)
+                approx[qi[:, None] == ids[None, :]] = np.inf
+            kth = np.partition(approx, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
+            # Rounding of the product, and of the distance itself to DIST_DIGITS.
+            slack = SLACK * (1 + n2 + xx.max()) + 4 * 10.0**-DIST_DIGITS * (1 + np.sqrt(np.maximum(np.where(np.isinf(kth), 0, kth), 0)))
+            near = approx <= (kth + slack)[:, None]
+            near &= ~np.isinf(approx) | (np.isinf(kth)[:, None] & ~(exclude_self & (qi[:, None] == ids[None, :])))
+            at_q, at_x = np.nonzero(near)
+            dist = np.empty(len(at_q))
+            for i in range(0, len(at_q), PAIRS_CHUNK):
+                u, v = q[at_q[i : i + PAIRS_CHUNK]], X[at_x[i : i + PAIRS_CHUNK]]
+                acc = np.zeros(len(u))
+                for j in range(X.shape[1]):
+                    if metric == "dot":
+                        acc += u[:, j] * v[:, j]
+                    else:
+                        diff = u[:, j] - v[:, j]
+                        acc += diff * diff
+                dist[i : i + PAIRS_CHUNK] = -acc if metric == "dot" else np.sqrt(acc)
+            dist = np.round(dist, DIST_DIGITS)
+            order = np.lexsort((ids[at_x], dist, at_q))
+            at_q, at_x, dist = at_q[order], at_x[order], dist[order]
+            begin = np.searchsorted(at_q, np.arange(len(q)))
+            keep = np.arange(len(at_q)) - begin[at_q] < k
+            outs.append(pd.DataFrame({"query_id": qi[at_q[keep]], "id": ids[at_x[keep]], "distance": dist[keep]}))
         return pd.concat(outs, ignore_index=True)
 
     return fn
@@ -186,7 +190,8 @@ def candidates(
     n = c.count()
     if n == 0:
         return q.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
-    n_cells = max(1, min(max_cells, int(math.sqrt(n))))
+    # As many cells as there are blocks of cell_target vectors: a query is sent once to each block it may need.
+    n_cells = max(1, min(max_cells, math.ceil(n / cell_target)))
     piv = _pivots(c, n_cells)
     # The assignment (n x C distances) feeds three consumers; it is written
     # once to the shared checkpoint folder instead of being recomputed.

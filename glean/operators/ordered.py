@@ -41,21 +41,27 @@ from glean.plans.strategy import partitions_for
 PID = "_pid"
 
 
+def _same(keys, key):
+    """Rows whose key is ``key``; null equals null."""
+    import pandas as pd
+
+    return keys.isna() if pd.isna(key) else keys == key
+
+
 def _local_cumsum(key: str, value: str, out: str):
     def fn(batches):
         import pandas as pd
 
-        carry_key = None
-        carry = 0
+        carry_key, carry, begun = None, 0, False
         for pdf in batches:
             if pdf.empty:
                 pdf[out] = pd.Series(dtype="int64")
                 yield pdf
                 continue
             local = pdf.groupby(key, sort=False, dropna=False)[value].cumsum()
-            if carry_key is not None:
-                local = local + (pdf[key] == carry_key).astype("int64") * carry
-            carry_key = pdf[key].iloc[-1]
+            if begun:
+                local = local + _same(pdf[key], carry_key).astype("int64") * carry
+            carry_key, begun = pdf[key].iloc[-1], True
             carry = int(local.iloc[-1])
             pdf[out] = local.astype("int64")
             yield pdf
@@ -96,10 +102,10 @@ def running_total(
     offsets = b.select(
         PID,
         "first_key",
-        F.when(F.col("prev_last_key") == F.col("first_key"), F.col("prev_cum")).otherwise(F.lit(0)).alias("offset"),
+        F.when(F.col("prev_last_key").eqNullSafe(F.col("first_key")), F.coalesce("prev_cum", F.lit(0))).otherwise(F.lit(0)).alias("offset"),
     )
     joined = local.join(F.broadcast(offsets), PID)
-    total = F.col("_local") + F.when(F.col(key) == F.col("first_key"), F.col("offset")).otherwise(F.lit(0))
+    total = F.col("_local") + F.when(F.col(key).eqNullSafe(F.col("first_key")), F.col("offset")).otherwise(F.lit(0))
     return joined.withColumn(out, total).drop(PID, "_v", "_local", "first_key", "offset")
 
 
@@ -108,22 +114,11 @@ def ordinal(df: DataFrame, key: str, order: list[Column], out: str = "pos", part
     return running_total(df, key, order, F.lit(1), out, partitions)
 
 
-def previous(df: DataFrame, key: str, pos: str, cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """``lag`` by one row as an equi-join on (key, pos - 1).
-
-    The join key includes the position, so a hot key is spread over all
-    tasks instead of landing in one.
-    """
-    prev = df.select(F.col(key), (F.col(pos) + 1).alias(pos), *[F.col(c).alias(prefix + c) for c in cols])
-    return df.join(prev, [key, pos], "left")
-
-
-
 def _local_pos_prev(key: str, cols: list[str]):
     def fn(batches):
         import pandas as pd
 
-        carry_key, carry_n, carry_vals = None, 0, None
+        carry_key, carry_n, carry_vals, begun = None, 0, None, False
         for pdf in batches:
             if pdf.empty:
                 for c in cols:
@@ -131,15 +126,17 @@ def _local_pos_prev(key: str, cols: list[str]):
                 pdf["_local"] = pd.Series(dtype="int64")
                 yield pdf
                 continue
-            g = pdf.groupby(key, sort=False, dropna=False)
-            local = g.cumcount().astype("int64") + 1
-            prev = {c: g[c].shift(1) for c in cols}
-            if carry_key is not None:
-                cont = pdf[key] == carry_key
+            number = pdf.groupby(key, sort=False, dropna=False).cumcount().astype("int64")
+            local = number + 1
+            # Rows of a key stand together; objects keep integers exact beside the missing first value.
+            prev = {c: pdf[c].astype(object).shift(1).where(number > 0, None) for c in cols}
+            if begun:
+                cont = _same(pdf[key], carry_key)
                 local = local + cont.astype("int64") * carry_n
-                first = cont & (g.cumcount() == 0)
-                for c in cols:
-                    prev[c] = prev[c].astype(object).where(~first, carry_vals[c])
+                if cont.iloc[0]:
+                    for c in cols:
+                        prev[c].iloc[0] = carry_vals[c]
+            begun = True
             carry_key, carry_n = pdf[key].iloc[-1], int(local.iloc[-1])
             carry_vals = {c: pdf[c].iloc[-1] for c in cols}
             for c in cols:
@@ -173,9 +170,10 @@ def ordinal_lag(df: DataFrame, key: str, order: list[Column], cols: list[str], o
     b = bounds.select(PID, F.col("first.k").alias("first_key"), F.col("last.k").alias("last_key"), cum_last.alias("cum"),
                       *[F.col("last.v_" + c).alias("last_" + c) for c in cols])
     lagged = [F.lag("last_key").over(w).alias("prev_last_key"), F.lag("cum").over(w).alias("prev_cum")]
+    lagged += [F.lag(F.lit(True), 1, False).over(w).alias("has_prev")]
     lagged += [F.lag("last_" + c).over(w).alias("prev_last_" + c) for c in cols]
     b = b.select(PID, "first_key", *lagged)
-    same = F.col("prev_last_key") == F.col("first_key")
+    same = F.col("has_prev") & F.col("prev_last_key").eqNullSafe(F.col("first_key"))
     offsets = b.select(
         PID, "first_key",
         F.when(same, F.col("prev_cum")).otherwise(F.lit(0)).alias("_offset"),
@@ -183,8 +181,8 @@ def ordinal_lag(df: DataFrame, key: str, order: list[Column], cols: list[str], o
         *[F.col("prev_last_" + c) for c in cols],
     )
     j = local.join(F.broadcast(offsets), PID)
-    at_start = (F.col(key) == F.col("first_key")) & (F.col("_local") == 1) & F.col("_cont")
+    at_start = F.col(key).eqNullSafe(F.col("first_key")) & (F.col("_local") == 1) & F.col("_cont")
     out_cols = [F.when(at_start, F.col("prev_last_" + c)).otherwise(F.col("_prev_" + c)).alias(prefix + c) for c in cols]
-    pos = (F.col("_local") + F.when(F.col(key) == F.col("first_key"), F.col("_offset")).otherwise(F.lit(0))).alias(out)
+    pos = (F.col("_local") + F.when(F.col(key).eqNullSafe(F.col("first_key")), F.col("_offset")).otherwise(F.lit(0))).alias(out)
     keep = [c for c in df.columns]
     return j.select(*keep, pos, *out_cols)

@@ -10,6 +10,7 @@ from glean.operators import keyword as K
 from glean.operators import metrics as M
 from glean.operators import patch as PT
 from glean.plans.registry import register, sql_rel_path, sql_strip
+from glean.plans.scalars import sql_file_type
 from glean.session import scratch_path
 from glean.sources import io as IO
 from glean.sources import tables
@@ -156,7 +157,8 @@ m AS (
 SELECT relative_path, mode,
        md5(CASE WHEN mode = 'exact' THEN left(text, strpos(text, search) - 1) || repl || substr(text, strpos(text, search) + length(search))
                 WHEN mode = 'fallback' THEN text END) AS content_md5,
-       CASE WHEN mode = 'error' THEN '{PT.NOT_FOUND_ERROR}' END AS error
+       CASE WHEN mode = 'error' THEN 'Error: None of the lines in the SEARCH block were found in the file.' || chr(10)
+                                     || 'AI tried to find lines from:' || chr(10) || search END AS error
 FROM m""",
     ids=("L3", "C8", "H-s16"),
 )
@@ -166,6 +168,57 @@ def q_patch_exact(spark, sf):
     return out.select("relative_path", "mode", F.md5("content").alias("content_md5"), "error")
 
 
+# Every path of L3 on texts that end in ``q = 'v' end``: by doc_id, an exact
+# block, a line in other quotes, a line out of its block, a second divider, a
+# block that is not there, and a patch without markers.
+FORM_TAIL = "q = 'v' end"
+FORMS = [
+    ("q = 'v'", "q = 1"),
+    ('q = "v"', "q = 2"),
+    ("no such line\n  q = 'v'  ", "first\nsecond"),
+    ("q = 'v'", f"q = 3\n{PT.DIVIDER}\nlost"),
+    ("no such line", "q = 4"),
+]
+
+
+def _patch(search: str, replace: str) -> str:
+    return f"{PT.SEARCH_MARK}\n{search}\n{PT.DIVIDER}\n{replace}\n{PT.REPLACE_MARK}"
+
+
+@register(
+    "patch_forms",
+    sql=f"""SELECT {sql_rel_path()} AS relative_path,
+       CASE doc_id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'fallback' WHEN 2 THEN 'fallback' WHEN 3 THEN 'exact' ELSE 'error' END AS mode,
+       md5(text || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'q = 1 end' WHEN 1 THEN 'q = 2 end' WHEN 2 THEN 'second end' WHEN 3 THEN 'q = 3 end' END) AS content_md5,
+       CASE doc_id % 6
+         WHEN 4 THEN 'Error: None of the lines in the SEARCH block were found in the file.' || chr(10)
+                     || 'AI tried to find lines from:' || chr(10) || 'no such line'
+         WHEN 5 THEN 'Error: Invalid patch format. Missing <<<<<<< SEARCH, =======, or >>>>>>> REPLACE.' END AS error
+FROM documents""",
+    ids=("L3", "C8", "H-s16"),
+)
+def q_patch_forms(spark, sf):
+    docs = tables.corpus(spark, sf).withColumn("text", F.concat("text", F.lit("\n" + FORM_TAIL)))
+    form = F.array(*[F.lit(_patch(*f)) for f in FORMS], F.lit("no markers"))
+    patches = docs.select("relative_path", F.element_at(form, (F.col("doc_id") % 6 + 1).cast("int")).alias("patch"))
+    return PT.apply(docs, patches).select("relative_path", "mode", F.md5("content").alias("content_md5"), "error")
+
+
+@register(
+    "patch_sequence",
+    sql=f"""SELECT {sql_rel_path()} AS relative_path, 'exact,error,fallback' AS modes,
+       md5(text || chr(10) || 'done') AS content_md5 FROM documents""",
+    ids=("L3", "C8"),
+)
+def q_patch_sequence(spark, sf):
+    """Patches of one file one after another, each on what the one before left."""
+    docs = tables.corpus(spark, sf).withColumn("text", F.concat("text", F.lit("\n" + FORM_TAIL)))
+    queue = [_patch("q = 'v'", "q = 7"), _patch("q = 'v' end", "lost"), _patch("  q = 7 end\nzzz", "done")]
+    patches = docs.select("relative_path", F.posexplode(F.array(*[F.lit(p) for p in queue])).alias("seq", "patch"))
+    out = PT.apply_in_order(docs, patches, "seq")
+    return out.select("relative_path", F.array_join("modes", ",").alias("modes"), F.md5("content").alias("content_md5"))
+
+
 @register(
     "patch_join",
     sql=f"""WITH d AS (
@@ -287,7 +340,7 @@ SELECT count(*) AS n_terms, (SELECT count(*) FROM d) AS n_docs FROM t""",
 def q_index_persist(spark, sf):
     from glean.plans.retrieval import keyword_docs
 
-    idx = K.build_index(keyword_docs(spark, sf)).write(scratch_path(spark, "bm25-index"), buckets=8)
+    idx = K.build_index(keyword_docs(spark, sf)).write(scratch_path(spark, "bm25-index"))
     return idx.term_stats.agg(F.count(F.lit(1)).alias("n_terms")).crossJoin(idx.corpus_stats.select("n_docs"))
 
 
@@ -314,7 +367,7 @@ def _write_tree(spark, sf, root: str) -> None:
     sql=f"""WITH d AS (SELECT {sql_rel_path()} AS relative_path, source, text FROM documents
            WHERE source <> 'src0' AND length({sql_strip('text')}) >= 10)
 SELECT relative_path, source AS service,
-       {__import__('glean.plans.scalars', fromlist=['sql_file_type']).sql_file_type("string_split(relative_path, '/')[-1]", 'false')} AS file_type,
+       {sql_file_type("string_split(relative_path, '/')[-1]", 'false')} AS file_type,
        CAST(length(text) AS INTEGER) AS n_chars
 FROM d""",
     ids=("A1", "A2", "B1", "B2"),

@@ -487,14 +487,13 @@ def q_confidence(spark, sf):
 @register(
     "fix_lines",
     sql="""
-SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(10), ' ' || chr(9) || chr(13) || chr(10)),
-                   '\\r\\n', chr(10), 'g'), '(?m)[ \\t]+$', '', 'g')) AS text_md5
+SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ' || chr(9))), chr(10))) AS text_md5
 FROM documents""",
     ids=("H-s16",),
 )
 def q_fix_lines(spark, sf):
     d = tables.read(spark, sf, "documents")
-    raw = F.replace(F.col("text"), F.lit("\n"), F.lit(" \t\r\n"))
+    raw = F.replace(F.col("text"), F.lit("\n"), F.lit(" \u00a0\t\f\r\n"))
     return d.select("doc_id", F.md5(T.fix_lines(raw)).alias("text_md5"))
 
 

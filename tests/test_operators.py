@@ -142,7 +142,7 @@ def test_patch_exact_and_fallback(spark):
     got = {r.relative_path: r for r in PT.apply(docs, patches).collect()}
     assert got["a.py"].mode == "exact" and got["a.py"].content == "x = 1\ny = 'w'\n"
     assert got["b.py"].mode == "fallback" and got["b.py"].content == "p = 5\n"
-    assert got["c.py"].mode == "error"
+    assert got["c.py"].mode == "error" and got["c.py"].content is None
 
 
 def test_stratified_split_exact_counts(spark):
@@ -190,13 +190,27 @@ def test_tree_scan_keeps_hidden_and_underscore_files(spark, tmp_path):
 
 
 def test_code_tokens_and_fallback(spark):
-    from glean.functions.code import code_tokens, python_tokens
+    from glean.functions.code import code_tokens
 
-    assert python_tokens("def save_study(x):\n    return 'A'\n") == ["def", "def_save_study", "save_study", "x", "return", "'a'"]
-    # Unterminated string: tokenize fails, words first, then the bigrams.
-    assert python_tokens("class Foo 'oops\ndef bar") == ["class", "foo", "oops", "def", "bar", "class_foo", "def_bar"]
-    df = spark.createDataFrame([("class A: pass",)], "s string")
-    assert df.select(code_tokens(F.col("s"))).first()[0] == ["class", "class_a", "a", "pass"]
+    texts = [
+        ("def save_study(x):\n    return 'A'\n", ["def", "def_save_study", "save_study", "x", "return", "'a'"]),
+        # Unterminated string: no tokens, so words first, then the bigrams.
+        ("class Foo 'oops\ndef bar", ["class", "foo", "oops", "def", "bar", "class_foo", "def_bar"]),
+        ("class A: pass", ["class", "class_a", "a", "pass"]),
+        ("def (x", ["def", "x", "def_x"]),
+        ("", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", code_tokens(F.col("s")).alias("t")).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
+def test_line_fix_strips_all_white_space(spark):
+    from glean.functions import text as T
+
+    df = spark.createDataFrame([("a \u00a0\r\nb\x0c\nc \u2028d  ",)], "s string")
+    assert df.select(T.fix_lines(F.col("s"))).first()[0] == "a\nb\nc \u2028d"
 
 
 def test_pruned_bm25_equals_exhaustive_with_hot_term(spark):
@@ -399,3 +413,32 @@ def test_exact_quantiles_with_hot_value(spark):
     got = {r.q: r.quantile for r in R.exact_quantiles(long, (0.1, 0.25, 0.5, 0.75, 0.999)).collect()}
     for q, v in got.items():
         assert math.isclose(v, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_knn_is_exact_under_many_ties(spark):
+    import random
+
+    from glean.operators import knn as N
+
+    ids = list(range(400))
+    random.Random(1).shuffle(ids)
+    v = spark.createDataFrame([(i, [0.25, 0.5, 1.0] if i < 390 else [float(i), 0.0, 0.0]) for i in ids], "id long, vec array<double>").repartition(6)
+    q = v.withColumnRenamed("id", "query_id")
+    for target in (20_000, 50):
+        got = N.knn(q, v, k=5, cell_target=target).filter("query_id = 7").orderBy("rank").collect()
+        assert [r.id for r in got] == [0, 1, 2, 3, 4]
+        got = N.knn(q, v, k=5, exclude_self=True, cell_target=target).filter("query_id = 3").orderBy("rank").collect()
+        assert [r.id for r in got] == [0, 1, 2, 4, 5]
+    assert N.knn(q, v, k=1000).count() == 400 * 400
+
+
+def test_running_totals_with_null_keys_and_large_ids(spark):
+    from glean.operators.ordered import ordinal, ordinal_lag
+
+    big = 1 << 60
+    rows = [(None if i < 60 else "k", i, big + i) for i in range(90)]
+    df = spark.createDataFrame(rows, "key string, o int, id long").repartition(5)
+    pos = {r.o: r.pos for r in ordinal(df, "key", [F.col("o")], partitions=4).collect()}
+    assert pos == {i: i + 1 if i < 60 else i - 59 for i in range(90)}
+    lag = {r.o: (r.pos, r.prev_id) for r in ordinal_lag(df, "key", [F.col("o")], ["id"], partitions=4).collect()}
+    assert lag == {i: (pos[i], None if i in (0, 60) else big + i - 1) for i in range(90)}
