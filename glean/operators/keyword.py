@@ -54,13 +54,14 @@ class KeywordIndex:
     def write(self, path: str, buckets: int | None = None) -> "KeywordIndex":
         """Persist the three tables as Parquet below ``path``.
 
-        Postings are range-clustered by term (partition count from the
-        estimated size unless ``buckets`` is given) so a later search reads
+        Postings are range-clustered by term and document (partition count
+        from the estimated size unless ``buckets`` is given), so that a hot
+        term spans several files and a later search reads
         only the row groups of the queried terms (min/max statistics on
         ``term`` let the scan skip the rest).
         """
         post = self.postings
-        post = post.repartitionByRange(buckets or partitions_for(post), "term")
+        post = post.repartitionByRange(buckets or partitions_for(post), "term", "doc_id")
         post.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")

@@ -245,11 +245,11 @@ def candidates(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_topk(k, metric, exclude_self), CANDIDATE_SCHEMA)
 
 
-def approx_knn(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length: float = 1.0, tables: int = 3, threshold: float = 2.0, seed: int = 42) -> DataFrame:
+def approx_knn(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length: float = 1.0, tables: int = 3, exclude_self: bool = False, seed: int = 42) -> DataFrame:
     """LSH approximate join (random projections), same output contract.
 
-    Candidates are pairs sharing a hash bucket within ``threshold``; recall
-    is measured against :func:`knn`.
+    Candidates are all pairs that share a hash bucket, at any distance;
+    recall is measured against :func:`knn`.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -258,10 +258,11 @@ def approx_knn(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length:
     cv = corpus.select("id", array_to_vector(as_double(F.col("vec"))).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
     model = lsh.fit(cv)
-    j = model.approxSimilarityJoin(qv, cv, threshold, distCol="distance").select(
+    j = model.approxSimilarityJoin(qv, cv, float("inf"), distCol="distance").select(
         F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round("distance", DIST_DIGITS).alias("distance")
     )
-    j = j.filter(F.col("query_id") != F.col("id"))
+    if exclude_self:
+        j = j.filter(F.col("query_id") != F.col("id"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

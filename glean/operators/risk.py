@@ -277,6 +277,11 @@ def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).withColumnRenamed("weight", out)), label)
 
 
+def bounded_rows(df: DataFrame, id_col: Column, n: int) -> DataFrame:
+    """At most ``n`` rows to fit a model on, spread by a hash of the id; the same rows in every run."""
+    return df.orderBy(F.xxhash64(id_col), id_col).limit(n)
+
+
 # --- E9 / B13 / B14 ----------------------------------------------------------
 def top_reasons(df: DataFrame, importances: DataFrame, cols: list[str], n: int = TOP_REASONS) -> DataFrame:
     """The ``n`` features of highest *global* importance with this row's
@@ -324,8 +329,12 @@ def gate(df: DataFrame, task: Column, score: Column, t: float = DEFAULT_THRESHOL
 
 
 # --- K3 / K4 / K7 / K8 / A10 -------------------------------------------------
-def fit_logistic(df: DataFrame, cols: list[str], label: str, weight: str | None = "weight", max_iter: int = 100):
-    """K3: standard scaling + balanced logistic regression, fitted together."""
+def fit_logistic(df: DataFrame, cols: list[str], label: str, weight: str | None = "weight", max_iter: int = 100, c: float = 1.0):
+    """K3: standard scaling + balanced logistic regression, fitted together.
+
+    ``c`` is the inverse strength of the L2 penalty on the standardised
+    features: the loss is summed over rows there and averaged by Spark.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -333,7 +342,8 @@ def fit_logistic(df: DataFrame, cols: list[str], label: str, weight: str | None
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="keep"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, maxIter=max_iter),
+        LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, maxIter=max_iter,
+                           regParam=1.0 / (c * max(df.count(), 1)), standardization=False),
     ]
     return Pipeline(stages=stages).fit(df)
 

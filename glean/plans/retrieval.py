@@ -149,7 +149,7 @@ def q_bm25_persisted(spark, sf):
     searches then read it, as the dependency search reads its index."""
     from glean.session import scratch_path
 
-    stored = index(spark, sf).write(scratch_path(spark, "bm25"), buckets=16)
+    stored = index(spark, sf).write(scratch_path(spark, "bm25"))
     return K.search(tables.retrieval_queries(spark, sf), stored, k=TOOL_K)
 
 

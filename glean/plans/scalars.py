@@ -768,10 +768,10 @@ LINEITEM_COLS = (
 
 @register(
     "profile",
-    sql=" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null FROM lineitem" for c in LINEITEM_COLS),
+    sql=" UNION ALL ".join(f"SELECT '{c}' AS column_name, replace(lower(typeof(any_value({c}))), 'varchar', 'string') AS dtype, count({c}) AS non_null FROM lineitem" for c in LINEITEM_COLS),
     ids=("D17",),
 )
 def q_profile(spark, sf):
     from glean.operators import risk as R
 
-    return R.profile(tables.read(spark, sf, "lineitem")).select("column_name", "non_null")
+    return R.profile(tables.read(spark, sf, "lineitem"))

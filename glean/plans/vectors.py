@@ -76,10 +76,41 @@ def q_knn_cosine(spark, sf):
     return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, metric="cosine", exclude_self=True)
 
 
+# --- L5 over vector hits -------------------------------------------------------
+# Truth stand-in: a hit is right if it has the query's label; the label's name
+# is the keyword and the text of a hit, its id the path.
+@register(
+    "retrieval_eval_vectors",
+    sql=f"""WITH h AS ({_sql_knn(10)}),
+j AS (
+  SELECT h.query_id, h.rank, h.id, a.label = b.label AS m
+  FROM h JOIN embeddings a ON a.vec_id = h.query_id JOIN embeddings b ON b.vec_id = h.id
+),
+g AS (
+  SELECT query_id, max(CASE WHEN m AND rank <= 5 THEN 1 ELSE 0 END) AS r5, min(rank) FILTER (WHERE m) AS first, arg_min(id, rank) FILTER (WHERE m) AS hit
+  FROM j GROUP BY query_id
+)
+SELECT query_id, 'vector ' || query_id || '...' AS query, 'label<' || label || '>' AS keyword,
+       CASE WHEN hit IS NULL THEN 'Not Found' ELSE hit || '.vec' END AS relative_file, CAST(r5 AS INTEGER) AS r_at_5,
+       round(coalesce(1.0 / first, 0.0), 3) AS mrr
+FROM g JOIN embeddings e ON e.vec_id = g.query_id""",
+    ids=("L5", "C1", "C6", "D14", "E2", "E3", "F2"),
+)
+def q_retrieval_eval_vectors(spark, sf):
+    from glean.operators import evalr as E
+
+    v = _vectors(spark, sf)
+    hits = N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=10, exclude_self=True)
+    name = F.concat(F.lit("label<"), F.col("label"), F.lit(">"))
+    meta = v.select(F.col("vec_id").alias("id"), name.alias("text"), F.concat(F.lit("vectors/"), F.col("vec_id"), F.lit(".vec")).alias("relative_path"))
+    truth = v.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("vector "), F.col("vec_id")).alias("query"), name.alias("keyword"))
+    return E.evaluate(hits.join(meta, "id"), truth, k=5)
+
+
 @register("knn_approx", ids=("C2",))
 def q_knn_approx(spark, sf):
     v = _vectors(spark, sf)
-    return N.approx_knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5)
+    return N.approx_knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, exclude_self=True)
 
 
 @register("knn_approx_recall", ids=("C2",))
@@ -88,6 +119,6 @@ def q_knn_approx_recall(spark, sf):
     q = v.select(F.col("vec_id").alias("query_id"), "vec")
     c = v.select(F.col("vec_id").alias("id"), "vec")
     exact = N.knn(q, c, k=5, exclude_self=True)
-    approx = N.approx_knn(q, c, k=5).select("query_id", "id", F.lit(1).alias("hit"))
+    approx = N.approx_knn(q, c, k=5, exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
     j = exact.join(approx, ["query_id", "id"], "left")
     return j.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_at_5"), F.count(F.lit(1)).alias("n_exact"))

@@ -99,15 +99,20 @@ def append_vectors(chunks: DataFrame, path: str, dedup_key: str | None = None) -
     spark = chunks.sparkSession
     out = chunks
     if dedup_key is not None:
-        try:
-            existing = spark.read.parquet(path).select(dedup_key)
-            out = out.join(existing, dedup_key, "left_anti")
-        except Exception:  # no table yet
-            pass
+        out = out.dropDuplicates([dedup_key])
+        if table_exists(spark, path):
+            out = out.join(spark.read.parquet(path).select(dedup_key), dedup_key, "left_anti")
     out.write.mode("append").partitionBy("is_test").parquet(path)
     return True
 
 
+def table_exists(spark, path: str) -> bool:
+    """Whether the folder of a table is there, in whatever store the path names."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def read_vectors(spark, path: str) -> DataFrame:
     """Read a vector table back; the ``is_test`` partition column as boolean."""
     return spark.read.parquet(path).withColumn("is_test", F.col("is_test").cast("boolean"))
@@ -115,10 +120,7 @@ def read_vectors(spark, path: str) -> DataFrame:
 
 def index_count(spark, path: str) -> int:
     """Number of stored rows (0 when the table does not exist)."""
-    try:
-        return spark.read.parquet(path).count()
-    except Exception:
-        return 0
+    return spark.read.parquet(path).count() if table_exists(spark, path) else 0
 
 
 def clear_index(spark, path: str, schema: Ty.StructType) -> None:

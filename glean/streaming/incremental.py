@@ -37,7 +37,7 @@ def self_feed(stream: DataFrame, out_path: str, checkpoint: str, status_col: str
     passed = stream.filter(F.col(status_col) == "passed").withColumn("is_test", F.lit(True)).withColumn(
         "test_status", F.lit("passed")
     )
-    chunks = C.split_stride(passed).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("chunk_no"))
+    chunks = C.split_stride(passed).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_no"))
     write_chunks = _idempotent(out_path, ["is_test"])
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -128,9 +128,5 @@ def change_feed(stream: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-
-
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
