@@ -11,7 +11,7 @@ group is ever gathered into a single value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glean.functions import text as T
@@ -81,7 +81,10 @@ def attempts(log: DataFrame, key: str = "user_id", order: list[Column] | None =
     """
     max_attempts = max(1, int(max_attempts))
     order = order or [F.col("ts"), F.col("event_id")]
-    pos = ordinal(log, key, order, "attempt")
+    # Only the first rows of a key can matter: the rank limit is applied before the shuffle.
+    first = Window.partitionBy(key).orderBy(*order)
+    pos = log.withColumn("attempt", F.row_number().over(first)).filter(F.col("attempt") <= max_attempts)
+    pos = pos.withColumn("attempt", F.col("attempt").cast("long"))
     stop = (F.col("status") == "passed") | (F.col("attempt") >= max_attempts)
     agg = pos.groupBy(key).agg(
         F.min(F.when(stop, F.struct(F.col("attempt"), F.col("status")))).alias("_stop"),

@@ -8,65 +8,41 @@ running totals here use a distributed prefix sum instead:
    hot key across many partitions (its rows differ in the order columns).
    The partition count follows the input's estimated size (about 128 MB
    per partition), since a range partition is never split later.
-2. Inside each partition, rows are sorted and a local per-key cumulative
-   sum is taken (Arrow batches, vectorised, carried across batches).
-3. Only the *first* key of a partition can continue from earlier
-   partitions, so a table with one row per partition gives every
-   partition its offset; it is bounded by the partition count and joined
-   back by broadcast.
-
-Consistency: the local sums and the boundary table are two consumers of one
-range exchange.  The Python step is opaque to column pruning, so both
-branches hold the identical exchange and Spark reuses it (``configure``
-keeps ``spark.sql.exchange.reuse`` on); both therefore see the same range
-bounds and partition ids.  A JVM-only variant built from
-``monotonically_increasing_id`` fails exactly here (pruning gives its two
-branches different exchanges, sampled separately), which is why the
-Python step is kept.
+2. The ranged rows are written once to the shared checkpoint folder with
+   the number of their range, so every later step sees the same ranges.
+3. Windows over (range, key) give the totals within a range, and a window
+   per key over one row for each (range, key) what stands before it.
 
 The result equals ``sum(value) OVER (PARTITION BY key ORDER BY order ROWS
-BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)`` for non-negative integral
-values.  Ties in ``order`` must be broken by the caller (make the order
-unique) for the result to be exact.
+BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)`` for integral values; null is
+a key like any other.  Ties in ``order`` must be broken by the caller (make
+the order unique) for the result to be exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from glean.plans.strategy import partitions_for
+from glean.session import scratch_path
 
-PID = "_pid"
+RANGE = "_range"
 
 
-def _same(keys, key):
-    """Rows whose key is ``key``; null equals null."""
-    import pandas as pd
-
-    return keys.isna() if pd.isna(key) else keys == key
-
-
-def _local_cumsum(key: str, value: str, out: str):
-    def fn(batches):
-        import pandas as pd
+def _ranged(df: DataFrame, key: str, order: list[Column], partitions: int | None) -> DataFrame:
+    """``df`` with the number of its range, written once.  Rows of a key stand in ascending ranges."""
+    n = partitions or partitions_for(df)
+    ranged = df.repartitionByRange(n, F.col(key), *order).withColumn(RANGE, F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ranged")
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
 
-        carry_key, carry, begun = None, 0, False
-        for pdf in batches:
-            if pdf.empty:
-                pdf[out] = pd.Series(dtype="int64")
-                yield pdf
-                continue
-            local = pdf.groupby(key, sort=False, dropna=False)[value].cumsum()
-            if begun:
-                local = local + _same(pdf[key], carry_key).astype("int64") * carry
-            carry_key, begun = pdf[key].iloc[-1], True
-            carry = int(local.iloc[-1])
-            pdf[out] = local.astype("int64")
-            yield pdf
 
-    return fn
+def _carried(ends: DataFrame, key: str, local: DataFrame) -> DataFrame:
+    """``local`` with the columns of ``ends`` (one row for each range and key)."""
+    e = ends.withColumnsRenamed({key: "_k", RANGE: "_r"})
+    return local.join(e, F.col(key).eqNullSafe(F.col("_k")) & (F.col(RANGE) == F.col("_r")), "left").drop("_k", "_r")
 
 
 def running_total(
@@ -78,35 +54,14 @@ def running_total(
     partitions: int | None = None,
 ) -> DataFrame:
     """Running ``sum(value)`` per ``key`` along ``order`` (integral values)."""
-    n = partitions or partitions_for(df)
     val = value if isinstance(value, Column) else F.col(value)
-    base = df.withColumn("_v", val.cast("long"))
-    ranged = base.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-    ranged = ranged.withColumn(PID, F.spark_partition_id())
-    schema = Ty.StructType(ranged.schema.fields + [Ty.StructField("_local", Ty.LongType())])
-    local = ranged.mapInPandas(_local_cumsum(key, "_v", "_local"), schema)
-
-    # One row per partition: its first key, last key and the local total of
-    # its last key.  Bounded by the number of partitions.
-    bounds = local.groupBy(PID).agg(
-        F.min(F.struct(F.col(key).alias("k"), F.col("_local").alias("t"))).alias("first"),
-        F.max(F.struct(F.col(key).alias("k"), F.col("_local").alias("t"))).alias("last"),
-    )
-    # Single-partition windows over ``bounds`` are fine: one row per partition.
-    w = Window.orderBy(PID)
-    # Sum of local totals of the same key over all earlier partitions: a
-    # running sum over partitions whose last key is that key.
-    cum_last = F.sum(F.col("last.t")).over(Window.partitionBy(F.col("last.k")).orderBy(PID))
-    b = bounds.select(PID, F.col("first.k").alias("first_key"), F.col("last.k").alias("last_key"), cum_last.alias("cum"))
-    b = b.withColumn("prev_last_key", F.lag("last_key").over(w)).withColumn("prev_cum", F.lag("cum").over(w))
-    offsets = b.select(
-        PID,
-        "first_key",
-        F.when(F.col("prev_last_key").eqNullSafe(F.col("first_key")), F.coalesce("prev_cum", F.lit(0))).otherwise(F.lit(0)).alias("offset"),
-    )
-    joined = local.join(F.broadcast(offsets), PID)
-    total = F.col("_local") + F.when(F.col(key).eqNullSafe(F.col("first_key")), F.col("offset")).otherwise(F.lit(0))
-    return joined.withColumn(out, total).drop(PID, "_v", "_local", "first_key", "offset")
+    rows = _ranged(df.withColumn("_v", val.cast("long")), key, order, partitions)
+    sums = rows.groupBy(key, RANGE).agg(F.sum("_v").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.select(key, RANGE, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(RANGE, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_local", F.sum("_v").over(within))
+    return _carried(ends, key, local).withColumn(out, F.col("_before") + F.col("_local")).drop(RANGE, "_v", "_local", "_before")
 
 
 def ordinal(df: DataFrame, key: str, order: list[Column], out: str = "pos", partitions: int | None = None) -> DataFrame:
@@ -114,75 +69,29 @@ def ordinal(df: DataFrame, key: str, order: list[Column], out: str = "pos", part
     return running_total(df, key, order, F.lit(1), out, partitions)
 
 
-def _local_pos_prev(key: str, cols: list[str]):
-    def fn(batches):
-        import pandas as pd
-
-        carry_key, carry_n, carry_vals, begun = None, 0, None, False
-        for pdf in batches:
-            if pdf.empty:
-                for c in cols:
-                    pdf["_prev_" + c] = pdf[c]
-                pdf["_local"] = pd.Series(dtype="int64")
-                yield pdf
-                continue
-            number = pdf.groupby(key, sort=False, dropna=False).cumcount().astype("int64")
-            local = number + 1
-            # Rows of a key stand together; objects keep integers exact beside the missing first value.
-            prev = {c: pdf[c].astype(object).shift(1).where(number > 0, None) for c in cols}
-            if begun:
-                cont = _same(pdf[key], carry_key)
-                local = local + cont.astype("int64") * carry_n
-                if cont.iloc[0]:
-                    for c in cols:
-                        prev[c].iloc[0] = carry_vals[c]
-            begun = True
-            carry_key, carry_n = pdf[key].iloc[-1], int(local.iloc[-1])
-            carry_vals = {c: pdf[c].iloc[-1] for c in cols}
-            for c in cols:
-                pdf["_prev_" + c] = prev[c]
-            pdf["_local"] = local
-            yield pdf
-
-    return fn
-
-
 def ordinal_lag(df: DataFrame, key: str, order: list[Column], cols: list[str], out: str = "pos", prefix: str = "prev_", partitions: int | None = None) -> DataFrame:
     """Position along ``order`` within ``key`` and the previous row's
-    ``cols`` (``lag``) in one balanced pass, with no self-join.
+    ``cols`` (``lag``) in one pass, with no self-join.
 
-    The local step carries the previous row across Arrow batches; the first
-    row of a key in a partition takes the previous partition's last row
-    from the one-row-per-partition boundary table when that row has the
-    same key.
+    The first row of a key in a range takes the last row of the key's range
+    before.
     """
-    n = partitions or partitions_for(df)
-    ranged = df.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-    ranged = ranged.withColumn(PID, F.spark_partition_id())
-    fields = ranged.schema.fields
-    types = {f.name: f.dataType for f in fields}
-    schema = Ty.StructType(fields + [Ty.StructField("_prev_" + c, types[c]) for c in cols] + [Ty.StructField("_local", Ty.LongType())])
-    local = ranged.mapInPandas(_local_pos_prev(key, cols), schema)
-    last = F.max(F.struct(F.col(key).alias("k"), F.col("_local").alias("t"), *[F.col(c).alias("v_" + c) for c in cols]))
-    bounds = local.groupBy(PID).agg(F.min(F.struct(F.col(key).alias("k"))).alias("first"), last.alias("last"))
-    w = Window.orderBy(PID)
-    cum_last = F.sum(F.col("last.t")).over(Window.partitionBy(F.col("last.k")).orderBy(PID))
-    b = bounds.select(PID, F.col("first.k").alias("first_key"), F.col("last.k").alias("last_key"), cum_last.alias("cum"),
-                      *[F.col("last.v_" + c).alias("last_" + c) for c in cols])
-    lagged = [F.lag("last_key").over(w).alias("prev_last_key"), F.lag("cum").over(w).alias("prev_cum")]
-    lagged += [F.lag(F.lit(True), 1, False).over(w).alias("has_prev")]
-    lagged += [F.lag("last_" + c).over(w).alias("prev_last_" + c) for c in cols]
-    b = b.select(PID, "first_key", *lagged)
-    same = F.col("has_prev") & F.col("prev_last_key").eqNullSafe(F.col("first_key"))
-    offsets = b.select(
-        PID, "first_key",
-        F.when(same, F.col("prev_cum")).otherwise(F.lit(0)).alias("_offset"),
-        F.coalesce(same, F.lit(False)).alias("_cont"),
-        *[F.col("prev_last_" + c) for c in cols],
+    rows = _ranged(df, key, order, partitions)
+    within = Window.partitionBy(RANGE, key).orderBy(*order)
+    local = rows.select(
+        "*",
+        F.row_number().over(within).alias("_local"),
+        *[F.lag(c).over(within).alias(f"_lag_{c}") for c in cols],
+        F.lead(F.lit(1)).over(within).isNull().alias("_last"),
+    )
+    last = local.filter("_last").select(key, RANGE, "_local", *[F.col(c).alias(f"_end_{c}") for c in cols])
+    ranges = Window.partitionBy(key).orderBy(RANGE)
+    ends = last.select(
+        key,
+        RANGE,
+        F.coalesce(F.sum("_local").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        *[F.lag(f"_end_{c}").over(ranges).alias(f"_end_{c}") for c in cols],
     )
-    j = local.join(F.broadcast(offsets), PID)
-    at_start = F.col(key).eqNullSafe(F.col("first_key")) & (F.col("_local") == 1) & F.col("_cont")
-    out_cols = [F.when(at_start, F.col("prev_last_" + c)).otherwise(F.col("_prev_" + c)).alias(prefix + c) for c in cols]
-    pos = (F.col("_local") + F.when(F.col(key).eqNullSafe(F.col("first_key")), F.col("_offset")).otherwise(F.lit(0))).alias(out)
-    keep = [c for c in df.columns]
-    return j.select(*keep, pos, *out_cols)
+    j = _carried(ends, key, local)
+    prev = [F.when(F.col("_local") == 1, F.col(f"_end_{c}")).otherwise(F.col(f"_lag_{c}")).alias(prefix + c) for c in cols]
+    return j.select(*df.columns, (F.col("_before") + F.col("_local")).alias(out), *prev)

@@ -8,10 +8,10 @@ task.  Models are Spark ML estimators trained on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glean.operators.ordered import ordinal, running_total
+from glean.operators.ordered import running_total
 
 # The risk feature set, in order, and policy defaults.
 FEATURES = ("loc", "vg", "v", "d", "e", "complexity_density", "volume_per_line")
@@ -77,15 +77,13 @@ def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_n
         name,
         F.explode(F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("_n") - 1) * q).alias("h")) for q in qs])).alias("w"),
     ).select(name, "w.q", "w.h", F.floor("w.h").alias("lo"), F.ceil("w.h").alias("hi"))
-    # ``wanted`` has len(qs) rows per column: a bounded broadcast.
-    w = F.broadcast(wanted)
-
-    def at(pos: str, out: str) -> DataFrame:
-        covers = (F.col("_end") - F.col("_c") <= F.col(pos)) & (F.col(pos) < F.col("_end"))
-        return w.join(run, name).filter(covers).select(name, "q", F.col(value).alias(out))
-
-    out = wanted.join(at("lo", "v_lo"), [name, "q"]).join(at("hi", "v_hi"), [name, "q"])
-    return out.select(name, "q", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    # ``wanted`` has len(qs) rows per column: a bounded broadcast.  Both
+    # neighbours of a position come from one pass over the running counts.
+    start = F.col("_end") - F.col("_c")
+    covers = [(start <= F.col(p)) & (F.col(p) < F.col("_end")) for p in ("lo", "hi")]
+    near = run.join(F.broadcast(wanted), name).filter(covers[0] | covers[1])
+    ends = near.groupBy(name, "q", "h", "lo").agg(*[F.max(F.when(c, F.col(value))).alias(v) for c, v in zip(covers, ("v_lo", "v_hi"))])
+    return ends.select(name, "q", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
 
 
 def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
@@ -232,17 +230,29 @@ def sweep(df: DataFrame, label: str, score: str, thresholds=(0.2, 0.3, 0.4, 0.5)
 
 
 # --- K1 ----------------------------------------------------------------------
+PREFIX = 4  # hex digits: 65,536 prefixes for each class
+
+
 def stratified_split(df: DataFrame, label: str, id_col: Column, test_size: float = 0.2) -> DataFrame:
     """K1: exact per-class proportions; a row is in the test split when its
-    rank by ``md5(id)`` within its class is at most ``ceil(test_size * n)``."""
-    keyed = df.withColumn("_h", F.md5(id_col.cast("string")))
-    pos = ordinal(keyed, label, [F.col("_h")], "_rank")
-    n = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    rank by ``md5(id)`` within its class is at most ``ceil(test_size * n)``.
+
+    Rows are counted by class and hash prefix; only the rows of the prefix in
+    which a class's cut falls are ranked.
+    """
+    keyed = df.withColumn("_h", F.md5(id_col.cast("string"))).withColumn("_p", F.substring("_h", 1, PREFIX))
+    counts = keyed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_c"))  # 16**PREFIX rows for each class at most
+    run = F.sum("_c").over(Window.partitionBy(label).orderBy("_p"))
+    size = F.ceil(F.sum("_c").over(Window.partitionBy(label)) * test_size)
+    cut = counts.select(F.col(label).alias("_l"), F.col("_p").alias("_cut"), (run - F.col("_c")).alias("_before"), run.alias("_to"), size.alias("_size"))
+    cut = cut.filter("_before < _size AND _size <= _to").drop("_to")
     # One row per class: bounded broadcast.
-    out = pos.join(F.broadcast(n), label).withColumn(
-        "split", F.when(F.col("_rank") <= F.ceil(F.col("_n") * test_size), F.lit("test")).otherwise(F.lit("train"))
-    )
-    return out.drop("_h", "_rank", "_n")
+    j = keyed.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_l")), "left")
+    clear = F.when(F.col("_p") < F.col("_cut"), "test").otherwise("train")
+    outside = j.filter("_cut IS NULL OR _p <> _cut").withColumn("split", clear)
+    rank = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h"))
+    inside = j.filter("_p = _cut").withColumn("split", F.when(F.col("_before") + rank <= F.col("_size"), "test").otherwise("train"))
+    return outside.unionByName(inside).drop("_h", "_p", "_l", "_cut", "_before", "_size")
 
 
 # --- K2 ----------------------------------------------------------------------
@@ -287,14 +297,14 @@ def top_reasons(df: DataFrame, importances: DataFrame, cols: list[str], n: int =
     """The ``n`` features of highest *global* importance with this row's
     values, as ``ARRAY<STRUCT<feature, impact, value>>`` (same features on
     every row; ties broken by feature name)."""
-    imp = importances  # one row: a column per feature
-    j = df.crossJoin(F.broadcast(imp.select(*[F.col(c).alias(f"_imp_{c}") for c in cols])))
-    arr = F.array(
-        *[F.struct((-F.col(f"_imp_{c}")).alias("k"), F.lit(c).alias("feature"), F.col(f"_imp_{c}").alias("impact"), F.col(c).cast("double").alias("value")) for c in cols]
+    order = F.array_sort(F.array(*[F.struct((-F.col(c)).alias("k"), F.lit(c).alias("feature"), F.col(c).alias("impact")) for c in cols]))
+    top = importances.select(F.slice(order, 1, n).alias("_top"))  # one row: sorted once
+    values = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])
+    reasons = F.transform(
+        "_top", lambda s: F.struct(s["feature"].alias("feature"), s["impact"].alias("impact"), F.col("_values")[s["feature"]].alias("value"))
     )
-    top = F.slice(F.array_sort(arr), 1, n)
-    reasons = F.transform(top, lambda s: F.struct(s["feature"].alias("feature"), s["impact"].alias("impact"), s["value"].alias("value")))
-    return j.withColumn("reasons", reasons).drop(*[f"_imp_{c}" for c in cols])
+    j = df.withColumn("_values", values).crossJoin(F.broadcast(top))
+    return j.withColumn("reasons", reasons).drop("_top", "_values")
 
 
 def fallback(score: Column, features_present: Column) -> tuple[Column, Column]:

@@ -768,7 +768,7 @@ LINEITEM_COLS = (
 
 @register(
     "profile",
-    sql=" UNION ALL ".join(f"SELECT '{c}' AS column_name, replace(lower(typeof(any_value({c}))), 'varchar', 'string') AS dtype, count({c}) AS non_null FROM lineitem" for c in LINEITEM_COLS),
+    sql=" UNION ALL ".join(f"SELECT '{c}' AS column_name, replace(replace(replace(lower(typeof(any_value({c}))), 'varchar', 'string'), 'integer', 'int'), 'timestamp', 'timestamp_ntz') AS dtype, count({c}) AS non_null FROM lineitem" for c in LINEITEM_COLS),
     ids=("D17",),
 )
 def q_profile(spark, sf):
