@@ -50,6 +50,8 @@ class KeywordIndex:
     # True when the tables are read from files (a written index): searches
     # then push a literal term filter into the postings scan.
     persisted: bool = False
+    # One row with the number of documents, where the statistics can be taken from written postings.
+    n_docs: DataFrame | None = None
 
     def write(self, path: str, buckets: int | None = None) -> "KeywordIndex":
         """Persist the three tables as Parquet below ``path``.
@@ -63,8 +65,11 @@ class KeywordIndex:
         post = self.postings
         post = post.repartitionByRange(buckets or partitions_for(post), "term", "doc_id")
         post.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        per_term, corpus = self.term_stats, self.corpus_stats
+        if self.n_docs is not None:  # texts are tokenised once: the statistics read the written postings
+            per_term, corpus = _statistics(post.sparkSession.read.parquet(f"{path}/postings"), self.n_docs)
+        per_term.write.mode("overwrite").parquet(f"{path}/term_stats")
+        corpus.write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return KeywordIndex.read(self.postings.sparkSession, path)
 
     @staticmethod
@@ -152,8 +157,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("toks").cast("int").alias("dl"),
         F.explode(term_frequencies(F.col("toks"))).alias("p"),
     ).select(F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"), "dl")
-    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n_docs = ids.agg(F.count(F.lit(1)).alias("n_docs"))
+    return KeywordIndex(postings, *_statistics(postings, n_docs), n_docs=n_docs)
+
+
+def _statistics(postings: DataFrame, n_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Term statistics and the one-row corpus statistics of postings."""
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     total = per_term.agg(F.sum("cf").cast("double").alias("_tokens"))
     corpus_stats = n_docs.crossJoin(total).select(
         "n_docs", F.coalesce(F.try_divide(F.col("_tokens"), F.col("n_docs")), F.lit(0.0)).alias("avgdl")
@@ -163,7 +173,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "df",
         F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )
-    return KeywordIndex(postings, term_stats, corpus_stats)
+    return term_stats, corpus_stats
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query", tokenizer=T.tokens) -> DataFrame:

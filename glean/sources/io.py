@@ -107,10 +107,16 @@ def append_vectors(chunks: DataFrame, path: str, dedup_key: str | None = None) -
 
 
 def table_exists(spark, path: str) -> bool:
-    """Whether the folder of a table is there, in whatever store the path names."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    """Whether the folder of a table, in whatever store the path names, holds a data file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(where):
+        return False
+    files = store.listFiles(where, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
 
 
 def read_vectors(spark, path: str) -> DataFrame:

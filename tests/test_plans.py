@@ -31,11 +31,23 @@ def test_flagship_prunes_and_pushes_down(spark):
     assert "BroadcastHashJoin" in text and "WindowGroupLimit" in text
 
 
-def test_history_windows_are_range_partitioned(spark):
-    for key in ("trim_history", "attempts", "tool_context"):
+def test_history_windows_are_split_by_range(spark):
+    """Windows over rows are keyed by the stored range and the key, so a hot key is many tasks."""
+    for key in ("trim_history", "tool_context"):
         p = plan(load_all()[key].fn(spark, SF))
-        assert "rangepartitioning" in p
-        assert "Window [" not in p.split("BroadcastExchange")[0] or "rangepartitioning" in p
+        assert "hashpartitioning(_range" in p and "Python" not in p and "Pandas" not in p
+    assert "WindowGroupLimit" in plan(load_all()["attempts"].fn(spark, SF))
+
+
+def test_hot_term_spans_several_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glean.operators import keyword as K
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.col("id")).alias("text"))
+    stored = K.build_index(docs).write(str(tmp_path / "idx"), buckets=8)
+    files = stored.postings.filter("term = 'common'").select(F.input_file_name()).distinct().count()
+    assert files > 1 and stored.term_stats.filter("term = 'common'").first()["df"] == 4000
 
 
 def test_knn_has_no_all_pairs_join(spark):
