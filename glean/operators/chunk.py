@@ -19,6 +19,22 @@ CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 150
 # Default ordered separators: blank line, newline, space, any character.
 SEPARATORS = ("\n\n", "\n", " ", "")
+# What opens a unit of each language, tried before the default separators: definitions first, then statements.
+UNITS = {
+    "python": ("class ", "def ", "\tdef "),
+    "ts": ("enum ", "interface ", "namespace ", "type ", "class ", "function ", "const ", "let ", "if ", "for ", "switch "),
+    "js": ("class ", "function ", "const ", "let ", "if ", "for ", "switch "),
+    "java": ("class ", "interface ", "enum ", "public ", "protected ", "private ", "if ", "for ", "switch "),
+    "csharp": ("namespace ", "interface ", "enum ", "class ", "public ", "private ", "if ", "for ", "switch "),
+    "cpp": ("namespace ", "class ", "struct ", "void ", "int ", "if ", "for ", "switch "),
+    "go": ("type ", "func ", "var ", "const ", "if ", "for ", "switch "),
+    "markdown": ("# ", "## ", "### ", "#### "),
+}
+
+
+def separators_for(language: str | None) -> tuple[str, ...]:
+    """Ordered separators of a language id; unknown ones take the default."""
+    return tuple(f"\n{u}" for u in UNITS.get(language or "", ())) + SEPARATORS
 
 
 def stride_starts(length: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -92,10 +108,26 @@ def recursive_udf(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separato
     return split
 
 
-def split_recursive(df: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS) -> DataFrame:
-    """L1 (recursive mode) / J4: one row per chunk."""
-    udf = recursive_udf(size, overlap, separators)
-    return df.select("*", F.posexplode(udf(F.col(text_col))).alias("chunk_no", "chunk"))
+def split_recursive(
+    df: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=SEPARATORS, language_col: str | None = None
+) -> DataFrame:
+    """L1 (recursive mode) / J4: one row per chunk; with ``language_col`` each row's language chooses its separators."""
+    if language_col is None:
+        chunks = recursive_udf(size, overlap, separators)(F.col(text_col))
+    else:
+        chunks = by_language_udf(size, overlap)(F.col(text_col), F.col(language_col))
+    return df.select("*", F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+
+def by_language_udf(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    import pandas as pd
+
+    @F.pandas_udf(Ty.ArrayType(Ty.StringType()))
+    def split(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([split_recursive_text(t, size, overlap, separators_for(la)) for t, la in zip(texts, languages)], dtype=object)
+
+    return split
+
 
 
 def summary(chunks: DataFrame, path_col: str = "relative_path", text_col: str = "description", code_col: str = "source_code") -> DataFrame:

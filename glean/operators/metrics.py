@@ -60,9 +60,45 @@ def mean_complexity(blocks: Column) -> Column:
     return F.when(n > 0, total / n).otherwise(F.lit(1.0))
 
 
-def missing(df: DataFrame, required) -> list[str]:
-    """Required feature columns that the frame lacks."""
-    return [c for c in required if c not in df.columns]
+def _logical_lines(tree) -> int:
+    """Statements, and the clause headers and decorators that stand on lines of their own."""
+    import ast
+
+    n = 0
+    for node in ast.walk(tree):
+        n += isinstance(node, (ast.stmt, ast.ExceptHandler, ast.match_case))
+        n += len(getattr(node, "decorator_list", ()))
+        n += bool(getattr(node, "finalbody", None))
+        otherwise = getattr(node, "orelse", None) if isinstance(node, ast.stmt) else None
+        chained = isinstance(node, ast.If) and otherwise and len(otherwise) == 1 and isinstance(otherwise[0], ast.If)
+        n += bool(otherwise) and not chained
+    return n
+
+
+def _blocks(tree) -> list:
+    """Functions, methods and classes; a function within a function belongs to it."""
+    import ast
+
+    found, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                found.append(child)
+            else:
+                if isinstance(child, ast.ClassDef):
+                    found.append(child)
+                todo.append(child)
+    return found
+
+
+def _complexity(block) -> int:
+    """1 and the branches below a block; a chain of n conditions is n - 1 branches."""
+    import ast
+
+    branch = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.IfExp, ast.ExceptHandler, ast.comprehension, ast.Assert)
+    below = list(ast.walk(block))
+    return 1 + sum(isinstance(n, branch) for n in below) + sum(len(n.values) - 1 for n in below if isinstance(n, ast.BoolOp))
 
 
 def _python_metrics(code: str):
@@ -77,13 +113,8 @@ def _python_metrics(code: str):
         tree = ast.parse(code)
     except Exception:  # noqa: BLE001 - any parse failure means "no features"
         return None
-    lines = [ln.strip() for ln in code.splitlines()]
-    loc = sum(1 for ln in lines if ln and not ln.startswith("#"))
-    branch = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.BoolOp, ast.IfExp, ast.ExceptHandler, ast.comprehension, ast.Assert)
-    blocks = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            blocks.append(1 + sum(isinstance(n, branch) for n in ast.walk(node)))
+    loc = _logical_lines(tree)
+    blocks = [_complexity(n) for n in _blocks(tree)]
     vg = sum(blocks) / len(blocks) if blocks else 1.0
     ops, opds = [], []
     try:

@@ -63,8 +63,14 @@ def q_chunk_summary(spark, sf):
 
 
 # --- J3 ----------------------------------------------------------------------
-@register("enrich", ids=("J3", "DM3"))
+@register(
+    "enrich",
+    sql=f"""WITH {SQL_STRIDE}
+SELECT doc_id, chunk_no, md5(string_split({sql_strip('chunk')}, chr(10))[1]) AS description_md5, CAST(length(chunk) AS INTEGER) AS code_chars FROM k""",
+    ids=("J3", "DM3"),
+)
 def q_enrich(spark, sf):
+    """The declared default hook: the first line of a chunk describes it."""
     ch = stride_chunks(spark, sf)
     return C.enrich(ch).select("doc_id", "chunk_no", F.md5("description").alias("description_md5"), F.length("source_code").alias("code_chars"))
 
@@ -115,9 +121,37 @@ def q_mean_complexity(spark, sf):
 
 
 # --- L2 / J1 -----------------------------------------------------------------
-@register("code_metrics", ids=("L2", "B9", "B11"))
+# Source text built from the table's columns, so that the features can be
+# counted by hand; every tenth document keeps its prose, which does not parse.
+CODE = """def f_%d(x, y):
+    # note
+    \'\'\'%s\'\'\'
+    if x > %d and y and x:
+        return y
+
+    else:
+        return x
+"""
+
+
+@register(
+    "code_metrics",
+    sql="""WITH c AS (
+  SELECT doc_id, doc_id % 10 <> 9 AS ok,
+         -- def ( , ) : if > and and : return else : return (10 of 14 differ); f x y text x n y x y x (5 of 10 differ)
+         14.0 + 10 AS len, log2(10.0 + 5) AS bits, CAST(10 / 2 * 10 / 5 AS DOUBLE) AS d
+  FROM documents
+)
+SELECT doc_id, CASE WHEN ok THEN 6.0::DOUBLE END AS loc, CASE WHEN ok THEN 4.0::DOUBLE END AS vg, CASE WHEN ok THEN round(CAST(len AS DOUBLE) * bits, 6) END AS v,
+       CASE WHEN ok THEN round(d, 6) END AS d, CASE WHEN ok THEN round(d * CAST(len AS DOUBLE) * bits, 6) END AS e
+FROM c""",
+    ids=("L2", "B9", "B11"),
+)
 def q_code_metrics(spark, sf):
-    return M.code_metrics(tables.read(spark, sf, "documents"))
+    docs = tables.read(spark, sf, "documents")
+    code = F.format_string(CODE, "doc_id", "lang", F.col("doc_id"))
+    found = M.code_metrics(docs.select("doc_id", F.when(F.col("doc_id") % 10 == 9, F.col("text")).otherwise(code).alias("text")))
+    return found.select("doc_id", "loc", "vg", *[F.round(c, 6).alias(c) for c in ("v", "d", "e")])
 
 
 def _word_metrics(code: str) -> dict:
@@ -125,7 +159,17 @@ def _word_metrics(code: str) -> dict:
     return {"loc": float(len(code.splitlines())), "v": float(len(words)), "d": float(len(set(words)))}
 
 
-@register("metrics_extractor", ids=("J1", "B11", "B10"))
+@register(
+    "metrics_extractor",
+    sql=f"""WITH w AS (
+  SELECT doc_id, CAST(len(string_split(rtrim(text, chr(10)), chr(10))) AS DOUBLE) AS loc, regexp_extract_all(text, '[^{SP}]+', 0) AS ws, text
+  FROM documents
+)
+SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE loc END AS loc, CAST(len(ws) AS DOUBLE) AS v, CAST(len(list_distinct(ws)) AS DOUBLE) AS d,
+       0.0::DOUBLE AS vg, 0.0::DOUBLE AS e, 0.0::DOUBLE AS complexity_density, 0.0::DOUBLE AS volume_per_line
+FROM w""",
+    ids=("J1", "B11", "B10"),
+)
 def q_metrics_extractor(spark, sf):
     return M.extract(tables.read(spark, sf, "documents"), _word_metrics)
 
@@ -375,7 +419,7 @@ FROM d""",
 def q_tree_scan(spark, sf):
     from glean.sources import tree
 
-    root = scratch_path(spark, "tree")
+    root = tree.local_path(scratch_path(spark, "tree"))
     _write_tree(spark, sf, root)
     files = tree.scan(spark, root, extensions=(".md",))
     docs = IO.to_documents(files, is_test=False)

@@ -41,9 +41,16 @@ def _suffix(name: str) -> str:
     return name[i:] if 0 < i < len(name) - 1 else ""
 
 
+def local_path(path: str) -> str:
+    """A path without the ``file:`` scheme.  Trees are read from mounted folders; other schemes are refused."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path}: a source tree is read from a folder that every executor has mounted")
+    return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root = local_path(options["path"])
         self.exts = tuple(x for x in options.get("extensions", ",".join(DEFAULT_EXTENSIONS)).split(",") if x)
         self.ignored = frozenset(x for x in options.get("ignored", ",".join(IGNORED_DIRS)).split(",") if x)
         self.skip = tuple(x for x in options.get("skip_substrings", "").split(",") if x)

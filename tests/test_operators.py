@@ -442,3 +442,20 @@ def test_running_totals_with_null_keys_and_large_ids(spark):
     assert pos == {i: i + 1 if i < 60 else i - 59 for i in range(90)}
     lag = {r.o: (r.pos, r.prev_id) for r in ordinal_lag(df, "key", [F.col("o")], ["id"], partitions=4).collect()}
     assert lag == {i: (pos[i], None if i in (0, 60) else big + i - 1) for i in range(90)}
+
+
+def test_language_chooses_the_separators(spark):
+    code = "import os\n" + "x = 1\n" * 20 + "class A:\n    y = 2\n" + "    z = 3\n" * 10 + "def f():\n    return 1\n"
+    df = spark.createDataFrame([(1, code, "python"), (2, code, "go"), (3, None, "python")], "doc_id int, text string, language string")
+    rows = C.split_recursive(df, size=150, overlap=0, language_col="language").collect()
+    chunks = {d: [r.chunk for r in rows if r.doc_id == d] for d in (1, 2, 3)}
+    assert chunks[3] == [] and all(len(c) <= 150 for v in chunks.values() for c in v)
+    assert any(c.startswith("A:") for c in chunks[1]) and not any(c.startswith("A:") for c in chunks[2])
+
+
+def test_patches_in_order(spark):
+    docs = spark.createDataFrame([("a", "one two")], "relative_path string, text string")
+    p = lambda s, r: f"{PT.SEARCH_MARK}\n{s}\n{PT.DIVIDER}\n{r}\n{PT.REPLACE_MARK}"
+    patches = spark.createDataFrame([("a", 2, p("three", "four")), ("a", 1, p("one", "three"))], "relative_path string, n int, patch string")
+    got = PT.apply_in_order(docs, patches, "n").first()
+    assert (got.content, got.modes) == ("four two", ["exact", "exact"])
