@@ -28,10 +28,10 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glean.llm.common import bounded_sample, id_crc
+from glean.llm.common import id_crc
 
 DOCS_PER_LANG, SPANS, SPAN_WORDS = 200, 8, 24
 HELD_OUT_MOD, HELD_OUT = 4, 2
@@ -242,13 +242,9 @@ class Labeller:
 def fit(docs: DataFrame) -> Crf:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % HELD_OUT_MOD != HELD_OUT))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language to learn
-    picked = None
-    for r in sorted(sizes, key=lambda r: r["lang"]):
-        own = bounded_sample(rows.filter(F.col("lang") == r["lang"]).select("doc_id", "lang"), "doc_id", DOCS_PER_LANG)
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is None:
-        return train([])
+    # The rank limit is applied within each task first, so a frequent language is never gathered.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), F.col("doc_id")), F.col("doc_id"))
+    picked = rows.select("doc_id", "lang", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= DOCS_PER_LANG).drop("rank")
     picked = picked.distinct().withColumnsRenamed({"doc_id": "d", "lang": "la"})
     chosen = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("la")))
 
