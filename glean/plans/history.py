@@ -160,12 +160,15 @@ def q_has_tool(spark, sf):
 @register(
     "tool_success",
     sql="""
-SELECT conv_id, arg_max(role, turn) = 'assistant' AND strpos(upper(arg_max(text, turn)), 'SUCCESS') > 0 AS success
+SELECT conv_id, arg_max(role, turn) = 'assistant' AND conv_id % 2 = 0 AS success
 FROM conversations GROUP BY conv_id""",
     ids=("B17",),
 )
 def q_tool_success(spark, sf):
-    return H.tool_success(_tool_messages(spark, sf), "tool", ("SUCCESS",))
+    # Stand-in text: messages of every second conversation report success, in small letters.
+    report = F.when(F.col("conv_id") % 2 == 0, F.lit(" success")).otherwise(F.lit(" failure"))
+    m = _tool_messages(spark, sf)
+    return H.tool_success(m.withColumn("text", F.concat("text", report)), "tool", ("SUCCESS",))
 
 
 # --- B20 -------------------------------------------------------------------

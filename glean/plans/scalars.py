@@ -648,11 +648,14 @@ REVIEW_MARKS = ("Review Notes", "Final Test Plan")
 
 @register(
     "review_done",
-    sql="SELECT conv_id, turn, strpos(text, 'Review Notes') > 0 OR strpos(text, 'Final Test Plan') > 0 AS review_done FROM conversations",
+    sql="SELECT conv_id, turn, conv_id % 4 IN (1, 2) AS review_done FROM conversations",
     ids=("B16",),
 )
 def q_review_done(spark, sf):
+    # Stand-in text: by conversation, no mark, either mark, or a mark in other letters.
+    marks = F.array(*[F.lit(x) for x in ("", *REVIEW_MARKS, REVIEW_MARKS[0].upper())])
     c = tables.read(spark, sf, "conversations")
+    c = c.withColumn("text", F.concat("text", F.lit(" "), F.get(marks, (F.col("conv_id") % 4).cast("int"))))
     flag = (F.instr("text", REVIEW_MARKS[0]) > 0) | (F.instr("text", REVIEW_MARKS[1]) > 0)
     return c.select("conv_id", "turn", flag.alias("review_done"))
 
