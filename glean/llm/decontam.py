@@ -8,9 +8,10 @@ goes on with shorter ones to ``min_match``.  Tiles may stand in any order, so a
 reordered passage is caught.  A text is contaminated by an item if tiles cover
 at least ``threshold`` of the item's words.
 
-The benchmark is read in blocks of at most ``block_words`` words, each of which
-is shipped to the executors; every block meets every text, so any size of
-benchmark works in bounded memory.  Documents are never shuffled.
+The benchmark is read in blocks of at most ``block_words`` words.  Each is shipped to
+the executors and meets every text in a pass of its own; what the pass finds is written
+and the block released before the next one, so any size of benchmark works in bounded
+memory.  Documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing; an item of fewer
 than ``min_match`` words matches where all its words stand together; repeated
@@ -21,14 +22,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_MATCH, THRESHOLD, BLOCK_WORDS = 4, 0.7, 200_000
+from glean.llm.common import stored
+
+MIN_MATCH, THRESHOLD, BLOCK_WORDS = 4, 0.7, 1_000_000
 
 HITS = "array<struct<item_id:bigint,coverage:double,matched_words:int,item_words:int,n_tiles:int,longest_tile:int>>"
 
@@ -170,30 +176,50 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int |
         yield block
 
 
-def hits(text: Column, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> Column:
-    """Array of ``HITS`` for each text: the items that it contains."""
+def passes(
+    benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+) -> Iterator[tuple[Broadcast, bool]]:
+    """The blocks of the benchmark, each a shared ``Tester``, and whether it is the last."""
     context = benchmark.sparkSession.sparkContext
-    parts = []
-    for block in blocks(benchmark, block_words):
-        parts.append(_against(context.broadcast(Tester(block, min_match, threshold)))(text))
-    return F.concat(*parts) if parts else F.array().cast(HITS)
+    block = None
+    for following in chain(blocks(benchmark, block_words), [None]):
+        if block is not None:
+            yield context.broadcast(Tester(block, min_match, threshold)), following is None
+        block = following
+
 
+def hits(text: Column, tester: Broadcast) -> Column:
+    """Array of ``HITS`` for each text: the items of one block that it contains."""
 
-def _against(tester):
     @F.pandas_udf(HITS)
     def run(texts: pd.Series) -> pd.Series:
         t = tester.value
         return pd.Series([t.test(x) for x in texts], dtype=object)
 
-    return run
+    return run(text)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """A row per document and benchmark item that it contains: doc_id and the fields of ``HITS``."""
-    found = docs.select("doc_id", hits(F.col("text"), benchmark, **options).alias("h"))
-    return found.select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.*")
+    found = []
+    for tester, last in passes(benchmark, **options):
+        own = _rows(docs, hits(F.col("text"), tester))
+        if not last:
+            own = stored(own, "decontam-hits")
+            tester.destroy()
+        found.append(own)
+    return reduce(DataFrame.unionByName, found) if found else _rows(docs, F.array().cast(HITS))
+
+
+def _rows(docs: DataFrame, found: Column) -> DataFrame:
+    return docs.select("doc_id", found.alias("h")).select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that contain no benchmark item."""
-    return docs.filter(F.size(hits(F.col("text"), benchmark, **options)) == 0)
+    for tester, last in passes(benchmark, **options):
+        docs = docs.filter(F.size(hits(F.col("text"), tester)) == 0)
+        if not last:
+            docs = stored(docs, "decontam-clean")
+            tester.destroy()
+    return docs
