@@ -4,7 +4,8 @@ A source of s words with target t takes every document floor(t/s) times and a ba
 inclusion probability t/s - floor(t/s) once more.  Flight: probabilities of three documents at a time
 move along the null-space of the two balancing constraints (words and documents taken) until one of them
 is 0 or 1; a decided document makes room for the next.  Both totals stay exact.  The flight runs in
-chunks of a source side by side; what a chunk leaves open flies once more with the rest of its source.
+chunks of a source side by side; what the chunks leave open is dealt to fewer chunks and flies again, until
+what is left of a source is one chunk.
 Landing: at most ``HOLD`` + 2 open documents of a source are decided together by the choice that comes
 nearest to the open words, then documents.
 
@@ -173,10 +174,18 @@ def mix(docs: DataFrame) -> DataFrame:
             (ratio - F.floor(ratio)).alias("pi"),
         )
     )
-    whole = rows.filter("pi = 0 OR size = 0 AND source_size = 0")
-    first = stored(_flight(rows.filter("NOT (pi = 0 OR size = 0 AND source_size = 0)"), last=False), "cube-flight")
-    left = first.filter("pi > 0 AND pi < 1").withColumn("chunk", F.lit(0).cast("bigint"))
-    done = whole.unionByName(first.filter("pi = 0 OR pi = 1")).unionByName(_flight(left, last=True))
+    done = rows.filter("pi = 0 OR size = 0 AND source_size = 0")
+    left = rows.filter("NOT (pi = 0 OR size = 0 AND source_size = 0)")
+    least = max(CHUNK_ROWS, 8 * (HOLD + 2))  # a chunk leaves HOLD + 2 rows, so every round leaves an eighth at most
+    while True:
+        flown = stored(_flight(left, last=False), "cube-flight")
+        done = done.unionByName(flown.filter("pi = 0 OR pi = 1"))
+        left = flown.filter("pi > 0 AND pi < 1").drop("chunk")
+        chunks = left.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / least).alias("chunks"))
+        if not (chunks.agg(F.max("chunks")).first()[0] or 0) > 1:
+            break
+        left = left.join(chunks, "src").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "h"), F.col("chunks"))).drop("chunks")
+    done = done.unionByName(_flight(left.withColumn("chunk", F.lit(0).cast("bigint")), last=True))
     copies = F.col("base") + F.round("pi").cast("bigint")
     return done.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_hash"
