@@ -14,14 +14,18 @@ are alike (1.0), an empty and another one are not (0.0).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glean.plans.strategy import partitions_for
+
 K, WINDOW = 16, 64
+MAX_RANGES = 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -91,23 +95,35 @@ NEAR_SCHEMA = (
 )
 
 
+def cuts_upto(x: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are ``x`` or less: first among every sqrt(n)-th of them, then in one stretch."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts))
+    stretches = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+
+    def upto(xs: Column) -> Column:
+        return F.size(F.filter(xs, lambda c: c <= x))
+
+    at = upto(F.array(*[F.lit(s[0]) for s in stretches]))
+    own = F.get(F.array(*[F.array(*[F.lit(c).cast("bigint") for c in s]) for s in stretches]), at - 1)
+    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + upto(own))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id and text in ascending doc_id (nulls last; ties by text), dealt in order over ranges, each
     range followed by the first row of the next one (``tail``; after the last range the first of all).
 
     One shuffle of the texts; the range bounds are values of doc_id, so every range has a row.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    # About 128 MB a range; beyond MAX_RANGES the ranges grow, which costs a task time but no memory.
+    parts = min(max(partitions_for(docs), 2), MAX_RANGES)
     bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000).alias("b")).first()["b"]
     cuts = sorted(set(bounds or []))
     low = rows.agg(F.min("doc_id").alias("m")).first()["m"]
     cuts = [c for c in cuts if c != low]  # each range holds its own lower bound, the first one the least id
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") >= c))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(part).cast("int")
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(cuts_upto(F.col("doc_id"), cuts)).cast("int")
     rows = rows.withColumn("part", part)
     # The least id of each range in numbers first; then the texts of those few rows only.
     least = rows.groupBy("part").agg(F.min("doc_id").alias("least")).withColumnRenamed("part", "p")
