@@ -252,8 +252,9 @@ def fit(docs: DataFrame) -> Crf:
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([_spans(words(t)) for t in texts], dtype=object)
 
-    found = chosen.select("doc_id", "lang", spans("text").alias("s")).collect()
-    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["s"]))
+    # One text of an id that repeats, so that no more rows are collected than were picked.
+    found = chosen.select("doc_id", "lang", spans("text").alias("s")).groupBy("doc_id", "lang").agg(F.min("s").alias("s")).collect()
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"]))
     return train([(r["lang"], s) for r in found for s in r["s"]])
 
 
