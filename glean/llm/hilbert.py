@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glean.llm.common import stored
+from glean.llm.common import fresh, stored
 
 SHARDS, BITS, RUN_ROWS = 24, 5, 16_384
 DIMENSIONS = ("source", "lang", "bytes")
@@ -69,38 +69,52 @@ def curve_index(axes: list[Column], bits: int) -> Column:
     return F.get(F.transform(F.array(x), number), F.lit(0))
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def dimensions() -> dict[str, Column]:
+    """The numbers of the dimensions of a document."""
+    return {
+        "source": _place(F.col("source").cast("string")),
+        "lang": _place(F.col("lang").cast("string")),
+        "bytes": F.octet_length(_text()).cast("bigint"),
+    }
+
+
 def metadata(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the numbers of the dimensions, for every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
-        (F.octet_length(text) + 8).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        _place(F.col("source").cast("string")).alias("source"),
-        _place(F.col("lang").cast("string")).alias("lang"),
-        F.octet_length(text).cast("bigint").alias("bytes"),
+        (F.octet_length(_text()) + 8).cast("bigint").alias("size"),
+        F.crc32(_text()).alias("text_crc32"),
+        *[c.alias(d) for d, c in dimensions().items()],
     )
 
 
-def with_cells(meta: DataFrame) -> DataFrame:
-    """``meta`` with ``cell``: the quantised dimensions in one number."""
+def cell_of(meta: DataFrame, numbers: dict[str, Column]) -> Column:
+    """The quantised dimensions in one number; the quantiles are those of ``meta``."""
     n = 1 << BITS
     cuts = meta.agg(*[F.percentile_approx(d, [i / n for i in range(1, n)], 10_000).alias(d) for d in DIMENSIONS]).first()
     cell = F.lit(0)
     for d in DIMENSIONS:
         own = sorted(set(cuts[d] or []))
-        level = F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c: F.col(d) > c)) if own else F.lit(0)
+        level = F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c: numbers[d] > c)) if own else F.lit(0)
         cell = cell * F.lit(n) + level
-    return meta.withColumn("cell", cell.cast("int"))
+    return cell.cast("int")
+
+
+def _axes(cell: str) -> list[Column]:
+    n = 1 << BITS
+    return [F.floor(F.col(cell) / F.lit(n ** (len(DIMENSIONS) - 1 - i))) % n for i in range(len(DIMENSIONS))]
 
 
 def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert for every row of ``docs``."""
-    rows = with_cells(stored(metadata(docs), "hilbert-meta"))
-    n = 1 << BITS
-    axes = [F.floor(F.col("cell") / F.lit(n ** (len(DIMENSIONS) - 1 - i))) % n for i in range(len(DIMENSIONS))]
+    meta = stored(metadata(docs), "hilbert-meta")
+    rows = meta.withColumn("cell", cell_of(meta, {d: F.col(d) for d in DIMENSIONS}))
     # At most 2**(3*BITS) rows of counts from here to the broadcast.
-    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("hilbert", curve_index(axes, BITS))
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("hilbert", curve_index(_axes("cell"), BITS))
     before = W.orderBy("hilbert").rowsBetween(W.unboundedPreceding, -1)
     cells = counts.select(
         "cell",
@@ -135,10 +149,10 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
 
 def write_files(docs: DataFrame, path: str, files: int = SHARDS) -> None:
     """Write ``docs``, all columns as they are, as files cut from the Hilbert order, so that readers can skip files."""
-    rows = with_cells(stored(metadata(docs), "hilbert-meta"))
-    n = 1 << BITS
-    axes = [F.floor(F.col("cell") / F.lit(n ** (len(DIMENSIONS) - 1 - i))) % n for i in range(len(DIMENSIONS))]
-    index = rows.select("cell").distinct().withColumn("_glean_curve", curve_index(axes, BITS))
-    keys = rows.join(F.broadcast(index), "cell").select(F.col("doc_id").alias("_glean_id"), "_glean_curve").distinct()
-    both = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_glean_id"])).repartitionByRange(files, "_glean_curve", "doc_id")
-    both.sortWithinPartitions("_glean_curve", "doc_id").select(*docs.columns).write.parquet(path)
+    cell, curve, tie = (fresh(docs, f"_glean_{x}") for x in ("cell", "curve", "hash"))
+    of = cell_of(stored(metadata(docs), "hilbert-meta"), dimensions())
+    rows = docs.withColumn(cell, of).withColumn(tie, F.xxhash64("doc_id", "text"))
+    # At most 2**(3*BITS) cells; a hot one is spread over files by the hash of its rows.
+    index = rows.select(F.col(cell).alias(f"{cell}_")).distinct().withColumn(curve, curve_index(_axes(f"{cell}_"), BITS))
+    both = rows.join(F.broadcast(index), F.col(cell) == F.col(f"{cell}_")).repartitionByRange(files, curve, tie)
+    both.sortWithinPartitions(curve, tie).select(*[docs[c] for c in docs.columns]).write.parquet(path)
