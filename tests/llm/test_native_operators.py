@@ -72,6 +72,11 @@ def test_hilbert_odd_input(spark, odd, tmp_path):
     hilbert.write_files(odd, str(tmp_path / "files"), 4)
     back = spark.read.parquet(str(tmp_path / "files"))
     assert back.columns == odd.columns and Counter(map(tuple, back.collect())) == Counter(map(tuple, odd.collect()))
+    # One id with many texts: each row is written once.
+    again = spark.range(40).selectExpr("7L AS doc_id", "repeat('a', CAST(id AS INT)) AS text", "'s' AS source", "'l' AS lang", "id AS _glean_cell")
+    hilbert.write_files(again, str(tmp_path / "again"), 4)
+    back = spark.read.parquet(str(tmp_path / "again"))
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, again.collect()))
 
 
 # --- 9 ---
@@ -124,6 +129,11 @@ def test_mix_query(spark, monkeypatch):
     assert sorted(rows) == sorted(queries.op9_cube_mix(spark, SF).collect())
     monkeypatch.setattr(cube, "CHUNK_ROWS", 4)
     check_mix(queries.op9_cube_mix(spark, SF).collect(), docs, 0.05)
+    # Several rounds of chunks: what is open after one is more than a chunk.
+    monkeypatch.setattr(cube, "HOLD", 0)
+    rows = queries.op9_cube_mix(spark, SF).collect()
+    check_mix(rows, docs, 0.05)
+    assert sorted(rows) == sorted(queries.op9_cube_mix(spark, SF).collect())
 
 
 def test_targets_stop_at_three_sizes(spark):

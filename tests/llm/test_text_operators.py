@@ -72,6 +72,7 @@ def test_decontamination(spark, odd):
     assert decontam.contaminated(docs, bench).count() == 4  # the item stands twice in the benchmark
     for words in (1, 20, 10_000):  # blocks of the benchmark do not change the result
         assert {r.doc_id for r in decontam.clean(docs, bench, block_words=words).collect()} == {3, 4}
+        assert decontam.contaminated(docs, bench, block_words=words).count() == 4
     kept = decontam.clean(odd, bench)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 2, 3, 6]
@@ -229,6 +230,12 @@ def check_near(rows, source):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("cuts", [[], [3], [-5, 0, 9], list(range(0, 300, 7))])
+def test_cuts_upto(spark, cuts):
+    rows = spark.range(-8, 310).select("id", winnow.cuts_upto(F.col("id"), cuts).alias("n")).collect()
+    assert all(r.n == sum(c <= r.id for c in cuts) for r in rows)
+
+
 def test_winnowing_query(spark):
     short = [(d, t) for d, t in texts(spark) if len(t) < 1500]
     docs = spark.createDataFrame(short, "doc_id bigint, text string").repartition(5)
