@@ -58,9 +58,8 @@ def targets(rows: DataFrame) -> DataFrame:
     capped = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     own = own.withColumn("level", (F.sum("source_size").over(W.partitionBy()) - capped) / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "src", "level")))["level"]
-    own = own.crossJoin(F.broadcast(own.agg(level.alias("final"))))  # one row
-    return own.select("src", "source", "source_size", "rows", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
+    final = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "src", "level"))).over(W.partitionBy())["level"]
+    return own.select("src", "source", "source_size", "rows", F.least(F.col("cap"), final * F.col("weight")).alias("target"))
 
 
 class Flight:
