@@ -11,7 +11,8 @@ the different texts in it its content.  With m occurrences and l style nodes of
 with g = 0.9 and the content importance at leaves.  Branches whose composite importance is below
 ``THRESHOLD`` say the same on page after page and are removed from each page.  Two priors stand
 beside the entropies, because an advert or menu that differs on every page looks like content to
-them: a branch declared as boilerplate (by its tag, role, class or id) has importance 0, and inside
+them: a branch declared as boilerplate (by its tag, role, class or id; inside a declared main region by
+its tag, or as a block container by a whole class or role name) has importance 0, and inside
 a declared main region (article, main) the text blocks themselves have importance 1, so an article
 that was copied to many pages stays whole.  Nodes with fewer than ``MIN_OCCURRENCES``
 occurrences are not judged by entropy.
@@ -31,6 +32,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -53,6 +55,7 @@ BLOCKS = _SET(
 )
 #: Blocks that are text of a main region themselves, not parts of its layout.
 TEXT_BLOCKS = _SET("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption")
+CONTAINERS = BLOCKS - TEXT_BLOCKS
 INLINE = _SET("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var")
 #: What an opening tag closes when it is still open, up to the nearest of the second set.
 CLOSES = {
@@ -74,53 +77,94 @@ BOILERPLATE_NAMES = _SET(
     "respond disqus discussion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login search share "
     "sharing social toolbar pagination pager copyright complementary contentinfo toc skip hidden"
 )
-#: Those that make an article of its own a comment or a teaser.
-COMMENT_NAMES = _SET("comment comments commentlist reply replies respond disqus discussion related recommended teaser")
+#: Whole class or role names that make an article of its own a comment or a teaser.
+COMMENT_NAMES = _SET(
+    "comment comments comment-body commentlist comment-list reply replies respond disqus discussion related related-post related-posts "
+    "related-article related-articles recommended teaser"
+)
+#: Inside a declared main region only whole class or role names of block containers declare boilerplate, and only
+#: names that no part of an article's own text bears.
+REGION_NAMES = _SET(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle ad-container ad-slot ad-banner ad-wrapper sponsor sponsored promo "
+    "comment comments commentlist comment-list comments-area respond replies disqus disqus-thread newsletter newsletter-signup subscribe cookie-banner "
+    "cookie-consent nav navbar navigation breadcrumb breadcrumbs pagination sharing social-share share-buttons share-bar related-posts "
+    "related-articles sidebar"
+)
+REGION_ROLES = _SET("navigation menu menubar toolbar search banner complementary contentinfo")
 #: A name that begins so tells what a page has or lacks, not what the element is.
 ABOUT = _SET("has with without no is")
 MAIN_TAGS, MAIN_NAMES = _SET("article main"), _SET("main article")
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>?))")
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name and, if it has one, its quoted or bare value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_READ = _SET("class id role hidden")
 _NAME = re.compile(r"[a-z]+|\d+")
+_NUMBER = re.compile(r"[-_]?\d+$")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "parts", "path", "noise", "main")
+    __slots__ = ("tag", "label", "parent", "parts", "path", "noise", "main", "inside")
 
-    def __init__(self, tag: str, names: list[str], role: list[str], hidden: bool, label: str, parent: Node | None):
+    def __init__(self, tag: str, names: Names, hidden: bool, label: str, parent: Node | None):
         self.tag, self.label, self.parent = tag, label, parent
         self.parts: list[str | Node] = []
         self.path: int = xxhash.xxh64_intdigest(f"{label}", parent.path if parent else 0) if tag not in INLINE and tag != "br" else 0
-        self.main = tag in MAIN_TAGS or any(r in MAIN_NAMES for r in role)
-        declared = COMMENT_NAMES if self.main else BOILERPLATE_NAMES
-        self.noise = tag in BOILERPLATE_TAGS or hidden or (tag not in ("html", "body") and any(n in declared for n in names))
+        self.main = tag in MAIN_TAGS or any(r in MAIN_NAMES for r in names.role)
+        #: Whether a declared main region is around it.
+        self.inside: bool = parent is not None and (parent.inside or parent.main and not parent.noise)
+        if self.main:
+            declared = not COMMENT_NAMES.isdisjoint(names.whole)
+        elif self.inside:
+            declared = tag in CONTAINERS and not (REGION_NAMES.isdisjoint(names.classes) and REGION_ROLES.isdisjoint(names.role))
+        else:
+            declared = tag not in ("html", "body") and not BOILERPLATE_NAMES.isdisjoint(names.words)
+        self.noise = tag in BOILERPLATE_TAGS or hidden or declared
+
+
+class Names(NamedTuple):
+    """Words of class, id and role; whole names of class, of role; both and numbered ids (``comment-12``) without their numbers."""
 
+    words: list[str] = []
+    classes: list[str] = []
+    role: list[str] = []
+    whole: list[str] = []
 
-def _attributes(text: str) -> tuple[list[str], list[str], bool, str]:
-    """Words of class, id and role; words of role; hidden; the label part of class and id."""
-    names, role, hidden, label = [], [], False, []
+
+_NO_NAMES = Names()
+
+
+def _attributes(text: str) -> tuple[Names, bool, str]:
+    """Names; hidden; the label part of class and id."""
+    names, hidden, label = Names([], [], [], []), False, []
     for m in _ATTRIBUTE.finditer(text):
-        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        key = m[1].lower()
+        if key not in _READ:
+            continue
         if key == "hidden":
             hidden = True
             continue
+        value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         for name in value.split():
             own = _NAME.findall(name)
             if own and own[0] not in ABOUT:
-                names += own
-            if key == "role":
-                role += own
+                names.words.extend(own)
+            whole = name.replace("_", "-")
+            if key != "id":
+                (names.role if key == "role" else names.classes).append(whole)
+                names.whole.append(whole)
+            if _NUMBER.search(whole):
+                names.whole.append(_NUMBER.sub("", whole))
         if key == "role":
             continue
         label.append(f"{key[0]}={value}")
-    return names, role, hidden, " ".join(label)
+    return names, hidden, " ".join(label)
 
 
 def parse(page: str | None) -> Node:
     """The DOM of a page, in outline."""
     text = page or ""
-    root = here = Node("#page", [], [], False, "#page", None)
+    root = here = Node("#page", _NO_NAMES, False, "#page", None)
     at, end = 0, len(text)
     while at < end:
         m = _TAG.search(text, at)
@@ -155,10 +199,10 @@ def parse(page: str | None) -> Node:
         if tag in CLOSES:
             here = _close(here, root, *CLOSES[tag])
         if m[5] and not m[5].isspace():
-            names, role, hidden, label = _attributes(m[5])
-            child = Node(tag, names, role, hidden, f"{tag} {label}", here)
+            names, hidden, label = _attributes(m[5])
+            child = Node(tag, names, hidden, f"{tag} {label}", here)
         else:
-            child = Node(tag, (), (), False, tag, here)
+            child = Node(tag, _NO_NAMES, False, tag, here)
         here.parts.append(child)
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(text, at)

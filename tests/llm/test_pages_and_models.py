@@ -200,6 +200,27 @@ def test_main_text(page, text):
     assert sitetree.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        ('<h1>T</h1><section id="discussion"><h2 id="related-work">R</h2><p>d</p></section>', "T\nR\nd"),
+        ('<h2><span class="mw-headline" id="Search_engines">Search engines</span></h2><p class="ad-hoc">a</p>', "Search engines\na"),
+        ('<p title="The hidden cost">q</p><p title="x class=ad id=comments">r</p>', "q\nr"),
+        ('<p>a <span class="notice">b</span> <a class="share" href=/x>c</a></p><div class="notice"><p>d</p></div>', "a b c\nd"),
+        ('<section class="login-flow header"><p>a</p></section><ul class="skip"><li class="reply">b</li></ul>', "a\nb"),
+        ('<div class="ad"><p>no</p></div><ol class="comment-list"><li>no</li></ol><div role="navigation">no</div><p hidden>no</p><p>yes</p>', "yes"),
+    ],
+)
+def test_names_inside_an_article_do_not_cut_its_text(body, text):
+    assert sitetree.main_text(f"<article>{body}</article>") == text
+    assert sitetree.main_text(f"<main>{body}</main><p>out</p>") == text
+
+
+def test_article_names_count_as_a_whole():
+    assert sitetree.main_text('<article id="discussion-of-x" class="post comments-open"><p>yes</p></article><p>out</p>') == "yes"
+    assert sitetree.main_text('<article><p>yes</p></article><article id="comment-12"><p>no</p></article>') == "yes"
+
+
 def test_pages_odd_input(spark):
     long = "<article>" + "<p>word word</p>" * 30_000 + "</article>"
     deep = "<div>" * 3000 + "text"
