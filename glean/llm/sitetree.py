@@ -13,8 +13,8 @@ with g = 0.9 and the content importance at leaves.  Branches whose composite imp
 beside the entropies, because an advert or menu that differs on every page looks like content to
 them: a branch declared as boilerplate (by its tag, role, class or id; inside a declared main region by
 its tag, or as a block container by a whole class or role name) has importance 0, and inside
-a declared main region (article, main) the text blocks themselves have importance 1, so an article
-that was copied to many pages stays whole.  Nodes with fewer than ``MIN_OCCURRENCES``
+a declared main region (article, main) the text blocks, what is in them and the wrappers that hold any
+have importance 1, so an article in such blocks that was copied to many pages stays whole.  Nodes with fewer than ``MIN_OCCURRENCES``
 occurrences are not judged by entropy.
 
 The counts behind the tree are sums per (host, path, feature) that are added up before they are
@@ -417,7 +417,23 @@ def _regions(root: Node, skip: Callable[[Node], bool]) -> list[Node]:
     return found
 
 
+def _importance_one(region: Node) -> set[Node]:
+    """The text blocks of a declared region, what is in them and the wrappers that hold any."""
+    found: set[Node] = set()
+    todo = [(region, False)]
+    while todo:
+        node, below = todo.pop()
+        below = below or node.tag in TEXT_BLOCKS
+        up = node
+        while below and up is not region.parent and up not in found:
+            found.add(up)
+            up = up.parent
+        todo.extend((p, below) for p in node.parts if type(p) is Node and not p.noise)
+    return found
+
+
 def _text_blocks(region: Node, removed: frozenset[int], declared: bool) -> list[str]:
+    kept = _importance_one(region) if declared and removed else set()
     out: list[str] = []
     run: list[str] = []
 
@@ -442,7 +458,7 @@ def _text_blocks(region: Node, removed: frozenset[int], declared: bool) -> list[
             run.append(" ")
         elif p.path and p.tag not in VOID:
             end_block()
-            if _signed(p.path) in removed and not (declared and p.tag in TEXT_BLOCKS):
+            if _signed(p.path) in removed and p not in kept:
                 continue
             todo.append(None)
             todo.extend(reversed(p.parts))

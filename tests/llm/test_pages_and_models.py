@@ -216,6 +216,19 @@ def test_names_inside_an_article_do_not_cut_its_text(body, text):
     assert sitetree.main_text(f"<main>{body}</main><p>out</p>") == text
 
 
+def test_copied_article_stays_whole_in_its_wrappers():
+    body = "<div class=body><section><p>a</p><ul><li><div>b</div></li></ul></section></div><div class=bar><span>Save</span></div><div><table><tr><td>c</table></div>"
+    page = f"<article><h1>T</h1>{body}</article>"
+    low = frozenset(sitetree._signed(n.path) for n in sitetree._nodes(sitetree.parse(page)) if n.path)
+    assert sitetree.main_text(page, low) == "T\na\nb\nc"
+
+
+def test_mirror_host_keeps_its_articles(spark):
+    page = "<article><h1>T</h1><div class=body><p>one</p><p>two</p><p>three</p></div></article>"
+    df = spark.createDataFrame([(i, f"http://m.example/{i}", page) for i in range(100)], "page_id int, url string, html string")
+    assert {r.text for r in sitetree.extract(df).collect()} == {"T\none\ntwo\nthree"}
+
+
 def test_article_names_count_as_a_whole():
     assert sitetree.main_text('<article id="discussion-of-x" class="post comments-open"><p>yes</p></article><p>out</p>') == "yes"
     assert sitetree.main_text('<article><p>yes</p></article><article id="comment-12"><p>no</p></article>') == "yes"
