@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.  DataFrame operations only.
 
 Source, language and size of a document are quantised to ``2**BITS`` cells each at quantiles of all
-rows, the cells are numbered along a Hilbert curve, and the documents in that order are cut into
+rows; up to ``2**BITS`` whole values of source or language have a cell each, more share cells in the order of values.  The cells are numbered along a Hilbert curve, and the documents in that order are cut into
 ``SHARDS`` runs whose row counts differ by one at most (law ``rows``).  Neighbouring cells of the
 curve touch, so a run covers a compact box of every dimension and readers can skip files by any of them.
 
@@ -20,17 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glean.llm.common import fresh, stored
+from glean.operators.ordered import ordinal, running_total
 
 SHARDS, BITS, RUN_ROWS = 24, 5, 16_384
 DIMENSIONS = ("source", "lang", "bytes")
 
 
-def _place(text: Column) -> Column:
-    """The first seven bytes of a string as a number in the same order; -1 for null."""
-    digits = F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(-1))
-
-
 def curve_index(axes: list[Column], bits: int) -> Column:
     """Hilbert index of integer coordinates below ``2**bits``: the transposed-axes construction in array functions."""
     n = len(axes)
@@ -74,16 +69,16 @@ def _text() -> Column:
 
 
 def dimensions() -> dict[str, Column]:
-    """The numbers of the dimensions of a document."""
+    """The dimensions of a document: two whole values and a number."""
     return {
-        "source": _place(F.col("source").cast("string")),
-        "lang": _place(F.col("lang").cast("string")),
+        "source": F.col("source").cast("string"),
+        "lang": F.col("lang").cast("string"),
         "bytes": F.octet_length(_text()).cast("bigint"),
     }
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the numbers of the dimensions, for every row."""
+    """doc_id, size, text_crc32 and the dimensions, for every row."""
     return docs.select(
         "doc_id",
         (F.octet_length(_text()) + 8).cast("bigint").alias("size"),
@@ -92,14 +87,42 @@ def metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def cell_of(meta: DataFrame, numbers: dict[str, Column]) -> Column:
+def _value_cuts(meta: DataFrame, name: str) -> list[tuple[int, str]]:
+    """The cells of a dimension of values and the first value of each, ascending; null has cell 0.
+
+    A value's cell comes from the rows of smaller values.  Up to ``2**BITS`` values are a cell apart at least.
+    """
+    n = 1 << BITS
+    counts = stored(meta.groupBy(name).agg(F.count(F.lit(1)).alias("rows")).withColumn("all", F.lit(0)), "hilbert-values")
+    values, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    # The running totals stay balanced however many values there are.
+    order = [F.col(name).asc_nulls_first()]
+    upto = running_total(counts, "all", order, "rows", "upto")
+    spread = n
+    if values <= n:
+        upto, spread = ordinal(upto, "all", order, "nth"), n - values
+    else:
+        upto = upto.withColumn("nth", F.lit(1))
+    level = F.expr(f"(upto - rows) * {spread} DIV {max(total, 1)}") + F.col("nth") - 1
+    # At most 2**BITS rows.
+    first = upto.select(name, level.cast("int").alias("level")).filter(F.col(name).isNotNull()).groupBy("level").agg(F.min(name).alias("value"))
+    return sorted((r.level, r.value) for r in first.collect())
+
+
+def cell_of(meta: DataFrame, dims: dict[str, Column]) -> Column:
     """The quantised dimensions in one number; the quantiles are those of ``meta``."""
     n = 1 << BITS
-    cuts = meta.agg(*[F.percentile_approx(d, [i / n for i in range(1, n)], 10_000).alias(d) for d in DIMENSIONS]).first()
     cell = F.lit(0)
     for d in DIMENSIONS:
-        own = sorted(set(cuts[d] or []))
-        level = F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c: numbers[d] > c)) if own else F.lit(0)
+        if d == "bytes":
+            cuts = meta.agg(F.percentile_approx(d, [i / n for i in range(1, n)], 10_000)).first()[0]
+            own = sorted(set(cuts or []))
+            level = F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c: dims["bytes"] > c)) if own else F.lit(0)
+        else:
+            level = F.when(dims[d].isNull(), 0)
+            for at, value in reversed(_value_cuts(meta, d)):
+                level = level.when(dims[d] >= F.lit(value), at)
+            level = level.otherwise(0)
         cell = cell * F.lit(n) + level
     return cell.cast("int")
 

@@ -66,6 +66,25 @@ def test_hilbert_query(spark, monkeypatch):
     assert sum(map(len, held.values())) < 0.8 * hilbert.SHARDS * len(set(source.values()))
 
 
+@pytest.mark.parametrize("sources", [20, 32, 90])
+def test_hilbert_cells_of_sources_with_a_common_beginning(spark, sources):
+    names = [None] + [f"https://common.example/crawl-2024-{i:02}" for i in range(1, sources)]
+    rows = [(i, "t", None, names[i % sources]) for i in range(sources * 12)] + [(9_000 + i, "t", None, names[1]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    meta = hilbert.metadata(docs).persist()
+    found = meta.select("source", hilbert.cell_of(meta, {d: F.col(d) for d in hilbert.DIMENSIONS}).alias("cell")).distinct().collect()
+    meta.unpersist()
+    cells = {r.source: r.cell >> 2 * hilbert.BITS for r in found}
+    assert len(found) == sources  # whole values have one cell each
+    in_order = [cells[s] for s in names]
+    assert in_order == sorted(in_order) and 0 == in_order[0] and in_order[-1] < 1 << hilbert.BITS
+    rows_before = [sum(r[3] == s for r in rows) for s in names]
+    if sources <= 1 << hilbert.BITS:
+        assert len(set(in_order)) == sources
+    else:
+        assert in_order == [sum(rows_before[:i]) * 32 // len(rows) for i in range(sources)]
+
+
 def test_hilbert_odd_input(spark, odd, tmp_path):
     check_shards(hilbert.shards(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert hilbert.shards(odd.limit(0)).count() == 0
