@@ -3,8 +3,8 @@
 Per task: extract the target path from the task text (H-s5), join the file
 (A2 rows), compute its features over the whole file (D9, D11, B9 serving
 rule) and a fixed risk score, apply the risk gate (B12), then search the
-keyword index for the file's header line, which plays the dependency
-symbol the researcher looks up (H-s4, C3, top 3), drop self hits after the
+keyword index with all tokens of the file, whose names are the dependency
+symbols the researcher looks up (H-s4, C3, top 3), drop self hits after the
 top 3 (C4) and keep the first external dependency.  Everything is joins and
 aggregates over the whole task table; no per-task loop.
 """
@@ -44,7 +44,7 @@ def q_task_run(spark, sf):
     feats = R.density(feats, "serve")
     score = F.least(F.lit(1.0), F.col("volume_per_line") / VOLUME_SCALE)
     gated = R.gate(feats.withColumn("risk_score", score), F.col("task"), F.col("risk_score"), R.DEFAULT_THRESHOLD)
-    queries = gated.select(F.col("task_id").alias("query_id"), F.split("text", "\n")[0].alias("query"))
+    queries = gated.select(F.col("task_id").alias("query_id"), F.col("text").alias("query"))
     hits = K.search(queries, RT.index(spark, sf), k=RT.TOOL_K).join(docs.select("doc_id", "relative_path"), "doc_id")
     targets = gated.select(F.col("task_id").alias("query_id"), "target_file")
     best = K.exclude_self(hits, targets)

@@ -459,3 +459,18 @@ def test_patches_in_order(spark):
     patches = spark.createDataFrame([("a", 2, p("three", "four")), ("a", 1, p("one", "three"))], "relative_path string, n int, patch string")
     got = PT.apply_in_order(docs, patches, "n").first()
     assert (got.content, got.modes) == ("four two", ["exact", "exact"])
+
+
+def _documents(spark, path, rows):
+    df = spark.createDataFrame([(i, t, "en", "src2", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_task_run_searches_with_the_whole_text(spark, tmp_path):
+    from glean.plans import tasks
+
+    rows = [(1, "alpha\nzebra quokka"), (2, "beta\nzebra quokka"), (3, "\ngamma delta"), (4, "epsilon\ndelta"), (5, "none")]
+    rows = [(i, f"{t} " + " ".join(f"own{i}x{j}" for j in range(60))) for i, t in rows]  # enough volume for the gate
+    got = {r.task_id: r.dependency_doc_id for r in tasks.q_task_run(spark, _documents(spark, tmp_path, rows)).collect()}
+    assert got == {1: 2, 2: 1, 3: 4, 4: 3, 5: None}
