@@ -121,8 +121,8 @@ def q_mean_complexity(spark, sf):
 
 
 # --- L2 / J1 -----------------------------------------------------------------
-# Source text built from the table's columns, so that the features can be
-# counted by hand; every tenth document keeps its prose, which does not parse.
+# Source text around the whole text of the row as its docstring, so that the
+# features can be counted by hand; every tenth document keeps its prose, which does not parse.
 CODE = """def f_%d(x, y):
     # note
     \'\'\'%s\'\'\'
@@ -134,6 +134,14 @@ CODE = """def f_%d(x, y):
 """
 
 
+def _python_string(text):
+    """The inside of a Python string literal of ``text``, on as many lines; null is the empty text."""
+    escaped = F.coalesce(text, F.lit(""))
+    for c, e in (("\\", "\\\\"), ("'", "\\'"), ("\0", "\\x00"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(c), F.lit(e))
+    return escaped
+
+
 @register(
     "code_metrics",
     sql="""WITH c AS (
@@ -149,11 +157,33 @@ FROM c""",
 )
 def q_code_metrics(spark, sf):
     docs = tables.read(spark, sf, "documents")
-    code = F.format_string(CODE, "doc_id", "lang", F.col("doc_id"))
+    code = F.format_string(CODE, "doc_id", _python_string(F.col("text")), F.col("doc_id"))
     found = M.code_metrics(docs.select("doc_id", F.when(F.col("doc_id") % 10 == 9, F.col("text")).otherwise(code).alias("text")))
     return found.select("doc_id", "loc", "vg", *[F.round(c, 6).alias(c) for c in ("v", "d", "e")])
 
 
+@register(
+    "code_metrics_lines",
+    sql="""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+c AS (
+  SELECT doc_id, len(ls) AS n,
+         -- def ( ) : return (5 of 5 differ); f x x and every line (f, x and the different lines differ)
+         CAST(5 + 3 + len(ls) AS DOUBLE) AS len, log2(CAST(5 + 2 + len(list_distinct(ls)) AS DOUBLE)) AS bits,
+         5 / 2.0::DOUBLE * (3 + len(ls)) / (2 + len(list_distinct(ls))) AS d
+  FROM l
+)
+SELECT doc_id, CAST(2 + n AS DOUBLE) AS loc, 1.0::DOUBLE AS vg, round(len * bits, 6) AS v, round(d, 6) AS d, round(d * len * bits, 4) AS e FROM c""",
+    ids=("L2", "B9", "B11"),
+)
+def q_code_metrics_lines(spark, sf):
+    """Metrics of a function with every line of the text as a statement, so that they depend on the whole text."""
+    docs = tables.read(spark, sf, "documents")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("    '"), _python_string(x), F.lit("'\n")))
+    code = F.concat(F.lit("def f(x):\n"), F.array_join(lines, ""), F.lit("    return x\n"))
+    found = M.code_metrics(docs.select("doc_id", code.alias("text")))
+    return found.select("doc_id", "loc", "vg", *[F.round(c, 6).alias(c) for c in ("v", "d")], F.round("e", 4).alias("e"))
+
+
 def _word_metrics(code: str) -> dict:
     words = code.split()
     return {"loc": float(len(code.splitlines())), "v": float(len(words)), "d": float(len(set(words)))}

@@ -474,3 +474,20 @@ def test_task_run_searches_with_the_whole_text(spark, tmp_path):
     rows = [(i, f"{t} " + " ".join(f"own{i}x{j}" for j in range(60))) for i, t in rows]  # enough volume for the gate
     got = {r.task_id: r.dependency_doc_id for r in tasks.q_task_run(spark, _documents(spark, tmp_path, rows)).collect()}
     assert got == {1: 2, 2: 1, 3: 4, 4: 3, 5: None}
+
+
+def test_code_metrics_reads_whole_texts(spark, tmp_path, monkeypatch):
+    import ast
+
+    from glean.plans import corpus
+
+    text = "it's \\ a 'quote' \'\'\' end\\\nsecond line\n\tthird \u00e9"
+    sf = _documents(spark, tmp_path, [(1, text), (2, ""), (3, "a\na\nb")])
+    seen, real = [], corpus.M.code_metrics
+    monkeypatch.setattr(corpus.M, "code_metrics", lambda df: seen.append(df) or real(df))
+    rows = corpus.q_code_metrics(spark, sf).collect()
+    codes = {r.doc_id: r.text for r in seen[0].collect()}
+    assert {i: ast.get_docstring(ast.parse(c).body[0], clean=False) for i, c in codes.items()} == {1: text, 2: "", 3: "a\na\nb"}
+    assert all((r.loc, r.vg) == (6.0, 4.0) for r in rows)
+    lines = {r.doc_id: (r.loc, r.vg, r.d) for r in corpus.q_code_metrics_lines(spark, sf).collect()}
+    assert lines == {1: (5.0, 1.0, 3.0), 2: (3.0, 1.0, 3.333333), 3: (5.0, 1.0, 3.75)}
