@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, sitetree, winnow
+from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, sitetree, squares, winnow
 from glean.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op12_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, and the digest of its text without the repeats."""
+    return squares.run_digests(squares.repeats(squares.damaged(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_language_id": (op2_language_id, None),
@@ -81,4 +86,5 @@ QUERIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_cube_mix": (op9_cube_mix, None),
     "op10_chat": (op10_chat, chat.ORACLE_SQL),
+    "op12_squares": (op12_squares, None),
 }
