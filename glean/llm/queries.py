@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, simhash, sitetree, squares, winnow
+from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, packing, simhash, sitetree, squares, winnow
 from glean.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, a row for each such pair."""
@@ -70,6 +72,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2,048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op12_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words of every document, and the digest of its text without the repeats."""
     return squares.run_digests(squares.repeats(squares.damaged(table(spark, sf_dir, "documents"))))
@@ -86,5 +95,6 @@ QUERIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_cube_mix": (op9_cube_mix, None),
     "op10_chat": (op10_chat, chat.ORACLE_SQL),
+    "op11_packing": (op11_packing, None),
     "op12_squares": (op12_squares, None),
 }
