@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, packing, simhash, sitetree, squares, winnow
+from glean.llm import chat, cube, decontam, fm, hilbert, langid, license, packing, repair, simhash, sitetree, squares, winnow
 from glean.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -84,6 +84,11 @@ def op12_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squares.run_digests(squares.repeats(squares.damaged(table(spark, sf_dir, "documents"))))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest structural repair of every damaged conversation."""
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, None),
     "op2_language_id": (op2_language_id, None),
@@ -97,4 +102,5 @@ QUERIES = {
     "op10_chat": (op10_chat, chat.ORACLE_SQL),
     "op11_packing": (op11_packing, None),
     "op12_squares": (op12_squares, None),
+    "op13_repair": (op13_repair, None),
 }
