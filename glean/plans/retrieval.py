@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.functions import text as T
+from glean.operators import blockmax as BM
 from glean.operators import evalr as E
 from glean.operators import keyword as K
 from glean.plans.registry import (
@@ -163,6 +164,19 @@ def q_bm25_top3(spark, sf):
     return hits(spark, sf, TOOL_K)
 
 
+@register(
+    "bm25_blockmax",
+    sql=_sql_hits(TOOL_K) + "\nSELECT query_id, rank, doc_id, score FROM rk",
+    ids=("C3", "L4", "F3", "A8"),
+)
+def q_bm25_blockmax(spark, sf):
+    """The same hits from written blocks: those below the running third score are skipped."""
+    from glean.session import scratch_path
+
+    blocks = BM.build(keyword_docs(spark, sf), scratch_path(spark, "blocks"))
+    return BM.search(tables.retrieval_queries(spark, sf), blocks, k=TOOL_K)
+
+
 @register(
     "hit_rank",
     sql=_sql_hits(EVAL_K) + "\nSELECT query_id, rank, doc_id, score FROM rk",

@@ -3,7 +3,7 @@
 Per task: extract the target path from the task text (H-s5), join the file
 (A2 rows), compute its features over the whole file (D9, D11, B9 serving
 rule) and a fixed risk score, apply the risk gate (B12), then search the
-keyword index with all tokens of the file, whose names are the dependency
+block-max index with all tokens of the file, whose names are the dependency
 symbols the researcher looks up (H-s4, C3, top 3), drop self hits after the
 top 3 (C4) and keep the first external dependency.  Everything is joins and
 aggregates over the whole task table; no per-task loop.
@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glean.functions import paths as P
+from glean.operators import blockmax as BM
 from glean.operators import keyword as K
 from glean.operators import metrics as M
 from glean.operators import risk as R
 from glean.plans import retrieval as RT
 from glean.plans.registry import register
-from glean.sources import tables
+from glean.session import scratch_path
 
 TASK_PREFIX = "Write unit tests for the file ./"
 # Fixed risk score of the stand-in: Halstead volume per line (serving
@@ -45,7 +46,8 @@ def q_task_run(spark, sf):
     score = F.least(F.lit(1.0), F.col("volume_per_line") / VOLUME_SCALE)
     gated = R.gate(feats.withColumn("risk_score", score), F.col("task"), F.col("risk_score"), R.DEFAULT_THRESHOLD)
     queries = gated.select(F.col("task_id").alias("query_id"), F.col("text").alias("query"))
-    hits = K.search(queries, RT.index(spark, sf), k=RT.TOOL_K).join(docs.select("doc_id", "relative_path"), "doc_id")
+    index = BM.build(docs, scratch_path(spark, "blocks"))
+    hits = BM.search(queries, index, k=RT.TOOL_K).join(docs.select("doc_id", "relative_path"), "doc_id")
     targets = gated.select(F.col("task_id").alias("query_id"), "target_file")
     best = K.exclude_self(hits, targets)
     out = gated.select(F.col("task_id").alias("query_id"), "target_file", F.round("risk_score", 6).alias("risk_score"))
