@@ -28,13 +28,15 @@ On clustered embeddings the bounds remove most cells.  On uniformly spread
 high-dimensional vectors nothing can be pruned exactly (every cell's bound
 overlaps); the blocked search then does the full quadratic work, but in
 bounded, vectorised blocks with a shuffle of only k rows per query and
-block.  :func:`approx_knn` is the sub-quadratic alternative.
+block.  ``ivfpq`` is the sub-quadratic alternative.
 
 The result equals brute force: pruning only removes cells that provably
 cannot hold one of the k nearest.  Distances are rounded to 6 digits and
 ties are broken by id.  ``metric='cosine'`` normalises vectors and ranks by
-L2 (identical order); ``metric='dot'`` has no triangle inequality, so no
-cell is pruned (still salted and exact).
+L2 (identical order).  ``metric='dot'`` ranks by ``-q.x``: by Cauchy-Schwarz
+``q.x`` lies within ``|q| r_c`` of ``q.p_c`` and is at most ``|q|`` times the
+largest norm of the cell, so cells of short or far-off vectors are pruned
+in the same walk.
 """
 
 from __future__ import annotations
@@ -106,6 +108,39 @@ def knn(
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def probes(q: DataFrame, cells: DataFrame, piv: DataFrame, need: int, metric: str = "l2") -> DataFrame:
+    """The cells that may hold one of the ``need`` nearest of a query: (query_id, qvec, cell, salts)."""
+    # One row holding every cell with its pivot: bounded by max_cells.
+    info = cells.join(piv.select(F.explode("pivots").alias("p")).select("p.cell", "p.vec"), "cell").agg(
+        F.collect_list(F.struct("cell", "n", "radius", "norm", "salts", "vec")).alias("cells")
+    )
+    qc = q.withColumn("qn", F.sqrt(dot(F.col("vec"), F.col("vec")))).crossJoin(F.broadcast(info))
+
+    def bounds(x: Column) -> tuple[Column, Column]:
+        """Least and greatest distance to a vector of the cell."""
+        if metric != "dot":
+            d = l2(F.col("vec"), x["vec"])
+            return d - x["radius"], d + x["radius"]
+        d, reach = -dot(F.col("vec"), x["vec"]), F.col("qn") * x["radius"]
+        most = F.col("qn") * x["norm"]
+        return F.greatest(d - reach, -most), F.least(d + reach, most)
+
+    def of(x: Column) -> Column:
+        low, high = bounds(x)
+        return F.struct(high.alias("ub"), low.alias("lb"), *[x[c].alias(c) for c in ("n", "cell", "salts")])
+
+    qc = qc.select("query_id", "vec", F.array_sort(F.transform("cells", of)).alias("pc"))
+    walk = F.aggregate(
+        "pc",
+        F.struct(F.lit(0).cast("long").alias("cnt"), F.lit(None).cast("double").alias("u")),
+        lambda acc, x: F.when(acc["cnt"] >= need, acc).otherwise(F.struct((acc["cnt"] + x["n"]).cast("long").alias("cnt"), x["ub"].alias("u"))),
+    )
+    slack = BOUND_SLACK * (1 + F.abs(walk["u"]))
+    upper = F.when(walk["cnt"] >= need, walk["u"] + slack).otherwise(F.lit(float("inf")))
+    found = qc.select("query_id", "vec", F.explode(F.filter("pc", lambda x: x["lb"] <= upper)).alias("x"))
+    return found.select("query_id", F.col("vec").alias("qvec"), F.col("x.cell").alias("cell"), F.col("x.salts").alias("salts"))
+
+
 CANDIDATE_SCHEMA = "query_id long, id long, distance double"
 SLACK = 1e-6  # BLAS rounding, relative to the squared norms
 QUERY_CHUNK = 256
@@ -196,36 +231,11 @@ def candidates(
     # The assignment (n x C distances) feeds three consumers; it is written
     # once to the shared checkpoint folder instead of being recomputed.
     assigned = _assign(c, piv).checkpoint(eager=True)
-    cells = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d_cell").alias("radius"))
-    cells = cells.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n") / cell_target)).cast("int"))
-    # One row holding every cell with its pivot: bounded by max_cells.
-    info = cells.join(piv.select(F.explode("pivots").alias("p")).select("p.cell", "p.vec"), "cell").agg(
-        F.collect_list(F.struct("cell", "n", "radius", "salts", "vec")).alias("cells")
+    cells = assigned.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("d_cell").alias("radius"), F.max(F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("norm")
     )
-    need = k + (1 if exclude_self else 0)
-    qc = q.crossJoin(F.broadcast(info))
-    per_cell = F.transform(
-        "cells",
-        lambda x: F.struct(
-            l2(F.col("vec"), x["vec"]).alias("dc"), x["radius"].alias("radius"), x["n"].alias("n"), x["cell"].alias("cell"), x["salts"].alias("salts")
-        ),
-    )
-    qc = qc.select("query_id", "vec", per_cell.alias("pc"))
-    if metric == "dot":
-        upper = F.lit(float("inf"))
-    else:
-        by_upper = F.array_sort(F.transform("pc", lambda x: F.struct((x["dc"] + x["radius"]).alias("ub"), x["n"].alias("n"))))
-        walk = F.aggregate(
-            by_upper,
-            F.struct(F.lit(0).cast("long").alias("cnt"), F.lit(None).cast("double").alias("u")),
-            lambda acc, x: F.when(acc["cnt"] >= need, acc).otherwise(
-                F.struct((acc["cnt"] + x["n"]).cast("long").alias("cnt"), x["ub"].alias("u"))
-            ),
-        )
-        upper = F.when(walk["cnt"] >= need, walk["u"] + BOUND_SLACK).otherwise(F.lit(float("inf")))
-    cand = qc.select(
-        "query_id", "vec", F.explode(F.filter("pc", lambda x: (x["dc"] - x["radius"]) <= upper)).alias("x")
-    ).select("query_id", F.col("vec").alias("qvec"), F.col("x.cell").alias("cell"), F.col("x.salts").alias("salts"))
+    cells = cells.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n") / cell_target)).cast("int"))
+    cand = probes(q, cells, piv, k + (1 if exclude_self else 0), metric)
     cand = cand.checkpoint(eager=True)  # read twice: block sizes and the search
     # Queries per cell decide how many query blocks a cell is split into
     # (one row per cell: a bounded broadcast).
@@ -245,28 +255,6 @@ def candidates(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_topk(k, metric, exclude_self), CANDIDATE_SCHEMA)
 
 
-def approx_knn(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length: float = 1.0, tables: int = 3, exclude_self: bool = False, seed: int = 42) -> DataFrame:
-    """LSH approximate join (random projections), same output contract.
-
-    Candidates are all pairs that share a hash bucket, at any distance;
-    recall is measured against :func:`knn`.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select("query_id", array_to_vector(as_double(F.col("vec"))).alias("features"))
-    cv = corpus.select("id", array_to_vector(as_double(F.col("vec"))).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    model = lsh.fit(cv)
-    j = model.approxSimilarityJoin(qv, cv, float("inf"), distCol="distance").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round("distance", DIST_DIGITS).alias("distance")
-    )
-    if exclude_self:
-        j = j.filter(F.col("query_id") != F.col("id"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
-
-
 def render_hits(hits: DataFrame, key: str = "query_id") -> DataFrame:
     """Numbered result blocks of each query's hits, in rank order.
 

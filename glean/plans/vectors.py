@@ -6,10 +6,13 @@ work grows with the table.  ``label`` plays the metadata filter column.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from glean.operators import ivfpq as A
 from glean.operators import knn as N
 from glean.plans.registry import register
+from glean.session import scratch_path
 from glean.sources import tables
 
 FILTER_LABEL = 0
@@ -59,7 +62,6 @@ def q_knn_partitioned(spark, sf):
     """The vector table as A6 writes it (partitioned by ``is_test``); the
     metadata predicate becomes a partition filter, so only that partition's
     files are read."""
-    from glean.session import scratch_path
     from glean.sources import io as IO
 
     v = _vectors(spark, sf)
@@ -107,18 +109,33 @@ def q_retrieval_eval_vectors(spark, sf):
     return E.evaluate(hits.join(meta, "id"), truth, k=5)
 
 
+# --- C1 with the inner product ----------------------------------------------------
+@register("knn_dot", sql=_sql_knn(5).replace("list_distance(a.v, b.v)", "-list_inner_product(a.v, b.v)"), ids=("C1", "F1"))
+def q_knn_dot(spark, sf):
+    """Largest inner product first; the distance is its negative."""
+    v = _vectors(spark, sf)
+    return N.knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, metric="dot", exclude_self=True)
+
+
 @register("knn_approx", ids=("C2",))
 def q_knn_approx(spark, sf):
     v = _vectors(spark, sf)
-    return N.approx_knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, exclude_self=True)
+    return A.approx_knn(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("id"), "vec"), k=5, exclude_self=True)
 
 
 @register("knn_approx_recall", ids=("C2",))
 def q_knn_approx_recall(spark, sf):
+    """Recall of the approximate search against the exact one, and the share of all pairs whose codes or vectors it compared."""
     v = _vectors(spark, sf)
     q = v.select(F.col("vec_id").alias("query_id"), "vec")
     c = v.select(F.col("vec_id").alias("id"), "vec")
-    exact = N.knn(q, c, k=5, exclude_self=True)
-    approx = N.approx_knn(q, c, k=5, exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
-    j = exact.join(approx, ["query_id", "id"], "left")
-    return j.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_at_5"), F.count(F.lit(1)).alias("n_exact"))
+    exact = N.knn(q, c, k=5, exclude_self=True).select("query_id", "id", F.lit(1).alias("exact"))
+    path = scratch_path(spark, "compared")
+    A.compared(q, c, 5, exclude_self=True).write.parquet(path)
+    found = spark.read.parquet(path)
+    cost = found.agg(F.sum("scanned").alias("scanned"), F.sum("measured").alias("measured"))
+    best = found.filter("id IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    approx = best.filter("rank <= 5").select("query_id", "id", F.lit(1).alias("hit"))
+    j = exact.join(approx, ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_at_5"), F.count(F.lit(1)).alias("n_exact"))
+    pairs = F.lit(float(max(1, q.count() * c.count())))
+    return j.crossJoin(cost).select("recall_at_5", "n_exact", (F.col("scanned") / pairs).alias("share_scanned"), (F.col("measured") / pairs).alias("share_measured"))
