@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (C2): inverted lists, residual product codes, exact re-ranking.
 
 **Fit.**  On at most ``SAMPLE`` vectors, chosen by a hash of the id and collected: a coarse
-quantiser of about sqrt(n) centroids (Lloyd's iterations), and for every ``SUB`` dimensions of what is left
+quantiser of about 2 sqrt(n) centroids (Lloyd's iterations), and for every ``SUB`` dimensions of what is left
 after subtracting the centroid a codebook of 256 centroids.  Two numbers are read off the same
 sample by searching it with some of its own vectors: how many lists a query must probe, and by how
 much a code may overstate a distance, for ``target`` of the true neighbours to be found.  On
@@ -99,7 +99,7 @@ class Quantiser:
 def fit(sample: np.ndarray, n: int, k: int, target: float, seed: int) -> Quantiser:
     """The quantiser of a corpus of ``n`` vectors from a sample of it."""
     rnd = np.random.default_rng(seed)
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(n)), len(sample) // 20))
+    lists = max(1, min(MAX_LISTS, round(2 * math.sqrt(n)), len(sample) // 20))
     coarse = _lloyd(sample, lists, 12, rnd)
     left = sample - coarse[_nearest(sample, coarse)]
     books = [_lloyd(left[:, i : i + SUB], CODES, 8, rnd) for i in range(0, sample.shape[1], SUB)]
@@ -181,19 +181,24 @@ def compared(
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(lists=list(model.value.by_distance(_matrix(pdf["vec"]))[:, : model.value.probes].astype(np.int32)))
+                order = model.value.by_distance(_matrix(pdf["vec"])).astype(np.int32)
+                # Never fewer lists than hold k vectors besides the query itself.
+                least = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
+                yield pdf.assign(lists=[row[: max(m, model.value.probes)] for row, m in zip(order, least)])
 
     path = scratch_path(spark, "lists")
     c.mapInPandas(encode, "id bigint, vec array<double>, list int, code binary").write.parquet(path)
     indexed = spark.read.parquet(path)
+    sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # one row a list: bounded by MAX_LISTS
+    held = np.zeros(len(model.value.coarse), np.int64)
+    for r in sizes.collect():
+        held[r["list"]] = r["n"]
     to = scratch_path(spark, "probes")
     spread(q).mapInPandas(probe, "query_id bigint, vec array<double>, lists array<int>").write.parquet(to)
     asked = spark.read.parquet(to).select("query_id", F.col("vec").alias("qvec"), F.posexplode("lists").alias("place", "list"))
 
-    # One row a list: bounded by MAX_LISTS.
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / list_target).cast("int").alias("salts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_target).cast("int").alias("blocks"))
-    dealt = F.broadcast(sizes.join(blocks, "list"))
+    dealt = F.broadcast(sizes.select("list", F.ceil(F.col("n") / list_target).cast("int").alias("salts")).join(blocks, "list"))
     every = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
     right = indexed.join(dealt, "list").select("id", "vec", "code", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), every("blocks").alias("block"))
 
@@ -209,13 +214,16 @@ def compared(
                 if exclude_self:
                     near[names[i : i + CHUNK, None] == ids[None, :]] = np.inf
                 for name, query, row, floor in zip(names[i : i + CHUNK], Q[i : i + CHUNK], near, floors[i : i + CHUNK]):
+                    close = np.isfinite(row)
+                    some = np.empty(0, np.int64)
                     if np.isinf(floor):  # nothing is known yet: measure some and take the k-th of them
                         some = np.argpartition(row, 4 * k)[: 4 * k] if 4 * k < len(row) else np.arange(len(row))
-                        some = some[np.isfinite(row[some])]
-                        measured += len(some)
+                        some = some[close[some]]
                         if len(some) >= k:
                             floor = np.partition(np.sqrt(((X[some] - query) ** 2).sum(1)), k - 1)[k - 1]
-                    at = np.flatnonzero((row <= floor * m.slack + 10.0**-DIST_DIGITS) & np.isfinite(row))
+                    close &= row <= floor * m.slack + 10.0**-DIST_DIGITS
+                    close[some] = True
+                    at = np.flatnonzero(close)
                     measured += len(at)
                     d = np.round(np.sqrt(((X[at] - query) ** 2).sum(1)), DIST_DIGITS)
                     order = np.lexsort((ids[at], d))[:k]
