@@ -8,16 +8,15 @@ without words has fingerprint zero.
 Links: two fingerprints that differ in at most two bits.  Equal ones are grouped
 first, so the index holds different fingerprints only.
 
-* Upper nodes are masked bit patterns.  Of four 16-bit blocks, two fingerprints
-  at distance two or less share two blocks at least, so the six masks of two blocks deal
-  each fingerprint to six nodes and no link is lost.  A node of more than
-  ``NODE_LIMIT`` fingerprints is divided once more in the same way, by the six
-  masks of two of four 8-bit blocks in the bits that are still free.  A node then
-  has 16 free bits: 65,536 fingerprints at most, whatever the input.
-* Below a node, fingerprints stand by Gray rank in leaves of ``FAN`` and the leaves
-  in a tree.  A tree node keeps the mask and pattern of the bits its members share
-  beyond its parent's; a search adds up the differences on the way down and prunes a
-  whole group when they exceed two.
+* Upper nodes are masked bit patterns.  Two fingerprints at distance two or less agree on one
+  of three blocks of 21 or 22 bits, so three masks deal each fingerprint to three nodes and no link
+  is lost.  A node of more than ``NODE_LIMIT`` fingerprints is divided by the six masks of two of four
+  blocks of the bits that are still free, and once more in the same way: what is left
+  has 13 free bits, so 8,192 fingerprints at most, whatever the input.
+* Below a node, of whatever size, fingerprints stand by Gray rank in leaves of ``FAN`` and the leaves
+  in a tree.  A tree node keeps the pattern of the bits that its members share; a search starts at the root, adds up
+  the differences in the bits that are new on each level and prunes a whole group when they exceed
+  two.  Every link comes out of this descent.
 
 A node reports links as (fingerprint, smallest fingerprint it is joined with), not
 as pairs.  Connected components follow by hooking to the smallest neighbour and
@@ -85,8 +84,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-LEVEL_1 = _masks(list(range(64)))
-LEVEL_2 = {m: [_signed((m | s) & (1 << 64) - 1) for s in _masks([b for b in range(64) if not m >> b & 1])] for m in LEVEL_1}
+# Two fingerprints that differ in two bits agree on one of three blocks, and on two of four blocks of what is left.
+LEVEL_1 = [_signed(sum(1 << b for b in range(x, y))) for x, y in ((0, 22), (22, 43), (43, 64))]
+
+
+def _finer(masks: list[int]) -> dict[int, list[int]]:
+    """The masks that divide a node of each mask further."""
+    return {m: [_signed((m | s) & (1 << 64) - 1) for s in _masks([b for b in range(64) if not m >> b & 1])] for m in masks}
+
+
+LEVEL_2 = _finer(LEVEL_1)
+LEVEL_3 = _finer([m for subs in LEVEL_2.values() for m in subs])
 
 
 def _under(masks: Column) -> Column:
@@ -96,12 +104,18 @@ def _under(masks: Column) -> Column:
 
 def upper_nodes(fps: DataFrame) -> DataFrame:
     """(mask, pattern, fp) for every upper node with two fingerprints or more."""
-    one = fps.select("fp", _under(F.array(*[F.lit(m) for m in LEVEL_1])).alias("n")).select("fp", "n.*")
-    sizes = one.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    one = one.join(sizes, ["mask", "pattern"])
-    finer = F.create_map(*[x for m, subs in LEVEL_2.items() for x in (F.lit(m), F.array(*[F.lit(s) for s in subs]))])
-    two = one.filter(F.col("size") > NODE_LIMIT).select("fp", _under(F.element_at(finer, F.col("mask"))).alias("n")).select("fp", "n.*")
-    return one.filter(F.col("size") <= NODE_LIMIT).select("mask", "pattern", "fp").unionByName(two.select("mask", "pattern", "fp"))
+    rows = fps.select("fp", _under(F.array(*[F.lit(m) for m in LEVEL_1])).alias("n")).select("fp", "n.*")
+    out = None
+    for finer in (LEVEL_2, LEVEL_3, None):
+        sizes = rows.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        rows = rows.join(sizes, ["mask", "pattern"])
+        done = (rows.filter(F.col("size") <= NODE_LIMIT) if finer else rows).select("mask", "pattern", "fp")
+        out = done if out is None else out.unionByName(done)
+        if finer:
+            below = F.create_map(*[x for m, subs in finer.items() for x in (F.lit(m), F.array(*[F.lit(s) for s in subs]))])
+            large = rows.filter(F.col("size") > NODE_LIMIT)
+            rows = large.select("fp", _under(F.element_at(below, F.col("mask"))).alias("n")).select("fp", "n.*")
+    return out
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -112,39 +126,52 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
-class GrayIndex:
-    """The tree below an upper node: level 0 are the fingerprints by Gray rank, each next level groups ``FAN``."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        both, some = [self.fps], [self.fps]  # AND and OR of the members
-        while len(both[-1]) > FAN:
-            at = np.arange(0, len(both[-1]), FAN)
-            both.append(np.bitwise_and.reduceat(both[-1], at))
-            some.append(np.bitwise_or.reduceat(some[-1], at))
-        self.pattern = both
-        self.shared = [~(a ^ o) for a, o in zip(both, some)]  # bits on which all members agree
-
-    def search(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) positions of all pairs within ``bits``; members as in ``fps``."""
-        top = len(self.pattern) - 1
-        q = np.repeat(np.arange(len(queries)), len(self.pattern[top]))
-        node = np.tile(np.arange(len(self.pattern[top])), len(queries))
-        spent = np.zeros(len(q), np.int64)
-        for level in range(top, -1, -1):
-            own = self.shared[level][node]
-            if level < top:
-                own &= ~self.shared[level + 1][node // FAN]
-            spent = spent + np.bitwise_count((queries[q] ^ self.pattern[level][node]) & own)
+class GrayForest:
+    """The trees below many upper nodes: level 0 are the fingerprints by node and Gray rank, each next level groups
+    up to ``FAN`` neighbours of one node, until a node is one group.  A group keeps the pattern that its members share."""
+
+    def __init__(self, node: np.ndarray, fps: np.ndarray):
+        self.order = np.lexsort((gray_rank(fps), node))
+        self.fps, node = fps[self.order], node[self.order]
+        both, some = self.fps, self.fps  # AND and OR of the members
+        self.pattern, self.shared, self.begin, self.up = [both], [np.full(len(both), ~np.uint64(0))], [], []
+        while True:
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, np.int64)
+            inside = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+            if len(self.begin) and len(first) == len(node):
+                break  # every tree has one root
+            new = np.flatnonzero(inside % FAN == 0)
+            self.up.append(np.cumsum(inside % FAN == 0) - 1)
+            self.begin.append(np.append(new, len(node)))
+            if not len(node):
+                break
+            both, some, node = np.bitwise_and.reduceat(both, new), np.bitwise_or.reduceat(some, new), node[new]
+            self.pattern.append(both)
+            self.shared.append(~(both ^ some))  # bits on which all members agree
+        self.visits = 0
+
+    def search(self, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (position of ``at``, position) within ``bits`` below one upper node, each fingerprint searched from the root of its tree."""
+        group = at
+        for up in self.up:
+            group = up[group]
+        q, seen, spent = at, None, np.zeros(len(at), np.int64)
+        for level in range(len(self.pattern) - 1, -1, -1):
+            new = self.shared[level][group]
+            if seen is not None:
+                new = new & ~seen
+            self.visits += len(group)
+            # Differences add up on the way down; a group whose shared bits differ too often goes as a whole.
+            spent = spent + np.bitwise_count((self.fps[q] ^ self.pattern[level][group]) & new)
             keep = spent <= bits
-            q, node, spent = q[keep], node[keep], spent[keep]
+            q, group, spent = q[keep], group[keep], spent[keep]
             if level:
-                below = len(self.pattern[level - 1])
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                q, spent = np.repeat(q, FAN), np.repeat(spent, FAN)
-                keep = node < below
-                q, node, spent = q[keep], node[keep], spent[keep]
-        return q, node
+                begin, end = self.begin[level - 1][group], self.begin[level - 1][group + 1]
+                n = end - begin
+                seen = np.repeat(self.shared[level][group], n)
+                q, spent = np.repeat(q, n), np.repeat(spent, n)
+                group = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return q, group
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,16 +190,38 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links_below(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one upper node as (fingerprint, the first in Gray order that it is joined with)."""
-    index = GrayIndex(fps)
-    own = index.fps
-    root = np.arange(len(own))
-    for i in range(0, len(own), 512):
-        q, m = index.search(own[i : i + 512], bits)
-        root = root[_roots(len(own), np.concatenate((q + i, np.arange(len(own)))), np.concatenate((m, root)))] if len(q) else root
-    linked = np.flatnonzero(root != np.arange(len(own)))
-    return own[linked], own[root[linked]]
+QUERIES, PAIRS = 8192, 1 << 20  # fingerprints searched and pairs held at a time
+
+
+def links_below(node: np.ndarray, fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links below upper nodes as (fingerprint, the first of its node in Gray order that it is joined with).
+
+    Every link comes out of the descent: all members are searched in the tree of their node.
+    """
+    forest = GrayForest(node, fps)
+    root, found, n = np.arange(len(fps)), [], 0
+
+    def joined() -> None:
+        a, b = (np.concatenate(x) for x in zip(*found))
+        a, b = root[a], root[b]
+        own, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+        least = np.arange(len(root))
+        least[own] = own[_roots(len(own), places[: len(a)], places[len(a) :])]
+        root[:] = least[root]
+        found.clear()
+
+    for i in range(0, len(fps), QUERIES):
+        q, m = forest.search(np.arange(i, min(i + QUERIES, len(fps))), bits)
+        apart = q > m
+        found.append((q[apart], m[apart]))
+        n += int(apart.sum())
+        if n > PAIRS:
+            joined()
+            n = 0
+    if n:
+        joined()
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return forest.fps[linked], forest.fps[root[linked]]
 
 
 def node_links(it: Iterator[pd.DataFrame], bits: int = MAX_BITS) -> Iterator[pd.DataFrame]:
@@ -191,26 +240,10 @@ def node_links(it: Iterator[pd.DataFrame], bits: int = MAX_BITS) -> Iterator[pd.
 
 
 def _links_of(begin: np.ndarray, end: np.ndarray, f: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
-    a, b = [], []
-    u = f.view(np.uint64)
-    small = (end - begin <= FAN) & (end - begin > 1)
-    # Nodes of one leaf, all at once: each fingerprint against the d-th after it in its node.
-    node_end = np.repeat(end[small], (end - begin)[small])
-    at = np.concatenate([np.arange(x, y) for x, y in zip(begin[small], end[small])] or [np.empty(0, np.int64)])
-    for d in range(1, FAN):
-        ok = at + d < node_end
-        at, node_end = at[ok], node_end[ok]
-        if not len(at):
-            break
-        near = np.bitwise_count(u[at] ^ u[at + d]) <= bits
-        a.append(u[at[near]])
-        b.append(u[at[near] + d])
-    for x, y in zip(begin[end - begin > FAN], end[end - begin > FAN]):
-        s, t = links_below(u[x:y], bits)
-        a.append(s)
-        b.append(t)
-    if a:
-        yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+    if len(begin):
+        node = np.repeat(np.arange(len(begin)), end - begin)
+        a, b = links_below(node, f[begin[0] : end[-1]].view(np.uint64), bits)
+        yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:

@@ -155,13 +155,35 @@ def test_links_join_the_same_fingerprints(spark, monkeypatch, limit):
     assert {g for g in groups(got) if len(g) > 1} == {g for g in groups(want) if len(g) > 1}
 
 
-def test_gray_index_finds_all_pairs():
+def test_gray_forest_finds_all_pairs_and_prunes():
     rnd = np.random.default_rng(1)
     fps = np.unique(rnd.integers(0, 2**16, 3000, dtype=np.uint64))
-    index = simhash.GrayIndex(fps)
-    q, m = index.search(fps[:300], 2)
-    got = {(int(fps[i]), int(index.fps[j])) for i, j in zip(q, m)}
-    assert got == {(int(x), int(y)) for x in fps[:300] for y in fps if int(x ^ y).bit_count() <= 2}
+    node = (fps % np.uint64(3)).astype(np.int64) * (fps < 2**15)  # trees of several sizes
+    forest = simhash.GrayForest(node, fps)
+    node = node[forest.order]
+    q, m = forest.search(np.arange(len(fps)), 2)
+    got = set(zip(q.tolist(), m.tolist()))
+    f = forest.fps
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 2
+    assert got == set(zip(*np.nonzero(near & (node[:, None] == node[None, :]))))
+    assert forest.visits < 0.6 * (node[:, None] == node[None, :]).sum()
+    assert simhash.GrayForest(node[:0], fps[:0]).search(np.arange(0), 2)[0].size == 0
+
+
+def test_links_of_the_documents_come_out_of_the_descent(spark):
+    """The table's own fingerprints, and a near one of each, fill trees; every near pair is met below a node they share."""
+    own = {brute_simhash(t) for _, t in texts(spark)}
+    fps = np.array(sorted(own | {f ^ 1 << i % 64 ^ 1 << (7 * i + 3) % 64 for i, f in enumerate(sorted(own))}), np.uint64)
+    pairs, visits = set(), 0
+    for mask in simhash.LEVEL_1:
+        under = fps & np.uint64(mask % 2**64)
+        forest = simhash.GrayForest(np.unique(under, return_inverse=True)[1], fps)
+        q, m = forest.search(np.arange(len(fps)), 2)
+        visits += forest.visits
+        pairs |= {(int(forest.fps[i]), int(forest.fps[j])) for i, j in zip(q, m) if forest.fps[i] < forest.fps[j]}
+    want = {(int(x), int(y)) for i, x in enumerate(fps) for y in fps[i + 1 :] if int(x ^ y).bit_count() <= 2}
+    assert pairs == want and want
+    assert visits > 6 * len(fps)  # three searches each, all of them down to a leaf
 
 
 def test_simhash_odd_input(spark, odd):
