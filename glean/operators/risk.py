@@ -238,9 +238,9 @@ def stratified_split(df: DataFrame, label: str, id_col: Column, test_size: float
     rank by ``md5(id)`` within its class is at most ``ceil(test_size * n)``.
 
     Rows are counted by class and hash prefix; only the rows of the prefix in
-    which a class's cut falls are ranked.
+    which a class's cut falls are ranked.  A null id counts as the empty text.
     """
-    keyed = df.withColumn("_h", F.md5(id_col.cast("string"))).withColumn("_p", F.substring("_h", 1, PREFIX))
+    keyed = df.withColumn("_h", F.md5(F.coalesce(id_col.cast("string"), F.lit("")))).withColumn("_p", F.substring("_h", 1, PREFIX))
     counts = keyed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_c"))  # 16**PREFIX rows for each class at most
     run = F.sum("_c").over(Window.partitionBy(label).orderBy("_p"))
     size = F.ceil(F.sum("_c").over(Window.partitionBy(label)) * test_size)

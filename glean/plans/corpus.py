@@ -121,19 +121,6 @@ def q_mean_complexity(spark, sf):
 
 
 # --- L2 / J1 -----------------------------------------------------------------
-# Source text around the whole text of the row as its docstring, so that the
-# features can be counted by hand; every tenth document keeps its prose, which does not parse.
-CODE = """def f_%d(x, y):
-    # note
-    \'\'\'%s\'\'\'
-    if x > %d and y and x:
-        return y
-
-    else:
-        return x
-"""
-
-
 def _python_string(text):
     """The inside of a Python string literal of ``text``, on as many lines; null is the empty text."""
     escaped = F.coalesce(text, F.lit(""))
@@ -144,22 +131,49 @@ def _python_string(text):
 
 @register(
     "code_metrics",
-    sql="""WITH c AS (
-  SELECT doc_id, doc_id % 10 <> 9 AS ok,
-         -- def ( , ) : if > and and : return else : return (10 of 14 differ); f x y text x n y x y x (5 of 10 differ)
-         14.0 + 10 AS len, log2(10.0 + 5) AS bits, CAST(10 / 2 * 10 / 5 AS DOUBLE) AS d
-  FROM documents
+    sql="""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, s, i, len(list_filter(string_split(s, ' '), lambda x: x <> '')) % 3 AS k FROM l),
+c AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE k = 1) AS ifs, count(*) FILTER (WHERE k = 2) AS whiles,
+         count(DISTINCT s) AS texts, max(k = 1) AS has_if, max(k = 2) AS has_while
+  FROM w GROUP BY doc_id
+),
+h AS (
+  SELECT doc_id, n, ifs, whiles,
+         -- operators: def ( ) : return, and for every line = or if in : or while and :
+         5 + (n - ifs - whiles) + 3 * ifs + 3 * whiles AS ops,
+         5 + CAST(n > ifs + whiles AS INTEGER) + 2 * CAST(has_if AS INTEGER) + 2 * CAST(has_while AS INTEGER) AS op_kinds,
+         -- operands: f x x, and for every line x and its text, once more x below if and while
+         3 + 2 * (n - ifs - whiles) + 3 * ifs + 3 * whiles AS opnds, 2 + texts AS opnd_kinds
+  FROM c
+),
+m AS (
+  SELECT *, CAST(ops + opnds AS DOUBLE) * log2(CAST(op_kinds + opnd_kinds AS DOUBLE)) AS volume,
+         (op_kinds / 2.0::DOUBLE) * (CAST(opnds AS DOUBLE) / opnd_kinds) AS difficulty
+  FROM h
 )
-SELECT doc_id, CASE WHEN ok THEN 6.0::DOUBLE END AS loc, CASE WHEN ok THEN 4.0::DOUBLE END AS vg, CASE WHEN ok THEN round(CAST(len AS DOUBLE) * bits, 6) END AS v,
-       CASE WHEN ok THEN round(d, 6) END AS d, CASE WHEN ok THEN round(d * CAST(len AS DOUBLE) * bits, 6) END AS e
-FROM c""",
+SELECT doc_id, CAST(2 + n + ifs + whiles AS DOUBLE) AS loc, CAST(1 + ifs + 2 * whiles AS DOUBLE) AS vg,
+       round(volume, 6) AS v, round(difficulty, 6) AS d, round(difficulty * volume, 3) AS e
+FROM m""",
     ids=("L2", "B9", "B11"),
 )
 def q_code_metrics(spark, sf):
+    """Metrics of a function with a statement for every line of the text: an assignment, a branch or a loop by its words."""
     docs = tables.read(spark, sf, "documents")
-    code = F.format_string(CODE, "doc_id", _python_string(F.col("text")), F.col("doc_id"))
-    found = M.code_metrics(docs.select("doc_id", F.when(F.col("doc_id") % 10 == 9, F.col("text")).otherwise(code).alias("text")))
-    return found.select("doc_id", "loc", "vg", *[F.round(c, 6).alias(c) for c in ("v", "d", "e")])
+
+    def statement(line):
+        words = F.size(F.filter(F.split(line, " "), lambda w: w != "")) % 3
+        text = F.concat(F.lit("'"), _python_string(line), F.lit("'"))
+        return (
+            F.when(words == 1, F.concat(F.lit("    if x in "), text, F.lit(":\n        x\n")))
+            .when(words == 2, F.concat(F.lit("    while x and "), text, F.lit(":\n        x\n")))
+            .otherwise(F.concat(F.lit("    x = "), text, F.lit("\n")))
+        )
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), statement)
+    code = F.concat(F.lit("def f(x):\n"), F.array_join(lines, ""), F.lit("    return x\n"))
+    found = M.code_metrics(docs.select("doc_id", code.alias("text")))
+    return found.select("doc_id", "loc", "vg", *[F.round(c, 6).alias(c) for c in ("v", "d")], F.round("e", 3).alias("e"))
 
 
 @register(

@@ -491,3 +491,14 @@ def test_code_metrics_reads_whole_texts(spark, tmp_path, monkeypatch):
     assert all((r.loc, r.vg) == (6.0, 4.0) for r in rows)
     lines = {r.doc_id: (r.loc, r.vg, r.d) for r in corpus.q_code_metrics_lines(spark, sf).collect()}
     assert lines == {1: (5.0, 1.0, 3.0), 2: (3.0, 1.0, 3.333333), 3: (5.0, 1.0, 3.75)}
+
+
+def test_split_keeps_rows_with_null_ids(spark):
+    from glean.operators import risk as R
+
+    rows = [(None if i % 3 == 0 else i, i % 2, i) for i in range(1000)] + [(None, None, 1000 + i) for i in range(10)]
+    df = spark.createDataFrame(rows, "id bigint, y int, n int")
+    got = R.stratified_split(df, "y", F.col("id")).collect()
+    assert sorted(r.n for r in got) == sorted(r[2] for r in rows)
+    for y, size in ((0, 500), (1, 500), (None, 10)):
+        assert sum(r.y == y and r.split == "test" for r in got) == -(-size // 5)
