@@ -9,12 +9,18 @@ transitions know code-switched text.  Words are labelled by forward-backward ove
 whole text.  The text's language is the label with the largest sum of word marginals, its
 score the mean marginal of that label.
 
-Training reads a bounded sample: ``DOCS_PER_LANG`` rows for each language and
+Training reads a bounded sample: ``DOCS_PER_LANG`` rows for each of the ``MAX_LABELS`` most frequent languages (ties by
+code point; rows of rarer ones are not learned from) and
 ``SPANS`` spans of ``SPAN_WORDS`` words from places over the whole text of each.
 Prediction uses the text alone and covers every word of every text.
 
+``accepted`` drops texts without a letter and texts whose words are no evidence of any learned language: a word's
+evidence is the share of its letter trigrams, ends included, that stand in the training words of some language, and a text goes if
+the mean of its words is below ``MIN_EVIDENCE``.  A text that is divided evenly among languages stays.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no
-labelled row to learn from, every text is ``und``.  Ties go to the first label by code point.
+labelled row to learn from, every text is ``und`` and ``accepted`` keeps all that have a letter.  Ties go to the first
+label by code point.  Only doc_id, text and lang are read to learn, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,8 +42,9 @@ from glean.llm.common import id_crc
 DOCS_PER_LANG, SPANS, SPAN_WORDS = 200, 8, 24
 HELD_OUT_MOD, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: A text is rejected if no language has at least this share of it.
-MIN_SCORE = 0.3
+MAX_LABELS = 64
+#: A text is rejected if a smaller share of its words' trigrams is known.
+MIN_EVIDENCE = 0.3
 
 BUCKETS = 1 << 16
 LEXICON_WORDS = 400
@@ -52,6 +59,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _trigrams(word: str) -> list[str]:
+    padded = f"^{word}$"
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
 class _Buckets(dict):
     """Memo of hashed features; emptied when full."""
 
@@ -80,6 +92,7 @@ class Crf:
     weights: np.ndarray  # BUCKETS x labels
     trans: np.ndarray  # labels x labels, log scale
     lexicon: dict[str, int]  # word -> bits of the languages whose lexicon has it
+    grams: frozenset[str] = frozenset()  # letter trigrams of the training words
 
     def potentials(self, ws: list[str]) -> np.ndarray:
         """Word potentials, exp scale, the largest of each word 1."""
@@ -136,7 +149,8 @@ def train(spans: list[tuple[str, list[str]]]) -> Crf:
         for w, n in sorted(counts[la].items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]:
             if n > 1:
                 lexicon[w] = lexicon.get(w, 0) | 1 << i
-    model = Crf(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), lexicon)
+    grams = frozenset(g for own in counts.values() for w in own for g in _trigrams(w))
+    model = Crf(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), lexicon, grams)
     if k < 2:
         return model
     # Every span alone, and joined with a span of another language.
@@ -192,6 +206,7 @@ class Labeller:
         self.model = model
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.labels)), np.float32)
+        self.known = np.zeros(1024, np.float32)
 
     def _ids(self, ws: list[str]) -> np.ndarray:
         rows = self.rows
@@ -200,13 +215,15 @@ class Labeller:
             have = len(rows)
             while have + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
             self.table[have : have + len(new)] = self.model.potentials(new)
+            self.known[have : have + len(new)] = [sum(g in self.model.grams for g in gs) / len(gs) for gs in map(_trigrams, new)]
             rows.update(zip(new, range(have, have + len(new))))
         return np.fromiter(map(rows.__getitem__, ws), np.int32, len(ws))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of every text."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, mean evidence of the words) of every text."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not self.model.labels:
             return out
         waiting: list[tuple[int, np.ndarray]] = []
@@ -219,9 +236,10 @@ class Labeller:
                 waiting = []
                 if len(self.rows) > CACHED_WORDS:
                     self.rows, self.table = {}, np.zeros((1024, len(self.model.labels)), np.float32)
+                    self.known = np.zeros(1024, np.float32)
         return out
 
-    def _label(self, waiting: list[tuple[int, np.ndarray]], out: list[tuple[str, float]]) -> None:
+    def _label(self, waiting: list[tuple[int, np.ndarray]], out: list[tuple[str, float, float]]) -> None:
         waiting = sorted(waiting, key=lambda x: -len(x[1]))
         at = 0
         while at < len(waiting):
@@ -234,14 +252,17 @@ class Labeller:
                 ids[: len(own), j] = own
             post, _, _ = marginals(self.table[ids], lengths, self.model.trans.astype(np.float32))
             share = post.sum(axis=0, dtype=np.float64) / lengths[:, None]
-            for (i, _), s in zip(group, share / share.sum(axis=1, keepdims=True)):
+            for (i, own), s in zip(group, share / share.sum(axis=1, keepdims=True)):
                 best = int(s.argmax())
-                out[i] = (self.model.labels[best], float(min(1.0, s[best])))
+                out[i] = (self.model.labels[best], float(min(1.0, s[best])), float(self.known[own].mean(dtype=np.float64)))
 
 
 def fit(docs: DataFrame) -> Crf:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % HELD_OUT_MOD != HELD_OUT))
+    own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (id_crc() % HELD_OUT_MOD != HELD_OUT))
+    frequent = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS)
+    labels = [r["lang"] for r in frequent.collect()]
+    rows = own.filter(F.col("text").isNotNull() & F.col("lang").isin(labels))
     # The rank limit is applied within each task first, so a frequent language is never gathered.
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), F.col("doc_id")), F.col("doc_id"))
     picked = rows.select("doc_id", "lang", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= DOCS_PER_LANG).drop("rank")
@@ -266,14 +287,14 @@ def _spans(ws: list[str]) -> list[list[str]]:
 
 
 def predict(text: Column, model: Crf, like: DataFrame) -> Column:
-    """struct<lang_pred:string,score:double> of each text."""
+    """struct<lang_pred:string,score:double,evidence:double> of each text."""
     shared = like.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights a language
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang_pred:string,score:double,evidence:double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for texts in batches:
-            yield pd.DataFrame(labeller.predict(list(texts)), columns=["lang_pred", "score"])
+            yield pd.DataFrame(labeller.predict(list(texts)), columns=["lang_pred", "score", "evidence"])
 
     return run(text)
 
@@ -286,6 +307,10 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language: not ``und``, score ``MIN_SCORE`` or more."""
-    p = predict(F.col("text"), model or fit(docs), docs)
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= MIN_SCORE))
+    """The rows of ``docs``, all columns as they are, whose words are evidence of a learned language; all with a letter
+    if there is none to learn."""
+    model = model or fit(docs)
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    p = predict(F.col("text"), model, docs)
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["evidence"] >= MIN_EVIDENCE))

@@ -83,6 +83,33 @@ def test_language_odd_input(spark, odd):
     assert {(r.lang_pred, r.score) for r in langid.identify(one).collect()} == {("fr", 1.0)}
 
 
+def test_language_with_clashing_columns_and_nothing_to_learn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    clash = docs.withColumn("d", docs.doc_id).withColumn("la", docs.lang).withColumn("s", docs.lang).withColumn("rank", docs.doc_id)
+    kept = langid.accepted(clash)
+    assert kept.columns == clash.columns and kept.count() == langid.accepted(docs).count() > 100
+    assert langid.identify(clash).count() == 120
+    unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
+    assert langid.accepted(unlabelled).count() == sum(bool(langid.words(r.text)) for r in docs.collect()) > 100
+
+
+def test_language_stage_rejects_on_evidence(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    held = {r.lang: r.text for r in docs.filter("length(text) > 900 AND crc32(cast(doc_id AS string)) % 4 = 2").collect()}
+    assert len(held) >= 4
+    even = " ".join(" ".join(langid.words(t)[:40]) for t in held.values())
+    strange = "\u65e5\u672c \u8a9e\u6587 \u7ae0\u3067 \u3059\u304b \u3089\u8aad \u3081\u306a \u3044"
+    rows = spark.createDataFrame([(1, even), (2, strange), (3, "12 -- 3"), (4, None)] + [(9, t) for t in held.values()], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in langid.accepted(rows, model).collect()) == [1] + [9] * len(held)
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    rows = [(i, f"alpha beta w{i}", la) for i, la in enumerate(["a"] * 9 + ["b"] * 9 + ["c", "d"])]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).labels == ["a", "b"]
+
+
 # --- 3 ---
 def brute_article(page):
     """Text between <article> tags, by blocks: enough for the pages of the tables."""
