@@ -82,13 +82,19 @@ COMMENT_NAMES = _SET(
     "comment comments comment-body commentlist comment-list reply replies respond disqus discussion related related-post related-posts "
     "related-article related-articles recommended teaser"
 )
-#: Inside a declared main region only whole class or role names of block containers declare boilerplate, and only
-#: names that no part of an article's own text bears.
+#: Inside a declared main region only whole names declare boilerplate, and only names that no part of an article's own
+#: text bears: classes of blocks, roles and ids of block containers.
 REGION_NAMES = _SET(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle ad-container ad-slot ad-banner ad-wrapper sponsor sponsored promo "
     "comment comments commentlist comment-list comments-area respond replies disqus disqus-thread newsletter newsletter-signup subscribe cookie-banner "
     "cookie-consent nav navbar navigation breadcrumb breadcrumbs pagination sharing social-share share-buttons share-bar related-posts "
-    "related-articles sidebar"
+    "related-articles sidebar related related-content recommended notice notices notification notifications alert alerts popup pop-up modal "
+    "overlay banner promo promotion menu submenu footer widget widgets toolbar cookies cookie-notice consent gdpr share share-links tags skip-link"
+)
+REGION_IDS = _SET(
+    "comment comments commentlist comment-list comments-area comment-section respond replies disqus disqus-thread newsletter newsletter-signup "
+    "subscribe cookie-banner cookie-consent cookie-notice nav navbar navigation breadcrumb breadcrumbs pagination sharing social-share share-buttons "
+    "share-bar related-posts related-articles related-content sidebar popup modal overlay menu footer ad ads advert adverts ad-container ad-slot ad-banner"
 )
 REGION_ROLES = _SET("navigation menu menubar toolbar search banner complementary contentinfo")
 #: A name that begins so tells what a page has or lacks, not what the element is.
@@ -116,19 +122,23 @@ class Node:
         if self.main:
             declared = not COMMENT_NAMES.isdisjoint(names.whole)
         elif self.inside:
-            declared = tag in CONTAINERS and not (REGION_NAMES.isdisjoint(names.classes) and REGION_ROLES.isdisjoint(names.role))
+            declared = tag in BLOCKS and not REGION_NAMES.isdisjoint(names.classes)
+            declared |= tag in CONTAINERS and not (REGION_IDS.isdisjoint(names.ids) and REGION_ROLES.isdisjoint(names.role))
         else:
             declared = tag not in ("html", "body") and not BOILERPLATE_NAMES.isdisjoint(names.words)
-        self.noise = tag in BOILERPLATE_TAGS or hidden or declared
+        # The header of an article or main region holds its own title.
+        own_header = tag == "header" and self.inside
+        self.noise = tag in BOILERPLATE_TAGS and not own_header or hidden or declared
 
 
 class Names(NamedTuple):
-    """Words of class, id and role; whole names of class, of role; both and numbered ids (``comment-12``) without their numbers."""
+    """Words of class, id and role; whole names of class, of role, of id; both and numbered ids (``comment-12``) without their numbers."""
 
     words: list[str] = []
     classes: list[str] = []
     role: list[str] = []
     whole: list[str] = []
+    ids: list[str] = []
 
 
 _NO_NAMES = Names()
@@ -136,7 +146,7 @@ _NO_NAMES = Names()
 
 def _attributes(text: str) -> tuple[Names, bool, str]:
     """Names; hidden; the label part of class and id."""
-    names, hidden, label = Names([], [], [], []), False, []
+    names, hidden, label = Names([], [], [], [], []), False, []
     for m in _ATTRIBUTE.finditer(text):
         key = m[1].lower()
         if key not in _READ:
@@ -153,6 +163,8 @@ def _attributes(text: str) -> tuple[Names, bool, str]:
             if key != "id":
                 (names.role if key == "role" else names.classes).append(whole)
                 names.whole.append(whole)
+            else:
+                names.ids.append(whole)
             if _NUMBER.search(whole):
                 names.whole.append(_NUMBER.sub("", whole))
         if key == "role":
@@ -164,7 +176,9 @@ def _attributes(text: str) -> tuple[Names, bool, str]:
 def parse(page: str | None) -> Node:
     """The DOM of a page, in outline."""
     text = page or ""
-    root = here = Node("#page", _NO_NAMES, False, "#page", None)
+    root = Node("#page", _NO_NAMES, False, "#page", None)
+    opened = _Opened(root)
+    here = root
     at, end = 0, len(text)
     while at < end:
         m = _TAG.search(text, at)
@@ -184,20 +198,15 @@ def parse(page: str | None) -> Node:
             continue
         tag = m[4].lower()
         if m[3]:
-            node = here
-            while node is not root and node.tag != tag:
-                # An inline end tag does not close blocks.
-                if tag in INLINE and node.tag in BLOCKS:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            place = opened.last(tag)
+            # An inline end tag does not close blocks.
+            if place and not (tag in INLINE and opened.last_block() > place):
+                here = opened.leave(place)
             continue
         if tag in BLOCKS:
-            here = _close(here, root, _P, _P_STOP)
+            here = opened.close(_P, _P_STOP)
         if tag in CLOSES:
-            here = _close(here, root, *CLOSES[tag])
+            here = opened.close(*CLOSES[tag])
         if m[5] and not m[5].isspace():
             names, hidden, label = _attributes(m[5])
             child = Node(tag, names, hidden, f"{tag} {label}", here)
@@ -209,25 +218,51 @@ def parse(page: str | None) -> Node:
             stop = close.start() if close else end
             child.parts.append(text[at:stop])
             at = stop
-            here = child
+            here = opened.enter(child)
         elif tag not in VOID and not (m[5] or "").endswith("/"):
-            here = child
+            here = opened.enter(child)
     return root
 
 
 _P, _P_STOP = _SET("p"), _SET("button table td th caption object")
 
 
-def _close(here: Node, root: Node, tags: frozenset, stops: frozenset) -> Node:
-    """Leave the nearest open element of ``tags``, if none of ``stops`` is nearer."""
-    node = here
-    while node is not root:
-        if node.tag in tags:
-            return node.parent
-        if node.tag in stops:
-            return here
-        node = node.parent
-    return here
+class _Opened:
+    """The open elements, with the places of each tag, so that closing does not climb."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def enter(self, node: Node) -> Node:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        return node
+
+    def last(self, tag: str) -> int:
+        """Place of the nearest open element of a tag, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+    def leave(self, place: int) -> Node:
+        """Close the element at a place and all in it; gives the one around it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+        return self.stack[-1]
+
+    def close(self, tags: frozenset, stops: frozenset) -> Node:
+        """Leave the nearest open element of ``tags``, if none of ``stops`` is nearer."""
+        place = max(map(self.last, tags))
+        return self.leave(place) if place and place > max(map(self.last, stops)) else self.stack[-1]
 
 
 def _nodes(root: Node) -> Iterator[Node]:

@@ -233,7 +233,7 @@ def test_main_text(page, text):
         ('<h1>T</h1><section id="discussion"><h2 id="related-work">R</h2><p>d</p></section>', "T\nR\nd"),
         ('<h2><span class="mw-headline" id="Search_engines">Search engines</span></h2><p class="ad-hoc">a</p>', "Search engines\na"),
         ('<p title="The hidden cost">q</p><p title="x class=ad id=comments">r</p>', "q\nr"),
-        ('<p>a <span class="notice">b</span> <a class="share" href=/x>c</a></p><div class="notice"><p>d</p></div>', "a b c\nd"),
+        ('<p>a <span class="notice">b</span> <a class="share" href=/x>c</a></p><div class="notice"><p>no</p></div>', "a b c"),
         ('<section class="login-flow header"><p>a</p></section><ul class="skip"><li class="reply">b</li></ul>', "a\nb"),
         ('<div class="ad"><p>no</p></div><ol class="comment-list"><li>no</li></ol><div role="navigation">no</div><p hidden>no</p><p>yes</p>', "yes"),
     ],
@@ -298,3 +298,57 @@ def test_quality_odd_input(spark, odd):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in fm.quality(odd, labels.limit(0)).collect()} == {0.5}
     assert fm.quality(odd.limit(0), labels).count() == 0
+
+
+BODY = "<p>First words of the text.</p>%s<p>Last words of the text.</p>"
+
+
+@pytest.mark.parametrize("region", ["<article>%s</article>", "<main>%s</main>"])
+@pytest.mark.parametrize(
+    "noise",
+    [
+        '<div class="notice"><p>X</p></div>',
+        '<div class="alert"><p>X</p></div>',
+        '<section id="comments"><p>X</p></section>',
+        '<div id="disqus_thread"><p>X</p></div>',
+        '<div id="respond"><p>X</p></div>',
+        '<div class="related"><h3>X</h3><ul><li>X</li></ul></div>',
+        '<div class="popup"><p>X</p></div>',
+        '<ul class="menu"><li>X</li></ul>',
+        '<div class="footer"><p>X</p></div>',
+        '<p class="notice">X</p>',
+    ],
+)
+def test_declared_boilerplate_inside_a_region_goes(region, noise):
+    got = sitetree.main_text(f"<html><body>{region % (BODY % noise)}</body></html>")
+    assert got == "First words of the text.\nLast words of the text."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="discussion"><p>X</p></section>',
+        '<h2 id="related-work">X</h2>',
+        '<p><span class="mw-headline" id="Search_engines">X</span></p>',
+        '<p class="ad-hoc">X</p>',
+        '<p title="The hidden cost">X</p>',
+        "<header><h2>X</h2></header>",
+    ],
+)
+def test_text_with_such_ids_and_headings_stays(part):
+    got = sitetree.main_text(f"<html><body><article>{BODY % part}</article></body></html>")
+    assert got == "First words of the text.\nX\nLast words of the text."
+
+
+def test_title_in_the_header_of_the_article_stays():
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><nav>menu</nav></header><p>Text.</p></article></body>"
+    assert sitetree.main_text(page) == "Title\nText."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    n = 200_000
+    began = time.process_time()
+    got = sitetree.main_text("<article><p>Text.</p></article>" + "<div>" * n + "x" + "</div>" * n + "<b>" * 1000 + "</i>" * 50_000)
+    assert time.process_time() - began < 15 and got.startswith("Text.")
