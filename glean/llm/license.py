@@ -8,7 +8,8 @@ optional regions add skip edges, replaceable regions add counted wildcard
 states).  A text is scanned from every place where a template can begin.
 
 Defined results: a null or empty text has no words, no places and no labels;
-repeated phrases count every time; several templates at one place all count.
+repeated phrases count every time; several templates at one place all count;
+only doc_id and text are read, so extra columns may have any name.
 Only the words near a possible beginning run through the automata, whole texts
 are always scanned, and memory is one batch of texts.
 """
@@ -59,9 +60,75 @@ TEMPLATES = (
     ),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # Whole texts of licences and notices.  Regions in [[ ]] may be missing, also one within another.
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+        "files the {{6}} to deal in the {{6}} without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the {{6}} and to permit persons to whom the {{6}} is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] "
+        "shall be included in all copies or substantial portions of the {{6}} [[the software is provided as is without warranty of any "
+        "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall the {{6}} be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies [[the software is provided as is and {{6}} "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness [[in no "
+        "event shall {{6}} be liable for any special direct indirect or consequential damages or any damages whatsoever]]]]",
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution this software is provided "
+        "by {{12}} as is",
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of "
+        "{{12}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at {{8}} unless required by applicable law or agreed to in writing software distributed under the "
+        "license is distributed on an as is basis without warranties or conditions of any kind either express or implied [[see the license "
+        "for the specific language governing permissions and limitations under the license]]",
+    ),
+    (
+        "lgpl",
+        "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software "
+        "foundation [[either]] version {{3}} [[of the license]]",
+    ),
+    (
+        "agpl",
+        "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software "
+        "foundation [[either]] version {{3}} [[of the license]]",
+    ),
+    (
+        "gpl-3.0-or-later",
+        "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or [[at your option]] any later version",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
+        "this file you can obtain one at {{5}}",
+    ),
     ("proprietary", "copyright [[c]] {{8}} all rights reserved"),
 )
 
+#: "All rights reserved" opens many open licences too: it stands for itself only if none of their wordings begins this near.
+REFUTED_BY_WORDS = 60
+
 # Every byte that is not part of a word becomes a space; A-Z become a-z.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -179,10 +246,12 @@ class Scanner:
                     for a, lead in self.by_start[w]:
                         for at in range(max(0, i - lead), i + 1):
                             n, share = a.run(ws, at)
-                            score = max(score, share)
+                            score = max(score, share if not n else 0.0)
                             if n:
                                 spans.append((a.label, at, n))
                                 break
+        grants = [at for la, at, _ in spans if la != "proprietary"] + [at for at, _ in base]
+        spans = [s for s in spans if s[0] != "proprietary" or not any(abs(at - s[1]) <= REFUTED_BY_WORDS for at in grants)]
         base_labels = sorted({label for _, label in base})
         return {
             "n_words": len(ws),
@@ -191,7 +260,7 @@ class Scanner:
             "last_word": max((i for i, _ in base), default=None),
             "base_labels": base_labels,
             "labels": sorted({*base_labels, *(s[0] for s in spans)}),
-            "score": max(score, 0.5 if base else 0.0),
+            "score": 1.0 if spans else max(score, 0.5 if base else 0.0),
             "spans": [{"label": la, "first": at, "words": n} for la, at, n in spans],
         }
 

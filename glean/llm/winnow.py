@@ -8,7 +8,9 @@ shares a fingerprint; matches below ``k`` are never seen.
 
 Defined results: a text with fewer than ``k`` kept code points has one hash,
 that of all of them; an empty or null text has none.  Two empty fingerprints
-are alike (1.0), an empty and another one are not (0.0).
+are alike (1.0), an empty and another one are not (0.0).  Rows of one doc_id, or without one, stand by their texts in one range,
+hence in one task: it streams them and holds two texts at a time.  Only doc_id and text are read, so extra columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from glean.plans.strategy import partitions_for
 
-K, WINDOW = 16, 64
-MAX_RANGES = 8192
+# Any 31 kept code points in common share a fingerprint.
+K, WINDOW = 16, 16
+MAX_RANGES = 8192  # ranges whose bounds fit into an expression; beyond them a range grows, nothing is left out
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -91,7 +94,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
 
 NEAR_SCHEMA = (
     "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, n_hashes bigint"
+    "near_edited double, near_next double, n_hashes bigint, positions array<int>"
 )
 
 
@@ -142,24 +145,25 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def near_next(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
-    """For every document: its fingerprint, that of its edited text, and how near both and the next document's are.
+    """For every document: its fingerprint with the places of its hashes, that of its edited text, and how near both and the next
+    document's are.
 
     The rows stream in order through each task, which holds one row and its fingerprint from one to the next.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (part, doc_id, text, hashes)
+        held = None  # (part, doc_id, text, hashes, positions)
         for pdf in batches:
             out = []
             for part, doc_id, text, tail in zip(pdf["part"], pdf["doc_id"], pdf["text"], pdf["tail"]):
-                hashes = winnow(text, k, w)[0]
+                hashes, positions = winnow(text, k, w)
                 if held is not None and held[0] == part:
                     out.append(compare(held, text, hashes))
-                held = None if tail else (part, doc_id, text, hashes)
+                held = None if tail else (part, doc_id, text, hashes, positions)
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     def compare(held, after: str, after_hashes: np.ndarray) -> tuple:
-        _, doc_id, text, hashes = held
+        _, doc_id, text, hashes, positions = held
         new = edited(text, after)
         new_hashes = winnow(new, k, w)[0]
         return (
@@ -171,6 +175,7 @@ def near_next(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
             likeness(hashes, new_hashes),
             likeness(hashes, after_hashes),
             len(hashes),
+            positions.astype(np.int32),
         )
 
     # Ids travel as text: pandas would turn a column of integers and nulls into floats.
