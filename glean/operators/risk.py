@@ -1,9 +1,9 @@
 """Defect-risk features, statistics, models and scoring (groups B, D, K).
 
 All statistics are single-pass grouped aggregates (partial, then final);
-exact quantiles and the stratified split use the balanced ordinal of
-:mod:`glean.operators.ordered` instead of collecting a column into one
-task.  Models are Spark ML estimators trained on the executors.
+exact quantiles come from counting passes that narrow, the stratified split
+from counts by hash prefix, so no column is collected into one task.
+Models are Spark ML estimators trained on the executors.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glean.operators.ordered import running_total
-
 # The risk feature set, in order, and policy defaults.
 FEATURES = ("loc", "vg", "v", "d", "e", "complexity_density", "volume_per_line")
 DEFAULT_THRESHOLD = 0.2
@@ -58,32 +56,87 @@ def density(df: DataFrame, mode: str = "serve") -> DataFrame:
 
 
 # --- D1 ----------------------------------------------------------------------
+SLOTS = 4096  # slices of an interval in one counting pass
+
+
+def _binade(v: Column) -> Column:
+    """A bucket number that never falls as a double grows: its sign and power of two, with 0, infinities and NaN apart."""
+    power = F.floor(F.log2(F.abs(v))) + 1100  # 26 to 2,124: the exponent of the smallest double is -1,074
+    sign = F.signum(v).cast("long")
+    return (
+        F.when(F.isnan(v), F.lit(3000).cast("long"))
+        .when(F.abs(v) == float("inf"), sign * 2500)
+        .when(v == 0, F.lit(0).cast("long"))
+        .otherwise(sign * power)
+    )
+
+
+def _counted(rows: DataFrame, keys: list[str], bucket: Column, value: str) -> DataFrame:
+    """Rows of each bucket, their smallest and largest value, and the rows up to its end within ``keys``."""
+    b = rows.groupBy(*keys, bucket.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max")
+    )
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return b.withColumn("_end", F.sum("_n").over(w))
+
+
 def exact_quantiles(long: DataFrame, qs=(0.25, 0.5, 0.75), name: str = "column_name", value: str = "value") -> DataFrame:
-    """Linear-interpolation quantiles of every column of a long table.
-
-    Works on distinct values with their counts: ``groupBy(column, value)``
-    combines map-side (a value repeated in a third of the rows costs one
-    row per partition), a balanced running sum of the counts
-    (:func:`glean.operators.ordered.running_total`) gives each distinct
-    value the positions it covers, and the few target positions are looked
-    up with a broadcast join on the column name.  No column is gathered
-    into one task.
+    """Linear-interpolation quantiles of every column of a long table, by counting passes that narrow.
+
+    The first pass counts each column's values by power of two (at most
+    4,249 buckets) and keeps, for every wanted position, the bucket that
+    holds it.  Each further pass cuts the open buckets between their
+    smallest and largest value into ``SLOTS`` equal slices, counts only the
+    values inside, and keeps one slice a position; a position is found once
+    its bucket holds a single value.  A slice never holds both ends of its
+    bucket, so every pass narrows, and the 52 bits below a power of two are
+    gone after five.  Passes combine map-side and shuffle counts only; no
+    value is sorted and none gathered.
+
+    Columns are those of a schema: what reaches the driver between passes
+    is two rows for each column and quantile.  Nulls are left out; a column
+    of nulls has no row; NaN stands above infinity; ``value`` is a double.
     """
-    v = long.filter(F.col(value).isNotNull())
-    counts = v.groupBy(name, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = running_total(counts, name, [F.col(value)], "_c", "_end")
-    n = counts.groupBy(name).agg(F.sum("_c").alias("_n"))
-    wanted = n.select(
-        name,
-        F.explode(F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("_n") - 1) * q).alias("h")) for q in qs])).alias("w"),
-    ).select(name, "w.q", "w.h", F.floor("w.h").alias("lo"), F.ceil("w.h").alias("hi"))
-    # ``wanted`` has len(qs) rows per column: a bounded broadcast.  Both
-    # neighbours of a position come from one pass over the running counts.
-    start = F.col("_end") - F.col("_c")
-    covers = [(start <= F.col(p)) & (F.col(p) < F.col("_end")) for p in ("lo", "hi")]
-    near = run.join(F.broadcast(wanted), name).filter(covers[0] | covers[1])
-    ends = near.groupBy(name, "q", "h", "lo").agg(*[F.max(F.when(c, F.col(value))).alias(v) for c, v in zip(covers, ("v_lo", "v_hi"))])
-    return ends.select(name, "q", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    spark = long.sparkSession
+    v = long.select(F.col(name).alias("_name"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    first = _counted(v, ["_name"], _binade(F.col("_v")), "_v")
+    total = F.sum("_n").over(Window.partitionBy("_name"))
+    points = F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("_total") - 1) * F.lit(float(q))).alias("h")) for q in qs])
+    ends = F.explode(F.array(F.floor("h"), F.ceil("h")))
+    wanted = first.withColumn("_total", total).withColumn("_p", F.explode(points)).select("*", "_p.q", "_p.h")
+    held = wanted.select("*", ends.alias("_at")).filter((F.col("_end") - F.col("_n") <= F.col("_at")) & (F.col("_at") < F.col("_end")))
+    found = held.select("_name", "q", "h", "_at", (F.col("_at") - F.col("_end") + F.col("_n")).alias("rank"), "_min", "_max").distinct().collect()
+
+    done, state = [], f"_name {dict(long.dtypes)[name]}, q double, h double, _at long, rank long, _lo double, _hi double"
+    while True:
+        done += [r for r in found if _single(r)]
+        todo = [tuple(r) for r in found if not _single(r)]
+        if not todo:
+            break
+        # Two rows for each column and quantile: a bounded broadcast.
+        open_ = spark.createDataFrame(todo, state)
+        parts = F.broadcast(open_.select("_name", "_lo", "_hi").distinct())
+        inside = v.join(parts, v["_name"].eqNullSafe(parts["_name"]) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).drop(v["_name"])
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        slots = _counted(inside, ["_name", "_lo", "_hi"], F.least(F.floor(share * SLOTS), F.lit(SLOTS - 1)), "_v")
+        s, o = slots.alias("s"), F.broadcast(open_).alias("o")
+        same = F.col("s._name").eqNullSafe(F.col("o._name")) & (F.col("s._lo") == F.col("o._lo")) & (F.col("s._hi") == F.col("o._hi"))
+        holds = (F.col("_end") - F.col("_n") <= F.col("rank")) & (F.col("rank") < F.col("_end"))
+        found = s.join(o, same & holds).select("o._name", "q", "h", "_at", (F.col("rank") - F.col("_end") + F.col("_n")).alias("rank"), "_min", "_max").collect()
+
+    ends_of: dict = {}
+    for r in done:
+        ends_of.setdefault((r["_name"], r["q"], r["h"]), {})[r["_at"]] = r["_min"]
+    rows = []
+    for (column, q, h), at in ends_of.items():
+        lo, hi = at[min(at)], at[max(at)]
+        rows.append((column, q, lo if lo == hi else lo + (h - min(at)) * (hi - lo)))
+    return spark.createDataFrame(rows, f"{name} {dict(long.dtypes)[name]}, q double, quantile double")
+
+
+def _single(r) -> bool:
+    """Whether a bucket holds one value (NaN is one)."""
+    return r["_min"] == r["_max"] or r["_min"] != r["_min"]
 
 
 def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:

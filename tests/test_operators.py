@@ -415,6 +415,33 @@ def test_exact_quantiles_with_hot_value(spark):
         assert math.isclose(v, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_exact_quantiles_of_extreme_values(spark):
+    rng = random.Random(5)
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    columns = {
+        "powers": [rng.choice((-1, 1)) * 2.0 ** rng.randint(-1074, 1023) for _ in range(500)],
+        "near_one": [1.0 + k * 2.0**-52 for k in range(300)],
+        "edges": [tiny, -tiny, 2 * tiny, 0.0, -0.0, 1.0, 1.0 - 2.0**-53, huge, 1e-310],
+        "one": [7.25],
+        "same": [3.0] * 50,
+        "infinite": [float("-inf")] * 3 + [1.0, 2.0] + [float("inf")] * 4,
+    }
+    rows = [(c, v) for c, vs in columns.items() for v in vs] + [("nulls", None), ("near_one", None)]
+    long = spark.createDataFrame(rows, "column_name string, value double")
+    qs = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = {(r.column_name, r.q): r.quantile for r in R.exact_quantiles(long, qs).collect()}
+    assert {c for c, _ in got} == set(columns)
+    for (c, q), v in got.items():
+        vs = sorted(columns[c])
+        h = (len(vs) - 1) * q
+        lo, hi = vs[math.floor(h)], vs[math.ceil(h)]
+        assert v == (lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)), (c, q)
+    with_nan = spark.createDataFrame([("x", v) for v in (1.0, float("nan"), 2.0)], "column_name string, value double")
+    mid, top = R.exact_quantiles(with_nan, (0.5, 1.0)).sort("q").collect()
+    assert mid.quantile == 2.0 and math.isnan(top.quantile)
+    assert R.exact_quantiles(long.limit(0)).count() == 0
+
+
 def test_knn_is_exact_under_many_ties(spark):
     import random
 

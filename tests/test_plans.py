@@ -39,6 +39,18 @@ def test_history_windows_are_split_by_range(spark):
     assert "WindowGroupLimit" in plan(load_all()["attempts"].fn(spark, SF))
 
 
+def test_exact_quantiles_sort_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from glean.operators import risk as R
+
+    assert "rangepartitioning" not in plan(load_all()["describe"].fn(spark, SF))
+    # A pass shuffles counts (combined before the exchange), and its window runs over buckets.
+    long = R.unpivot(spark.range(1000).select(F.rand(1).alias("x")), ["x"])
+    p = plan(R._counted(long, ["column_name"], R._binade(F.col("value")), "value"))
+    assert "rangepartitioning" not in p and "partial_count" in p
+
+
 def test_hot_term_spans_several_files(spark, tmp_path):
     from pyspark.sql import functions as F
 
