@@ -90,8 +90,8 @@ def q_stream_attempts(spark, sf):
     out, ckpt = S.scratch(spark, "attempts")
     S.run_to_table(state, out, ckpt)
     t = spark.read.parquet(out)
-    last = t.groupBy("key").agg(F.max(F.struct("epoch", "attempts", "status", "route")).alias("m"))
-    return last.select(F.col("key").alias("user_id"), "m.attempts", "m.status", "m.route")
+    last = t.groupBy("user_id").agg(F.max(F.struct("epoch", "attempts", "status", "route")).alias("m"))
+    return last.select("user_id", "m.attempts", "m.status", "m.route")
 
 
 @register(

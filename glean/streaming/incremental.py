@@ -4,7 +4,8 @@
   the chunk table in ``foreachBatch``; every epoch writes its own folder in
   overwrite mode, so a replayed micro-batch cannot duplicate rows.
 * :func:`attempt_state` (I2): keyed state per test target with
-  ``applyInPandasWithState``: attempts so far, last status, route.
+  ``transformWithStateInPandas``: attempts in event order, last status,
+  route, and a timer that drops old keys.
 * :func:`change_feed` (I3): per-step changed values in ``update`` mode.
 
 Checkpoints go below the session's shared checkpoint folder.
@@ -15,8 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from glean.operators import chunk as C
 from glean.session import scratch_path
@@ -48,56 +48,110 @@ def self_feed(stream: DataFrame, out_path: str, checkpoint: str, status_col: str
     _run(chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-STATE_SCHEMA = Ty.StructType(
-    [Ty.StructField("attempts", Ty.LongType()), Ty.StructField("status", Ty.StringType()), Ty.StructField("done", Ty.BooleanType())]
-)
-
-
-def _attempt_fn(max_attempts: int, order_cols: list[str]):
-    """State update of one key.  Only the ``max_attempts - attempts`` rows
-    that come first can matter, so each Arrow batch is cut to those before
-    the next is read: memory per key stays bounded however many rows the
-    key has in a trigger."""
-
-    def fn(key, batches, state):
-        attempts, status, done = (0, "pending", False)
-        if state.exists:
-            attempts, status, done = state.get
-        room = max_attempts - attempts
-        keep = None
-        if not done and room > 0:
-            for pdf in batches:
-                part = pdf if keep is None else pd.concat([keep, pdf], ignore_index=True)
-                keep = part.sort_values(order_cols).head(room)
-        else:
-            for _ in batches:
-                pass
-        if keep is not None:
-            for s in keep["status"]:
-                attempts += 1
-                status = s
-                if s == "passed" or attempts >= max_attempts:
-                    done = True
-                    break
-        state.update((attempts, status, done))
-        yield pd.DataFrame(
-            {
-                "key": [key[0]],
-                "attempts": [attempts],
-                "status": [status],
-                "route": ["finish" if done else "fix_code"],
-            }
-        )
-
-    return fn
-
-
-def attempt_state(stream: DataFrame, key: str, order_cols: list[str], max_attempts: int = 3) -> DataFrame:
-    """Streaming form of E8; one output row per key and trigger."""
-    max_attempts = max(1, int(max_attempts))
-    out_schema = f"key {dict(stream.dtypes)[key]}, attempts long, status string, route string"
-    return stream.groupBy(key).applyInPandasWithState(
-        _attempt_fn(max_attempts, order_cols), out_schema, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RESULT = "attempts long, status string, route string"
+
+
+class _Attempts(StatefulProcessor):
+    """First ``max_attempts`` rows of a key in event order, whatever trigger brings them.
+
+    Only those rows can matter, so the state of a key is one short list and
+    a row that arrives late takes its place in it.  A timer drops the list
+    when the watermark passes the key's newest event.
+    """
+
+    def __init__(self, key: str, order: list[str], types: dict[str, str], max_attempts: int, expire: bool, zone: str):
+        self.key, self.order, self.max_attempts = key, order, max_attempts
+        self.columns = [*order, "status"]
+        self.schema = ", ".join(f"`{c}` {types[c]}" for c in self.columns)
+        self.expire, self.zone = expire, zone
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def _result(self, key, first: pd.DataFrame) -> pd.DataFrame:
+        statuses = list(first["status"])
+        done = statuses.index("passed") + 1 if "passed" in statuses else self.max_attempts
+        n = min(done, len(statuses))
+        route = "finish" if len(statuses) >= done else "fix_code"
+        return pd.DataFrame({self.key: [key[0]], "attempts": [n], "status": [statuses[n - 1]], "route": [route]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        stored = [tuple(r) for r in self.rows.get()]
+        keep = pd.DataFrame(stored, columns=self.columns) if stored else None
+        newest = None
+        for batch in rows:
+            # Cut after each Arrow batch, so that a key of any size stays small.
+            part = batch[self.columns] if keep is None else pd.concat([keep, batch[self.columns]], ignore_index=True)
+            keep = part.sort_values(self.order, na_position="first", kind="stable").head(self.max_attempts)
+            if self.expire:
+                at = batch[self.order[0]].max()
+                newest = at if at is not pd.NaT and (newest is None or at > newest) else newest
+        kept = [tuple(_plain(x) for x in r) for r in keep.itertuples(index=False)]
+        if kept != stored:
+            self.rows.put(kept)
+        if newest is not None:
+            self._renew(int(newest.tz_localize(self.zone).timestamp() * 1000) + 1)
+        yield self._result(key, keep)
+
+    def _renew(self, at_ms: int) -> None:
+        """One timer a key, just after its newest event."""
+        timers = [int(t[0]) if isinstance(t, (tuple, list)) else int(t) for t in self.handle.listTimers()]
+        if at_ms > max(timers, default=at_ms - 1):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.rows.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(x):
+    """A pandas cell as the Python value that the state encodes."""
+    if x is None or x is pd.NaT or x != x:
+        return None
+    if isinstance(x, pd.Timestamp):
+        return x.to_pydatetime()
+    return x.item() if hasattr(x, "item") else x
+
+
+def attempt_state(
+    stream: DataFrame,
+    key: str,
+    order_cols: list[str],
+    max_attempts: int = 3,
+    expire: str | None = None,
+) -> DataFrame:
+    """Streaming form of E8; one output row per key and trigger that brought rows for it.
+
+    Rows may come late and in any trigger: the answer is that of all rows
+    seen so far in the order of ``order_cols`` (nulls first).  A null key is
+    a key.  With ``expire`` (an interval such as ``"2 days"``) the first
+    order column is the event time: rows further than that behind the
+    stream's newest event are too late and left out, and a key that had no
+    event for as long loses its state and, should it return, begins anew.
+    Without it state is kept for good: at most ``max_attempts`` short rows a
+    key.
+
+    State lies in RocksDB, which ``transformWithStateInPandas`` needs and
+    which is set here, with its changes in the query's checkpoint.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    types = dict(stream.dtypes)
+    rows = stream.select(*dict.fromkeys([key, *order_cols, "status"]))
+    if expire is not None:
+        rows = rows.withWatermark(order_cols[0], expire)
+    # Event times reach Python in the session's time zone, those without a zone as they are.
+    zone = "UTC" if types[order_cols[0]] == "timestamp_ntz" else spark.conf.get("spark.sql.session.timeZone")
+    processor = _Attempts(key, list(order_cols), types, max(1, int(max_attempts)), expire is not None, zone)
+    return rows.groupBy(key).transformWithStateInPandas(
+        processor, f"`{key}` {types[key]}, {RESULT}", "update", "EventTime" if expire is not None else "None"
     )
 
 
