@@ -434,20 +434,12 @@ def q_index_persist(spark, sf):
 
 # --- A1 ----------------------------------------------------------------------
 # The documents are written out as a source tree (seed documents under an
-# ignored ``tests/`` folder), then scanned back with the tree data source.
-def _write_tree(spark, sf, root: str) -> None:
+# ignored ``tests/`` folder) in the shared store, then scanned back.
+def _tree_files(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-
-    def write(rows):
-        import os
-
-        for r in rows:
-            folder = os.path.join(root, "tests", r.source) if r.source == tables.TEST_SOURCE else os.path.join(root, r.source)
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, f"{r.lang}_{r.doc_id}.md"), "w", encoding="utf-8") as f:
-                f.write(r.text or "")
-
-    docs.foreachPartition(write)
+    folder = F.when(F.col("source") == tables.TEST_SOURCE, F.concat(F.lit("tests/"), F.col("source"))).otherwise(F.col("source"))
+    name = F.concat(F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return docs.select(F.concat(folder, F.lit("/"), name).alias("relative_path"), "text")
 
 
 @register(
@@ -463,8 +455,8 @@ FROM d""",
 def q_tree_scan(spark, sf):
     from glean.sources import tree
 
-    root = tree.local_path(scratch_path(spark, "tree"))
-    _write_tree(spark, sf, root)
+    root = scratch_path(spark, "tree")
+    tree.write_tree(_tree_files(spark, sf), root)
     files = tree.scan(spark, root, extensions=(".md",))
     docs = IO.to_documents(files, is_test=False)
     return docs.select("relative_path", "service", "file_type", F.length("text").alias("n_chars"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -189,6 +190,46 @@ def test_tree_scan_keeps_hidden_and_underscore_files(spark, tmp_path):
     assert "pkg/short.py" not in kept and "pkg/bad.py" not in kept and "pkg/.github/w.py" in kept
 
 
+def test_tree_scan_of_one_deep_folder_is_dealt_evenly(spark, tmp_path):
+    from glean.sources import tree
+
+    for i in range(400):
+        p = tmp_path / "src" / "main" / "pkg" / f"m{i % 5}" / f"f{i}.py"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"x = {i}\n" * (1 + i % 7))
+    (tmp_path / "src" / "loop").symlink_to(tmp_path / "src", target_is_directory=True)
+    (tmp_path / "src" / "empty").mkdir()
+    got = tree.scan(spark, f"file://{tmp_path}")
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400 and len(sizes) > 1 and max(sizes) < 200
+    rows = {r.relative_path: bytes(r.content).decode() for r in got.collect()}
+    assert rows["src/main/pkg/m3/f8.py"] == "x = 8\n" * 2
+
+
+def test_tree_scan_of_a_store_without_mounted_folder(spark, tmp_path):
+    """A root that no path of this machine names, opened by the given function."""
+    from pyarrow import fs as pafs
+
+    from glean.sources import tree
+
+    base = str(tmp_path)
+
+    def bucket(root):
+        return pafs.SubTreeFileSystem(base, pafs.LocalFileSystem()), root.removeprefix("bucket://")
+
+    files = spark.createDataFrame(
+        [("a/_u.py", "u = 1"), ("a/b/c.md", "# ä 漢"), ("tests/t.py", "t"), ("a/empty.md", ""), ("a/null.md", None), ("a/z.py.gz", "z")],
+        "relative_path string, text string",
+    )
+    for _ in range(2):  # written again by a task that is run again
+        tree.write_tree(files, "bucket://trees/one", bucket)
+    got = {r.relative_path: bytes(r.content).decode() for r in tree.scan(spark, "bucket://trees/one", store=bucket).collect()}
+    assert got == {"a/_u.py": "u = 1", "a/b/c.md": "# ä 漢", "a/empty.md": "", "a/null.md": ""}
+    assert tree.scan(spark, "bucket://trees/one", extensions=(".rs",), store=bucket).count() == 0
+    with pytest.raises(Exception, match="missing"):
+        tree.scan(spark, "bucket://missing", store=bucket).collect()
+
+
 def test_code_tokens_and_fallback(spark):
     from glean.functions.code import code_tokens
 
