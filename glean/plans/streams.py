@@ -108,3 +108,20 @@ def q_stream_changes(spark, sf):
     # The feed holds one row per key and trigger that changed it; the last one counts.
     last = spark.read.parquet(out).groupBy("user_id").agg(F.max(F.struct("epoch", "ts", "event_type")).alias("m"))
     return last.select("user_id", F.unix_micros(F.col("m.ts").cast("timestamp")).alias("ts_us"), "m.event_type")
+
+
+@register(
+    "stream_history",
+    sql="""
+WITH e AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IS NOT NULL AND event_type <> ''),
+l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM e),
+c AS (SELECT * FROM l WHERE prev IS NULL OR prev <> event_type)
+SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM c""",
+    ids=("I3", "E6"),
+)
+def q_stream_history(spark, sf):
+    """The history that a stream of events recorded step by step, read back after its last step."""
+    order = ["ts", "event_id"]
+    out, ckpt = S.scratch(spark, "history")
+    S.record_history(_stream(spark, sf, "events"), "user_id", order, "event_type", out, ckpt)
+    return S.history_at(spark, out, "user_id", order, "event_type").select("user_id", "event_id", "event_type", "version")

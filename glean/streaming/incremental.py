@@ -6,7 +6,8 @@
 * :func:`attempt_state` (I2): keyed state per test target with
   ``transformWithStateInPandas``: attempts in event order, last status,
   route, and a timer that drops old keys.
-* :func:`change_feed` (I3): per-step changed values in ``update`` mode.
+* :func:`change_feed` (I3): per-step changed values in ``update`` mode;
+  :func:`record_history` and :func:`history_at` read a past step back.
 
 Checkpoints go below the session's shared checkpoint folder.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from glean.operators import chunk as C
+from glean.operators import history as H
 from glean.session import scratch_path
 
 
@@ -182,5 +184,27 @@ def change_feed(stream: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def record_history(stream: DataFrame, key: str, order_cols: list[str], value: str, out_path: str, checkpoint: str) -> None:
+    """Keep what every step (trigger) brought, so that any past step can be read back.
+
+    A step appends its own ``epoch=N`` folder of (key, order, value) and
+    rewrites nothing; a step that is run again replaces its own folder.
+    """
+    rows = stream.select(*dict.fromkeys([key, *order_cols, value]))
+    run_to_table(rows, out_path, checkpoint, "append")
+
+
+def history_at(spark: SparkSession, path: str, key: str, order_cols: list[str], value: str, step: int | None = None) -> DataFrame:
+    """The change log (E6) as it stood after ``step``, or after the last one.
+
+    Folders of later steps are not read.  Rows that came late stand where
+    their order puts them, from the step that brought them on.
+    """
+    rows = spark.read.parquet(path)
+    if step is not None:
+        rows = rows.filter(F.col("epoch") <= step)
+    return H.changes(rows.drop("epoch"), key, [F.col(c) for c in order_cols], value)
+
+
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")

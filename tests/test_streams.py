@@ -72,3 +72,34 @@ def test_idle_keys_expire_and_busy_ones_stay(spark):
     assert last(kept) == {"idle": (3, "finish"), "busy": (3, "finish"), "other": (3, "finish"), "gone": (1, "fix_code")}
     # "idle" begins anew after four days; a row four days late is left out.
     assert last(bounded) == {"idle": (1, "fix_code"), "busy": (3, "finish"), "other": (3, "finish")}
+
+
+def test_every_past_step_can_be_read_back(spark):
+    rng = random.Random(8)
+    rows = [
+        (rng.choice(["hot", "hot", "a", None]), DAY0 + dt.timedelta(minutes=rng.randint(0, 30)), i, rng.choice(["x", "y", "", None]))
+        for i in range(120)
+    ]
+    steps = [rows[:50], rows[50:70], rows[70:]]
+    out, ckpt = S.scratch(spark, "history-steps")
+    order = ["ts", "event_id"]
+    S.record_history(_source(spark, steps, "history-in"), "target", order, "status", out, ckpt)
+    # A step that runs again replaces its own rows.
+    S._idempotent(out)(spark.createDataFrame(steps[1], SCHEMA).select("target", "ts", "event_id", "status"), 1)
+
+    def log(seen):
+        want = set()
+        for key in {r[0] for r in seen}:
+            last, version = None, 0
+            for _, _, event, status in sorted((r for r in seen if r[0] == key and r[3]), key=lambda r: r[1:3]):
+                if status != last:
+                    last, version = status, version + 1
+                    want.add((key, event, status, version))
+        return want
+
+    for step in (0, 1, 2, None):
+        got = S.history_at(spark, out, "target", order, "status", step)
+        seen = sum(steps[: 3 if step is None else step + 1], [])
+        assert {tuple(r) for r in got.select("target", "event_id", "status", "version").collect()} == log(seen), step
+    past = spark.read.parquet(out).filter(F.col("epoch") <= 0)
+    assert "PartitionFilters: [isnotnull(epoch" in past._jdf.queryExecution().toString()
