@@ -555,8 +555,13 @@ def test_code_metrics_reads_whole_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus.M, "code_metrics", lambda df: seen.append(df) or real(df))
     rows = corpus.q_code_metrics(spark, sf).collect()
     codes = {r.doc_id: r.text for r in seen[0].collect()}
-    assert {i: ast.get_docstring(ast.parse(c).body[0], clean=False) for i, c in codes.items()} == {1: text, 2: "", 3: "a\na\nb"}
-    assert all((r.loc, r.vg) == (6.0, 4.0) for r in rows)
+    held = {
+        i: "\n".join(n.value for n in sorted((n for n in ast.walk(ast.parse(c)) if isinstance(n, ast.Constant)), key=lambda n: n.lineno))
+        for i, c in codes.items()
+    }
+    assert held == {1: text, 2: "", 3: "a\na\nb"}
+    # An assignment and two loops; one assignment; three branches.
+    assert {r.doc_id: (r.loc, r.vg) for r in rows} == {1: (7.0, 5.0), 2: (3.0, 1.0), 3: (8.0, 4.0)}
     lines = {r.doc_id: (r.loc, r.vg, r.d) for r in corpus.q_code_metrics_lines(spark, sf).collect()}
     assert lines == {1: (5.0, 1.0, 3.0), 2: (3.0, 1.0, 3.333333), 3: (5.0, 1.0, 3.75)}
 
