@@ -323,6 +323,21 @@ def test_trim_keeps_whole_suffix_only(spark):
     assert kept == [(1, 2), (1, 3)]  # conv 2: the newest message alone exceeds the budget
 
 
+def test_code_tokens_leave_python_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from glean.functions import code
+
+    monkeypatch.setattr(code, "PIECE_CHARS", 100)
+    texts = ["def a(x): return x", None, "", "x = (", "y = 'é'"] * 40
+    got = list(code._lexemes.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    # A batch of texts no longer turns into one array of tokens.
+    assert len(got) > 10 and max(len(x) for x in got) < len(texts) / 4
+    flat = [x for part in got for x in part.to_pylist()]
+    want = [code.lexemes(t) for t in texts]
+    assert [x if x is None else [(t["kind"], t["text"]) for t in x] for x in flat] == want
+
+
 def test_code_metrics_on_python_sources(spark):
     import glob
     import os
