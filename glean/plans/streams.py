@@ -19,12 +19,15 @@ from glean.streaming import incremental as S
 
 
 def _stream(spark, sf, name):
+    """The table as a stream, be it one Parquet file or a folder of them.
+
+    The path is a pattern that only the table matches: a file given by its plain path is no base path for a stream.
+    """
     schema = tables.read(spark, sf, name).schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", 1)
-        .parquet(sf)
+        .parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
     )
 
 

@@ -103,3 +103,21 @@ def test_every_past_step_can_be_read_back(spark):
         assert {tuple(r) for r in got.select("target", "event_id", "status", "version").collect()} == log(seen), step
     past = spark.read.parquet(out).filter(F.col("epoch") <= 0)
     assert "PartitionFilters: [isnotnull(epoch" in past._jdf.queryExecution().toString()
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glean.plans.registry import load_all
+
+    rows = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id")).alias("text"),
+        F.concat(F.lit("src"), F.col("id") % 2).alias("source"), F.lit("en").alias("lang"),
+    )
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "file" / "documents.parquet")
+    for name in ("stream_index", "stream_keyword_index"):
+        folder, file = (sorted(map(tuple, load_all()[name].fn(spark, str(tmp_path / d)).collect())) for d in ("folder", "file"))
+        assert len(folder) > 20 / 2 and folder == file
