@@ -60,45 +60,73 @@ def mean_complexity(blocks: Column) -> Column:
     return F.when(n > 0, total / n).otherwise(F.lit(1.0))
 
 
-def _logical_lines(tree) -> int:
-    """Statements, and the clause headers and decorators that stand on lines of their own."""
+def _node_kinds() -> dict:
+    """Of every kind of syntax node: the fields that can hold nodes to count, whether it stands on a line, its branches, and its kind of block."""
     import ast
 
-    n = 0
-    for node in ast.walk(tree):
-        n += isinstance(node, (ast.stmt, ast.ExceptHandler, ast.match_case))
-        n += len(getattr(node, "decorator_list", ()))
-        n += bool(getattr(node, "finalbody", None))
-        otherwise = getattr(node, "orelse", None) if isinstance(node, ast.stmt) else None
-        chained = isinstance(node, ast.If) and otherwise and len(otherwise) == 1 and isinstance(otherwise[0], ast.If)
-        n += bool(otherwise) and not chained
-    return n
-
-
-def _blocks(tree) -> list:
-    """Functions, methods and classes; a function within a function belongs to it."""
+    branch = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.IfExp, ast.ExceptHandler, ast.comprehension, ast.Assert)
+    # Names, constants and what only marks another node: nothing in or below them counts.
+    plain = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.alias)
+    text = {"id", "attr", "ctx", "op", "ops", "names", "type_comment", "kind", "module", "level"}
+    kinds = {}
+    for kind in vars(ast).values():
+        if not (isinstance(kind, type) and issubclass(kind, ast.AST)) or issubclass(kind, plain):
+            continue
+        fields = tuple(f for f in kind._fields if f not in text)
+        block = 2 if kind in (ast.FunctionDef, ast.AsyncFunctionDef) else int(kind is ast.ClassDef)
+        kinds[kind] = fields, issubclass(kind, (ast.stmt, ast.ExceptHandler, ast.match_case)), kind in branch, block
+    return kinds
+
+
+def _lines_and_blocks(tree) -> tuple[int, list[int]]:
+    """Logical lines, and the complexity of every block, in one walk.
+
+    Lines are statements, and the clause headers and decorators that stand on lines of their own.  Blocks are functions,
+    methods and classes; a function within a function belongs to it.  The complexity of a block is 1 and the branches in and
+    below it; a chain of n conditions is n - 1 branches.
+    """
     import ast
 
-    found, todo = [], [tree]
+    global _KINDS
+    kinds = _KINDS = _KINDS or _node_kinds()
+    statement, condition, chain = ast.stmt, ast.If, ast.BoolOp
+    n, blocks = 0, []
+    # A node with the numbers of the blocks it is in, and whether these are within a function.
+    todo = [(tree, (), False)]
     while todo:
-        node = todo.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                found.append(child)
-            else:
-                if isinstance(child, ast.ClassDef):
-                    found.append(child)
-                todo.append(child)
-    return found
-
-
-def _complexity(block) -> int:
-    """1 and the branches below a block; a chain of n conditions is n - 1 branches."""
-    import ast
-
-    branch = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.IfExp, ast.ExceptHandler, ast.comprehension, ast.Assert)
-    below = list(ast.walk(block))
-    return 1 + sum(isinstance(n, branch) for n in below) + sum(len(n.values) - 1 for n in below if isinstance(n, ast.BoolOp))
+        node, within, closed = todo.pop()
+        known = kinds.get(type(node))
+        if known is None:
+            continue
+        fields, line, branch, block = known
+        if block and not closed:
+            within = (*within, len(blocks))
+            blocks.append(1)
+            closed = block == 2
+        if within and (branch or type(node) is chain):
+            count = branch or len(node.values) - 1
+            for i in within:
+                blocks[i] += count
+        if line:
+            n += 1
+            if block:
+                n += len(node.decorator_list)
+        for f in fields:
+            below = getattr(node, f, None)
+            if not below:
+                continue
+            if type(below) is not list:
+                todo.append((below, within, closed))
+                continue
+            if f == "finalbody":
+                n += 1
+            elif f == "orelse" and isinstance(node, statement):
+                n += not (type(node) is condition and len(below) == 1 and type(below[0]) is condition)
+            todo += [(x, within, closed) for x in below]
+    return n, blocks
+
+
+_KINDS: dict = {}  # filled in each Python worker once
 
 
 def _python_metrics(code: str):
@@ -113,8 +141,7 @@ def _python_metrics(code: str):
         tree = ast.parse(code)
     except Exception:  # noqa: BLE001 - any parse failure means "no features"
         return None
-    loc = _logical_lines(tree)
-    blocks = [_complexity(n) for n in _blocks(tree)]
+    loc, blocks = _lines_and_blocks(tree)
     vg = sum(blocks) / len(blocks) if blocks else 1.0
     ops, opds = [], []
     try:

@@ -338,6 +338,44 @@ def test_code_tokens_leave_python_in_pieces(spark, monkeypatch):
     assert [x if x is None else [(t["kind"], t["text"]) for t in x] for x in flat] == want
 
 
+def test_code_metrics_walk_the_tree_once(monkeypatch):
+    import ast
+
+    from glean.operators import metrics as M
+
+    code = """
+@d
+class A(B):
+    @e(lambda x: x if x else 0)
+    def f(self, a=[i for i in r if i]):
+        def g():
+            class In: pass
+            return a and b and c
+        try:
+            while a: pass
+        except E: pass
+        else: pass
+        finally: pass
+    class C:
+        async def h(self):
+            async for i in x: pass
+            with a: assert b
+if a: pass
+elif b: pass
+else: pass
+match a:
+    case 1 if b or c: pass
+for x in y: pass
+else: pass
+"""
+    want = (36, [3, 3, 8, 10])
+    seen, real = [], ast.iter_child_nodes
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda node: seen.append(node) or real(node))
+    loc, vg, *_ = M._python_metrics(code)
+    assert len(seen) == 0  # three walks over every node before
+    assert (loc, vg) == (want[0], sum(want[1]) / len(want[1]))
+
+
 def test_code_metrics_on_python_sources(spark):
     import glob
     import os
