@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from glean.functions import paths as P
 from glean.functions import text as T
 from glean.plans.strategy import partitions_for, row_count_at_most, spread
+from glean.session import scratch_path
 
 # Okapi BM25 constants (the published defaults).
 K1 = 1.5
@@ -231,6 +232,17 @@ def score(
     return score_weighted(weighted, index, small, k1, b)
 
 
+def _staged(index: KeywordIndex) -> KeywordIndex:
+    """The index over its postings written once, where every table of it would tokenise all texts again."""
+    if index.persisted or index.n_docs is None:
+        return index
+    spark = index.postings.sparkSession
+    path = scratch_path(spark, "postings")
+    index.postings.write.parquet(path)
+    postings = spark.read.parquet(path)
+    return KeywordIndex(postings, *_statistics(postings, index.n_docs), n_docs=index.n_docs)
+
+
 MAX_LITERAL_TERMS = 10_000
 
 
@@ -282,17 +294,21 @@ def search(
     1. A query term is *rare* when its document frequency is at most
        ``rare_fraction`` of the corpus.  Documents holding a rare query term
        are the candidates; their exact scores (all query terms) come from a
-       broadcast lookup of (term, doc) pairs, so postings are streamed,
-       never shuffled.
+       shuffle join of candidates and postings by document.  Candidates grow
+       with the corpus, so they are written and never broadcast.
     2. A document without a rare term scores less than the sum of the
        common terms' upper bounds ``qtf * idf * (k1 + 1)``.  When that sum
        is below the k-th candidate score, the query is finished.
-    3. Queries that fail the bound (or a lookup too large to broadcast)
-       are scored exhaustively.
+    3. Queries that fail the bound (or all of them, where the candidates
+       hold more than ``max_lookup_rows`` query terms) are scored exhaustively.
+
+    Texts are tokenised once: the postings of an index that is not read from
+    files are written before statistics and scores read them.
     """
     k1, b = kw.get("k1", K1), kw.get("b", B)
     id_col, text_col = kw.get("id_col", "query_id"), kw.get("text_col", "query")
     tokenizer = kw.get("tokenizer", T.tokens)
+    index = _staged(index)
     weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, kw.get("max_broadcast_rows", 2_000_000))
     out = ["query_id", "rank", "doc_id", "score"]
     if not small:  # a huge query set: plain shuffle joins
@@ -311,16 +327,21 @@ def search(
     )
     w = F.broadcast(w)
     cand = w.filter("rare").select("query_id", "term").join(index.postings.select("term", "doc_id"), "term")
-    cand = cand.select("query_id", "doc_id").distinct()
-    lookups = cand.join(w.select("query_id", "term", "qtf", "idf", "avgdl"), "query_id")
-    if not row_count_at_most(lookups, max_lookup_rows):
+    path = scratch_path(queries.sparkSession, "candidates")
+    cand.select("query_id", "doc_id").distinct().write.parquet(path)
+    cand = queries.sparkSession.read.parquet(path)
+    n_terms = F.broadcast(weighted.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms")))
+    held = cand.groupBy("query_id").agg(F.count(F.lit(1)).alias("docs")).join(n_terms, "query_id")
+    if (held.agg(F.sum(F.col("docs") * F.col("terms")).alias("n")).first()["n"] or 0) > max_lookup_rows:
         return rank(score_weighted(weighted, index, True, k1, b), k).select(*out)
     tf = F.col("tf").cast("double")
     norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / norm
-    exact = F.broadcast(lookups).join(index.postings, ["term", "doc_id"])
+    asked = index.postings.join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
+    found = cand.withColumnRenamed("doc_id", "_doc").hint("merge").join(asked, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    exact = found.join(w.select("query_id", "term", "qtf", "idf", "avgdl"), ["query_id", "term"])
     phase1 = exact.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    top1 = rank(phase1, k)
+    top1 = rank(phase1, k).checkpoint(eager=True)  # k rows for each query, read three times
     theta = top1.filter(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
     bound = w.groupBy("query_id").agg(F.sum(F.when(~F.col("rare"), F.col("ub")).otherwise(F.lit(0.0))).alias("u"))
     # Finished: no common term at all (other documents score 0 and are not

@@ -254,6 +254,24 @@ def test_line_fix_strips_all_white_space(spark):
     assert df.select(T.fix_lines(F.col("s"))).first()[0] == "a\nb\nc \u2028d"
 
 
+def test_pruned_bm25_broadcasts_no_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from glean.operators import keyword as K
+
+    texts = [(i if i else None, f"common w{i % 40} {'rare' if i % 50 == 0 else 'other'} w{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "common rare w3"), (2, "common other"), (None, "rare w5")], "query_id long, query string")
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    pruned = K.search(queries, K.build_index(docs), k=5, prune=True, rare_fraction=0.05).collect()
+    assert sent and not [c for c in sent if "doc_id" in c]  # candidates grow with the documents
+    full = K.search(queries, K.build_index(docs), k=5, prune=False).collect()
+    assert sorted(map(str, pruned)) == sorted(map(str, full)) and len(full) == 15
+    few = K.search(queries, K.build_index(docs), k=5, prune=True, rare_fraction=0.05, max_lookup_rows=1).collect()
+    assert sorted(map(str, few)) == sorted(map(str, full))
+
+
 def test_pruned_bm25_equals_exhaustive_with_hot_term(spark):
     random.seed(3)
     vocab = [f"w{i}" for i in range(300)]
