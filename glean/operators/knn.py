@@ -142,18 +142,18 @@ def probes(q: DataFrame, cells: DataFrame, piv: DataFrame, need: int, metric: st
 
 
 CANDIDATE_SCHEMA = "query_id long, id long, distance double"
-SLACK = 1e-6  # BLAS rounding, relative to the squared norms
-QUERY_CHUNK = 256
-PAIRS_CHUNK = 200_000  # pairs that are measured again at a time
+QUERY_CHUNK, VECTOR_CHUNK = 256, 2048  # products that are held at a time
+PAIRS_CHUNK = 100_000  # pairs that are measured again at a time
+LARGE = 1e15  # longer vectors are multiplied in double precision: squares of single ones overflow
 
 
 def _block_topk(k: int, metric: str, exclude_self: bool):
     """Top-k of one block: (<= query_target queries) x (<= cell_target vectors).
 
-    A BLAS product gives every distance up to rounding.  All vectors within
-    the rounding slack of the k-th best, however many tie there, are measured
-    again with a sequential sum (the same arithmetic as the SQL expression),
-    rounded, ordered by distance and id, and cut to k.
+    A BLAS product, in single precision unless vectors are very long, gives every distance up to a rounding
+    that is bounded from the lengths.  Some vectors at a time: those that may be among the k best so far,
+    however many tie there, are measured again in double precision with a sequential sum (the same arithmetic
+    as the SQL expression), rounded, ordered by distance and id, and cut to k with those kept before.
     """
 
     def fn(key, qpdf, cpdf):
@@ -167,22 +167,23 @@ def _block_topk(k: int, metric: str, exclude_self: bool):
         X = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
         qids = qpdf["query_id"].to_numpy(np.int64)
         ids = cpdf["id"].to_numpy(np.int64)
-        xx, qq = (X * X).sum(1), (Q * Q).sum(1)
-        outs = [none]
-        for s in range(0, len(Q), QUERY_CHUNK):
-            q, qi, n2 = Q[s : s + QUERY_CHUNK], qids[s : s + QUERY_CHUNK], qq[s : s + QUERY_CHUNK]
-            approx = -(q @ X.T) if metric == "dot" else n2[:, None] + xx[None, :] - 2.0 * (q @ X.T)
-            if exclude_self:
-                approx[qi[:, None] == ids[None, :]] = np.inf
-            kth = np.partition(approx, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
-            # Rounding of the product, and of the distance itself to DIST_DIGITS.
-            slack = SLACK * (1 + n2 + xx.max()) + 4 * 10.0**-DIST_DIGITS * (1 + np.sqrt(np.maximum(np.where(np.isinf(kth), 0, kth), 0)))
-            near = approx <= (kth + slack)[:, None]
-            near &= ~np.isinf(approx) | (np.isinf(kth)[:, None] & ~(exclude_self & (qi[:, None] == ids[None, :])))
-            at_q, at_x = np.nonzero(near)
+        # Shifting all vectors changes no distance, and short vectors round less.  The product is that of shifted
+        # vectors: |x|^2 - 2 q.x, the squared distance less |q|^2; or -q.x with q as it is, less -q.shift.
+        shift = X.mean(0)
+        off = 0.0 if metric == "dot" else shift
+        qq, xx = ((Q - off) ** 2).sum(1), ((X - shift) ** 2).sum(1)
+        base = -(Q @ shift) if metric == "dot" else qq
+        lengths = np.sqrt((Q * Q).sum(1)) + np.sqrt((X * X).sum(1).max())
+        longest = np.sqrt(xx.max())
+        real = np.float32 if lengths.max() < LARGE else np.float64
+        right = (-(X - shift).T if metric == "dot" else np.vstack([-2.0 * (X - shift).T, xx])).astype(real)
+        reach = np.sqrt(qq) * longest * 2 + (0 if metric == "dot" else longest**2)
+        slack = 4 * (X.shape[1] + 4) * (float(np.finfo(real).eps) * reach + float(np.finfo(np.float64).eps) * lengths**2)
+
+        def measured(at_q, at_x):
             dist = np.empty(len(at_q))
             for i in range(0, len(at_q), PAIRS_CHUNK):
-                u, v = q[at_q[i : i + PAIRS_CHUNK]], X[at_x[i : i + PAIRS_CHUNK]]
+                u, v = Q[at_q[i : i + PAIRS_CHUNK]], X[at_x[i : i + PAIRS_CHUNK]]
                 acc = np.zeros(len(u))
                 for j in range(X.shape[1]):
                     if metric == "dot":
@@ -191,12 +192,44 @@ def _block_topk(k: int, metric: str, exclude_self: bool):
                         diff = u[:, j] - v[:, j]
                         acc += diff * diff
                 dist[i : i + PAIRS_CHUNK] = -acc if metric == "dot" else np.sqrt(acc)
-            dist = np.round(dist, DIST_DIGITS)
-            order = np.lexsort((ids[at_x], dist, at_q))
-            at_q, at_x, dist = at_q[order], at_x[order], dist[order]
-            begin = np.searchsorted(at_q, np.arange(len(q)))
-            keep = np.arange(len(at_q)) - begin[at_q] < k
-            outs.append(pd.DataFrame({"query_id": qi[at_q[keep]], "id": ids[at_x[keep]], "distance": dist[keep]}))
+            return np.round(dist, DIST_DIGITS)
+
+        outs = [none]
+        for s in range(0, len(Q), QUERY_CHUNK):
+            n = len(Q[s : s + QUERY_CHUNK])
+            left = Q[s : s + n] - off
+            left = (left if metric == "dot" else np.hstack([left, np.ones((n, 1))])).astype(real)
+            own, b, most = qids[s : s + n], base[s : s + n], slack[s : s + n]
+            at_q, at_x, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # the k best so far
+            kth = np.full(n, np.inf)
+            for t in range(0, len(X), VECTOR_CHUNK):
+                approx = left @ right[:, t : t + VECTOR_CHUNK]
+                some = ids[t : t + VECTOR_CHUNK]
+                # A distance is rounded to DIST_DIGITS, the k-th one too.
+                bound = kth + 2 * 10.0**-DIST_DIGITS
+                bound = (bound if metric == "dot" else bound * bound) - b + most
+                if k < len(some) and np.isinf(kth).any():  # no k best yet: the k-th of these bounds them
+                    least = np.where(own[:, None] == some[None, :], np.inf, approx) if exclude_self else approx
+                    least = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64)
+                    far = np.sqrt(np.maximum(least + b, 0))
+                    bound = np.minimum(bound, least + 2 * most + 4 * 10.0**-DIST_DIGITS * (1 + far))
+                new_q, new_x = np.nonzero(approx <= bound.astype(real)[:, None])
+                if exclude_self:
+                    other = own[new_q] != some[new_x]
+                    new_q, new_x = new_q[other], new_x[other]
+                if not len(new_q):
+                    continue
+                new_x = new_x + t
+                dist = np.concatenate([dist, measured(new_q + s, new_x)])
+                at_q, at_x = np.concatenate([at_q, new_q]), np.concatenate([at_x, new_x])
+                order = np.lexsort((ids[at_x], dist, at_q))
+                begin = np.searchsorted(at_q[order], np.arange(n))
+                order = order[np.arange(len(order)) - begin[at_q[order]] < k]
+                at_q, at_x, dist = at_q[order], at_x[order], dist[order]
+                count = np.bincount(at_q, minlength=n)
+                full = np.flatnonzero(count == k)
+                kth[full] = dist[np.cumsum(count)[full] - 1]
+            outs.append(pd.DataFrame({"query_id": own[at_q], "id": ids[at_x], "distance": dist}))
         return pd.concat(outs, ignore_index=True)
 
     return fn

@@ -57,3 +57,39 @@ def test_inner_product_prunes_cells_of_short_vectors(spark):
     )
     searched = N.probes(queries, cells, piv, 3, "dot").join(cells.select("cell", "n"), "cell").agg(F.sum("n")).first()[0]
     assert searched < 0.4 * 50 * len(x)
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_a_block_of_equal_vectors_needs_little_memory(metric):
+    import tracemalloc
+
+    import pandas as pd
+
+    q = pd.DataFrame({"query_id": range(300), "qvec": list(np.ones((300, 4)))})
+    c = pd.DataFrame({"id": range(20_000), "vec": list(np.ones((20_000, 4)))})
+    tracemalloc.start()
+    got = N._block_topk(3, metric, True)(None, q, c)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6
+    assert [(r.query_id, r.id) for r in got.itertuples()] == [(i, x) for i in range(300) for x in [x for x in range(4) if x != i][:3]]
+
+
+@pytest.mark.parametrize("shift, scale", [(0, 1), (1e5, 1), (0, 1e20), (0, 1e-7)])
+def test_a_block_has_the_nearest_of_far_long_and_short_vectors(shift, scale):
+    import pandas as pd
+
+    rnd = np.random.default_rng(5)
+    x, y = (rnd.normal(size=(n, 6)) * scale + shift for n in (5000, 300))
+    q = pd.DataFrame({"query_id": range(300), "qvec": list(y)})
+    c = pd.DataFrame({"id": range(5000), "vec": list(x)})
+    for metric in ("l2", "dot"):
+        got = N._block_topk(4, metric, True)(None, q, c)
+        sums = np.zeros((300, 5000))
+        for j in range(6):
+            sums += y[:, None, j] * x[None, :, j] if metric == "dot" else (y[:, None, j] - x[None, :, j]) ** 2
+        d = np.round(-sums if metric == "dot" else np.sqrt(sums), N.DIST_DIGITS)
+        d[np.arange(300), np.arange(300)] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :4]
+        assert got["id"].tolist() == best.ravel().tolist()
+        assert got["distance"].tolist() == np.take_along_axis(d, best, 1).ravel().tolist()
