@@ -40,6 +40,7 @@ from glean.session import scratch_path
 SAMPLE, TEST_QUERIES, MAX_LISTS = 20_000, 200, 1024
 SUB, CODES = 4, 256
 CHUNK = 128  # queries whose code distances are held at a time
+PAIRS = 50_000  # pairs that are measured at a time
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -88,12 +89,16 @@ class Quantiser:
 
     def approximate(self, q: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the vectors that the codes of one list stand for."""
+        return self.to(q, centre, self.decode(codes))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What is left of a vector after its centroid, as its code tells."""
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
+
+    @staticmethod
+    def to(q: np.ndarray, centre: np.ndarray, decoded: np.ndarray) -> np.ndarray:
         left = q - centre
-        out = np.zeros((len(q), len(codes)))
-        for i, book in enumerate(self.books):
-            part = left[:, None, i * SUB : (i + 1) * SUB] - book[None]
-            out += np.einsum("qcd,qcd->qc", part, part)[:, codes[:, i]]
-        return out
+        return np.maximum((left * left).sum(1)[:, None] + (decoded * decoded).sum(1)[None, :] - 2.0 * (left @ decoded.T), 0)
 
 
 def fit(sample: np.ndarray, n: int, k: int, target: float, seed: int) -> Quantiser:
@@ -133,6 +138,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _rows(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
 def approx_knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -152,6 +161,55 @@ def approx_knn(
 FOUND = "query_id bigint, id bigint, distance double, scanned bigint, measured bigint"
 
 
+def searched(m: Quantiser, number: int, ask: pd.DataFrame, have: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best of one group for each of its queries, and the row that tells what the group cost."""
+    names, found, far, measured = ask["query_id"].to_numpy(np.int64), [], [], 0
+    if len(ask) and len(have):
+        Q, X, ids = _rows(ask["qvec"], np.float64), _rows(have["vec"], np.float64), have["id"].to_numpy(np.int64)
+        codes, floors = _rows(have["code"], np.uint8), ask["floor"].to_numpy(np.float64)
+        decoded, some = m.decode(codes), min(4 * k, len(X))
+
+        def distances(q: np.ndarray, at_q: np.ndarray, at_x: np.ndarray) -> np.ndarray:
+            out = np.empty(len(at_q))
+            for i in range(0, len(at_q), PAIRS):
+                out[i : i + PAIRS] = np.sqrt(((X[at_x[i : i + PAIRS]] - q[at_q[i : i + PAIRS]]) ** 2).sum(1))
+            return out
+
+        for i in range(0, len(Q), CHUNK):
+            q, floor = Q[i : i + CHUNK], floors[i : i + CHUNK].copy()
+            near = np.sqrt(m.to(q, m.coarse[number], decoded))
+            if exclude_self:
+                near[names[i : i + CHUNK, None] == ids[None, :]] = np.inf
+            close = np.zeros(near.shape, bool)
+            new = np.flatnonzero(np.isinf(floor))
+            if len(new):  # nothing is known of these yet: measure some and take the k-th of them
+                first = np.argpartition(near[new], some - 1, axis=1)[:, :some]
+                at = np.repeat(new, some)
+                d = np.where(np.isfinite(near[at, first.ravel()]), distances(q, at, first.ravel()), np.inf).reshape(len(new), some)
+                close[at, first.ravel()] = True
+                if some >= k:
+                    floor[new] = np.partition(d, k - 1, axis=1)[:, k - 1]
+            close |= near <= (floor * m.slack + 10.0**-DIST_DIGITS)[:, None]
+            at_q, at_x = np.nonzero(close & np.isfinite(near))
+            measured += len(at_q)
+            d = np.round(distances(q, at_q, at_x), DIST_DIGITS)
+            order = np.lexsort((ids[at_x], d, at_q))
+            begin = np.searchsorted(at_q, np.arange(len(q)))
+            order = order[np.arange(len(order)) - begin[at_q] < k]  # at_q stands in order
+            found.append(np.stack([names[i + at_q[order]], ids[at_x[order]]]))
+            far.append(d[order])
+        found.append(np.array([[-1], [-1]]))
+    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    cost = np.arange(pairs.shape[1]) == pairs.shape[1] - 1  # the last row, where there is one
+    frame = pd.DataFrame({"query_id": pd.array(pairs[0], "Int64"), "id": pd.array(pairs[1], "Int64")})
+    frame["distance"] = np.concatenate([*far, [np.nan]])[: len(frame)]
+    frame["scanned"] = pd.array(np.full(len(frame), len(ask) * len(have)), "Int64")
+    frame["measured"] = pd.array(np.full(len(frame), measured), "Int64")
+    frame.loc[cost, "id"] = pd.NA
+    frame.loc[~cost, ["scanned", "measured"]] = pd.NA
+    return frame
+
+
 def compared(
     queries: DataFrame,
     corpus: DataFrame,
@@ -175,26 +233,29 @@ def compared(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                lists, codes = model.value.encode(_matrix(pdf["vec"]))
-                yield pdf.assign(list=lists.astype(np.int32), code=[x.tobytes() for x in codes])
+                x = _matrix(pdf["vec"])
+                lists, codes = model.value.encode(x)
+                # Vectors are shuffled as bytes: a query is sent to many lists.
+                yield pdf.assign(vec=[v.tobytes() for v in x], list=lists.astype(np.int32), code=[v.tobytes() for v in codes])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                order = model.value.by_distance(_matrix(pdf["vec"])).astype(np.int32)
+                x = _matrix(pdf["vec"])
+                order = model.value.by_distance(x).astype(np.int32)
                 # Never fewer lists than hold k vectors besides the query itself.
                 least = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
-                yield pdf.assign(lists=[row[: max(m, model.value.probes)] for row, m in zip(order, least)])
+                yield pdf.assign(vec=[v.tobytes() for v in x], lists=[row[: max(m, model.value.probes)] for row, m in zip(order, least)])
 
     path = scratch_path(spark, "lists")
-    c.mapInPandas(encode, "id bigint, vec array<double>, list int, code binary").write.parquet(path)
+    c.mapInPandas(encode, "id bigint, vec binary, list int, code binary").write.parquet(path)
     indexed = spark.read.parquet(path)
     sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # one row a list: bounded by MAX_LISTS
     held = np.zeros(len(model.value.coarse), np.int64)
     for r in sizes.collect():
         held[r["list"]] = r["n"]
     to = scratch_path(spark, "probes")
-    spread(q).mapInPandas(probe, "query_id bigint, vec array<double>, lists array<int>").write.parquet(to)
+    spread(q).mapInPandas(probe, "query_id bigint, vec binary, lists array<int>").write.parquet(to)
     asked = spark.read.parquet(to).select("query_id", F.col("vec").alias("qvec"), F.posexplode("lists").alias("place", "list"))
 
     blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_target).cast("int").alias("blocks"))
@@ -203,35 +264,7 @@ def compared(
     right = indexed.join(dealt, "list").select("id", "vec", "code", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), every("blocks").alias("block"))
 
     def search(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(ask) and len(have):
-            m = model.value
-            Q, X, ids, names = _matrix(ask["qvec"]), _matrix(have["vec"]), have["id"].to_numpy(np.int64), ask["query_id"].to_numpy(np.int64)
-            codes, floors = np.frombuffer(b"".join(have["code"]), np.uint8).reshape(len(have), -1), ask["floor"].to_numpy(np.float64)
-            measured = 0
-            for i in range(0, len(Q), CHUNK):
-                near = np.sqrt(np.maximum(m.approximate(Q[i : i + CHUNK], m.coarse[key[0]], codes), 0))
-                if exclude_self:
-                    near[names[i : i + CHUNK, None] == ids[None, :]] = np.inf
-                for name, query, row, floor in zip(names[i : i + CHUNK], Q[i : i + CHUNK], near, floors[i : i + CHUNK]):
-                    close = np.isfinite(row)
-                    some = np.empty(0, np.int64)
-                    if np.isinf(floor):  # nothing is known yet: measure some and take the k-th of them
-                        some = np.argpartition(row, 4 * k)[: 4 * k] if 4 * k < len(row) else np.arange(len(row))
-                        some = some[close[some]]
-                        if len(some) >= k:
-                            floor = np.partition(np.sqrt(((X[some] - query) ** 2).sum(1)), k - 1)[k - 1]
-                    close &= row <= floor * m.slack + 10.0**-DIST_DIGITS
-                    close[some] = True
-                    at = np.flatnonzero(close)
-                    measured += len(at)
-                    d = np.round(np.sqrt(((X[at] - query) ** 2).sum(1)), DIST_DIGITS)
-                    order = np.lexsort((ids[at], d))[:k]
-                    out.append(pd.DataFrame({"query_id": name, "id": ids[at[order]], "distance": d[order]}))
-            out.append(pd.DataFrame({"query_id": [-1], "scanned": [len(Q) * len(X)], "measured": [measured]}))
-        frame = pd.concat(out, ignore_index=True) if out else pd.DataFrame()
-        frame = frame.reindex(columns=[x.split()[0] for x in FOUND.split(", ")])
-        return frame.astype({"query_id": "Int64", "id": "Int64", "distance": "float64", "scanned": "Int64", "measured": "Int64"})
+        return searched(model.value, key[0], ask, have, k, exclude_self)
 
     def met(part: DataFrame) -> DataFrame:
         keys = ["list", "salt", "block"]

@@ -93,3 +93,29 @@ def test_a_block_has_the_nearest_of_far_long_and_short_vectors(shift, scale):
         best = np.argsort(d, axis=1, kind="stable")[:, :4]
         assert got["id"].tolist() == best.ravel().tolist()
         assert got["distance"].tolist() == np.take_along_axis(d, best, 1).ravel().tolist()
+
+
+def test_a_group_of_the_approximate_search_makes_no_frame_for_each_query(monkeypatch):
+    import pandas as pd
+
+    rnd = np.random.default_rng(6)
+    x, y = rnd.normal(size=(400, 8)), rnd.normal(size=(700, 8))
+    m = A.fit(x, 400, 5, 0.95, 1)
+    m.coarse = x.mean(0)[None]
+    codes = m.encode(x)[1]
+    ask = pd.DataFrame({"query_id": range(700), "qvec": [v.tobytes() for v in y], "floor": np.where(np.arange(700) % 2, np.inf, 3.0)})
+    have = pd.DataFrame({"id": range(400), "vec": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes]})
+    made = []
+    whole = pd.DataFrame.__init__
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, **b: (made.append(1), whole(self, *a, **b))[1])
+    m.slack = 1e9  # nothing is left out
+    got = A.searched(m, 0, ask, have, 5, True)
+    monkeypatch.undo()
+    assert len(made) < 50
+    d = np.round(np.sqrt(((y[:, None] - x[None]) ** 2).sum(2)), A.DIST_DIGITS)
+    d[np.arange(400), np.arange(400)] = np.inf
+    best = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got["id"].tolist()[:-1] == best.ravel().tolist()
+    assert got["distance"].tolist()[:-1] == np.take_along_axis(d, best, 1).ravel().tolist()
+    cost = got.iloc[-1]
+    assert (cost["query_id"], cost["scanned"], cost["measured"]) == (-1, 700 * 400, 700 * 400 - 400) and got["id"].isna().sum() == 1
