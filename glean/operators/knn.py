@@ -62,8 +62,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    # The length is bound first: inside the lambda it would be summed again for every element.
+    by = lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return F.try_element_at(F.transform(F.array(F.sqrt(dot(v, v))), by), F.lit(1))
 
 
 def as_double(v: Column) -> Column:

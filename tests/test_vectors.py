@@ -119,3 +119,13 @@ def test_a_group_of_the_approximate_search_makes_no_frame_for_each_query(monkeyp
     assert got["distance"].tolist()[:-1] == np.take_along_axis(d, best, 1).ravel().tolist()
     cost = got.iloc[-1]
     assert (cost["query_id"], cost["scanned"], cost["measured"]) == (-1, 700 * 400, 700 * 400 - 400) and got["id"].isna().sum() == 1
+
+
+def test_the_length_of_a_vector_is_summed_once(spark):
+    import re
+
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [3.0, 4.0])], "id int, vec array<double>")
+    out = odd.select("id", N.normalise(F.col("vec")).alias("n"))
+    # What an element is divided by is a value, not the sum itself.
+    assert re.search(r"try_divide\([^()]*\)", out._jdf.queryExecution().analyzed().toString())
+    assert [r.n for r in out.orderBy("id").collect()] == [[0.0, 0.0], None, [0.6, 0.8]]
