@@ -439,9 +439,16 @@ def importances(model, cols: list[str]) -> DataFrame:
 
 def score(df: DataFrame, model, prob_col: str = "risk_score") -> DataFrame:
     """K8: positive-class probability for every row (model shipped once per
-    executor by ``transform``)."""
+    executor).  A forest scores whole batches of rows, others ``transform``."""
     from pyspark.ml.functions import vector_to_array
 
+    from glean.operators import forest
+
+    first, last = model.stages[0], model.stages[-1]
+    if len(model.stages) == 2 and first.getHandleInvalid() == "keep":
+        cols = first.getInputCols()
+        if (m := forest.masks(last, len(cols))) is not None:
+            return df.withColumn(prob_col, forest.score(m, [F.col(c) for c in cols]))
     out = model.transform(df)
     return out.withColumn(prob_col, vector_to_array(F.col("probability"))[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
 

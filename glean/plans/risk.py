@@ -344,9 +344,12 @@ def q_fallback_score(spark, sf):
 
 # --- K3 / K4 / K7 / K8 / A10 (rows only: no SQL model) ------------------------
 def _train_test(spark, sf):
-    # Training and scoring both read the split: materialise it once.  Class
-    # weights come from the training rows alone.
-    sp = R.density(split(spark, sf)).checkpoint(eager=True)
+    # Training and scoring both read the split: written once, in columns (a
+    # checkpoint would compute it twice and keep whole rows).  Class weights
+    # come from the training rows alone.
+    path = scratch_path(spark, "split")
+    R.density(split(spark, sf)).write.parquet(path)
+    sp = spark.read.parquet(path)
     train, test = (sp.filter(F.col("split") == x) for x in ("train", "test"))
     return R.with_weights(train, "defects"), test
 

@@ -646,3 +646,24 @@ def test_split_keeps_rows_with_null_ids(spark):
     assert sorted(r.n for r in got) == sorted(r[2] for r in rows)
     for y, size in ((0, 500), (1, 500), (None, 10)):
         assert sum(r.y == y and r.split == "test" for r in got) == -(-size // 5)
+
+
+def test_forest_scores_batches_as_spark_ml_does(spark, monkeypatch):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(5)
+    rows = [(i, rng.random(), float(rng.randrange(4)), rng.gauss(0, 9), rng.randrange(2), 1.0 + i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int, weight double").coalesce(1).cache()
+    model = R.fit_forest(df, ["a", "b", "c"], "y", trees=30, depth=12)
+    odd = [(1000, None, 1.0, 2.0), (1001, float("nan"), None, None), (1002, float("inf"), -0.0, float("-inf")), (1003, 0.5, 9.0, 0.0)]
+    # Values that equal a threshold go left.
+    at = [float(x) for x in model.stages[-1].toDebugString.split() if x.endswith(")") for x in [x.strip("()")] if "." in x]
+    odd += [(2000 + i, x, x, x) for i, x in enumerate(sorted(set(at))[:50])]
+    rows = df.select("id", "a", "b", "c").unionByName(spark.createDataFrame(odd, "id int, a double, b double, c double"))
+    want = {r.id: r.p for r in model.transform(rows).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert max(sum("Predict" in line for line in t.toDebugString.splitlines()) for t in model.stages[-1].trees) > 64
+    monkeypatch.setattr(PipelineModel, "transform", None)  # no row is walked through the trees
+    got = R.score(rows, model)
+    assert got.columns == ["id", "a", "b", "c", "risk_score"]
+    assert {r.id: r.risk_score for r in got.collect()} == want
