@@ -609,10 +609,19 @@ def _documents(spark, path, rows):
 def test_task_run_searches_with_the_whole_text(spark, tmp_path):
     from glean.plans import tasks
 
-    rows = [(1, "alpha\nzebra quokka"), (2, "beta\nzebra quokka"), (3, "\ngamma delta"), (4, "epsilon\ndelta"), (5, "none")]
+    rows = [(50, "alpha\nzebra quokka"), (100, "beta\nzebra quokka"), (150, "\ngamma delta"), (200, "epsilon\ndelta"), (250, "none")]
     rows = [(i, f"{t} " + " ".join(f"own{i}x{j}" for j in range(60))) for i, t in rows]  # enough volume for the gate
     got = {r.task_id: r.dependency_doc_id for r in tasks.q_task_run(spark, _documents(spark, tmp_path, rows)).collect()}
-    assert got == {1: 2, 2: 1, 3: 4, 4: 3, 5: None}
+    assert got == {50: 100, 100: 50, 150: 200, 200: 150, 250: None}
+
+
+def test_task_run_takes_every_fiftieth_file_against_all(spark, tmp_path):
+    from glean.plans import tasks
+
+    rows = [(100, "zebra quokka"), (7, "okapi\nzebra quokka"), (150, "gamma"), (-50, "lynx"), (51, "lynx gamma"), (0, "ibex")]
+    rows = [(i, f"{t} " + " ".join(f"own{i}x{j}".replace("-", "m") for j in range(60))) for i, t in rows]
+    got = {r.task_id: r.dependency_doc_id for r in tasks.q_task_run(spark, _documents(spark, tmp_path, rows)).collect()}
+    assert got == {100: 7, 150: 51, -50: 51, 0: None}
 
 
 def test_code_metrics_reads_whole_texts(spark, tmp_path, monkeypatch):
