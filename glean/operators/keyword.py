@@ -41,6 +41,8 @@ from glean.session import scratch_path
 K1 = 1.5
 B = 0.75
 SCORE_DIGITS = 6
+# A broadcast is built on the driver: more query terms than these are joined in a shuffle.
+MAX_BROADCAST_TERMS = 200_000
 
 
 @dataclass
@@ -189,7 +191,7 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     )
 
 
-def weighted_terms(queries: DataFrame, index: KeywordIndex, id_col="query_id", text_col="query", tokenizer=T.tokens, max_broadcast_rows: int = 2_000_000):
+def weighted_terms(queries: DataFrame, index: KeywordIndex, id_col="query_id", text_col="query", tokenizer=T.tokens, max_broadcast_rows: int = MAX_BROADCAST_TERMS):
     """(query_id, term, qtf, df, idf) and whether it is proven small.
 
     At most one row per query term: when the query terms are proven small
@@ -197,7 +199,7 @@ def weighted_terms(queries: DataFrame, index: KeywordIndex, id_col="query_id", t
     """
     qt = query_terms(queries, id_col, text_col, tokenizer)
     small = row_count_at_most(qt, max_broadcast_rows)
-    side = F.broadcast(qt) if small else qt
+    side = F.broadcast(qt) if small else qt.hint("merge")  # the planner sees the texts' size, not the terms'
     # The one-row corpus statistics ride along, so scoring needs nothing else.
     stats = F.broadcast(index.corpus_stats.select("n_docs", "avgdl"))
     return side.join(index.term_stats.select("term", "df", "idf"), "term").crossJoin(stats), small
@@ -207,9 +209,9 @@ def score_weighted(weighted: DataFrame, index: KeywordIndex, small: bool, k1: fl
     """BM25 of every (query, document) pair sharing a term, from weighted terms.
 
     A proven-small weighted side is broadcast, so the postings are streamed
-    past it without a shuffle.
+    past it without a shuffle; any other is joined in a shuffle.
     """
-    w = F.broadcast(weighted) if small else weighted
+    w = F.broadcast(weighted) if small else weighted.hint("merge")
     hits = w.join(index.postings, "term")
     tf = F.col("tf").cast("double")
     norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
@@ -225,7 +227,7 @@ def score(
     k1: float = K1,
     b: float = B,
     tokenizer=T.tokens,
-    max_broadcast_rows: int = 2_000_000,
+    max_broadcast_rows: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """L4: BM25 score of every (query, document) sharing at least one term."""
     weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, max_broadcast_rows)
@@ -309,7 +311,7 @@ def search(
     id_col, text_col = kw.get("id_col", "query_id"), kw.get("text_col", "query")
     tokenizer = kw.get("tokenizer", T.tokens)
     index = _staged(index)
-    weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, kw.get("max_broadcast_rows", 2_000_000))
+    weighted, small = weighted_terms(queries, index, id_col, text_col, tokenizer, kw.get("max_broadcast_rows", MAX_BROADCAST_TERMS))
     out = ["query_id", "rank", "doc_id", "score"]
     if not small:  # a huge query set: plain shuffle joins
         return rank(score_weighted(weighted, index, False, k1, b), k).select(*out)

@@ -41,7 +41,7 @@ def hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return K.search(q, index(spark, sf), k=k)
 
 
-MAX_BROADCAST_HITS = 5_000_000
+MAX_BROADCAST_HITS = 500_000  # a broadcast is built on the driver
 
 
 def judged_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:

@@ -272,6 +272,34 @@ def test_pruned_bm25_broadcasts_no_documents(spark, monkeypatch):
     assert sorted(map(str, few)) == sorted(map(str, full))
 
 
+def test_bm25_of_many_query_terms_broadcasts_none_of_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common w{i % 3} x{i}") for i in range(6)], "doc_id long, text string")
+    queries = spark.range(70_001).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("w"), F.col("id") % 5), F.lit("other")).alias("query"))
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    got = K.search(queries, K.build_index(docs), k=1)
+    assert not [c for c in sent if "term" in c]  # 210,003 terms: a broadcast is built on the driver
+    joins = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [j for j in joins if "BroadcastHashJoin" in j and "term" in j] and [j for j in joins if "SortMergeJoin" in j and "term" in j]
+    few = queries.limit(40).unionByName(queries.limit(1).select(F.lit(None).cast("long").alias("query_id"), "query"))
+    shuffled = K.search(few, K.build_index(docs), k=2, max_broadcast_rows=10).collect()
+    streamed = K.search(few, K.build_index(docs), k=2).collect()
+    assert [c for c in sent if "term" in c]
+    assert sorted(map(str, shuffled)) == sorted(map(str, streamed)) and len(streamed) == 82
+
+
+def test_hits_of_many_queries_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from glean.plans import retrieval as RT
+
+    spark.range(60_000).select(F.col("id").alias("item_id"), F.lit("some words").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or df)
+    hits = spark.createDataFrame([(1, 1, 1, 0.5)], "query_id long, rank int, doc_id long, score double")
+    assert RT._bounded(spark, str(tmp_path), hits, 10) is hits and not sent  # up to 600,000 hits, built on the driver
+    RT._bounded(spark, str(tmp_path), hits, 3)
+    assert sent
+
+
 def test_pruned_bm25_equals_exhaustive_with_hot_term(spark):
     random.seed(3)
     vocab = [f"w{i}" for i in range(300)]
