@@ -11,12 +11,14 @@ alone keep the work down.
 **Index.**  Every vector of the corpus, none left out: its list, its code of one byte for ``SUB``
 dimensions, and the vector for re-ranking.
 
-**Search.**  A query goes to the lists with the nearest centroids.  Lists longer than
-``list_target`` are split by a hash of the id and lists with more than ``query_target`` queries
-by a hash of the query, so a list that holds a third of all vectors is many bounded groups.  In a
-group all codes are compared by table lookups; vectors are measured exactly where the code's distance,
-less what it may overstate, is not above the k-th distance known so far, and the k best leave.  The nearest list of each
-query is searched first, so that the others know a k-th distance.  The sizes of model and sample do not grow with the corpus beyond their bounds.
+**Search.**  A query goes to the lists with the nearest centroids, the nearest one first, so that the others know a
+k-th distance.  Lists longer than ``list_target`` are split by a hash of the id, and where more than ``query_target`` queries have a list
+as their nearest, these by a hash of the query.  The other lists are dealt to groups of at most about ``GROUP`` vectors, the queries by a hash to blocks of about as many, and a query is sent
+once to each group that holds a list it probes, with a bit for each list: on vectors without clusters a
+query probes most lists, and sending it to each would be a shuffle of queries times lists.  Within a list
+all codes are compared by table lookups; vectors are measured exactly where the code's distance,
+less what it may overstate, is not above the k-th distance known so far, and the k best leave the group.
+The sizes of model and sample do not grow with the corpus beyond their bounds.
 
 Defined results: null vectors are neither indexed nor searched; equal vectors tie by id; an empty
 corpus has no neighbours.
@@ -41,6 +43,8 @@ SAMPLE, TEST_QUERIES, MAX_LISTS = 20_000, 200, 1024
 SUB, CODES = 4, 256
 CHUNK = 128  # queries whose code distances are held at a time
 PAIRS = 50_000  # pairs that are measured at a time
+GROUP, LEAST_GROUP = 100_000, 500  # most vectors and most queries of a group of lists; fewer vectors are not split for more tasks
+PROBED, HELD = 2048, 1_000_000  # queries whose lists are ordered, and hits of a group that are held, at a time
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -161,55 +165,119 @@ def approx_knn(
 FOUND = "query_id bigint, id bigint, distance double, scanned bigint, measured bigint"
 
 
-def searched(m: Quantiser, number: int, ask: pd.DataFrame, have: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k best of one group for each of its queries, and the row that tells what the group cost."""
-    names, found, far, measured = ask["query_id"].to_numpy(np.int64), [], [], 0
-    if len(ask) and len(have):
-        Q, X, ids = _rows(ask["qvec"], np.float64), _rows(have["vec"], np.float64), have["id"].to_numpy(np.int64)
-        codes, floors = _rows(have["code"], np.uint8), ask["floor"].to_numpy(np.float64)
-        decoded, some = m.decode(codes), min(4 * k, len(X))
-
-        def distances(q: np.ndarray, at_q: np.ndarray, at_x: np.ndarray) -> np.ndarray:
-            out = np.empty(len(at_q))
-            for i in range(0, len(at_q), PAIRS):
-                out[i : i + PAIRS] = np.sqrt(((X[at_x[i : i + PAIRS]] - q[at_q[i : i + PAIRS]]) ** 2).sum(1))
-            return out
-
-        for i in range(0, len(Q), CHUNK):
-            q, floor = Q[i : i + CHUNK], floors[i : i + CHUNK].copy()
-            near = np.sqrt(m.to(q, m.coarse[number], decoded))
-            if exclude_self:
-                near[names[i : i + CHUNK, None] == ids[None, :]] = np.inf
-            close = np.zeros(near.shape, bool)
-            new = np.flatnonzero(np.isinf(floor))
-            if len(new):  # nothing is known of these yet: measure some and take the k-th of them
-                first = np.argpartition(near[new], some - 1, axis=1)[:, :some]
-                at = np.repeat(new, some)
-                d = np.where(np.isfinite(near[at, first.ravel()]), distances(q, at, first.ravel()), np.inf).reshape(len(new), some)
-                close[at, first.ravel()] = True
-                if some >= k:
-                    floor[new] = np.partition(d, k - 1, axis=1)[:, k - 1]
-            close |= near <= (floor * m.slack + 10.0**-DIST_DIGITS)[:, None]
-            at_q, at_x = np.nonzero(close & np.isfinite(near))
-            measured += len(at_q)
-            d = np.round(distances(q, at_q, at_x), DIST_DIGITS)
-            order = np.lexsort((ids[at_x], d, at_q))
-            begin = np.searchsorted(at_q, np.arange(len(q)))
-            order = order[np.arange(len(order)) - begin[at_q] < k]  # at_q stands in order
-            found.append(np.stack([names[i + at_q[order]], ids[at_x[order]]]))
-            far.append(d[order])
-        found.append(np.array([[-1], [-1]]))
-    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    cost = np.arange(pairs.shape[1]) == pairs.shape[1] - 1  # the last row, where there is one
-    frame = pd.DataFrame({"query_id": pd.array(pairs[0], "Int64"), "id": pd.array(pairs[1], "Int64")})
-    frame["distance"] = np.concatenate([*far, [np.nan]])[: len(frame)]
-    frame["scanned"] = pd.array(np.full(len(frame), len(ask) * len(have)), "Int64")
+def _best(m: Quantiser, number: int, names, Q, floors, X, ids, codes, k: int, exclude_self: bool):
+    """(query row, vector id, distance) of the k best vectors of one list for each query, and how many were measured."""
+    decoded, some, measured = m.decode(codes), min(4 * k, len(X)), 0
+    rows, found, far = [], [], []
+
+    def distances(q: np.ndarray, at_q: np.ndarray, at_x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at_q))
+        for i in range(0, len(at_q), PAIRS):
+            out[i : i + PAIRS] = np.sqrt(((X[at_x[i : i + PAIRS]] - q[at_q[i : i + PAIRS]]) ** 2).sum(1))
+        return out
+
+    for i in range(0, len(Q), CHUNK):
+        q, floor = Q[i : i + CHUNK], floors[i : i + CHUNK].copy()
+        near = np.sqrt(m.to(q, m.coarse[number], decoded))
+        if exclude_self:
+            near[names[i : i + CHUNK, None] == ids[None, :]] = np.inf
+        close = np.zeros(near.shape, bool)
+        new = np.flatnonzero(np.isinf(floor))
+        if len(new):  # nothing is known of these yet: measure some and take the k-th of them
+            first = np.argpartition(near[new], some - 1, axis=1)[:, :some]
+            at = np.repeat(new, some)
+            d = np.where(np.isfinite(near[at, first.ravel()]), distances(q, at, first.ravel()), np.inf).reshape(len(new), some)
+            close[at, first.ravel()] = True
+            if some >= k:
+                floor[new] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        close |= near <= (floor * m.slack + 10.0**-DIST_DIGITS)[:, None]
+        at_q, at_x = np.nonzero(close & np.isfinite(near))
+        measured += len(at_q)
+        d = np.round(distances(q, at_q, at_x), DIST_DIGITS)
+        order = np.lexsort((ids[at_x], d, at_q))
+        begin = np.searchsorted(at_q, np.arange(len(q)))
+        order = order[np.arange(len(order)) - begin[at_q[order]] < k]  # at_q stands in order
+        rows.append(i + at_q[order])
+        found.append(ids[at_x[order]])
+        far.append(d[order])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(far), measured
+
+
+def _frame(names: np.ndarray, ids: np.ndarray, far: np.ndarray, scanned: int, measured: int) -> pd.DataFrame:
+    """Hits, and a last row that tells what a group cost."""
+    frame = pd.DataFrame({"query_id": pd.array(np.append(names, -1), "Int64"), "id": pd.array(np.append(ids, -1), "Int64")})
+    frame["distance"] = np.append(far, np.nan)
+    cost = np.arange(len(frame)) == len(frame) - 1
+    frame["scanned"] = pd.array(np.full(len(frame), scanned), "Int64")
     frame["measured"] = pd.array(np.full(len(frame), measured), "Int64")
     frame.loc[cost, "id"] = pd.NA
     frame.loc[~cost, ["scanned", "measured"]] = pd.NA
     return frame
 
 
+def _nothing() -> pd.DataFrame:
+    return _frame(*[np.empty(0, np.int64)] * 2, np.empty(0), 0, 0).iloc[:0]
+
+
+def searched(m: Quantiser, number: int, ask: pd.DataFrame, have: pd.DataFrame, k: int, exclude_self: bool, kind=np.float64) -> pd.DataFrame:
+    """The k best of one group for each of its queries, and the row that tells what the group cost."""
+    if not (len(ask) and len(have)):
+        return _nothing()
+    names, floors = ask["query_id"].to_numpy(np.int64), ask["floor"].to_numpy(np.float64)
+    Q, X = (_rows(c, kind).astype(np.float64) for c in (ask["qvec"], have["vec"]))
+    rows, ids, far, measured = _best(m, number, names, Q, floors, X, have["id"].to_numpy(np.int64), _rows(have["code"], np.uint8), k, exclude_self)
+    return _frame(names[rows], ids, far, len(ask) * len(have), measured)
+
+
+def gathered(m: Quantiser, ask: pd.DataFrame, have: pd.DataFrame, k: int, exclude_self: bool, kind=np.float64) -> pd.DataFrame:
+    """The k best of a group of lists for each of its queries, and the row that tells what the group cost.
+
+    A query's ``mask`` has a bit for each list; only the lists it probes are searched.  Lists come one after the other, in
+    parts of ``list`` and ``salt``, and hits are cut to k a query before they are many.
+    """
+    if not (len(ask) and len(have)):
+        return _nothing()
+    names, floors = ask["query_id"].to_numpy(np.int64), ask["floor"].to_numpy(np.float64)
+    mask, Q = _rows(ask["mask"], np.uint8), _rows(ask["qvec"], kind).astype(np.float64)
+    have = have.sort_values(["list", "salt"], kind="stable")
+    X, ids, codes = _rows(have["vec"], kind).astype(np.float64), have["id"].to_numpy(np.int64), _rows(have["code"], np.uint8)
+    lists, salts = have["list"].to_numpy(np.int64), have["salt"].to_numpy(np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]) | (salts[1:] != salts[:-1]))))
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    kept, more, held, scanned, measured = none, [], 0, 0, 0
+
+    def cut():
+        rows, found, far = (np.concatenate(x) for x in zip(kept, *more))
+        order = np.lexsort((found, far, rows))
+        first = np.searchsorted(rows[order], np.arange(len(Q)))
+        order = order[np.arange(len(order)) - first[rows[order]] < k]
+        return rows[order], found[order], far[order]
+
+    for i, j in zip(begin, np.append(begin[1:], len(have))):
+        number = int(lists[i])
+        at = np.flatnonzero(mask[:, number >> 3] >> (7 - (number & 7)) & 1)
+        if not len(at):
+            continue
+        rows, found, far, n = _best(m, number, names[at], Q[at], floors[at], X[i:j], ids[i:j], codes[i:j], k, exclude_self)
+        scanned, measured, held = scanned + len(at) * int(j - i), measured + n, held + len(rows)
+        more.append((at[rows], found, far))
+        if held > HELD:
+            kept, more, held = cut(), [], 0
+    rows, found, far = cut()
+    return _frame(names[rows], found, far, scanned, measured)
+
+
+def _grouped(held: np.ndarray, list_target: int, groups: int) -> list[tuple[int, int, int, int]]:
+    """(list, salts, salt, group) of every part of a list: parts in order, groups of about equal numbers of vectors."""
+    out, before, total = [], 0.0, float(held.sum())
+    for number, n in enumerate(held.tolist()):
+        salts = -(-n // list_target)
+        for salt in range(salts):
+            out.append((number, salts, salt, min(groups - 1, int((before + n / salts / 2) / total * groups))))
+            before += n / salts
+    return out
+
+
 def compared(
     queries: DataFrame,
     corpus: DataFrame,
@@ -222,6 +290,9 @@ def compared(
 ) -> DataFrame:
     """The k best of every group, and a row with a null id for each group that tells what it cost: codes scanned, vectors measured."""
     spark = queries.sparkSession
+    # Vectors are written and shuffled as bytes, single ones where the tables hold no others.
+    single = all("array<float>" == dict(df.dtypes)["vec"] for df in (queries, corpus))
+    kind = np.float32 if single else np.float64
     q = queries.filter(F.col("vec").isNotNull()).select("query_id", as_double(F.col("vec")).alias("vec"))
     c = spread(corpus.filter(F.col("vec").isNotNull()).select("id", as_double(F.col("vec")).alias("vec")))
     n = c.count()
@@ -235,17 +306,7 @@ def compared(
             if len(pdf):
                 x = _matrix(pdf["vec"])
                 lists, codes = model.value.encode(x)
-                # Vectors are shuffled as bytes: a query is sent to many lists.
-                yield pdf.assign(vec=[v.tobytes() for v in x], list=lists.astype(np.int32), code=[v.tobytes() for v in codes])
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["vec"])
-                order = model.value.by_distance(x).astype(np.int32)
-                # Never fewer lists than hold k vectors besides the query itself.
-                least = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
-                yield pdf.assign(vec=[v.tobytes() for v in x], lists=[row[: max(m, model.value.probes)] for row, m in zip(order, least)])
+                yield pdf.assign(vec=[v.tobytes() for v in x.astype(kind)], list=lists.astype(np.int32), code=[v.tobytes() for v in codes])
 
     path = scratch_path(spark, "lists")
     c.mapInPandas(encode, "id bigint, vec binary, list int, code binary").write.parquet(path)
@@ -254,28 +315,60 @@ def compared(
     held = np.zeros(len(model.value.coarse), np.int64)
     for r in sizes.collect():
         held[r["list"]] = r["n"]
-    to = scratch_path(spark, "probes")
-    spread(q).mapInPandas(probe, "query_id bigint, vec binary, lists array<int>").write.parquet(to)
-    asked = spark.read.parquet(to).select("query_id", F.col("vec").alias("qvec"), F.posexplode("lists").alias("place", "list"))
+    # A query goes once to each group of lists, not to each list.
+    side = min(math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism)), max(1, n // LEAST_GROUP))
+    groups = max(side, math.ceil(n / GROUP))
+    parts = _grouped(held, list_target, groups)
+    member = np.zeros((len(held), groups), np.float32)
+    for number, _, _, group in parts:
+        member[number, group] = 1
 
-    blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_target).cast("int").alias("blocks"))
-    dealt = F.broadcast(sizes.select("list", F.ceil(F.col("n") / list_target).cast("int").alias("salts")).join(blocks, "list"))
-    every = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
-    right = indexed.join(dealt, "list").select("id", "vec", "code", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), every("blocks").alias("block"))
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), PROBED):
+                some = pdf.iloc[i : i + PROBED]
+                x = _matrix(some["vec"])
+                order = model.value.by_distance(x)
+                # Never fewer lists than hold k vectors besides the query itself.
+                least = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+                home, asked = order[:, 0], place < np.maximum(least, model.value.probes)[:, None]
+                asked[np.arange(len(x)), home] = False
+                to = asked.astype(np.float32) @ member > 0
+                yield pd.DataFrame({
+                    "query_id": some["query_id"].to_numpy(), "qvec": [v.tobytes() for v in x.astype(kind)], "list": home.astype(np.int32),
+                    "mask": [v.tobytes() for v in np.packbits(asked, axis=1)], "groups": [np.flatnonzero(t).astype(np.int32) for t in to],
+                })
 
-    def search(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        return searched(model.value, key[0], ask, have, k, exclude_self)
+    to = scratch_path(spark, "probes")
+    spread(q).mapInPandas(probe, "query_id bigint, qvec binary, list int, mask binary, groups array<int>").write.parquet(to)
+    asked = spark.read.parquet(to)
+    every = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
 
-    def met(part: DataFrame) -> DataFrame:
-        keys = ["list", "salt", "block"]
-        block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
-        left = part.join(dealt, "list").select("query_id", "qvec", "floor", "list", block, every("salts").alias("salt"))
+    def met(left: DataFrame, right: DataFrame, keys: list[str], search) -> DataFrame:
         to = scratch_path(spark, "found")
         left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND).write.parquet(to)
         return spark.read.parquet(to)
 
-    first = met(asked.filter("place = 0").withColumn("floor", F.lit(float("inf"))))
+    # The nearest list of each query.
+    blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_target).cast("int").alias("blocks"))
+    dealt = F.broadcast(sizes.select("list", F.ceil(F.col("n") / list_target).cast("int").alias("salts")).join(blocks, "list"))
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
+    left = asked.join(dealt, "list").select("query_id", "qvec", F.lit(float("inf")).alias("floor"), "list", block, every("salts").alias("salt"))
+    right = indexed.join(dealt, "list").select("id", "vec", "code", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), every("blocks").alias("block"))
+    home = lambda key, ask, have: searched(model.value, key[0], ask, have, k, exclude_self, kind)
+    first = met(left, right, ["list", "salt", "block"], home)
+
+    # The other lists it probes.
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     kth = first.filter("id IS NOT NULL").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") == k)
-    rest = asked.filter("place > 0").join(kth.select("query_id", F.col("distance").alias("floor")), "query_id", "left")
-    return first.unionByName(met(rest.withColumn("floor", F.coalesce("floor", F.lit(float("inf"))))))
+    rest = asked.filter(F.size("groups") > 0).join(kth.select("query_id", F.col("distance").alias("floor")), "query_id", "left")
+    many = max(side, math.ceil(asked.count() / GROUP))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int").alias("block")
+    left = rest.select("query_id", "qvec", F.coalesce("floor", F.lit(float("inf"))).alias("floor"), "mask", F.explode("groups").alias("group"), block)
+    dealt = F.broadcast(spark.createDataFrame(parts, "list int, salts int, salt int, group int"))  # bounded by MAX_LISTS and n / list_target
+    right = indexed.join(dealt, "list").filter(F.pmod(F.xxhash64("id"), F.col("salts")) == F.col("salt"))
+    right = right.select("id", "vec", "code", "list", "salt", "group", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("block"))
+    others = lambda key, ask, have: gathered(model.value, ask, have, k, exclude_self, kind)
+    return first.unionByName(met(left, right, ["group", "block"], others))

@@ -129,3 +129,18 @@ def test_the_length_of_a_vector_is_summed_once(spark):
     # What an element is divided by is a value, not the sum itself.
     assert re.search(r"try_divide\([^()]*\)", out._jdf.queryExecution().analyzed().toString())
     assert [r.n for r in out.orderBy("id").collect()] == [[0.0, 0.0], None, [0.6, 0.8]]
+
+
+def test_a_query_is_sent_once_to_a_group_of_lists(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(2500, 8))
+    df = frame(spark, x)
+    q = df.withColumnRenamed("id", "query_id")
+    want = A.compared(q, df, 5, True).toPandas()
+    assert want.query_id.value_counts().drop(-1).max() <= 5 * (1 + 2500 // A.LEAST_GROUP)  # hits of a group, not of a list
+    monkeypatch.setattr(A, "GROUP", 150)
+    monkeypatch.setattr(A, "HELD", 50)
+    got = A.compared(q, df, 5, True).toPandas()
+    best = [f[f.id.notna()].sort_values(["query_id", "distance", "id"]).groupby("query_id").head(5)[["query_id", "id", "distance"]].values.tolist() for f in (want, got)]
+    assert best[0] == best[1] and len(best[0]) == 5 * 2500
+    assert (got.scanned.sum(), got.measured.sum()) == (want.scanned.sum(), want.measured.sum())
